@@ -43,9 +43,8 @@ def percentile_score(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     """Share of the group's other rows that lie below (ties share a score), as
     ``percent_rank`` gives it."""
     keys = list(keys)
-    ranks = average_ranks(df, keys, value, "_r")
+    ranks = average_ranks(df, keys, value, "_r", size="_n")
     low = ranks.withColumn("_low", F.col("_r") - (F.col("ties") - 1) / 2)
-    n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    pos = low.join(n, keys).select(
+    pos = low.select(
         *keys, value, F.when(F.col("_n") > 1, (F.col("_low") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias(out))
     return df.join(pos, keys + [value])

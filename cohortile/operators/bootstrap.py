@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.draws import hash_number, hash_rank, order_hash
+from ..session import durable
 from .metrics import binary_metrics, majority_vote
 
 METRICS = ("accuracy", "auc", "sensitivity", "specificity", "f1")
@@ -31,7 +32,8 @@ def draw_weights(items: DataFrame, id_col: str, n_iter=50, frac=0.8, seed=42, ke
     )
     per_pos = drawn.groupBy("_pos", "iter").agg(F.count(F.lit(1)).alias("weight")).groupBy("_pos").agg(
         F.collect_list(F.struct("iter", "weight")).alias("draws"))
-    return dense.join(per_pos, "_pos").select(id_col, "draws")
+    # both the confusion and the ranking metrics read the draws: keep them
+    return durable(dense.join(per_pos, "_pos").select(id_col, "draws"))
 
 
 def with_ensemble(preds: DataFrame, members=None) -> DataFrame:

@@ -22,8 +22,7 @@ def km_curve(df: DataFrame, keys, time="time", event="event") -> DataFrame:
         F.sum((F.col(event) == 1).cast("long")).alias("deaths"),
         F.sum((F.col(event) != 1).cast("long")).alias("censored"))
     per = per.withColumn("_gone", F.col("deaths") + F.col("censored"))
-    total = per.groupBy(*keys).agg(F.sum("_gone").alias("_n"))
-    risk = running_sums(per, keys, time, {"_gone": "_before"}).join(total, keys).withColumn(
+    risk = running_sums(per, keys, time, {"_gone": "_before"}, {"_gone": "_n"}).withColumn(
         "at_risk", F.col("_n") - F.col("_before"))
     alive = 1 - F.col("deaths") / F.col("at_risk")
     step = risk.withColumn("_ln", F.when(alive > 0, F.ln(alive)).otherwise(F.lit(0.0))).withColumn(
@@ -46,8 +45,7 @@ def logrank_statistic(df: DataFrame, keys, time="time", event="event", group="gr
     per = df.groupBy(*keys, time).agg(
         F.sum((dead & ~one).cast("long")).alias("_d0"), F.sum((dead & one).cast("long")).alias("_d1"),
         F.sum((~one).cast("long")).alias("_m0"), F.sum(one.cast("long")).alias("_m1"))
-    total = per.groupBy(*keys).agg(F.sum("_m0").alias("n0"), F.sum("_m1").alias("n1"))
-    at = running_sums(per, keys, time, {"_m0": "_b0", "_m1": "_b1"}).join(total, keys)
+    at = running_sums(per, keys, time, {"_m0": "_b0", "_m1": "_b1"}, {"_m0": "n0", "_m1": "n1"})
     r0, r1 = F.col("n0") - F.col("_b0"), F.col("n1") - F.col("_b1")
     n, d = (r0 + r1).cast("double"), (F.col("_d0") + F.col("_d1")).cast("double")
     expected = d * r1 / n

@@ -1,11 +1,13 @@
 """Ranks, running sums and percentiles of groups of any size.
 
-A window over one group sorts that whole group in one task. Here a group's
-distinct values are cut into ranges first: splitters are the values with the
-smallest hashes (a repeatable uniform sample, found with a per-partition
-limit), ranges are summed, and a window only ever sorts one range. A value
-that many rows share is one row by then, so neither a hot key nor a hot
-value lands on a single task.
+A window over one group sorts that whole group in one task. The distinct
+values are written out and counted first. Up to ``WINDOW_ROWS`` of them in
+all, a plain window is safe and cheapest. Beyond it each group's values are
+cut into ranges: splitters are the values with the smallest hashes (a
+repeatable uniform sample, found with a per-partition limit), ranges are
+summed, and a window only ever sorts one range. A value that many rows share
+is one row by then, so neither a hot key nor a hot value lands on one task.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,60 +15,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 
-def into_ranges(df: DataFrame, keys, value: str, splitters=127) -> DataFrame:
-    """Add ``_range``: how many of the group's splitters lie below the value.
+WINDOW_ROWS = 1_000_000
+SPLITTERS = 255
 
-    ``df`` must hold each (keys, value) once.
-    """
+
+def into_ranges(df: DataFrame, keys, value: str) -> DataFrame:
+    """Add ``_range``: how many of the group's splitters lie below the value.
+    ``df`` holds each (keys, value) once."""
     keys = list(keys)
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col(value)), F.col(value))
     cuts = (
         df.select(*keys, value)
         .withColumn("_i", F.row_number().over(by_hash))
-        .filter(F.col("_i") <= splitters)
+        .filter(F.col("_i") <= SPLITTERS)
         .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
     )
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return df.join(cuts, keys).withColumn("_range", below).drop("_cuts")
 
 
-def running_sums(df: DataFrame, keys, value: str, sums: dict, splitters=127) -> DataFrame:
+def running_sums(df: DataFrame, keys, value: str, sums: dict, totals: dict | None = None,
+                 window_rows: int | None = None) -> DataFrame:
     """For every (keys, value) row add the sums over all smaller values.
 
-    ``sums`` maps an existing column to the name of its exclusive prefix sum.
+    ``sums`` maps a column to the name of its exclusive prefix sum, ``totals``
+    a column to the name of its group total. ``df`` holds each (keys, value)
+    once and is written out here, so it is computed once.
     """
-    keys = list(keys)
-    rows = into_ranges(df, keys, value, splitters)
-    prior = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{n}") for c, n in sums.items()])
+    keys, totals = list(keys), totals or {}
+    rows = durable(df)
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    first_to_here = (Window.unboundedPreceding, -1)
+    if rows.count() <= limit:
+        group = Window.partitionBy(*keys)
+        before = group.orderBy(value).rowsBetween(*first_to_here)
+        return rows.select(
+            *df.columns,
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()],
+            *[F.sum(c).over(group).alias(n) for c, n in totals.items()])
+    rows = into_ranges(rows, keys, value)
+    wanted = list(dict.fromkeys([*sums, *totals]))
+    per = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in wanted])
+    group = Window.partitionBy(*keys)
+    prior = group.orderBy("_range").rowsBetween(*first_to_here)
     offsets = per.select(
         *keys, "_range",
-        *[F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums.values()],
-    )
-    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(offsets, keys + ["_range"])
-    return out.select(
+        *[F.coalesce(F.sum(f"_s_{c}").over(prior), F.lit(0)).alias(f"_o_{n}") for c, n in sums.items()],
+        *[F.sum(f"_s_{c}").over(group).alias(n) for c, n in totals.items()])
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(*first_to_here)
+    return rows.join(offsets, keys + ["_range"]).select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for c, n in sums.items()],
-    )
+        *totals.values())
 
 
-def average_ranks(df: DataFrame, keys, value: str, name="rank") -> DataFrame:
-    """One row per (keys, value): ``ties`` rows share the average 1-based rank."""
+def average_ranks(df: DataFrame, keys, value: str, name="rank", size=None, window_rows=None) -> DataFrame:
+    """One row per (keys, value): ``ties`` rows share the average 1-based rank;
+    ``size`` names an extra column with the group's row count."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    below = running_sums(counts, keys, value, {"ties": "_below"})
+    below = running_sums(counts, keys, value, {"ties": "_below"}, {"ties": size} if size else None, window_rows)
     return below.withColumn(name, F.col("_below") + (F.col("ties") + 1) / 2).drop("_below")
 
 
-def exact_percentiles(df: DataFrame, keys, value: str, fractions, name="pct") -> DataFrame:
+def exact_percentiles(df: DataFrame, keys, value: str, fractions, name="pct", window_rows=None) -> DataFrame:
     """Linear-interpolated percentiles, one array per group, for groups of any
     size. Nulls are ignored."""
     keys = list(keys)
-    fractions = list(fractions)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = running_sums(counts, keys, value, {"_c": "_below"}).join(total, keys)
+    placed = running_sums(counts, keys, value, {"_c": "_below"}, {"_c": "_n"}, window_rows)
 
     def at(pos):
         hit = (F.col("_below") <= pos) & (pos < F.col("_below") + F.col("_c"))
@@ -75,8 +93,7 @@ def exact_percentiles(df: DataFrame, keys, value: str, fractions, name="pct") ->
     aggs, cols = [], []
     for i, p in enumerate(fractions):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
-        aggs += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}")]
-        frac = pos - F.floor(pos)
-        cols.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac)
-    agged = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
-    return agged.select(*keys, F.array(*cols).alias(name))
+        aggs += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+        cols.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}"))
+    return placed.groupBy(*keys).agg(*aggs).select(*keys, F.array(*cols).alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,24 +27,33 @@ def build_session(app="cohortile", master=None, cpus=8, **conf):
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; only a session without that
+    setting (a test on one machine) gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="run-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder.
+    """Write an intermediate table to the shared folder and read it back.
 
-    The folder is what ``spark.checkpoint.dir`` names; only a session
-    without that setting (a test on one machine) gets a folder of its own.
+    The result is computed once, survives lost executors, keeps column
+    pruning, and its row count is in the file footers.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def require_columns(df: DataFrame, cols) -> DataFrame:
