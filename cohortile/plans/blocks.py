@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .draws import hash_rank, order_hash
 
 
@@ -27,6 +28,9 @@ def pair_blocks(left: DataFrame, right: DataFrame, keys, work, schema) -> DataFr
     """Run ``work(left_table, right_table)`` (Arrow in, Arrow out) for every
     pair of blocks. Both sides come from ``cut_blocks``."""
     keys = list(keys)
+    same = right is left
+    left = durable(left)  # both sides, and the counts, read it
+    right = left if same else durable(right)
     others = right.select(*keys, "_blocks").distinct().withColumnRenamed("_blocks", "_rb")
     mine = left.select(*keys, "_blocks").distinct().withColumnRenamed("_blocks", "_lb")
     lx = (
@@ -34,7 +38,8 @@ def pair_blocks(left: DataFrame, right: DataFrame, keys, work, schema) -> DataFr
         .withColumnRenamed("_block", "_bi").drop("_rb", "_blocks")
     )
     rx = (
-        right.join(mine, keys).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)))
+        right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh columns: left and right may be one table
+        .join(mine, keys).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)))
         .withColumnRenamed("_block", "_bj").drop("_lb", "_blocks")
     )
     by = keys + ["_bi", "_bj"]
