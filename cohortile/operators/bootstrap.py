@@ -20,9 +20,9 @@ def draw_weights(items: DataFrame, id_col: str, n_iter=50, frac=0.8, seed=42, ke
     stands for draw k, so the draws are spread over the cluster with the
     items. One row per item leaves here, whatever the number of iterations.
     """
-    base = items.select(id_col).distinct().withColumn(key, F.lit(1))
-    dense = hash_rank(base.withColumn("_h", order_hash(id_col, seed)), [key], "_h", [id_col], "_pos").select(
-        key, id_col, "_pos")
+    base = durable(items.select(id_col).distinct().withColumn(key, F.lit(1)))
+    dense = durable(hash_rank(base.withColumn("_h", order_hash(id_col, seed)), [key], "_h", [id_col], "_pos").select(
+        key, id_col, "_pos"))
     total = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     drawn = (
         dense.join(F.broadcast(total), key)

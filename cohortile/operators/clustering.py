@@ -244,13 +244,13 @@ def institution_bias(tiles: DataFrame, sample_frac=0.1, min_slides=5, n_iter=50,
     a share of each (slide, tissue), sites with enough slides, bootstrap."""
     from .cohort import keep_common
     from .sampling import fraction_per_group
-    common = keep_common(tiles, ["slide_id", "x", "y"])
+    common = durable(keep_common(tiles, ["slide_id", "x", "y"]))
     coords = common.select("slide_id", "tissue", "x", "y").distinct()
     kept = fraction_per_group(coords, ["slide_id", "tissue"], ["slide_id", "x", "y"], sample_frac, seed)
     rows = common.join(kept, ["slide_id", "tissue", "x", "y"], "left_semi")
     rows = min_slides_filter(rows, ["model", "tissue"], "site", min_slides).withColumn(
         "_id", F.concat_ws("|", "slide_id", "x", "y"))
-    return bootstrap_cluster_metrics(rows, ["model", "tissue"], "_id", "features", "site", n_iter, frac, pca, seed)
+    return bootstrap_cluster_metrics(durable(rows), ["model", "tissue"], "_id", "features", "site", n_iter, frac, pca, seed)
 
 
 def slide_cluster_summary(tiles: DataFrame, scores: DataFrame, keys=("slide_id", "model")) -> DataFrame:
