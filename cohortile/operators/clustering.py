@@ -10,10 +10,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.blocks import cut_blocks, pair_blocks
 from ..plans.draws import hash_rank, hash_take, order_hash
-from ..plans.gram import assemble, keyed_gram, matrix
+from ..plans.gram import assemble, key_groups, keyed_gram, matrix
 from ..session import durable
 from .bootstrap import draw_weights
 
@@ -28,9 +29,9 @@ def pca_fit(df: DataFrame, keys, features: str, k: int, weight=None) -> dict:
     the driver. k is cut to n - 1 and D; each component's largest entry is
     positive."""
     keys = list(keys)
-    cols = keyed_gram(df, keys, features, weight=weight)
+    rows = keyed_gram(df, keys, features, weight=weight).toPandas()
     found = {}
-    for key, pdf in cols.toPandas().groupby(keys, sort=False) if keys else [((), cols.toPandas())]:
+    for key, pdf in rows.groupby(keys, sort=False) if keys else [((), rows)]:
         n, _, mean, c = assemble(pdf)
         vals, vecs = np.linalg.eigh(c)
         kk = max(1, min(k, int(round(n)) - 1, len(vals)))
@@ -45,22 +46,17 @@ def pca_project(df: DataFrame, keys, features: str, k: int, out="pcs", weight=No
     are shipped with the tasks."""
     keys = list(keys)
     fitted = fitted or pca_fit(df, keys, features, k, weight)
-    from pyspark.sql import types as T
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = matrix(b.column(features))
-            names = list(zip(*[b.column(c).to_pylist() for c in keys])) if keys else [()] * len(x)
-            groups = {}
-            for i, n in enumerate(names):
-                groups.setdefault(n, []).append(i)
-            vals = [None] * len(x)
-            for n, idx in groups.items():
+            vals = [None] * b.num_rows
+            for n, idx in key_groups(b, keys).items():
+                idx = range(b.num_rows) if idx is None else idx
                 mean, v = fitted[n]
-                z = (x[idx] - mean) @ v.T
+                z = (matrix(b.column(features).take(pa.array(idx))) - mean) @ v.T
                 for i, row in zip(idx, z):
                     vals[i] = row
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vals, pa.list_(pa.float64()))], names=[*b.schema.names, out])
@@ -357,7 +353,6 @@ def repeated_kmeans(items: DataFrame, ids: str, features: str, k: int, n_runs=10
     for r in first:
         cents.setdefault(r["run"], {})[r["c"]] = np.asarray(r[features], dtype=float)
     cents = {r: np.vstack([v[c] for c in sorted(v)]) for r, v in cents.items()}
-    from pyspark.sql import types as T
     schema = T.StructType([*drawn.schema.fields, T.StructField("cluster", T.IntegerType())])
 
     def assign(cents):

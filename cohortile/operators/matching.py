@@ -35,7 +35,7 @@ def match_with_fallback(names: DataFrame, files: DataFrame, name="stem", file="f
     before an underscore."""
     f = files.select(file).distinct()
     own = f.select(F.col(file).alias(name), file, F.lit(0).alias("_prio"))
-    cut = F.transform(F.sequence(F.lit(1), F.size(F.split(file, "_")) - 1), lambda i: F.substring_index(F.col(file), "_", i))
+    cut = F.transform(F.sequence(F.lit(1), F.size(F.split(file, "_")) - 1), lambda i: F.array_join(F.slice(F.split(file, "_"), 1, i), "_"))
     pre = f.filter(F.contains(F.col(file), F.lit("_"))).select(F.explode(cut).alias(name), file).withColumn(
         "_prio", F.when(F.col(file) == F.concat(F.col(name), F.lit("_L-1")), 1).otherwise(2))
     offers = own.unionByName(pre.select(name, file, "_prio"))

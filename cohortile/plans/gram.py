@@ -29,6 +29,16 @@ def matrix(col) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
+def key_groups(batch, keys) -> dict:
+    """{key tuple: row numbers} of a batch; None stands for all rows."""
+    if not keys:
+        return {(): None}
+    groups = {}
+    for i, k in enumerate(zip(*[batch.column(c).to_pylist() for c in keys])):
+        groups.setdefault(k, []).append(i)
+    return groups if len(groups) > 1 else dict.fromkeys(groups)
+
+
 def _arrow_schema(df, keys):
     from pyspark.sql.pandas.types import to_arrow_type
     return [(k, to_arrow_type(df.schema[k].dataType)) for k in keys]
@@ -57,21 +67,15 @@ def keyed_gram(df: DataFrame, keys, x: str, y: str | None = None, weight: str |
         for b in batches:
             if b.num_rows == 0:
                 continue
-            xs = matrix(b.column(x))
-            zs = [np.ones((b.num_rows, 1)), xs] + ([matrix(b.column(y))] if y else [])
-            z = np.hstack(zs)
-            w = b.column(weight).to_numpy(zero_copy_only=False).astype(float) if weight else None
-            if keys:
-                names = list(zip(*[b.column(k).to_pylist() for k in keys]))
-            else:
-                names = [()] * b.num_rows
-            groups = {}
-            for i, k in enumerate(names):
-                groups.setdefault(k, []).append(i)
-            for k, idx in groups.items():
-                zi = z if len(groups) == 1 else z[idx]
-                left = zi if w is None else zi * (w if len(groups) == 1 else w[idx])[:, None]
-                g = left.T @ zi
+            # keys may have vectors of different lengths: one matrix per key
+            for k, idx in key_groups(b, keys).items():
+                part = b if idx is None else b.take(pa.array(idx))
+                xs = matrix(part.column(x))
+                z = np.hstack([np.ones((len(xs), 1)), xs] + ([matrix(part.column(y))] if y else []))
+                left = z
+                if weight:
+                    left = z * part.column(weight).to_numpy(zero_copy_only=False).astype(float)[:, None]
+                g = left.T @ z
                 if k in acc:
                     acc[k][1][...] += g
                 else:
