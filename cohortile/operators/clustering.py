@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -321,13 +321,24 @@ def kmeans_assign(df: DataFrame, model, features: str, out="cluster") -> DataFra
 
 
 def assign_to_centroids(df: DataFrame, cents: DataFrame, features: str, out="cluster") -> DataFrame:
-    """Nearest of the given (cluster, centroid) rows, lowest cluster on ties.
-    The k centroids come as one array row."""
-    listed = cents.groupBy().agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("_cs"))
-    j = df.crossJoin(F.broadcast(listed))  # a single row
-    best = F.array_min(F.transform("_cs", lambda c: F.struct(
-        euclid(F.col(features).cast("array<double>"), c["centroid"]).alias("d"), c["cluster"].alias("i"))))
-    return j.withColumn("_b", best).select(*df.columns, F.col("_b.i").alias(out), F.col("_b.d").alias("distance"))
+    """Nearest of the given (cluster, centroid) rows, lowest cluster on ties, and
+    the distance. The k centroids (a parameter of the model, not of the data)
+    travel with the tasks."""
+    rows = sorted((r["cluster"], r["centroid"]) for r in cents.collect())
+    names, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType()), T.StructField("distance", T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = matrix(b.column(features))
+            d = np.column_stack([((x - v) ** 2).sum(1) for v in c])
+            best = d.argmin(1)
+            got = [pa.array(names[best].astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(x)), best]))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *got], names=[*b.schema.names, out, "distance"])
+
+    return df.mapInArrow(run, schema)
 
 
 def kmeans_2d(points: DataFrame, k: int, x="x01", y="y01", seed=42):
@@ -335,8 +346,8 @@ def kmeans_2d(points: DataFrame, k: int, x="x01", y="y01", seed=42):
     p = points.withColumn("_xy", F.array(F.col(x).cast("double"), F.col(y).cast("double")))
     got = kmeans_assign(p, kmeans_fit(p, "_xy", k, seed), "_xy").drop("_xy")
     n = got.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    total = got.groupBy().agg(F.count(F.lit(1)).alias("_t"))
-    return got, n.join(F.broadcast(total)).select("cluster", "n", (F.col("n") / F.col("_t")).alias("share"))
+    whole = Window.partitionBy(F.lit(1))  # k rows
+    return got, n.withColumn("share", F.col("n") / F.sum("n").over(whole))
 
 
 # --- consensus -----------------------------------------------------------------------------

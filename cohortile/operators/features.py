@@ -323,8 +323,9 @@ def pruning_percentages(counts: DataFrame, models, original="OG Features") -> Da
     and the kept total over the original total."""
     long = counts.unpivot(["Threshold"], list(models), "model", "retained").filter(F.col("retained").isNotNull())
     total = long.groupBy("Threshold").agg(F.sum("retained").alias("_t"))
-    og = total.filter(F.col("Threshold") == original).agg(F.sum("_t").alias("_og"))
-    need = og.select(F.coalesce("_og", F.raise_error(F.lit(f"row {original!r} is missing")).cast("long")).alias("_og"))
-    t = total.join(F.broadcast(need)).select("Threshold", "_t", (100.0 * F.col("_t") / F.col("_og")).alias("total_pct"))
+    # one row per threshold
+    og = F.max(F.when(F.col("Threshold") == original, F.col("_t"))).over(Window.partitionBy(F.lit(1)))
+    need = F.coalesce(og, F.raise_error(F.lit(f"row {original!r} is missing")).cast("long"))
+    t = total.withColumn("_og", need).select("Threshold", "_t", (100.0 * F.col("_t") / F.col("_og")).alias("total_pct"))
     return long.filter(F.col("Threshold") != original).join(t, "Threshold").select(
         F.col("Threshold").alias("threshold"), "model", "retained", (100.0 * F.col("retained") / F.col("_t")).alias("model_pct"), "total_pct")

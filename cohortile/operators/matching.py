@@ -16,8 +16,8 @@ def pair_files(tiles: DataFrame, attention: DataFrame, stem="stem") -> DataFrame
     t, a = tiles.select(F.col(stem).alias("tile_stem")).distinct(), attention.select(F.col(stem).alias("attention_stem")).distinct()
     exact = t.join(a, F.col("tile_stem") == F.col("attention_stem"))
     rest = t.join(a, F.col("tile_stem") == F.col("attention_stem"), "left_anti")
-    lens = a.groupBy().agg(F.collect_set(F.length("attention_stem")).alias("_l"))  # a few lengths
-    parts = rest.join(F.broadcast(lens)).withColumn("_n", F.explode("_l")).filter(F.col("_n") <= F.length("tile_stem")).withColumn(
+    lens = [r[0] for r in a.select(F.length("attention_stem")).distinct().collect()]  # at most one per name length
+    parts = rest.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lens]))).filter(F.col("_n") <= F.length("tile_stem")).withColumn(
         "_s", F.explode(F.sequence(F.lit(1), F.length("tile_stem") - F.col("_n") + 1)))
     sub = parts.select("tile_stem", F.substring(F.col("tile_stem"), F.col("_s"), F.col("_n")).alias("attention_stem")).distinct().join(
         a, "attention_stem").select("tile_stem", "attention_stem")

@@ -1,7 +1,7 @@
 """Raster operators on pixel tables (keys, px, py, v).
 
-A raster is at most a thumbnail (some thousand pixels a side), so one map fits
-a task; everything that can be an aggregate over pixels is one.
+What can be an aggregate over pixels is one; neighbourhood work is done on
+blocks of a map.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scaling import minmax
-from ..plans.ordered import exact_percentiles
+from ..plans.ordered import exact_percentiles, running_sums
 from ..session import durable
-from .geometry import edges, point_in_polygon, with_bounds
+from .geometry import edges
 from .metrics import combinations_of
 
 
@@ -75,28 +75,52 @@ def blur(img, method, strength):
     return np.clip(out, 0.0, 1.0)
 
 
-def smooth(pixels: DataFrame, dims: DataFrame, keys, method="gaussian", strength=1.0) -> DataFrame:
-    """Blur each map (mirrored edges) and clip to [0, 1]. A task holds one
-    thumbnail-sized map. The result covers the whole raster."""
+def reach(method, strength) -> int:
+    """How many pixels away a blurred pixel looks."""
+    return len(gaussian_kernel(strength)) // 2 if method == "gaussian" else int(2 * strength + 1) // 2
+
+
+def smooth(pixels: DataFrame, dims: DataFrame, keys, method="gaussian", strength=1.0, block=512) -> DataFrame:
+    """Blur each map (mirrored edges) and clip to [0, 1]; the result covers the
+    whole raster.
+
+    A map is cut into blocks of ``block`` pixels a side. A pixel goes to its own
+    block and to those it is within reach of, so a task holds one block and its
+    rim whatever the size of the map.
+    """
     keys = list(keys)
     if method not in ("gaussian", "uniform", "median"):
         raise ValueError(f"unknown blur method {method!r}")
-    rows = dims.select(*keys, F.col("w").cast("int"), F.col("h").cast("int")).join(pixels, keys, "left")
+    r = reach(method, strength) if strength > 0 else 0
+    size = dims.select(*keys, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
+
+    def near(c, n):
+        last = F.floor((F.col(n) - 1) / block)
+        return F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - r) / block)), F.least(last, F.floor((F.col(c) + r) / block)))
+
+    sent = pixels.join(size, keys).withColumn("_bx", F.explode(near("px", "w"))).withColumn("_by", F.explode(near("py", "h"))).select(
+        *keys, "_bx", "_by", "px", "py", "v")
+    all_blocks = size.withColumn("_bx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("w") - 1) / block)))).withColumn(
+        "_by", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("h") - 1) / block))))
+    rows = all_blocks.join(sent, [*keys, "_bx", "_by"], "left")
     fields = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
-        img = np.zeros((h, w))
+        w, h, bx, by = (int(pdf[c].iloc[0]) for c in ("w", "h", "_bx", "_by"))
+        x0, y0, x1, y1 = bx * block, by * block, min(w, (bx + 1) * block), min(h, (by + 1) * block)
+        ax, ay = max(0, x0 - r), max(0, y0 - r)
+        img = np.zeros((min(h, y1 + r) - ay, min(w, x1 + r) - ax))
         p = pdf.dropna(subset=["px"])
-        img[p["py"].astype(int), p["px"].astype(int)] = p["v"]
+        img[p["py"].astype(int) - ay, p["px"].astype(int) - ax] = p["v"]
         out = blur(img, method, strength) if strength > 0 else np.clip(img, 0.0, 1.0)
-        py, px = np.divmod(np.arange(w * h, dtype=np.int32), w)
-        res = pd.DataFrame({"px": px, "py": py, "v": out.ravel()})
+        out = out[y0 - ay: y1 - ay, x0 - ax: x1 - ax]
+        py, px = np.mgrid[y0:y1, x0:x1].astype(np.int32)
+        res = pd.DataFrame({"px": px.ravel(), "py": py.ravel(), "v": out.ravel()})
         for i, k in enumerate(keys):
             res.insert(i, k, pdf[k].iloc[0])
         return res
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{fields}, px int, py int, v double")
+    return rows.groupBy(*keys, "_bx", "_by").applyInPandas(run, f"{fields}, px int, py int, v double")
 
 
 def cutoffs(pixels: DataFrame, keys, rule: str, percents) -> DataFrame:
@@ -130,30 +154,37 @@ def binarize(pixels: DataFrame, keys, rule: str, percents) -> DataFrame:
 def rasterize_polygons(polygons: DataFrame, scale: DataFrame, keys=("slide_id", "tissue"), by="slide_id") -> DataFrame:
     """Filled thumbnail pixels per (slide, tissue). Vertices are floored at
     thumbnail scale, outline pixels count, polygons of one fill combine
-    even-odd. ``scale``: by, sx, sy, thumb_w, thumb_h."""
-    p = polygons.join(scale, by)
+    even-odd. ``scale``: by, sx, sy, thumb_w, thumb_h.
+
+    Each edge is cut into the raster lines it spans; per line the crossings of
+    all polygons, taken in pairs, are the filled spans. Work follows outline
+    length and filled area, not vertices times area.
+    """
+    keys = list(keys)
+    p = polygons.filter(F.size("verts") >= 3).join(scale, by)
     verts = F.transform("verts", lambda v: F.struct(
         F.floor(v["x"] * F.col("sx")).cast("double").alias("x"), F.floor(v["y"] * F.col("sy")).cast("double").alias("y")))
-    p = with_bounds(p.withColumn("verts", verts))
-    lo = lambda c: F.greatest(F.lit(0), F.col(c).cast("int"))
-    hi = lambda c, m: F.least(F.col(m).cast("int") - 1, F.col(c).cast("int"))
-    p = p.select(*keys, "verts", lo("bx0").alias("x0"), hi("bx1", "thumb_w").alias("x1"), lo("by0").alias("y0"), hi("by1", "thumb_h").alias("y1")).filter(
-        "x1 >= x0 and y1 >= y0")
-    # one row per raster line first, so that a large polygon spreads
-    px = p.withColumn("py", F.explode(F.sequence("y0", "y1"))).withColumn("px", F.explode(F.sequence("x0", "x1")))
-    x, y = F.col("px").cast("double"), F.col("py").cast("double")
-
-    def outline(e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        within = x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(
-            F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        return within & (F.abs(dx * (y - e["y1"]) - dy * (x - e["x1"])) <= 0.5 * F.greatest(F.abs(dx), F.abs(dy)))
-
-    inside = point_in_polygon(x, y, F.col("verts")).cast("int")
-    edge = F.exists(edges(F.col("verts")), outline).cast("int")
-    hit = px.select(*keys, "px", "py", inside.alias("_in"), edge.alias("_edge")).filter("_in = 1 or _edge = 1")
-    return hit.groupBy(*keys, "px", "py").agg((F.sum("_in") % 2).alias("_odd"), F.max("_edge").alias("_edge")).filter(
-        "_odd = 1 or _edge = 1").select(*keys, "px", "py")
+    e = p.select(*keys, "thumb_w", "thumb_h", F.explode(edges(verts)).alias("e")).select(*keys, "thumb_w", "thumb_h", "e.*")
+    y_lo, y_hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first, last = F.greatest(F.lit(0), y_lo.cast("int")), F.least(F.col("thumb_h").cast("int") - 1, y_hi.cast("int"))
+    lines = e.withColumns({"_a": first, "_b": last}).filter("_b >= _a").withColumn("py", F.explode(F.sequence("_a", "_b")))
+    dx, dy, y = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("py").cast("double")
+    at = (y - F.col("y1")) * dx / F.nullif(dy, F.lit(0.0)) + F.col("x1")
+    # half open: the upper end of an edge does not cross its line
+    cross = F.when((y > y_lo) & (y <= y_hi), F.floor(at).cast("int"))
+    half = 0.5 * F.greatest(F.abs(dx), F.abs(dy)) / F.nullif(F.abs(dy), F.lit(0.0))
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    lo = F.when(dy == 0, left).otherwise(F.greatest(left, F.ceil(at - half).cast("double"))).cast("int")
+    hi = F.when(dy == 0, right).otherwise(F.least(right, F.floor(at + half).cast("double"))).cast("int")
+    per_line = lines.select(*keys, "py", F.col("thumb_w").cast("int").alias("w"), cross.alias("cross"), F.struct(lo.alias("a"), hi.alias("b")).alias("rim"))
+    spans = per_line.groupBy(*keys, "py").agg(
+        F.max("w").alias("w"), F.array_sort(F.collect_list("cross")).alias("c"), F.collect_set("rim").alias("rim"))
+    fill = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("c")), lambda i: (i % 2 == 0) & (i + 1 < F.size("c"))),
+        lambda i: F.struct((F.get("c", i) + 1).alias("a"), F.get("c", i + 1).alias("b")))
+    cut = spans.select(*keys, "py", "w", F.explode(F.concat(fill, "rim")).alias("_s")).select(
+        *keys, "py", F.greatest(F.lit(0), F.col("_s.a")).alias("a"), F.least(F.col("w") - 1, F.col("_s.b")).alias("b")).filter("b >= a")
+    return cut.select(*keys, F.explode(F.sequence("a", "b")).alias("px"), "py").distinct()
 
 
 def mask_counts(a: DataFrame, b: DataFrame, keys) -> DataFrame:
@@ -332,45 +363,85 @@ def erode(mask: DataFrame, keys, r: int, width: int, height: int) -> DataFrame:
     return out
 
 
-def region_components(mask: DataFrame, keys, connectivity=4) -> DataFrame:
+def label_runs(x, y, reach_diagonal=False):
+    """Connected regions of pixels sorted by (y, x): the index of each region's
+    first pixel, per pixel. Runs of pixels per line are merged, not pixels."""
+    slack = 1 if reach_diagonal else 0
+    start = np.ones(len(x), dtype=bool)
+    start[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    run_of = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    last = np.append(first[1:], len(x)) - 1
+    ry, lo, hi = y[first], x[first], x[last]
+    parent = list(range(len(first)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = 0  # first run that can still touch the current one
+    for b in range(len(first)):
+        while above < b and (ry[above] < ry[b] - 1 or (ry[above] == ry[b] - 1 and hi[above] + slack < lo[b])):
+            above += 1
+        c = above
+        while c < b and ry[c] == ry[b] - 1 and lo[c] <= hi[b] + slack:
+            p, q = root(c), root(b)
+            parent[max(p, q)] = min(p, q)
+            c += 1
+    roots = np.array([root(i) for i in range(len(first))], dtype=int)
+    return first[roots][run_of]
+
+
+def _merge_labels(links: DataFrame, keys) -> DataFrame:
+    """(keys, a, root): smallest label reachable over ``links`` (keys, a, b).
+    Labels take the smallest of their neighbours' and then jump to that label's
+    own; the rounds grow with the logarithm of the longest chain in most cases."""
+    both = durable(links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    root = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+    while True:
+        root = durable(root)
+        seen = both.join(root.select(*keys, F.col("a").alias("b"), F.col("root").alias("_r")), [*keys, "b"])
+        low = seen.groupBy(*keys, "a").agg(F.min("_r").alias("_m"))
+        step = root.join(low, [*keys, "a"]).select(*keys, "a", F.col("root").alias("_old"), F.least("root", "_m").alias("_new"))
+        jump = root.select(*keys, F.col("a").alias("_new"), F.col("root").alias("_j"))
+        moved = durable(step.join(jump, [*keys, "_new"], "left").select(*keys, "a", "_old", F.least("_new", "_j").alias("root")))
+        if moved.filter("root < _old").isEmpty():
+            return root
+        root = moved.drop("_old")
+
+
+def region_components(mask: DataFrame, keys, connectivity=4, block=512) -> DataFrame:
     """(keys, px, py, component): connected regions per map, numbered from 0 in
-    raster order. A task holds one thumbnail-sized mask; runs of pixels per line
-    are merged, not single pixels."""
+    raster order of their first pixel.
+
+    Regions are found inside blocks of ``block`` pixels a side, one block per
+    task; regions that touch across block borders are then merged by label.
+    """
     keys = list(keys)
+    wide = 1 << 32
     fields = ", ".join(f"`{k}` {mask.schema[k].dataType.simpleString()}" for k in keys)
-    reach = 1 if connectivity == 8 else 0
+    px = mask.select(*keys, F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).distinct().withColumns(
+        {"_bx": F.floor(F.col("px") / block), "_by": F.floor(F.col("py") / block)})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["px", "py"]).sort_values(["py", "px"], ignore_index=True)
+        pdf = pdf.sort_values(["py", "px"], ignore_index=True)
         x, y = pdf["px"].to_numpy(), pdf["py"].to_numpy()
-        start = np.ones(len(x), dtype=bool)
-        start[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
-        run_id = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        last = np.append(first[1:], len(x)) - 1
-        parent = list(range(len(first)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        ry, rx0, rx1 = y[first], x[first], x[last]
-        a = 0
-        for b in range(len(first)):
-            while a < b and (ry[a] < ry[b] - 1 or (ry[a] == ry[b] - 1 and rx1[a] + reach < rx0[b])):
-                a += 1
-            c = a
-            while c < b and ry[c] == ry[b] - 1 and rx0[c] <= rx1[b] + reach:
-                p, q = root(c), root(b)
-                parent[max(p, q)] = min(p, q)
-                c += 1
-        roots = np.array([root(i) for i in range(len(first))], dtype=int)
-        pdf["component"] = np.unique(roots, return_inverse=True)[1][run_id].astype(np.int32)
-        return pdf[[*keys, "px", "py", "component"]]
-
-    return mask.select(*keys, F.col("px").cast("int"), F.col("py").cast("int")).groupBy(*keys).applyInPandas(
-        run, f"{fields}, px int, py int, component int")
-
-
+        at = label_runs(x, y, connectivity == 8)
+        pdf["a"] = y[at].astype(np.int64) * wide + x[at]
+        return pdf[[*keys, "px", "py", "a"]]
+
+    local = durable(px.groupBy(*keys, "_bx", "_by").applyInPandas(run, f"{fields}, px int, py int, a long"))
+    steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if connectivity == 8 else [])
+    rim = local.filter((F.col("px") % block).isin(0, block - 1) | (F.col("py") % block).isin(0, block - 1))
+    out = rim.select(*keys, "a", F.explode(F.array(*[F.struct((F.col("px") + dx).alias("px"), (F.col("py") + dy).alias("py")) for dx, dy in steps])).alias("_n"))
+    links = durable(out.select(*keys, "a", "_n.px", "_n.py").join(
+        rim.select(*keys, "px", "py", F.col("a").alias("b")), [*keys, "px", "py"]).filter("a <> b").select(*keys, "a", "b").distinct())
+    if links.isEmpty():
+        named = local.withColumn("root", F.col("a"))
+    else:
+        named = local.join(_merge_labels(links, keys), [*keys, "a"], "left").withColumn("root", F.coalesce("root", "a"))
+    roots = named.select(*keys, "root").distinct().withColumn("_one", F.lit(1))
+    numbered = running_sums(roots, keys, "root", {"_one": "component"}).select(*keys, "root", F.col("component").cast("int").alias("component"))
+    return named.join(numbered, [*keys, "root"]).select(*keys, "px", "py", "component")

@@ -43,11 +43,11 @@ def paired_gram(pairs: DataFrame, keys=(), x="fx", y="fy") -> DataFrame:
     return keyed_gram(pairs, keys, x, y)
 
 
-def centred_entries(gram: DataFrame, keys=()) -> DataFrame:
+def centred_entries(gram: DataFrame, keys) -> DataFrame:
     """Long form (keys, i, j, value) of the centred matrix, 1-based columns."""
     keys = list(keys)
     top = gram.filter("i = 0").select(*keys, F.col("row").alias("_top"))
-    joined = gram.filter("i > 0").join(F.broadcast(top), keys) if keys else gram.filter("i > 0").crossJoin(F.broadcast(top))
+    joined = gram.filter("i > 0").join(F.broadcast(top), keys)  # one row per key
     n, si = F.col("_top")[0], F.get("_top", F.col("i"))
     centred = F.zip_with("row", "_top", lambda g, s: g - si * s / n)
     return joined.select(*keys, "i", F.posexplode(centred).alias("j", "value")).filter("j > 0")

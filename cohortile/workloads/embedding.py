@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import clustering as K
 from ..operators import features as E
-from ..operators import sampling as A
 from ..operators import similarity as S
+from ..operators import training as T
+from ..plans.draws import hash_number
 from ..session import r6
 from . import standins as D
 from .registry import query
@@ -366,3 +367,14 @@ def stability_filter(spark, sf):
     train = t.select("slide_id").distinct().filter(F.col("slide_id").cast("int") < 15)
     s = E.stability_filter(st, train, "icc")
     return s.select("model", "feature_index", r6("mean").alias("mean"), "keep")
+
+
+@query("fold_train_metrics")
+def fold_train_metrics(spark, sf):
+    """Logistic regression per fold on the vectors; class = label below 5."""
+    e = D.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("slide_id"), (F.col("label") < 5).cast("int").alias("label"), F.col("embedding").alias("features"))
+    part = hash_number("slide_id", "fold", 42) % 10
+    splits = e.select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold")).withColumn(
+        "split", F.when(part == 0, "test").when(part == 1, "val").otherwise("train"))
+    return T.fold_train_metrics(e.select("slide_id", "features"), e.select("slide_id", "label"), splits, [0, 1, 2], max_iter=20)
