@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import average_ranks
+from ..session import join_same_key
 
 
 def minmax(df: DataFrame, keys, value: str, out: str, mode="heat", floor=1e-12) -> DataFrame:
@@ -24,7 +25,7 @@ def minmax(df: DataFrame, keys, value: str, out: str, mode="heat", floor=1e-12)
         "raw": F.coalesce(scaled, v),
         "span": (v - mn) / F.greatest(mx - mn, F.lit(floor)),
     }[mode]
-    return df.join(s, list(keys)).withColumn(out, expr).drop("_mn", "_mx")
+    return join_same_key(df, s, keys).withColumn(out, expr).drop("_mn", "_mx")
 
 
 def zscore01(df: DataFrame, keys, value: str, out: str, lo=-3.0, hi=3.0) -> DataFrame:
@@ -36,7 +37,7 @@ def zscore01(df: DataFrame, keys, value: str, out: str, lo=-3.0, hi=3.0) -> Data
     s = clean.groupBy(*keys).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_sd"))
     z = F.greatest(F.lit(lo), F.least(F.lit(hi), (F.col("_v") - F.col("_m")) / F.col("_sd")))
     expr = F.when(F.col("_sd") < 1e-8, F.lit(0.0)).otherwise((z - lo) / (hi - lo))
-    return clean.join(s, list(keys)).withColumn(out, expr).drop("_v", "_m", "_sd")
+    return join_same_key(clean, s, keys).withColumn(out, expr).drop("_v", "_m", "_sd")
 
 
 def percentile_score(df: DataFrame, keys, value: str, out: str) -> DataFrame:
@@ -47,4 +48,4 @@ def percentile_score(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     low = ranks.withColumn("_low", F.col("_r") - (F.col("ties") - 1) / 2)
     pos = low.select(
         *keys, value, F.when(F.col("_n") > 1, (F.col("_low") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias(out))
-    return df.join(pos, keys + [value])
+    return join_same_key(df, pos, keys + [value])

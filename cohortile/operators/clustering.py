@@ -235,15 +235,28 @@ def bootstrap_cluster_metrics(df: DataFrame, keys, ids: str, features: str, labe
     return size.join(sil, by).join(davies_bouldin(drawn, by, features, label, "weight"), by)
 
 
-def institution_bias(tiles: DataFrame, sample_frac=0.1, min_slides=5, n_iter=50, frac=0.5, pca=50, seed=42) -> DataFrame:
+def joint_scatter(df: DataFrame, features: str, pca=50, out="xy", model="model") -> DataFrame:
+    """Two joint components of all models' rows: each model is reduced to the
+    same width first, then all rows are projected together."""
+    width = df.groupBy(model).agg(F.min(F.size(features)).alias("_d"), F.count(F.lit(1)).alias("_n")).agg(
+        F.min(F.least(F.col("_d"), F.col("_n") - 1))).first()[0]
+    each = durable(pca_project(df, [model], features, min(pca, int(width)), "_p"))
+    return pca_project(each, [], "_p", 2, out).drop("_p")
+
+
+def institution_bias(tiles: DataFrame, sample_frac=0.1, min_slides=5, n_iter=50, frac=0.5, pca=50, seed=42,
+                     all_tissues=False) -> DataFrame:
     """Per (model, tissue, iter) cluster metrics of sites: tiles every model has,
-    a share of each (slide, tissue), sites with enough slides, bootstrap."""
+    a share of each (slide, tissue), sites with enough slides, bootstrap.
+    ``all_tissues`` adds the tissue ``all`` with every drawn tile."""
     from .cohort import keep_common
     from .sampling import fraction_per_group
     common = durable(keep_common(tiles, ["slide_id", "x", "y"]))
     coords = common.select("slide_id", "tissue", "x", "y").distinct()
     kept = fraction_per_group(coords, ["slide_id", "tissue"], ["slide_id", "x", "y"], sample_frac, seed)
     rows = common.join(kept, ["slide_id", "tissue", "x", "y"], "left_semi")
+    if all_tissues:
+        rows = rows.unionByName(rows.withColumn("tissue", F.lit("all")))
     rows = min_slides_filter(rows, ["model", "tissue"], "site", min_slides).withColumn(
         "_id", F.concat_ws("|", "slide_id", "x", "y"))
     return bootstrap_cluster_metrics(durable(rows), ["model", "tissue"], "_id", "features", "site", n_iter, frac, pca, seed)
@@ -431,3 +444,11 @@ def consensus_summary(assignments: DataFrame, models: DataFrame, ids: str, size=
 
     s = pair_blocks(cut, cut, ["_all"], work, schema).groupBy("model1", "model2").agg(F.sum("total").alias("_t"), F.sum("pairs").alias("_n"))
     return s.select("model1", "model2", (F.col("_t") / F.nullif(F.col("_n"), F.lit(0))).alias("consensus"), (F.col("_n") / 2).cast("long").alias("pairs"))
+
+
+def consensus_overall(summary: DataFrame) -> DataFrame:
+    """Mean within-model and between-model consensus over all item pairs."""
+    same = F.col("model1") == F.col("model2")
+    n = lambda c: F.sum(F.when(c, F.col("pairs")))
+    t = lambda c: F.sum(F.when(c, F.col("consensus") * F.col("pairs")))
+    return summary.groupBy().agg((t(same) / n(same)).alias("within"), (t(~same) / n(~same)).alias("between"))

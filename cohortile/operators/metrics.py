@@ -238,3 +238,22 @@ def wide_predictions(merged: DataFrame, models, n_classes=2, keys=("slide_id", "
     aggs = [F.first("pred").alias("pred")] + [
         F.first(F.element_at("prob", c + 1)).alias(f"prob_{c}") for c in range(n_classes)]
     return merged.groupBy(*keys).pivot("model", list(models)).agg(*aggs)
+
+
+def wide_metrics(metrics: DataFrame, keys, phases=("train", "val", "test"),
+                 cols=("accuracy", "auc", "sensitivity", "specificity", "f1")) -> DataFrame:
+    """``{phase}_{metric}`` columns, one row per key."""
+    of = lambda p, c: F.max(F.when(F.col("split") == p, F.col(c))).alias(f"{p}_{c}")
+    return metrics.groupBy(*keys).agg(*[of(p, c) for p in phases for c in cols])
+
+
+def fold_table(metrics: DataFrame, keys=("model",)) -> DataFrame:
+    """One row per fold: test_auc, val_auc, test_acc, val_acc."""
+    w = wide_metrics(metrics, [*keys, "fold"], ("test", "val"), ("auc", "accuracy"))
+    return w.select(*keys, F.col("fold").alias("folds"), "test_auc", "val_auc", F.col("test_accuracy").alias("test_acc"),
+                    F.col("val_accuracy").alias("val_acc"))
+
+
+def fold_table_name(start: int, end: int, k: int) -> str:
+    """Name of the table for folds start..end-1 of k."""
+    return "summary" if end - start == k else f"summary_partial_{start}_{end}"

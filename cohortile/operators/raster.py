@@ -240,6 +240,16 @@ def slide_overlap(heat: DataFrame, masks: DataFrame, annotated: DataFrame, perce
     return wide.unpivot([key, "tissue", "percentile"], ["dice", "coverage", "attention_in"], "metric", "value")
 
 
+def overlap_problems(slides: DataFrame, attention: DataFrame, annotated: DataFrame, geometry: DataFrame, key="slide_id") -> DataFrame:
+    """(slide, reason): slides that cannot be compared. They are reported here;
+    the others go on."""
+    has = lambda d, c: d.select(key).distinct().withColumn(c, F.lit(True))
+    sized = geometry.filter("w > 0 and h > 0 and thumb_w > 0 and thumb_h > 0")
+    j = slides.select(key).distinct().join(has(attention, "_a"), key, "left").join(has(annotated, "_p"), key, "left").join(has(sized, "_g"), key, "left")
+    reason = F.when(F.col("_a").isNull(), "no attention").when(F.col("_p").isNull(), "no annotation").when(F.col("_g").isNull(), "no usable geometry")
+    return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(key, "reason")
+
+
 def pixel_counts(heat: DataFrame, masks: DataFrame, key="slide_id") -> DataFrame:
     """Set pixels per (slide, tissue) and non-zero heat pixels (tissue ``heat``)."""
     a = heat.filter("v > 0").groupBy(key).agg(F.count(F.lit(1)).alias("n_px")).select(key, F.lit("heat").alias("tissue"), "n_px")

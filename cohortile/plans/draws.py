@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_same_key
+
 
 def order_hash(*parts) -> Column:
     cols = [F.col(p) if isinstance(p, str) else (p if isinstance(p, Column) else F.lit(p)) for p in parts]
@@ -42,7 +44,7 @@ def hash_rank(df: DataFrame, keys, hash_col: str, ties, name="rank", prefix=3) -
     )
     inside = Window.partitionBy(*keys, "_run").orderBy(hash_col, *ties)
     return (
-        rows.join(offsets, keys + ["_run"])
+        join_same_key(rows, offsets, keys + ["_run"])
         .withColumn(name, F.col("_off") + F.row_number().over(inside) - 1)
         .drop("_run", "_off")
     )
@@ -60,7 +62,7 @@ def hash_take(df: DataFrame, keys, parts, ties, quota) -> DataFrame:
     ranked = hash_rank(src.withColumn("_h", order_hash(*parts)), use, "_h", ties, "_pos")
     if callable(quota):
         sizes = src.groupBy(*use).agg(F.count(F.lit(1)).alias("_size"))
-        ranked = ranked.join(sizes, use)
+        ranked = join_same_key(ranked, sizes, use)
         quota = quota(F.col("_size"))
     elif not isinstance(quota, Column):
         quota = F.lit(quota)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, join_same_key
 
 WINDOW_ROWS = 1_000_000
 SPLITTERS = 255
@@ -33,7 +33,7 @@ def into_ranges(df: DataFrame, keys, value: str) -> DataFrame:
         .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
     )
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return df.join(cuts, keys).withColumn("_range", below).drop("_cuts")
+    return join_same_key(df, cuts, keys).withColumn("_range", below).drop("_cuts")
 
 
 def running_sums(df: DataFrame, keys, value: str, sums: dict, totals: dict | None = None,
@@ -65,7 +65,7 @@ def running_sums(df: DataFrame, keys, value: str, sums: dict, totals: dict | Non
         *[F.coalesce(F.sum(f"_s_{c}").over(prior), F.lit(0)).alias(f"_o_{n}") for c, n in sums.items()],
         *[F.sum(f"_s_{c}").over(group).alias(n) for c, n in totals.items()])
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(*first_to_here)
-    return rows.join(offsets, keys + ["_range"]).select(
+    return join_same_key(rows, offsets, keys + ["_range"]).select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for c, n in sums.items()],
         *totals.values())

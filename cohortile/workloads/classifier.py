@@ -292,3 +292,39 @@ def logrank(spark, sf):
 @query("logrank_pvalue")
 def logrank_pvalue(spark, sf):
     return V.logrank(_survival(spark, sf).withColumn("cohort", F.lit("all")), ["cohort"])
+
+
+# --- wide reports --------------------------------------------------------------------
+@query("fold_table", f"""with {FOLD_SQL}
+select model, fold as folds, round(max(auc) filter (split = 'test'), 6) as test_auc, round(max(auc) filter (split = 'val'), 6) as val_auc,
+       round(max(accuracy) filter (split = 'test'), 6) as test_acc, round(max(accuracy) filter (split = 'val'), 6) as val_acc from metrics group by model, fold""")
+def fold_table(spark, sf):
+    t = M.fold_table(_fold_metrics(spark, sf))
+    return t.select("model", "folds", *[r6(c).alias(c) for c in ["test_auc", "val_auc", "test_acc", "val_acc"]])
+
+
+@query("survival_by_split", """with s as (select case o_orderkey % 10 when 0 then 'test' when 1 then 'val' else 'train' end as split,
+ case when o_totalprice >= 200000 then 1 else 0 end as grp, round(cast(date_diff('day', o_orderdate::date, date '2001-09-01') as double), 0) / 365.25::double as time,
+ case when o_orderstatus = 'F' then 1 else 0 end as event from orders),
+g as (select split, grp, time, sum(event)::double as d, count(*)::double as m from s group by 1, 2, 3),
+r as (select *, sum(m) over (partition by split, grp order by time desc) as n from g),
+km as (select split, grp, time, product(1 - d / n) over (partition by split, grp order by time) as surv from r),
+med as (select split, grp, coalesce(min(time) filter (surv <= 0.5 + 1e-12), 'infinity'::double) as med from km group by 1, 2),
+p as (select split, time, sum(case when grp = 0 then event else 0 end)::double as d0, sum(case when grp = 1 then event else 0 end)::double as d1,
+      sum(case when grp = 0 then 1 else 0 end)::double as m0, sum(grp)::double as m1 from s group by 1, 2),
+q as (select *, d0 + d1 as d, sum(m0) over (partition by split order by time desc) as r0, sum(m1) over (partition by split order by time desc) as r1 from p),
+t as (select split, cast(sum(m0) as bigint) as n_low, cast(sum(m1) as bigint) as n_high, pow(sum(d1 - d * r1 / (r0 + r1)), 2)
+      / sum(case when r0 + r1 > 1 then r0 * r1 * d * (r0 + r1 - d) / ((r0 + r1) * (r0 + r1) * (r0 + r1 - 1)) else 0 end) as statistic from q group by 1)
+select split, n_low, n_high, round(statistic, 6) as statistic, round((select med from med where med.split = t.split and grp = 0), 6) as median_low,
+       round((select med from med where med.split = t.split and grp = 1), 6) as median_high from t""")
+def survival_by_split(spark, sf):
+    o = D.table(spark, sf, "orders").withColumn("slide_id", F.concat(F.lit("TCGA-XX-"), F.col("o_orderkey").cast("string"), F.lit("-01")))
+    k = F.col("o_orderkey") % 10
+    days = F.datediff(F.lit("2001-09-01").cast("date"), F.col("o_orderdate").cast("date")).cast("string")
+    dead = F.col("o_orderstatus") == "F"
+    master = o.select(F.substring_index("slide_id", "-", 3).alias("patient_id"), F.lit("x").alias("vital_status"), days.alias("days_to_last_followup"),
+                      F.when(dead, days).otherwise("").alias("death_days_to"), F.col("o_orderkey").alias("row_ord"))
+    splits = o.select("slide_id", F.when(k == 0, "test").when(k == 1, "val").otherwise("train").alias("split"))
+    preds = o.select("slide_id", (F.col("o_totalprice") >= 200000).cast("int").alias("pred"))
+    s = V.survival_by_split(preds, splits, master)
+    return s.select("split", "n_low", "n_high", r6("statistic").alias("statistic"), r6("median_low").alias("median_low"), r6("median_high").alias("median_high"))

@@ -359,3 +359,63 @@ select color, cast(sum(n) as bigint) as count, count(*) as files, array_to_strin
 def annotation_colors(spark, sf):
     p = D.table(spark, sf, "part").select(F.col("p_type").alias("color"), F.col("p_brand").alias("file"))
     return C.annotation_colors(p).withColumn("sample_files", F.array_join("sample_files", ","))
+
+
+@query("tile_geometry", """with t as (select l_orderkey, l_linenumber, l_partkey, l_extendedprice, (l_orderkey % 60 * 256)::double as x, (l_partkey % 40 * 256)::double as y,
+ case when l_quantity > 10 then case when l_quantity > 30 then 40.0::double else 20.0::double end end as objective from lineitem),
+r as (select *, coalesce(objective, 20) / 20 as ratio, coalesce(objective, 20) / 10 as want from t)
+select l_orderkey, l_linenumber, l_partkey, l_extendedprice, x + 256 * ratio as x1, y + 256 * ratio as y1,
+ cast(case when abs(1 - want) <= abs(4 - want) and abs(1 - want) <= abs(16 - want) then 0 when abs(4 - want) <= abs(16 - want) then 1 else 2 end as integer) as level,
+ cast(greatest(0, round(x - 0.5 * 224 * 4)) as bigint) as left0 from r""")
+def tile_geometry(spark, sf):
+    li = D.table(spark, sf, "lineitem")
+    q = F.col("l_quantity")
+    t = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_orderkey") % 60 * 256).cast("double").alias("x"),
+                  (F.col("l_partkey") % 40 * 256).cast("double").alias("y"), F.when(q > 10, F.when(q > 30, 40.0).otherwise(20.0)).alias("objective"))
+    box = X.tile_bounds("x", "y", F.lit(256), X.magnification_ratio("objective", F.lit(20)))
+    levels = F.array(F.lit(1.0), F.lit(4.0), F.lit(16.0))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", box["x1"].alias("x1"), box["y1"].alias("y1"),
+                    X.pick_level(levels, "objective", F.lit(10)).alias("level"), X.level0_top_left("x", F.lit(224), F.lit(4.0)).alias("left0"))
+
+
+@query("cohort_filter", f"""with {D.SQL_SLIDES}, s as (select case row_ord % 4 when 0 then 'hcm-' || slide_id when 1 then slide_id || '-ts' else slide_id end as slide_id from slides)
+select slide_id from s where not (upper(slide_id) like 'HCM-%' or (upper(slide_id) like '%TCGA%' and upper(slide_id) like '%-TS%'))""")
+def cohort_filter(spark, sf):
+    k = F.col("row_ord") % 4
+    s = D.slides(spark, sf).select(F.when(k == 0, F.concat(F.lit("hcm-"), "slide_id")).when(k == 1, F.concat("slide_id", F.lit("-ts"))).otherwise(
+        F.col("slide_id")).alias("slide_id"))
+    return s.filter(~X.exclude_cohort("slide_id"))
+
+
+@query("tissue_mask", """with p as (select p_partkey, cast(p_partkey * 53 % 256 as integer) as r, cast(p_partkey * 101 % 256 as integer) as g, cast(p_size * 5 as integer) as b from part),
+h as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from p)
+select p_partkey, case when hi > 0 then (hi - lo) * 255.0::double / hi else 0 end >= 120 and hi <= 220 as tissue, (r + g + b) / 3.0::double > 220 as bright from h""")
+def tissue_mask(spark, sf):
+    p = D.table(spark, sf, "part")
+    rgb = p.select("p_partkey", (F.col("p_partkey") * 53 % 256).cast("int").alias("r"), (F.col("p_partkey") * 101 % 256).cast("int").alias("g"),
+                   (F.col("p_size") * 5).cast("int").alias("b"))
+    return rgb.select("p_partkey", X.tissue_pixel("r", "g", "b", 120, 220).alias("tissue"), X.proxy_nontumor("r", "g", "b", F.lit(False)).alias("bright"))
+
+
+@query("names_and_marks", """with p as (select page_id, case page_id % 3 when 0 then 'run_X_m' || (page_id % 7) || '_s1' when 1 then 'plain_' || (page_id % 5) else 'combpruned0' || (page_id % 10) end as name,
+ (page_id % 100) / 1000.0::double as p, (page_id % 13) / 10.0::double - 0.6 as d from pages)
+select page_id, case when page_id % 3 = 0 then 'm' || (page_id % 7) else replace(name, '_', ' ') end as model, case when page_id % 3 = 2 then round((page_id % 10) / 10.0::double, 1) end as threshold,
+ case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars,
+ case when abs(d) < 0.2 then 'negligible' when abs(d) < 0.5 then 'small' when abs(d) < 0.8 then 'medium' else 'large' end as effect from p""")
+def names_and_marks(spark, sf):
+    i = F.col("page_id")
+    name = F.when(i % 3 == 0, F.concat(F.lit("run_X_m"), (i % 7).cast("string"), F.lit("_s1"))).when(i % 3 == 1, F.concat(F.lit("plain_"), (i % 5).cast("string"))).otherwise(
+        F.concat(F.lit("combpruned0"), (i % 10).cast("string")))
+    p = D.table(spark, sf, "pages").select("page_id", name.alias("name"), ((i % 100) / 1000.0).alias("p"), ((i % 13) / 10.0 - 0.6).alias("d"))
+    return p.select("page_id", X.model_from_dir("name", "_X_").alias("model"), X.parse_threshold("name").alias("threshold"),
+                    X.significance_stars("p").alias("stars"), X.effect_magnitude("d").alias("effect"))
+
+
+@query("id_sets", """with a as (select distinct user_id from events where event_type = 'click' and value > 50), b as (select distinct user_id from events where event_type = 'view' and value > 50)
+select 'both' as kind, user_id from (select * from a intersect select * from b) union all select 'any', user_id from (select * from a union select * from b)
+union all select 'only_first', user_id from (select * from a except select * from b)""")
+def id_sets(spark, sf):
+    e = D.table(spark, sf, "events").filter("value > 50")
+    a, b = (e.filter(F.col("event_type") == t).select("user_id") for t in ("click", "view"))
+    tag = lambda d, k: d.select(F.lit(k).alias("kind"), "user_id")
+    return tag(a.intersect(b), "both").unionByName(tag(a.union(b).distinct(), "any")).unionByName(tag(a.subtract(b), "only_first"))

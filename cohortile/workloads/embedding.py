@@ -247,9 +247,31 @@ def spearman_matrix(spark, sf):
     return _corr(spark, sf, "spearman")
 
 
-@query("greedy_uncorrelated")
+def _greedy_sql(name, order, conf, keys):
+    """Greedy pick as a recursive query over (keys, feature, score) and
+    (keys, feature, list of features it rules out)."""
+    on = " and ".join(f"c.{k} = g.{k}" for k in keys)
+    ks, gk = ", ".join(keys), ", ".join(f"g.{k}" for k in keys)
+    return f"""{name}_g({ks}, alive, sel) as (
+  select {ks}, list(feature order by score desc, feature), []::bigint[] from {order} group by {ks}
+  union all select {gk}, list_filter(g.alive, lambda x: not list_contains(c.conf, x)), list_append(g.sel, g.alive[1])
+  from {name}_g g join {conf} c on {on} and c.feature = g.alive[1] where len(g.alive) > 0),
+{name} as (select {ks}, unnest(sel) as feature from {name}_g where len(alive) = 0)"""
+
+
+GREEDY_SQL = f"""{FEAT_SQL},
+st as (select model, feature, count(*) filter (class = 1) as n1, count(*) filter (class = 0) as n0, avg(value) filter (class = 1) as m1, avg(value) filter (class = 0) as m0,
+ var_samp(value) filter (class = 1) as v1, var_samp(value) filter (class = 0) as v0, count(distinct value) as dv, count(*) as n from v group by 1, 2),
+th as (select unnest([0.1, 0.2, 0.6])::double as threshold),
+score as (select model, threshold, feature::bigint as feature, abs(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::double / n1 + 1.0::double / n0)) as score
+ from st, th where dv > floor(n * 0.1::double)),
+cr as (select a.model, a.feature::bigint as feature, b.feature::bigint as other, abs(corr(a.value, b.value)) as r from v a join v b on a.model = b.model and a.tile_idx = b.tile_idx group by 1, 2, 3),
+conf as (select model, threshold, feature, list(other) as conf from cr, th where r > threshold or feature = other group by 1, 2, 3)"""
+
+
+@query("greedy_uncorrelated", f"with recursive {GREEDY_SQL}, {_greedy_sql('pick', 'score', 'conf', ['model', 'threshold'])} select model, threshold, feature from pick")
 def greedy_uncorrelated(spark, sf):
-    return E.select_features(_feat(spark, sf), ["model"], "tile_idx", "features", "class", [0.1, 0.2, 0.6], "pearson")
+    return E.select_features(_feat(spark, sf), ["model"], "tile_idx", "features", "class", [0.1, 0.2, 0.6], "pearson").drop("p_value")
 
 
 def _two_stage(spark, sf):
@@ -258,20 +280,51 @@ def _two_stage(spark, sf):
     return t, E.two_stage_prune(t.drop("class"), labels, [0.15, 0.3], 100, "score", "coord", "spearman")
 
 
-@query("two_stage_prune")
+# Features of both models side by side; the 100 best tiles per slide and model
+# by the first feature, joined on the tile.
+STAGE_SQL = f"""{FEAT_SQL},
+ranked as (select model, tile_idx, row_number() over (partition by model, slide_id, class order by round(features[1]::double, 2) desc, tile_idx) as i from tiles),
+top as (select model, tile_idx from ranked where i <= 100),
+v1 as (select v.* from v join top using (model, tile_idx)),
+v2 as (select v1.* from v1 where tile_idx in (select tile_idx from top group by 1 having count(*) = 2)),
+r1 as (select model, feature, tile_idx, class, value, rank() over w + (count(*) over (partition by model, feature, value) - 1) / 2.0::double as rk from v1 window w as (partition by model, feature order by value)),
+r2 as (select model, feature, tile_idx, class, value, rank() over w + (count(*) over (partition by model, feature, value) - 1) / 2.0::double as rk from v2 window w as (partition by model, feature order by value)),
+th as (select unnest([0.15, 0.3])::double as threshold),
+z1 as (select model, feature, abs((sum(case when class = 1 then rk else 0 end) - sum(class)::double * (count(*) + 1) / 2) / sqrt(sum(class)::double * sum(1 - class)::double * (count(*) + 1) / 12)) as score,
+  count(distinct value) > floor(count(*) * 0.1::double) as ok from r1 group by 1, 2),
+z2 as (select model, feature, abs((sum(case when class = 1 then rk else 0 end) - sum(class)::double * (count(*) + 1) / 2) / sqrt(sum(class)::double * sum(1 - class)::double * (count(*) + 1) / 12)) as score,
+  count(distinct value) > floor(count(*) * 0.1::double) as ok from r2 group by 1, 2),
+c1 as (select a.model, a.feature, b.feature as other, abs(corr(a.rk, b.rk)) as r from r1 a join r1 b on a.model = b.model and a.tile_idx = b.tile_idx group by 1, 2, 3),
+c2 as (select a.model, a.feature, b.model as model2, b.feature as other, abs(corr(a.rk, b.rk)) as r from r2 a join r2 b on a.tile_idx = b.tile_idx group by 1, 2, 3, 4),
+s1 as (select model, threshold, feature::bigint as feature, round(score, 9) as score from z1, th where ok),
+f1 as (select model, threshold, feature::bigint as feature, list(other::bigint) as conf from c1, th where r > threshold or feature = other group by 1, 2, 3),
+{_greedy_sql('one', 's1', 'f1', ['model', 'threshold'])},
+pos1 as (select threshold, model, feature as feature_index, row_number() over (partition by threshold order by model, feature) - 1 as pos from one),
+s2 as (select p.threshold, p.pos::bigint as feature, round(z2.score, 9) as score from pos1 p join z2 on z2.model = p.model and z2.feature = p.feature_index where ok),
+f2 as (select a.threshold, a.pos::bigint as feature, list(b.pos::bigint) as conf from pos1 a join pos1 b on a.threshold = b.threshold
+  join c2 on c2.model = a.model and c2.feature = a.feature_index and c2.model2 = b.model and c2.other = b.feature_index where c2.r > a.threshold or a.pos = b.pos group by 1, 2),
+{_greedy_sql('two', 's2', 'f2', ['threshold'])},
+srcs as (select p.threshold, p.pos, p.model, p.feature_index from pos1 p join two on two.threshold = p.threshold and two.feature = p.pos)"""
+
+
+@query("two_stage_prune", f"with recursive {STAGE_SQL} select threshold, cast(pos as integer) as pos, model, cast(feature_index as integer) as feature_index from srcs")
 def two_stage_prune(spark, sf):
-    return _two_stage(spark, sf)[1][0]
+    return _two_stage(spark, sf)[1][0].drop("p_value")
 
 
-@query("pruning_report")
+@query("pruning_report", f"""with recursive {STAGE_SQL}, k1 as (select threshold, model, count(*) as k1 from pos1 group by 1, 2), k2 as (select threshold, model, count(*) as k2 from srcs group by 1, 2)
+select threshold, model, 32 - k1 as removed_stage1, k1 - coalesce(k2, 0) as removed_stage2 from k1 left join k2 using (threshold, model)""")
 def pruning_report(spark, sf):
     return _two_stage(spark, sf)[1][1]
 
 
-@query("apply_pruning")
+@query("apply_pruning", f"""with recursive {STAGE_SQL}
+select threshold, slide_id || '-' || (case when class = 1 then '1' else '-1' end) as slide_id, x, y, count(*) as width, round(sum(round(features[feature_index + 1]::double, 2)), 6) as total
+from srcs join tiles using (model) group by 1, 2, 3, 4""")
 def apply_pruning(spark, sf):
     t, (sources, _, _) = _two_stage(spark, sf)
-    return E.apply_pruning(t, sources)
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+    return E.apply_pruning(t, sources).select("threshold", "slide_id", "x", "y", F.size("features").cast("long").alias("width"), r6(total).alias("total"))
 
 
 @query("concat_models", f"""with {D.SQL_TILES}
@@ -378,3 +431,23 @@ def fold_train_metrics(spark, sf):
     splits = e.select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold")).withColumn(
         "split", F.when(part == 0, "test").when(part == 1, "val").otherwise("train"))
     return T.fold_train_metrics(e.select("slide_id", "features"), e.select("slide_id", "label"), splits, [0, 1, 2], max_iter=20)
+
+
+@query("joint_scatter")
+def joint_scatter(spark, sf):
+    z = K.joint_scatter(D.tiles(spark, sf).select("model", "tile_idx", "features"), "features", 10)
+    return z.select("model", "tile_idx", r6(F.col("xy")[0]).alias("pc1"), r6(F.col("xy")[1]).alias("pc2"))
+
+
+@query("model_cluster_summary", f"""with {DIST_SQL.replace("select model, tile_idx", "select slide_id, model, tile_idx")},
+n as (select slide_id, model, class, count(*) as n from pt group by 1, 2, 3),
+s as (select a.slide_id, a.model, a.tile_idx, a.class as own, b.class as other, sum(list_distance(a.f, b.f)) as d from pt a join pt b using (slide_id, model) group by 1, 2, 3, 4, 5),
+m as (select s.*, n.n, case when own = other then d / nullif(n.n - 1, 0) else d / n.n end as mean from s join n on n.slide_id = s.slide_id and n.model = s.model and n.class = s.other),
+ab as (select slide_id, model, tile_idx, max(mean) filter (own = other) as a, min(mean) filter (own <> other) as b, max(n) filter (own = other) as own_n from m group by 1, 2, 3),
+sc as (select slide_id, model, avg(case when b is null then null when own_n <= 1 then 0 else (b - a) / greatest(a, b) end) as sil from ab group by 1, 2)
+select model, round(avg(sil), 6) as mean, round(stddev_samp(sil), 6) as std, count(sil) as n from sc group by model""")
+def model_cluster_summary(spark, sf):
+    t = D.tiles(spark, sf)
+    s = K.silhouette(t, ["slide_id", "model"], "tile_idx", "features", "class")
+    m = K.model_cluster_summary(K.slide_cluster_summary(t, s))
+    return m.select("model", r6("mean").alias("mean"), r6("std").alias("std"), "n")

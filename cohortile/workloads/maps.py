@@ -7,6 +7,7 @@ from ..operators import geometry as G
 from ..operators import matching as M
 from ..operators import raster as R
 from ..operators import reports as P
+from ..operators import sampling as A
 from ..operators import similarity as S
 from ..session import r6
 from ..sources import readers as I
@@ -122,10 +123,12 @@ def smooth(spark, sf):
     return R.smooth(p, dims(p), ["model", "tile_id"], "gaussian", 1.0).select("model", "tile_id", "px", "py", r6("v").alias("v"))
 
 
-@query("smooth_median")
+@query("smooth_median", f"""with {PIX_SQL}, k(o) as (values (-1), (0), (1)),
+refl as (select i, o, case when i + o < 0 then 0 when i + o >= {SIDE} then {SIDE - 1} else i + o end as j from (select cast(unnest(range(0, {SIDE})) as integer) as i), k)
+select f.model, f.tile_id, rx.i as px, ry.i as py, round(median(f.v), 6) as v from refl rx join full_pix f on f.px = rx.j join refl ry on f.py = ry.j group by 1, 2, 3, 4""")
 def smooth_median(spark, sf):
     p = pixels(spark, sf)
-    return R.smooth(p, dims(p), ["model", "tile_id"], "median", 1.0)
+    return R.smooth(p, dims(p), ["model", "tile_id"], "median", 1.0).select("model", "tile_id", "px", "py", r6("v").alias("v"))
 
 
 # --- slides: tiles of a supplier on a 60 x 40 thumbnail ------------------------------------
@@ -479,3 +482,17 @@ def slide_params(spark, sf):
         "s_suppkey", (F.col("s_nationkey") < 20).cast("int").alias("process"),
         F.when(F.col("s_acctbal") > 0, F.floor("s_acctbal").cast("string")).otherwise(F.lit(" ")).alias("a_t"))
     return I.per_slide_params(s, {"a_t": 7, "contour_fn": "four_pt"})
+
+
+@query("random_centers", f"""with {POLY_SQL}, {MASK_SQL}, r as (select slide_id, px, py, row_number() over (partition by slide_id
+ order by md5(concat_ws('|', slide_id, cast(px as varchar), cast(py as varchar), '42')), px, py) as i from (select distinct slide_id, px, py from mask where tissue = 'tumor'))
+select slide_id, (px + 0.5::double) * 256 as cx, (py + 0.5::double) * 256 as cy from r where i <= 5""")
+def random_centers(spark, sf):
+    return A.random_centers(masks(spark, sf).filter("tissue = 'tumor'"), "slide_id", 5, 256.0, 256.0)
+
+
+@query("overlap_problems", """select cast(s_suppkey as varchar) as slide_id, 'no annotation' as reason from supplier where s_suppkey not in (select p_partkey // 20 from part where p_size > 45)""")
+def overlap_problems(spark, sf):
+    geo = geometry(spark, sf)
+    annotated = D.table(spark, sf, "part").filter("p_size > 45").select(F.floor(F.col("p_partkey") / 20).cast("string").alias("slide_id"))
+    return R.overlap_problems(geo, slide_tiles(spark, sf), annotated, geo)

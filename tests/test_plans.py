@@ -37,6 +37,13 @@ def test_running_sums_and_totals(spark):
         assert got == {("a", 1): (0, 5), ("a", 2): (2, 5), ("b", 9): (0, 4)}
 
 
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "k string, v int")
+    for limit in (10, 0):
+        assert sorted(r["rank"] for r in average_ranks(df, ["k"], "v", window_rows=limit).collect()) == [1, 1, 2]
+    assert hash_take(df, ["k"], ["v"], ["v"], 1).count() == 2
+
+
 def test_hash_rank_is_dense_and_ignores_partitioning(spark):
     df = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id")
     def ranks(d):
