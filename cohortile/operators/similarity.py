@@ -109,7 +109,7 @@ def measures_from_gram(gram: DataFrame, keys, metrics=GRAM_METRICS, **params) ->
     return gram.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def nearest_in_blocks(rows: DataFrame, keys, ids: str, spaces, k: int, size=1024) -> DataFrame:
+def nearest_in_blocks(rows: DataFrame, keys, ids: str, spaces, k: int, size=2048) -> DataFrame:
     """(keys, id, space, neighbour, d2): the k nearest other rows in every
     feature space. Each block pair passes on k candidates per row; squared
     distances are rounded to 9 digits so that equal rows tie by id."""
@@ -148,7 +148,7 @@ def nearest_in_blocks(rows: DataFrame, keys, ids: str, spaces, k: int, size=1024
     return cand.withColumn("_i", rank).filter(F.col("_i") <= k).drop("_i")
 
 
-def knn_overlap(pairs: DataFrame, keys, ids: str, k=10, x="fx", y="fy", size=1024) -> DataFrame:
+def knn_overlap(pairs: DataFrame, keys, ids: str, k=10, x="fx", y="fy", size=2048) -> DataFrame:
     """Mean Jaccard overlap of each row's k nearest neighbours in both spaces,
     the row itself left out."""
     keys = list(keys)

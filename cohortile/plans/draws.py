@@ -27,27 +27,32 @@ def hash_unit(*parts) -> Column:
     return hash_number(*parts) / F.lit(4294967296.0)
 
 
-def hash_rank(df: DataFrame, keys, hash_col: str, ties, name="rank", prefix=3) -> DataFrame:
-    """0-based position of each row in the order (hash, ties) inside ``keys``.
+RUN_ROWS = 1_000_000
 
-    md5 spreads evenly, so its first hex digits cut even the hottest key
-    into up to 16**prefix equal runs. Run sizes are counted with a map-side
-    combine and added up; only a run is ever sorted by one task.
+
+def hash_rank(df: DataFrame, keys, hash_col: str, ties, name="rank", size=None, run_rows=RUN_ROWS) -> DataFrame:
+    """0-based position of each row in the order (hash, ties) inside ``keys``;
+    ``size`` names an extra column with the group's row count.
+
+    A group of up to ``run_rows`` rows is one window. md5 spreads evenly, so the
+    first hex digits cut a larger one into 256 or 65536 even runs; their sizes
+    are counted with a map-side combine and added up, and only a run is ever
+    sorted by one task.
     """
     keys = list(keys)
-    rows = df.withColumn("_run", F.substring(hash_col, 1, prefix))
+    n = F.col("_n")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    digits = F.when(n <= run_rows, 0).when(n <= 256 * run_rows, 2).otherwise(4)
+    rows = join_same_key(df, sizes, keys).withColumn("_run", F.substr(F.col(hash_col), F.lit(1), digits))
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        rows.filter(n > run_rows).groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     )
     inside = Window.partitionBy(*keys, "_run").orderBy(hash_col, *ties)
-    return (
-        join_same_key(rows, offsets, keys + ["_run"])
-        .withColumn(name, F.col("_off") + F.row_number().over(inside) - 1)
-        .drop("_run", "_off")
-    )
+    out = join_same_key(rows, offsets, keys + ["_run"], "left").withColumn(
+        name, F.coalesce("_off", F.lit(0)) + F.row_number().over(inside) - 1).drop("_run", "_off")
+    return out.withColumnRenamed("_n", size) if size else out.drop("_n")
 
 
 def hash_take(df: DataFrame, keys, parts, ties, quota) -> DataFrame:
@@ -59,10 +64,8 @@ def hash_take(df: DataFrame, keys, parts, ties, quota) -> DataFrame:
     keys = list(keys)
     src = df if keys else df.withColumn("_all", F.lit(1))
     use = keys or ["_all"]
-    ranked = hash_rank(src.withColumn("_h", order_hash(*parts)), use, "_h", ties, "_pos")
+    ranked = hash_rank(src.withColumn("_h", order_hash(*parts)), use, "_h", ties, "_pos", "_size")
     if callable(quota):
-        sizes = src.groupBy(*use).agg(F.count(F.lit(1)).alias("_size"))
-        ranked = join_same_key(ranked, sizes, use)
         quota = quota(F.col("_size"))
     elif not isinstance(quota, Column):
         quota = F.lit(quota)

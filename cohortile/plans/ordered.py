@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..session import durable, join_same_key
 
 WINDOW_ROWS = 1_000_000
-SPLITTERS = 255
+MAX_SPLITTERS = 1000  # what Spark's per-partition rank limit still prunes
 
 
-def into_ranges(df: DataFrame, keys, value: str) -> DataFrame:
+def into_ranges(df: DataFrame, keys, value: str, splitters: int) -> DataFrame:
     """Add ``_range``: how many of the group's splitters lie below the value.
     ``df`` holds each (keys, value) once."""
     keys = list(keys)
@@ -29,7 +29,7 @@ def into_ranges(df: DataFrame, keys, value: str) -> DataFrame:
     cuts = (
         df.select(*keys, value)
         .withColumn("_i", F.row_number().over(by_hash))
-        .filter(F.col("_i") <= SPLITTERS)
+        .filter(F.col("_i") <= splitters)
         .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
     )
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
@@ -48,14 +48,16 @@ def running_sums(df: DataFrame, keys, value: str, sums: dict, totals: dict | Non
     rows = durable(df)
     limit = WINDOW_ROWS if window_rows is None else window_rows
     first_to_here = (Window.unboundedPreceding, -1)
-    if rows.count() <= limit:
+    n = rows.count()
+    if n <= limit:
         group = Window.partitionBy(*keys)
         before = group.orderBy(value).rowsBetween(*first_to_here)
         return rows.select(
             *df.columns,
             *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()],
             *[F.sum(c).over(group).alias(n) for c, n in totals.items()])
-    rows = into_ranges(rows, keys, value)
+    # about four ranges per window-sized share, were one group to hold all rows
+    rows = into_ranges(rows, keys, value, max(15, min(MAX_SPLITTERS, 4 * n // WINDOW_ROWS)))
     wanted = list(dict.fromkeys([*sums, *totals]))
     per = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in wanted])
     group = Window.partitionBy(*keys)

@@ -56,13 +56,13 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_same_key(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """Inner join in which a null key matches a null key, as in a window or a
+def join_same_key(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+    """Join in which a null key matches a null key, as in a window or a
     groupBy over the same keys."""
     keys = list(keys)
     named = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return left.join(named, same).drop(*[f"_key_{k}" for k in keys])
+    return left.join(named, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def require_columns(df: DataFrame, cols) -> DataFrame:

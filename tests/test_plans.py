@@ -53,6 +53,10 @@ def test_hash_rank_is_dense_and_ignores_partitioning(spark):
     for k in (0, 1):
         got = sorted(v for (kk, _), v in a.items() if kk == k)
         assert got == list(range(len(got)))
+    for cut in (3, 500):  # 65536 runs; runs for the larger group only
+        rows = hash_rank(df.withColumn("h", order_hash("id", 7)), ["k"], "h", ["id"], size="n", run_rows=cut).collect()
+        assert {(r.k, r.id): r["rank"] for r in rows} == a
+        assert {(r.k, r.n) for r in rows} == {(0, 1333), (1, 667)}
 
 
 def test_hash_take_sizes(spark):
