@@ -50,13 +50,13 @@ def test_labels_and_marks(spark):
 
 
 def test_names_colors_geometry(spark):
-    df = spark.createDataFrame([("65280", "run_MIL_virchow_s1", "x_combpruned06", [1.0, 4.0, 16.0]), ("zz", "plain_name", "06", [2.0, 2.0])],
+    df = spark.createDataFrame([("65280", "run_MIL_uninet_s1", "x_combpruned06", [1.0, 4.0, 16.0]), ("zz", "plain_name", "06", [2.0, 2.0])],
                                "c string, d string, t string, levels array<double>")
     a, b = df.select(X.colorref_to_hex("c").alias("h"), X.colorref_to_bgr("c").alias("bgr"), X.model_from_dir("d", "_MIL_").alias("m"),
                      X.parse_threshold("t", True).alias("t"), X.pick_level("levels", F.lit(40), F.lit(10)).alias("lv"),
                      X.level0_top_left(F.lit(10.0), F.lit(4), F.lit(8.0)).alias("tl"), X.argmax("levels").alias("am"),
                      X.threshold_label(F.lit(0.6)).alias("tl2")).collect()
-    assert (a.h, a.bgr, a.m, a.t, a.lv, a.tl, a.am, a.tl2) == ("#00FF00", [0, 255, 0], "virchow", 0.6, 1, 0, 2, "thr_0p6")
+    assert (a.h, a.bgr, a.m, a.t, a.lv, a.tl, a.am, a.tl2) == ("#00FF00", [0, 255, 0], "uninet", 0.6, 1, 0, 2, "thr_0p6")
     assert (b.h, b.bgr, b.m, b.t, b.lv, b.am) == (None, [0, 0, 255], "plain name", 0.6, 0, 0)
     px = spark.createDataFrame([(250, 250, 250), (200, 20, 20)], "r int, g int, b int")
     got = px.select(X.tissue_pixel("r", "g", "b", 15, 240).alias("t"), X.proxy_nontumor("r", "g", "b", F.lit(False)).alias("n")).collect()
