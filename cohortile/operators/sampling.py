@@ -9,12 +9,25 @@ from ..functions.scaling import percentile_score
 from ..plans.draws import hash_take, order_hash
 
 
+GROUP_LIMIT = 1000  # up to this k Spark limits each partition before the shuffle
+SALTS = 64
+
+
 def top_k(df: DataFrame, keys, score: str, k: int, ties=("tile_idx",), lowest=False) -> DataFrame:
     """The k best rows per key. Spark limits each partition to k rows per key
-    before the shuffle, so a hot key sends k rows per task, not all of them."""
+    before the shuffle, so a hot key sends k rows per task, not all of them.
+    For a larger k the same is done by hand: k rows per salted part of the key,
+    then k of those."""
     order = F.col(score).asc() if lowest else F.col(score).desc()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
-    return df.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def best(rows, by):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, *ties))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    if k > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(F.col(score), *[F.col(t) for t in ties]), F.lit(SALTS))
+        df = best(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("rank", "_salt")
+    return best(df, keys)
 
 
 def bottom_k_padded(df: DataFrame, key: str, score: str, k: int, features: str, dim: int, ties=("tile_idx",)) -> DataFrame:

@@ -67,6 +67,13 @@ def test_quota_and_padding(spark):
     assert A.top_k(t, ["slide_id"], "score", 1).first().tile_idx == 1
 
 
+def test_large_top_k(spark):
+    df = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("tile_idx"), (F.col("id") * 7919 % 5003).alias("score"))
+    got = [(r["rank"], r.score) for r in A.top_k(df, ["k"], "score", 1500).orderBy("rank").collect()]
+    want = sorted((i * 7919 % 5003 for i in range(5000)), reverse=True)[:1500]
+    assert got == list(enumerate(want, 1))
+
+
 def test_grid_direct(spark):
     pts = [("m", 1, .1, .1), ("m", 2, .6, .1), ("m", 3, .7, .2), ("m", 4, .6, .6), ("m", 5, .75, .74), ("m", 6, .99, .99)]
     df = spark.createDataFrame(pts, "model string, id int, x01 double, y01 double")
