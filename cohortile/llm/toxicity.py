@@ -48,7 +48,7 @@ def distinct_features(column, bits=BITS):
     return np.unique((doc << bits) | slot)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=0.1, beta=1.0, l1=1.0, l2=1.0, epochs=3):
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=1.0, beta=1.0, l1=4.0, l2=0.0, epochs=5):
     """FTRL-proximal over rows of slots; returns the weights and the bias."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
@@ -65,7 +65,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=0.1, beta=
     return w[:-1], float(w[-1])
 
 
-def fit(rows: DataFrame, max_rows=12_000, bits=BITS, seed=5, **ftrl_args) -> dict:
+def fit(rows: DataFrame, max_rows=16_000, bits=BITS, seed=5, **ftrl_args) -> dict:
     """Sparse weights from rows (doc_id, text, label 0/1); one task learns from the bounded sample."""
     rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("double")).filter("label is not null")
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
@@ -80,7 +80,7 @@ def fit(rows: DataFrame, max_rows=12_000, bits=BITS, seed=5, **ftrl_args) -> dic
 
     def learn(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending")])
-        x = [np.asarray(s.values, np.int64) for s in t.column("slots")]
+        x = [np.asarray(s.values) for s in t.column("slots")]
         w, b = ftrl([x[i] for i in np.random.default_rng(seed).permutation(len(x))],
                     np.asarray(t.column("label"))[np.random.default_rng(seed).permutation(len(x))], bits, **ftrl_args)
         at = np.flatnonzero(w)
