@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity, urls
+from . import decontam, langid, quality, rules, toxicity, urls
 
 QUERIES = {}
 ORACLE = {}
@@ -59,3 +59,60 @@ def op6(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     model = urls.fit(spark.createDataFrame(urls.SEED_URLS, "url string, label int"))
     return urls.judge(pages, RULES, model).select("page_id", "host", "path", "rule", "score", "verdict")
+
+
+OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select distinct item_id, least(len(w), 13) size, array_to_string(w[s:s + 12], ' ') k
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) s from b where len(w) > 0)),
+sizes as (select distinct size from bw),
+dw as (select doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') k
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) s from d, sizes where len(w) >= size)),
+hit as (select doc_id, s, bw.size, item_id from dw join bw on dw.k = bw.k and dw.size = bw.size),
+pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + size)) p from hit) group by 1),
+its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) l from hit group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(l, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join pos using (doc_id) left join its using (doc_id)
+"""
+
+
+@query("op7_decontamination", OP7_SQL)
+def op7(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+OP9_SQL = r"""
+with d as (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from documents),
+tri as (select doc_id, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] k from (select doc_id, w, unnest(range(1, len(w) - 1)) s from d)),
+rep as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(s, s + 3)) p
+  from (select doc_id, s, count(*) over (partition by doc_id, k) c from tri) where c > 1) group by 1),
+f as (select d.doc_id, lang, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, len(ls)::bigint n_lines, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
+    coalesce(rep.n, 0)::bigint n_repeat_words from d left join rep using (doc_id)),
+g as (select f.* from f where doc_id in (select doc_id from labels group by 1 having min(quality) = 1)),
+r as (select unnest(['symbols', 'dup_lines', 'repeats']) rule), c as (select unnest([0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700]) cutoff),
+v as (select doc_id, lang, rule, case rule when 'symbols' then n_symbols when 'dup_lines' then n_dup_lines else n_repeat_words end a,
+    case rule when 'symbols' then word_chars when 'dup_lines' then n_lines else n_words end b from g, r),
+k as (select lang, rule, cutoff, count(*) n, sum((1000 * a > cutoff * b)::int)::bigint x from v, c group by all),
+p as (select lang, rule, cutoff, case when x <= n * 0.01 then (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))
+    from (select unnest(range(0, x + 1)) j)) else 1.0 end pv from k),
+best as (select lang, rule, min(cutoff) cutoff from p where pv <= 0.05 / ((select count(distinct coalesce(lang, '')) from g) * 42) group by all),
+base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not exists (select 1 from best where best.lang is not distinct from base.lang and
+    1000 * (case rule when 'symbols' then n_symbols when 'dup_lines' then n_dup_lines else n_repeat_words end) >
+    cutoff * (case rule when 'symbols' then word_chars when 'dup_lines' then n_lines else n_words end)) kept
+from base
+"""
+
+
+@query("op9_quality_rules", OP9_SQL)
+def op9(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules.apply(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
