@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, rules, toxicity, urls
+from . import decontam, langid, pieces, quality, rules, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -116,3 +116,27 @@ from base
 def op9(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return rules.apply(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP8_SQL = """
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) s from pages),
+g as (select p.*, max(page_id) over (partition by h) best from p),
+b as (select *, list_transform(range(0, 40), lambda i: instr('0123456789abcdef', substr(s, i + 1, 1)) - 1) x from g),
+bits as (select *, list_transform(range(0, 160), lambda i: (x[i // 4 + 1] // (1 << (3 - i % 4))) % 2) y from b)
+select page_id, strlen(h)::bigint payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (16 * y[5 * i + 1] + 8 * y[5 * i + 2] + 4 * y[5 * i + 3] + 2 * y[5 * i + 4] + y[5 * i + 5] + 1)::int, 1)), '') payload_digest,
+  case when page_id = best then 'response' else 'revisit' end record_type, case when page_id = best then null else best end refers_to
+from bits
+"""
+
+
+@query("op8_warc", OP8_SQL)
+def op8(spark, sf_dir):
+    index = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), warc.archive_folder(spark))
+    return warc.read(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_pieces")
+def op10(spark, sf_dir):
+    return pieces.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
