@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pieces, quality, rules, toxicity, urls, warc
+from . import decontam, langid, pieces, quality, rules, suffix, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -140,3 +140,24 @@ def op8(spark, sf_dir):
 @query("op10_pieces")
 def op10(spark, sf_dir):
     return pieces.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, substr(h, 2 * i - 1, 100) s from (select doc_id, h, unnest(range(1, greatest(strlen(h) // 2 - 48, 1))) i from d where strlen(h) >= 100)),
+f as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) first from w) where first < doc_id),
+run as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end new from f),
+span as (select doc_id, min(i) a, max(i) + 49 b from (select doc_id, i, sum(new) over (partition by doc_id order by i) g from run) group by doc_id, g),
+c as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) before, lead(a) over (partition by doc_id order by a) after from span),
+k as (select c.doc_id, count(*) n, sum(b - a + 1) lost,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)) || case when after is null then substr(h, 2 * b + 1) else '' end, '' order by a) rest
+  from c join d using (doc_id) group by 1)
+select d.doc_id, (strlen(h) // 2)::bigint n_bytes, coalesce(lost, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans, sha256(unhex(coalesce(rest, h))) kept_sha256
+from d left join k using (doc_id)
+"""
+
+
+@query("op5_suffix_dedup", OP5_SQL)
+def op5(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return suffix.remove(docs).select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
