@@ -78,11 +78,16 @@ def cumulative_link(rows, grades, bits=BITS, rate=0.5, l2=1e-6, epochs=8, seed=3
     return w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
 
 
-def fit(rows: DataFrame, max_rows=10_000, bits=BITS, seed=7, **args) -> dict:
-    """Weights and thresholds from rows (doc_id, text, grade 0, 1, ...)."""
-    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("grade").cast("int")).filter("grade is not null")
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # max_rows ids at most
+def fit(docs: DataFrame, labels: DataFrame, max_rows=10_000, bits=BITS, seed=7, **args) -> dict:
+    """Weights from texts (doc_id, text) and their labels (doc_id, grade).
+
+    The sample is drawn from ids alone; only its texts are then read out, so
+    no text outside the sample is moved. One task learns from the sample.
+    """
+    labels = labels.select(F.col("doc_id").cast("long"), F.col("grade").cast("int")).filter("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = docs.select("doc_id").distinct().join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
+    sample = docs.join(F.broadcast(ids), "doc_id")  # max_rows ids at most
 
     def bags(batches):
         for b in pieces(batches):

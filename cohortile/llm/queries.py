@@ -27,8 +27,8 @@ def bucket(n):
 @query("op2_toxicity")
 def op2(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = toxicity.fit(docs.select("doc_id", "text").filter(bucket(5) != 0).join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.filter(bucket(5) != 0), labels)
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(bucket(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -45,8 +45,8 @@ def op4(spark, sf_dir):
     """Grades: 0 low quality, 1 good but toxic, 2 good. Learns where crc32 mod 5 is not 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("grade", grade).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    model = quality.fit(docs.select("doc_id", "text").filter(bucket(5) != 0).join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("grade", grade)
+    model = quality.fit(docs.filter(bucket(5) != 0), labels)
     return quality.score(docs, model, at_least=1).select(
         "doc_id", F.coalesce(bucket(5) == 0, F.lit(False)).alias("held_out"), "expected_grade", "p_tail", (F.col("p_tail") >= 0.5).alias("selected"))
 

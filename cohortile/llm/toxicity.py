@@ -48,8 +48,9 @@ def distinct_features(column, bits=BITS):
     return np.unique((doc << bits) | slot)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=1.0, beta=1.0, l1=4.0, l2=0.0, epochs=5):
-    """FTRL-proximal over rows of slots; returns the weights and the bias."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=1.0, beta=1.0, l1=8.0, l2=0.0, epochs=5, positive=3.0):
+    """FTRL-proximal over rows of slots; returns the weights and the bias.
+    ``positive`` weighs the rows of label 1."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
     for _ in range(epochs):
@@ -58,6 +59,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=1.0, beta=
             zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2), 0)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            g *= positive if y else 1
             step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[i] += g - step * w
             n[i] += g * g
@@ -65,11 +67,16 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits=BITS, alpha=1.0, beta=
     return w[:-1], float(w[-1])
 
 
-def fit(rows: DataFrame, max_rows=16_000, bits=BITS, seed=5, **ftrl_args) -> dict:
-    """Sparse weights from rows (doc_id, text, label 0/1); one task learns from the bounded sample."""
-    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("double")).filter("label is not null")
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # max_rows ids at most
+def fit(docs: DataFrame, labels: DataFrame, max_rows=16_000, bits=BITS, seed=5, **ftrl_args) -> dict:
+    """Weights from texts (doc_id, text) and their labels (doc_id, label).
+
+    The sample is drawn from ids alone; only its texts are then read out, so
+    no text outside the sample is moved. One task learns from the sample.
+    """
+    labels = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("double")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = docs.select("doc_id").distinct().join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
+    sample = docs.join(F.broadcast(ids), "doc_id")  # max_rows ids at most
 
     def slots(batches):
         for b in pieces(batches):
