@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pieces, quality, rules, suffix, toxicity, urls, warc
+from . import decontam, jaccard, langid, pieces, quality, rules, suffix, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -161,3 +161,20 @@ from d left join k using (doc_id)
 def op5(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffix.remove(docs).select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP1_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') k from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+r(a, b) as (select doc_id, doc_id from d union select r.a, e.y from r join e on e.x = r.b)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id from d left join n using (doc_id) join (select a doc_id, min(b) component_id from r group by 1) using (doc_id)
+"""
+
+
+@query("op1_ngram_jaccard_join", OP1_SQL)
+def op1(spark, sf_dir):
+    classes, _ = jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes.select("doc_id", "n_shingles", "component_id")
