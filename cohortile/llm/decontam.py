@@ -68,7 +68,7 @@ def tokens_at(words: DataFrame, widths) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window=WINDOW, broadcast_rows=500_000) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (start, size of hit windows), items; one row per document row."""
+    """doc_id, print (xxhash64 of the text), n_words, n_hit, spans (start, size of hit windows), items; one row per document row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     windows = durable(item_windows(items, window))
@@ -108,9 +108,16 @@ def contamination(docs: DataFrame, items: DataFrame, window=WINDOW, broadcast_ro
                                                 (s["sum"] + F.greatest(F.lit(0), x["start"] + x["size"] - F.greatest(s["end"], x["start"]))).alias("sum")),
                           lambda s: s["sum"])
     out = hits.withColumn("n_hit", covered).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "spans", F.array_sort("items").alias("items"))
+    return out.select("doc_id", "print", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "spans", F.array_sort("items").alias("items"))
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     """A twentieth of the words or more."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def clean(docs: DataFrame, items: DataFrame, window=WINDOW) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs, items, window).filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print")), "left_anti")

@@ -368,3 +368,13 @@ def unnamed(docs: DataFrame, width) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"n_shingles": pa.array([len(s) for s in token_sets(b.column("text"), width)], pa.int64())})
     return docs.filter("doc_id is null").select("text").mapInArrow(run, "n_shingles long").select(
         F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width=WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, each
+    text once; rows without an id stay."""
+    classes, _ = join(docs, width)
+    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    known = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    known = known.withColumn("_print", F.xxhash64("text")).dropDuplicates(["doc_id", "_print"]).drop("_print")
+    return known.unionByName(docs.filter("doc_id is null"))

@@ -113,21 +113,40 @@ def fit(docs: DataFrame, train: Column, dims=DIMS, centroids=4, per_language=100
             "radius": np.array([r["radius"] for r in model]), "idf": idf, "dims": dims}
 
 
+def nearest(batch, model):
+    """Language, score and rejection of the rows of one Arrow batch (text, letter)."""
+    n = batch.num_rows
+    letter = np.asarray(batch.column("letter").fill_null(False))
+    if not model["langs"]:
+        return np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
+    cos = vectors(gram_counts(batch.column("text"), model["dims"]), model["idf"]) @ model["centers"].T
+    best = cos.argmax(1)
+    top = cos[np.arange(n), best]
+    names = np.where(letter, np.array(model["langs"], object)[best], "und")
+    return names, np.where(letter, np.clip(top, 0, 1), 0).astype(float), ~letter | (1 - top > model["radius"][best] + 1e-6)
+
+
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score (cosine of the nearest centroid), distance, rejected; one row per input row."""
     def run(batches):
         for b in pieces(batches, rows=ROWS):
-            n = b.num_rows
-            letter = np.asarray(b.column("letter").fill_null(False))
-            names, score, far = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-            if model["langs"]:
-                cos = vectors(gram_counts(b.column("text"), model["dims"]), model["idf"]) @ model["centers"].T
-                best = cos.argmax(1)
-                top = cos[np.arange(n), best]
-                names = np.where(letter, np.array(model["langs"], object)[best], "und")
-                score = np.where(letter, np.clip(top, 0, 1), 0).astype(float)
-                far = ~letter | (1 - top > model["radius"][best] + 1e-6)
+            names, score, far = nearest(b, model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(1 - score), pa.array(far)],
                                              names=["doc_id", "lang_pred", "score", "distance", "rejected"])
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", has_letter().alias("letter"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    names = docs.columns
+
+    def run(batches):
+        for b in pieces(batches, rows=ROWS):
+            keep = b.filter(pa.array(~nearest(b, model)[2]))
+            yield pa.RecordBatch.from_arrays(keep.columns[:len(names)], names=names)
+    return docs.withColumn("letter", has_letter()).mapInArrow(run, docs.schema)

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import pieces as text_pieces
 
@@ -199,6 +200,24 @@ def decode(encoded: DataFrame, model=MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encode_decode(docs: DataFrame, model=MODEL, **options) -> DataFrame:
+    """The columns of ``docs`` with text as decoded from the ids, and ids, n_ids, lossless."""
+    names = [c for c in docs.columns if c not in ("ids", "n_ids", "lossless")]
+
+    def run(batches):
+        c = codec(model, tuple(sorted(options.items())))
+        for b in text_pieces(batches):
+            texts = b.column("text").to_pylist()
+            ids = [c.encode(t, k) for t, k in zip(texts, b.column("_key").to_pylist(), strict=True)]
+            back = [c.decode(x) for x in ids]
+            new = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()),
+                   pa.array([a == d for a, d in zip(texts, back, strict=True)])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(back, pa.string()) if x == "text" else b.column(x) for x in names), *new], names=[*names, "ids", "n_ids", "lossless"])
+    rows = docs.select(*names)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("ids array<int>, n_ids long, lossless boolean").fields])
+    return rows.withColumn("_key", key_column()).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, model=MODEL, **options) -> DataFrame:
     """doc_id, n_bytes, n_ids, ids_hash (xxhash64 of the ids as int32), lossless:
     every text encoded and the ids decoded again, in one pass."""

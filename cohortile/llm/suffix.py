@@ -336,3 +336,16 @@ def remove(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(new).fields])
     return joined.mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
+    """The columns of ``docs`` with text cut to the bytes left. Where a cut goes
+    through a character of several bytes, the rest of that character goes too."""
+    names, schema = docs.columns, docs.schema
+
+    def decode(batches):
+        for b in batches:
+            for part in pieces([b], "kept"):
+                text = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(part.column("text").to_pylist(), part.column("kept").to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in names], names=names)
+    return remove(docs, width, gram).select(*names, "kept").mapInArrow(decode, schema)
