@@ -218,8 +218,8 @@ class Family:
         while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
             last, before = self.levels.pop(), self.levels.pop()
             both = [np.concatenate(p) for p in zip(before, last, strict=True)]
-            order = np.argsort(both[0], kind="stable")
-            self.levels.append(tuple(p[order] for p in both))
+            merged = np.argsort(both[0], kind="stable")
+            self.levels.append(tuple(p[merged] for p in both))
         out = np.empty(len(one), bool)
         out[order] = found
         return out
