@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,13 @@ def build_session(app="cohortile", master=None, cpus=8, **conf):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; only a session without that
-    setting (a test on one machine) gets a folder of its own."""
+    """The folder ``spark.checkpoint.dir`` names. Only a session inside one
+    process (a test) gets a folder of its own; a cluster without the setting
+    is refused, since its executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -53,7 +57,17 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.step_folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``durable`` tables that no later step and no result reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.step_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_same_key(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
