@@ -2,11 +2,11 @@
 
 The pieces and their scores come from a public BPE model file; its path is a
 parameter. A text is cut into chunks (a run of spaces and what follows up to the
-next space), which no piece of a BPE model with split white space crosses; that
-is checked when the model is loaded. Inside a chunk the merges stand on an
+next space or line end), which no piece of a BPE model with split white space
+crosses; that is checked when the model is loaded. Inside a chunk the merges stand on an
 agenda ordered by score, then position. Each candidate merge that comes up is
 skipped for good with probability ``dropout``, decided by a keyed hash of
-(seed, variant, chunk, place, length). The variant of a chunk comes from the
+(seed, variant, chunk, place, merged piece). The variant of a chunk comes from the
 document's key and the chunk's place in the text, modulo ``variants``: the same
 word is cut in up to that many ways, and equal inputs always give equal output.
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -35,137 +37,152 @@ from .text import pieces as text_pieces
 MARK = "▁"
 #: longest chunk whose agenda is a plain list
 SCAN = 48
-NONE = float("-inf")
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 class Codec:
     """Encoder and decoder over one model file."""
 
-    def __init__(self, model=MODEL, dropout=0.1, seed=1, variants=4, cache=1 << 19):
+    def __init__(self, model=MODEL, dropout=0.1, seed=1, variants=2, cache=1 << 20):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.dropout, self.seed, self.variants = int(dropout * (1 << 32)), seed, variants
-        self.text, self.score, self.ids, self.byte = {}, {}, {}, {}
+        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache // variants
+        text, self.byte, self.bytes = {}, {}, [b""] * sp.get_piece_size()
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte[int(p[3:5], 16)] = i
+                self.byte[int(p[3:5], 16)], self.bytes[i] = i, bytes([int(p[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 if MARK in p.lstrip(MARK):
                     raise ValueError(f"piece {p!r} crosses a space; this codec needs a model with split white space")
-                self.text[i], self.score[p], self.ids[p] = p, sp.get_score(i), i
+                text[p], self.bytes[i] = i, p.replace(MARK, " ").encode()
         if len(self.byte) < 256:
             raise ValueError("the model has no byte pieces, so it cannot be lossless")
-        self.bytes = [b""] * sp.get_piece_size()
-        for i, p in self.text.items():
-            self.bytes[i] = p.replace(MARK, " ").encode()
-        for b, i in self.byte.items():
-            self.bytes[i] = bytes([b])
-        self.chunk = lru_cache(cache)(self._chunk)
-
-    def skipped(self, base: int, start: int, size: int) -> bool:
-        """The keyed hash skips the merge of the piece of ``size`` characters at ``start``."""
-        h = (base ^ (start * 0x9E3779B1 + size * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F
-        return (h >> 31) & 0xFFFFFFFF < self.dropout
-
-    def _chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """Pieces of one chunk, in which spaces already are marks.
-
-        A word's agenda is a list scanned for its best entry; the agenda of a
-        long chunk is a heap. Order and result are the same.
+        # a symbol is its piece's rank by score, so the best merge is the least number
+        order = sorted(text, key=lambda p: (-sp.get_score(text[p]), text[p]))
+        rank = {p: r for r, p in enumerate(order)}
+        self.ids = [text[p] for p in order]
+        self.none = len(order)
+        self.chars = {p: r for p, r in rank.items() if len(p) == 1}
+        for p in order:
+            for c in p:
+                if c not in self.chars:  # a character that only stands inside longer pieces
+                    self.chars[c] = len(self.ids)
+                    self.ids.append(None)
+        self.spelled = {r: c for c, r in self.chars.items() if self.ids[r] is None}
+        self.merge = {}
+        for p, r in rank.items():
+            for k in range(1, len(p)):
+                left, right = (self.chars.get(x) if len(x) == 1 else rank.get(x) for x in (p[:k], p[k:]))
+                if left is not None and right is not None:
+                    self.merge[left << 24 | right] = r
+        # no piece holds a line end in most models; then it parts chunks as well
+        line = "" if any("\n" in p for p in order) else "\\n"
+        self.width = np.array([len(b) for b in self.bytes], np.int64)
+        self.where, self.blob = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.split = re.compile(f" *[^ {MARK}{line}]+| +|[{MARK}{line}]").findall
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+
+    def chunk(self, chunk: str, variant: int) -> bytes:
+        """Ids (int32) of one chunk under one variant.
+
+        A word's agenda is a list scanned for its best entry; that of a long
+        chunk is a heap. Order and result are the same.
         """
+        if chunk == MARK:
+            return np.array([self.byte[b] for b in MARK.encode()], np.int32).tobytes()
+        chunk = chunk.replace(" ", MARK)
         base = xxhash.xxh64_intdigest(chunk, self.seed * 1000003 + variant)
-        parts = self._scan(chunk, base) if len(chunk) <= SCAN else self._heap(chunk, base)
+        get, unknown = self.chars.get, self.none + (1 << 22)
+        symbols = [get(c, unknown) for c in chunk]
+        starts = list(range(len(symbols)))
+        (self._scan if len(symbols) <= SCAN else self._heap)(symbols, starts, base)
         out, ids = [], self.ids
-        for p in parts:
-            got = ids.get(p)
-            if got is None:
-                out.extend([self.byte[b] for b in p.encode()])
+        for s, at in zip(symbols, starts):
+            i = ids[s] if s < unknown else None
+            if i is None:
+                out.extend([self.byte[b] for b in chunk[at].encode()])
             else:
-                out.append(got)
-        return tuple(out)
+                out.append(i)
+        return struct.pack(f"{len(out)}i", *out)
 
-    def _scan(self, chunk, base):
-        score, parts, starts = self.score.get, list(chunk), list(range(len(chunk)))
-        pairs = [score(x + y, NONE) for x, y in zip(chunk, chunk[1:])]
+    def _scan(self, symbols, starts, base):
+        merge, none, drop = self.merge.get, self.none, self.drop
+        pairs = [merge(x << 24 | y, none) for x, y in zip(symbols, symbols[1:])]
         while pairs:
-            best = max(pairs)
-            if best == NONE:
+            best = min(pairs)
+            if best == none:
                 break
             i = pairs.index(best)
-            both = parts[i] + parts[i + 1]
-            if self.dropout and self.skipped(base, starts[i], len(both)):
-                pairs[i] = NONE
+            if (((base ^ (starts[i] << 24 | best)) * 0xC2B2AE3D27D4EB4F) >> 31) & 0xFFFFFFFF < drop:
+                pairs[i] = none
                 continue
-            parts[i] = both
-            del parts[i + 1], starts[i + 1], pairs[i]
+            symbols[i] = best
+            del symbols[i + 1], starts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = score(parts[i - 1] + both, NONE)
+                pairs[i - 1] = merge(symbols[i - 1] << 24 | best, none)
             if i < len(pairs):
-                pairs[i] = score(both + parts[i + 1], NONE)
-        return parts
+                pairs[i] = merge(best << 24 | symbols[i + 1], none)
 
-    def _heap(self, chunk, base):
-        parts: list[str | None] = list(chunk)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        agenda: list[tuple[float, int, str]] = []
+    def _heap(self, symbols, starts, base):
+        merge, n = self.merge.get, len(symbols)
+        after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(a):
-            if after[a] < len(parts):
-                both = parts[a] + parts[after[a]]
-                if both in self.score:
-                    heapq.heappush(agenda, (-self.score[both], a, both))
+            if after[a] < n:
+                r = merge(symbols[a] << 24 | symbols[after[a]])
+                if r is not None:
+                    heapq.heappush(agenda, (r, a, symbols[a], symbols[after[a]]))
 
-        for a in range(len(parts)):
+        for a in range(n):
             offer(a)
         while agenda:
-            _, a, both = heapq.heappop(agenda)
+            r, a, left, right = heapq.heappop(agenda)
             b = after[a]
-            if parts[a] is None or b >= len(parts) or len(parts[a]) + len(parts[b]) != len(both) or parts[a] + parts[b] != both:
+            if symbols[a] != left or b >= n or symbols[b] != right:
                 continue
-            if self.dropout and self.skipped(base, a, len(both)):
+            if (((base ^ (a << 24 | r)) * 0xC2B2AE3D27D4EB4F) >> 31) & 0xFFFFFFFF < self.drop:
                 continue
-            parts[a], parts[b] = both, None
+            symbols[a], symbols[b] = r, None
             after[a] = after[b]
-            if after[a] < len(parts):
+            if after[a] < n:
                 before[after[a]] = a
             offer(a)
             if before[a] >= 0:
                 offer(before[a])
-        return [p for p in parts if p is not None]
+        starts[:] = [a for a in range(n) if symbols[a] is not None]
+        symbols[:] = [s for s in symbols if s is not None]
 
-    def encode(self, text: str | None, key: int = 0) -> list[int] | None:
+    def encode(self, text: str | None, key: int = 0) -> np.ndarray | None:
         """Ids of a text; ``key`` picks the variants."""
         if text is None:
             return None
-        out: list[int] = []
-        chunk, marks, variant, variants = self.chunk, MARK in text, key % self.variants, self.variants
+        if not text:
+            return np.zeros(0, np.int32)
         # a space is put before the text, as the model was trained; decoding takes it off
-        run = ""
-        for n, word in enumerate(text.split(" ")):
-            run += MARK
-            if word:
-                v = (variant + n) % variants if self.dropout else 0
-                if marks and MARK in word:
-                    first, *rest = word.split(MARK)
-                    out.extend(chunk(run + first, v))
-                    for w in rest:
-                        out.extend(self.byte[b] for b in MARK.encode())
-                        if w:
-                            out.extend(chunk(w, v))
-                else:
-                    out.extend(chunk(run + word, v))
-                run = ""
-        if run and text:
-            out.extend(chunk(run, variant))
-        return out
+        chunks, v = self.split(" " + text), self.variants
+        found: list = [None] * len(chunks)
+        for k in range(v):
+            known, part = self.cache[k], chunks[(k - key) % v::v]
+            got = list(map(known.get, part))
+            if None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        if len(known) >= self.limit:
+                            known.clear()
+                        got[i] = known[part[i]] = self.chunk(part[i], k)
+            found[(k - key) % v::v] = got
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str | None:
         if ids is None:
             return None
-        return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
+        ids = np.asarray(ids, np.int64)
+        size = self.width[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.where[ids] - (ends - size), size)
+        return self.blob[at].tobytes().decode()[1:]
 
 
 @lru_cache(2)
@@ -196,7 +213,7 @@ def decode(encoded: DataFrame, model=MODEL) -> DataFrame:
         c = codec(model, ())
         for b in batches:
             lists = b.column("ids")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.decode(x) for x in lists.to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.decode(x.values) if x.is_valid else None for x in lists], pa.string())], names=["doc_id", "text"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -228,8 +245,8 @@ def round_trip(docs: DataFrame, model=MODEL, **options) -> DataFrame:
             for text, key in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True):
                 ids = c.encode(text, key)
                 out["n_bytes"].append(len(text.encode()) if text is not None else 0)
-                out["n_ids"].append(len(ids or ()))
-                out["ids_hash"].append(xxhash.xxh64_hexdigest(np.asarray(ids or (), np.int32).tobytes()))
+                out["n_ids"].append(0 if ids is None else len(ids))
+                out["ids_hash"].append(xxhash.xxh64_hexdigest(b"" if ids is None else ids.tobytes()))
                 out["lossless"].append(c.decode(ids) == text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, out.values())], names=["doc_id", *out])
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", key_column())
