@@ -3,8 +3,10 @@
 A text is the TF-IDF vector of its hashed byte 2- and 3-grams (A-Z lowered,
 ASCII that is no letter read as a space), scaled to length one. Each language
 has several centroids (spherical k-means); the nearest by cosine decides. A
-text further from its centroid than any training text of that language was is
-rejected.
+text is rejected if its cosine is under ``SLACK`` times the lowest of any
+training text of that language. Few n-grams can only give a small cosine, so
+for a text of less than ``ENOUGH`` of them the bound falls with the root of
+their number.
 
 Bounds, all parameters: ``per_language`` texts of a language form its
 centroids (those with the smallest hash of their id); the document frequencies
@@ -28,6 +30,7 @@ from .text import LOWER, flat, pieces
 
 DIMS = 4096
 ROWS = 256
+SLACK, ENOUGH = 0.8, 400
 _FOLD = LOWER.copy()
 _FOLD[:128] = np.where([chr(i).isalpha() for i in range(128)], LOWER[:128], 32)
 
@@ -114,16 +117,18 @@ def fit(docs: DataFrame, train: Column, dims=DIMS, centroids=4, per_language=100
 
 
 def nearest(batch, model):
-    """Language, score and rejection of the rows of one Arrow batch (text, letter)."""
+    """Language, score and rejection of the rows of one Arrow batch, whose last column tells if the text has a letter."""
     n = batch.num_rows
-    letter = np.asarray(batch.column("letter").fill_null(False))
+    letter = np.asarray(batch.column(batch.num_columns - 1))
     if not model["langs"]:
         return np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-    cos = vectors(gram_counts(batch.column("text"), model["dims"]), model["idf"]) @ model["centers"].T
+    counts = gram_counts(batch.column("text"), model["dims"])
+    cos = vectors(counts, model["idf"]) @ model["centers"].T
     best = cos.argmax(1)
     top = cos[np.arange(n), best]
     names = np.where(letter, np.array(model["langs"], object)[best], "und")
-    return names, np.where(letter, np.clip(top, 0, 1), 0).astype(float), ~letter | (1 - top > model["radius"][best] + 1e-6)
+    need = SLACK * (1 - model["radius"][best]) * np.sqrt(np.minimum(1, counts.sum(1) / ENOUGH))
+    return names, np.where(letter, np.clip(top, 0, 1), 0).astype(float), ~letter | (top < need)
 
 
 def has_letter() -> Column:
@@ -149,4 +154,4 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
         for b in pieces(batches, rows=ROWS):
             keep = b.filter(pa.array(~nearest(b, model)[2]))
             yield pa.RecordBatch.from_arrays(keep.columns[:len(names)], names=names)
-    return docs.withColumn("letter", has_letter()).mapInArrow(run, docs.schema)
+    return docs.select("*", has_letter().alias("_letter")).mapInArrow(run, docs.schema)
