@@ -225,7 +225,7 @@ class Family:
         return out
 
 
-def judge_segments(width):
+def judge_segments(width, batch=BATCH):
     """Step 2, in a shard: batches of rising ids against the family; removed spans return to the pieces."""
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -240,7 +240,7 @@ def judge_segments(width):
             order = np.argsort(ids, kind="stable")
             hit_entry, hit_at, family = [], [], Family()
             cut = np.concatenate([[0], np.cumsum(n[order])])
-            edges = [0, *np.unique(np.searchsorted(cut, np.arange(BATCH, cut[-1] + BATCH, BATCH))).clip(0, len(order))]
+            edges = [0, *np.unique(np.searchsorted(cut, np.arange(batch, cut[-1] + batch, batch))).clip(0, len(order))]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 part = order[lo:hi]
                 if not len(part):
@@ -295,7 +295,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn("print", F.xxhash64("text"))
 
 
-def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> DataFrame:
     """id, print (of the text), starts, ends: the byte spans that a document loses; one row for each that loses some."""
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs.select("doc_id", "text")).select("id", "print", "text").filter(F.octet_length("text") >= width)
@@ -304,15 +304,15 @@ def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
     shared = durable(shared.dropDuplicates(["id", "print"]))
     # a merge join leaves the rows sorted, so a re-run cuts the same pieces
     again = texts.join(shared.hint("merge"), ["id", "print"]).select("id", "print", "text", "keys")
-    sent = again.mapInArrow(send_segments(shards, width, gram), PACKET).groupBy("route").applyInArrow(judge_segments(width), PACKET)
+    sent = again.mapInArrow(send_segments(shards, width, gram), PACKET).groupBy("route").applyInArrow(judge_segments(width, batch), PACKET)
     spans = sent.groupBy("chunk").applyInArrow(spans_by_document, "id long, print long, starts array<long>, ends array<long>")
     return durable(spans.dropDuplicates(["id", "print"]))
 
 
-def remove(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
+def remove(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> DataFrame:
     """The columns of ``docs`` (without those named like the new ones) and n_bytes,
     n_removed, starts, ends, kept (binary: the bytes left), kept_sha256; one row per row."""
-    spans = repeated_spans(docs, width, gram).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "starts", "ends")
+    spans = repeated_spans(docs, width, gram, batch).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "starts", "ends")
     new = "n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, kept_sha256 string"
     rows = docs.drop(*[x.split()[0] for x in new.split(", ")], "_id", "_print")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
@@ -347,5 +347,7 @@ def without_repeats(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
         for b in batches:
             for part in pieces([b], "kept"):
                 text = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(part.column("text").to_pylist(), part.column("kept").to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in names], names=names)
-    return remove(docs, width, gram).select(*names, "kept").mapInArrow(decode, schema)
+                yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(k) for k, c in enumerate(names)], names=names)
+    # other columns go under neutral names, so that none clashes
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_other{k}" for k, c in enumerate(names)])
+    return remove(plain, width, gram).select(*plain.columns, "kept").mapInArrow(decode, schema)
