@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import discard, durable
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     before = None
     while True:
-        edges = durable(_stars(_stars(edges, True), False))
+        last, edges = edges, durable(_stars(_stars(edges, True), False))
+        if before is not None:
+            discard(last)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import discard, durable
 from .components import components
 from .suffix import NAMES, PACKET, SCHEMA, array, batch_of, packet
 from .text import ALL, M1, M2, M3, ODD, flat, mix, pieces, shingles, word_hashes
@@ -160,7 +160,7 @@ def answer_counts(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch_of(out)])
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, rest: np.ndarray, n: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, df: np.ndarray, rest: np.ndarray, n: int, most=RARE) -> np.ndarray:
     """Indexed combinations of one set: single rare tokens, pairs of frequent ones."""
     need = misses(n) + 1 - int((df == 1).sum())
     none = np.zeros(0, np.uint64)
@@ -168,10 +168,10 @@ def signatures(tokens: np.ndarray, df: np.ndarray, rest: np.ndarray, n: int) ->
         return none
     order = np.lexsort((tokens, df))
     tokens, df = tokens[order], df[order]
-    rare = tokens[(df > 1) & (df <= RARE)][:need]
+    rare = tokens[(df > 1) & (df <= most)][:need]
     out, need = [mix(rare ^ M1)], need - len(rare)
     if need > 0:
-        frequent = tokens[df > RARE]
+        frequent = tokens[df > most]
         for b in (band(n), band(n) + 1):
             sub = (frequent >> np.uint64(8)) % np.uint64(subclasses(b))
             fresh = np.zeros(len(sub), bool)
@@ -191,7 +191,7 @@ def signatures(tokens: np.ndarray, df: np.ndarray, rest: np.ndarray, n: int) ->
     return np.unique(np.concatenate(out))
 
 
-def index_sets(t: pa.Table) -> pa.Table:
+def index_sets(t: pa.Table, most: int) -> pa.Table:
     """In a piece: node, size, bitmap and signatures of every set that has a signature."""
     own, got = t.filter(pc.equal(t["kind"], 1)), t.filter(pc.equal(t["kind"], 0))
     nodes, sizes = array(own, "nodes", np.int64)[0], array(own, "node_sizes", np.int64)[0]
@@ -209,7 +209,7 @@ def index_sets(t: pa.Table) -> pa.Table:
     at, more = np.concatenate([[0], np.cumsum(low_n)]), np.concatenate([[0], np.cumsum(rest_n)])
     rows = []
     for i in range(len(nodes)):
-        s = signatures(low[at[i]:at[i + 1]], count[at[i]:at[i + 1]], rest[more[i]:more[i + 1]], int(sizes[i]))
+        s = signatures(low[at[i]:at[i + 1]], count[at[i]:at[i + 1]], rest[more[i]:more[i + 1]], int(sizes[i]), most)
         if len(s):
             rows.append((nodes[i], sizes[i], maps[i].tobytes(), s.view(np.int64)))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -314,42 +314,49 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width=WIDTH) -> DataFrame:
     return docs.join(wanted, "doc_id").select("text", "node").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
-def join(docs: DataFrame, width=WIDTH) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, width=WIDTH, rare=RARE, block=BLOCK) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes: doc_id, n_shingles, node (the class of equal
     sets), component_id; one row per row. links: verified links (a, b, shared)
-    between classes that span the components."""
+    between classes that span the components. Tokens of more than ``rare``
+    classes are indexed in pairs; buckets above ``block`` rows are cut."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = docs.filter("doc_id is not null")
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = durable(known.mapInArrow(sketch(width), SKETCH))
-    rows = sketches.select("ids", "sizes", "keys").mapInArrow(members, "doc_id long, n_shingles long, node long")
+    rows = durable(sketches.select("ids", "sizes", "keys").mapInArrow(members, "doc_id long, n_shingles long, node long"))
 
     counted = sketches.select("chunk", "low").mapInArrow(ask_counts(shards), PACKET).groupBy("route").applyInArrow(answer_counts, PACKET)
     own = [x.split()[0] for x in SKETCH.split(", ") if x.split()[0] not in ("chunk", "ids", "sizes", "keys")]
     both = counted.select("chunk", "kind", "a", "b").unionByName(sketches.select("chunk", F.lit(1).alias("kind"), *own), allowMissingColumns=True)
-    index = durable(both.groupBy("chunk").applyInArrow(index_sets, "node long, n long, map binary, sigs array<long>").dropDuplicates(["node"]))
+    index = durable(both.groupBy("chunk").applyInArrow(lambda t: index_sets(t, rare), "node long, n long, map binary, sigs array<long>").dropDuplicates(["node"]))
 
-    entries = index.select(F.explode("sigs").alias("sig"), "node", "n", "map")
-    sizes = index.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1")
-    entries = entries.join(sizes, "sig").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    entries = durable(entries.withColumn("block", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")).drop("rows"))
+    discard(sketches)
 
-    first = candidate_pairs(entries.withColumn("first", F.col("block")).withColumn("second", F.col("block")).withColumn("component", F.col("node")), True)
-    closest = durable(first.groupBy("a").agg(F.max_by("b", "slack").alias("b")))
+    # buckets hold ids only; sizes and bitmaps join where pairs are compared
+    entries = index.select(F.explode("sigs").alias("sig"), "node")
+    sizes = entries.groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1")
+    entries = entries.join(sizes, "sig").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    entries = durable(entries.select("sig", "node", "blocks", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int").alias("block")))
+    maps = index.select("node", "n", "map")
+
+    first = entries.select("sig", "node", "block", F.col("block").alias("first"), F.col("block").alias("second"), F.col("node").alias("component")).join(maps, "node")
+    closest = durable(candidate_pairs(first, True).groupBy("a").agg(F.max_by("b", "slack").alias("b")))
     least = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = least.join(entries.select("node").distinct(), "node", "left_semi")
     sets = durable(sets_of(known, wanted, width))
     links = durable(verified(closest, sets))
     parts = components(links)
 
-    entries = entries.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = entries.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
+    placed = entries.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = entries.join(mixed, "sig", "left_semi").withColumn("other", other).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    dealt = placed.join(mixed, "sig", "left_semi").withColumn("other", other)
+    dealt = dealt.select("sig", "node", "block", "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).join(maps, "node")
     second = candidate_pairs(dealt, False).select("a", "b").distinct()
     more = durable(verified(second, sets))
     links = links.unionByName(more)
     whole = components(links)
+    discard(closest, sets, index, entries)
 
     labels = least.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
