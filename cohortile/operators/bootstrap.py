@@ -6,34 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.draws import hash_number, hash_rank, order_hash
-from ..session import durable
+from ..session import durable, join_same_key
 from .metrics import binary_metrics, majority_vote
 
 METRICS = ("accuracy", "auc", "sensitivity", "specificity", "f1")
 
 
-def draw_weights(items: DataFrame, id_col: str, n_iter=50, frac=0.8, seed=42, key="_all") -> DataFrame:
-    """(id, draws array<struct(iter, weight)>): how often each item is drawn.
+def draw_weights(items: DataFrame, id_col: str, n_iter=50, frac=0.8, seed=42, within=()) -> DataFrame:
+    """(within, id, draws array<struct(iter, weight)>): how often each item is drawn.
 
-    Every iteration draws int(n * frac) positions with replacement. Position k
-    of iteration i is ``md5(i|k|seed) mod n``; the item at dense position k
-    stands for draw k, so the draws are spread over the cluster with the
-    items. One row per item leaves here, whatever the number of iterations.
+    Every iteration draws int(n * frac) positions with replacement, n being the
+    items of a ``within`` group (all items by default). Position k of iteration
+    i is ``md5(i|k|seed) mod n``; the item at dense position k stands for draw
+    k, so the draws are spread over the cluster with the items. One row per
+    item leaves here, whatever the number of iterations.
     """
-    base = durable(items.select(id_col).distinct().withColumn(key, F.lit(1)))
-    dense = durable(hash_rank(base.withColumn("_h", order_hash(id_col, seed)), [key], "_h", [id_col], "_pos").select(
-        key, id_col, "_pos"))
-    total = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    by = ["_all", *within]
+    base = durable(items.select(*within, id_col).distinct().withColumn("_all", F.lit(1)))
+    dense = durable(hash_rank(base.withColumn("_h", order_hash(id_col, seed)), by, "_h", [id_col], "_pos").select(
+        *by, id_col, "_pos"))
+    total = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     drawn = (
-        dense.join(F.broadcast(total), key)
+        join_same_key(dense, total, by)
         .filter(F.col("_pos") < F.floor(F.col("_n") * frac))
-        .select("_n", "_pos", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iter"))
-        .select("iter", (hash_number("iter", "_pos", seed) % F.col("_n")).alias("_pos"))
+        .select(*by, "_n", "_pos", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iter"))
+        .select(*by, "iter", (hash_number("iter", "_pos", seed) % F.col("_n")).alias("_pos"))
     )
-    per_pos = drawn.groupBy("_pos", "iter").agg(F.count(F.lit(1)).alias("weight")).groupBy("_pos").agg(
+    per_pos = drawn.groupBy(*by, "_pos", "iter").agg(F.count(F.lit(1)).alias("weight")).groupBy(*by, "_pos").agg(
         F.collect_list(F.struct("iter", "weight")).alias("draws"))
     # both the confusion and the ranking metrics read the draws: keep them
-    return durable(dense.join(per_pos, "_pos").select(id_col, "draws"))
+    return durable(join_same_key(dense, per_pos, [*by, "_pos"]).select(*within, id_col, "draws"))
 
 
 def with_ensemble(preds: DataFrame, members=None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..plans.blocks import cut_blocks, pair_blocks
 from ..plans.draws import hash_rank, hash_take, order_hash
 from ..plans.gram import assemble, key_groups, keyed_gram, matrix
-from ..session import durable
+from ..session import durable, join_same_key
 from .bootstrap import draw_weights
 
 
@@ -65,27 +65,18 @@ def pca_project(df: DataFrame, keys, features: str, k: int, out="pcs", weight=No
 
 
 # --- silhouette --------------------------------------------------------------------
-def silhouette(df: DataFrame, keys, ids: str, features: str, label: str, weight=None, size=2048,
-               max_rows=None, max_dim=None) -> DataFrame:
+def silhouette(df: DataFrame, keys, ids: str, features: str, label: str, weight=None, size=2048) -> DataFrame:
     """Exact mean Euclidean silhouette per key. A singleton scores 0, fewer than
-    two labels give null. ``weight`` counts a row several times.
-
-    ``max_rows`` / ``max_dim`` restate the rule that a high-dimensional
-    silhouette is left undefined (null) from that size on; without them every
-    row is used, block against block, and only per-label sums are shuffled.
+    two labels give null. ``weight`` counts a row several times. Every row is
+    used, block against block, and only per-label sums are shuffled; the work
+    is quadratic, and ``silhouette_squared`` is the entry for large tables.
     """
     keys = list(keys)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.select(*keys, ids, features, F.col(label).cast("string").alias("_lab"), w.alias("_w"))
     stats = rows.groupBy(*keys).agg(
-        F.count_distinct("_lab").alias("_k"), F.count(F.lit(1)).alias("_rows"), F.max(F.size(features)).alias("_dim"))
-    fits = F.col("_k") >= 2
-    if max_rows is not None:
-        fits = fits & (F.col("_rows") < max_rows)
-    if max_dim is not None:
-        fits = fits & (F.col("_dim") < max_dim)
-    stats = stats.withColumn("_fits", fits)
-    use = rows.join(stats.filter("_fits").select(*keys), keys, "left_semi") if keys else rows
+        F.count_distinct("_lab").alias("_k"), F.count(F.lit(1)).alias("_rows"))
+    use = rows.join(stats.filter("_k >= 2").select(*keys), keys, "left_semi") if keys else rows
     sizes = rows.groupBy(*keys, "_lab").agg(F.sum("_w").alias("_n"))
     cut = cut_blocks(use, keys, [ids], size)
     schema = f"{_fields(rows, keys + [ids])}, _lab string, _w double, _other string, _sum double"
@@ -215,24 +206,28 @@ def min_slides_filter(tiles: DataFrame, keys, site="site", n=5) -> DataFrame:
 
 
 def bootstrap_cluster_metrics(df: DataFrame, keys, ids: str, features: str, label: str, n_iter=50, frac=0.5,
-                              pca=50, seed=42) -> DataFrame:
-    """Per (keys, iter): silhouette, Davies-Bouldin and sizes of a with-replacement
-    draw. Repeats of a row are a weight. With ``pca`` the components are refitted
-    per iteration; draws with fewer than ten rows or two labels are left out.
-    Rows with the same id share their draws across keys."""
+                              pca=50, seed=42, within=()) -> DataFrame:
+    """Per (keys, iter): silhouette, Davies-Bouldin, compactness per label
+    (map) and sizes of a with-replacement draw. Repeats of a row are a weight.
+    With ``pca`` the components are refitted per iteration; draws with fewer
+    than ten rows, two labels or two components are left out. Every iteration
+    draws int(n * frac) of the n ids of a ``within`` group (some of the keys);
+    rows with the same id share their draws across the other keys."""
     keys = list(keys)
     by = keys + ["iter"]
-    w = draw_weights(df, ids, n_iter, frac, seed)
-    drawn = df.join(w, ids).select(*keys, ids, features, label, F.explode("draws").alias("_d")).select(
+    w = draw_weights(df, ids, n_iter, frac, seed, within)
+    drawn = join_same_key(df, w, [*within, ids]).select(*keys, ids, features, label, F.explode("draws").alias("_d")).select(
         *keys, ids, features, label, "_d.iter", F.col("_d.weight").alias("weight"))
-    size = drawn.groupBy(*by).agg(F.sum("weight").alias("n_rows"), F.count_distinct(label).alias("n_labels")).filter(
-        "n_rows >= 10 and n_labels >= 2")
+    size = drawn.groupBy(*by).agg(F.sum("weight").alias("n_rows"), F.count_distinct(label).alias("n_labels"), F.min(F.size(features)).alias("_dim")).filter(
+        "n_rows >= 10 and n_labels >= 2" + (" and _dim >= 2" if pca else "")).drop("_dim")
     drawn = durable(drawn.join(size.select(*by), by, "left_semi"))
     if pca:
         drawn = durable(pca_project(drawn, by, features, pca, "_z", "weight"))
         features = "_z"
     sil = silhouette(drawn, by, ids, features, label, "weight").select(*by, "silhouette")
-    return size.join(sil, by).join(davies_bouldin(drawn, by, features, label, "weight"), by)
+    tight = compactness(drawn, by, features, label, "weight").groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), "compactness"))).alias("compactness"))
+    return size.join(sil, by).join(davies_bouldin(drawn, by, features, label, "weight"), by).join(tight, by)
 
 
 def joint_scatter(df: DataFrame, features: str, pca=50, out="xy", model="model") -> DataFrame:
@@ -259,7 +254,7 @@ def institution_bias(tiles: DataFrame, sample_frac=0.1, min_slides=5, n_iter=50,
         rows = rows.unionByName(rows.withColumn("tissue", F.lit("all")))
     rows = min_slides_filter(rows, ["model", "tissue"], "site", min_slides).withColumn(
         "_id", F.concat_ws("|", "slide_id", "x", "y"))
-    return bootstrap_cluster_metrics(durable(rows), ["model", "tissue"], "_id", "features", "site", n_iter, frac, pca, seed)
+    return bootstrap_cluster_metrics(durable(rows), ["model", "tissue"], "_id", "features", "site", n_iter, frac, pca, seed, ["tissue"])
 
 
 def slide_cluster_summary(tiles: DataFrame, scores: DataFrame, keys=("slide_id", "model")) -> DataFrame:
@@ -278,46 +273,70 @@ def model_cluster_summary(per_slide: DataFrame, model="model") -> DataFrame:
 
 
 # --- k-means -----------------------------------------------------------------------------
-def local_cluster_sample(tiles: DataFrame, local_k=10, frac=0.1, max_tiles=1000, seed=42, iters=20) -> DataFrame:
-    """Per slide: a hash sample of at most ``max_tiles`` tiles (the operator's own
-    bound, so a task holds that many rows), local k-means, then a proportional
-    share of every cluster with at least one row each, adjusted to the total."""
-    capped = hash_take(tiles, ["slide_id"], ["slide_id", "tile_idx", seed], ["tile_idx"], max_tiles)
+def local_cluster_sample(tiles: DataFrame, local_k=10, frac=0.1, fit_tiles=1000, seed=42) -> DataFrame:
+    """Per slide: local k-means, then a proportional share of every cluster with
+    at least one row each, adjusted to int(n * frac) rows.
+
+    A slide's centroids are fitted on ``fit_tiles`` of its tiles, so a task
+    holds that many; every tile is then assigned, counted and may be drawn.
+    """
+    fit = hash_take(tiles.select("slide_id", "tile_idx", "features"), ["slide_id"], ["slide_id", "tile_idx", seed], ["tile_idx"], fit_tiles)
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tile_idx", ignore_index=True)
         x = np.vstack(pdf["features"].to_numpy()).astype(float)
-        n = len(x)
-        k = min(local_k, n)
-        rng = np.random.default_rng(seed)
-        cent = x[rng.choice(n, k, replace=False)]
-        for _ in range(iters):
-            lab = ((x[:, None, :] - cent[None]) ** 2).sum(2).argmin(1)
+        k = min(local_k, len(x))
+        cent, lab = x[np.random.default_rng(seed).choice(len(x), k, replace=False)], None
+        while True:
+            new = ((x[:, None, :] - cent[None]) ** 2).sum(2).argmin(1)
+            if lab is not None and (new == lab).all():
+                break
+            lab = new
             cent = np.vstack([x[lab == c].mean(0) if (lab == c).any() else cent[c] for c in range(k)])
-        lab = ((x[:, None, :] - cent[None]) ** 2).sum(2).argmin(1)
-        take = cluster_shares(np.bincount(lab, minlength=k), max(1, int(n * frac)))
-        keep = [rng.choice(np.flatnonzero(lab == c), min(take[c], (lab == c).sum()), replace=False) for c in range(k)]
-        out = pdf.iloc[np.sort(np.concatenate(keep))].copy()
-        out["local_cluster"] = lab[out.index]
-        return out
-
-    schema = f"{_fields(tiles, tiles.columns)}, local_cluster int"
-    return capped.groupBy("slide_id").applyInPandas(draw, schema)
-
-
-def cluster_shares(counts, total: int):
-    """Rows per cluster: proportional, at least one, moved by one per cluster in
-    order of size until the total fits (one sweep)."""
-    share = np.maximum(1, (counts / counts.sum() * total).astype(int))
-    gap = int(share.sum()) - total
-    for c in np.argsort(-share, kind="stable"):
-        if gap == 0:
-            break
-        step = 1 if gap < 0 else -1
-        if step > 0 or share[c] > 1:
-            share[c] += step
-            gap += step
-    return share
+        return pd.DataFrame({"_slide": [pdf["slide_id"].iloc[0]], "_cent": [cent.ravel().tolist()], "_k": [k]})
+
+    kind = tiles.schema["slide_id"].dataType.simpleString()
+    cents = fit.groupBy("slide_id").applyInPandas(learn, f"_slide {kind}, _cent array<double>, _k int")
+    names = tiles.columns
+    schema = T.StructType([*tiles.schema.fields, T.StructField("local_cluster", T.IntegerType())])
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = matrix(b.column("features"))
+            slides = b.column("_slide").dictionary_encode()
+            which, out = slides.indices.to_numpy(), np.zeros(len(x), np.int32)
+            for s in range(len(slides.dictionary)):
+                at = np.flatnonzero(which == s)
+                c = np.asarray(b.column("_cent")[int(at[0])].values, float).reshape(-1, x.shape[1])
+                out[at] = ((x[at] ** 2).sum(1)[:, None] - 2 * x[at] @ c.T + (c * c).sum(1)[None, :]).argmin(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out)], names=schema.names)
+
+    labelled = durable(tiles.join(cents, F.col("slide_id") == F.col("_slide")).mapInArrow(assign, schema))
+    quota = cluster_quota(labelled.groupBy("slide_id", "local_cluster").agg(F.count(F.lit(1)).alias("n")), "slide_id", "local_cluster", frac)
+    ranked = hash_rank(labelled.withColumn("_h", order_hash("slide_id", "tile_idx", seed)), ["slide_id", "local_cluster"], "_h", ["tile_idx"], "_pos")
+    kept = join_same_key(ranked, quota.select("slide_id", "local_cluster", "quota"), ["slide_id", "local_cluster"])
+    return kept.filter("_pos < quota").select(*names, "local_cluster")
+
+
+def cluster_quota(counts: DataFrame, group: str, cluster: str, frac: float) -> DataFrame:
+    """(group, cluster, n, quota) from (group, cluster, n).
+
+    The group's total is int(n * frac), at least 1. A cluster gets its
+    proportional part rounded down, at least 1. What is then too much or too
+    little is settled by one row each, the clusters in order of their quota
+    (greatest first, then by cluster); a quota of 1 is not lowered.
+    """
+    inside = Window.partitionBy(group)
+    total = F.greatest(F.lit(1), F.floor(F.sum("n").over(inside) * frac))
+    base = counts.withColumn("_total", total).withColumn("_part", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("_total") / F.sum("n").over(inside))))
+    place = F.row_number().over(inside.orderBy(F.col("_part").desc(), cluster))
+    excess = F.sum("_part").over(inside) - F.col("_total")
+    # all quotas above 1 stand before those of 1, so one place serves both ways
+    out = base.withColumn("_excess", excess).withColumn("_place", place)
+    step = F.when((F.col("_part") > 1) & (F.col("_place") <= F.col("_excess")), -1).when(F.col("_place") <= -F.col("_excess"), 1).otherwise(0)
+    return out.select(group, cluster, "n", (F.col("_part") + step).cast("long").alias("quota"))
 
 
 def kmeans_fit(sample: DataFrame, features: str, k: int, seed=42, max_iter=20):

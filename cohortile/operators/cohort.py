@@ -39,9 +39,8 @@ def slides_to_master(slides: DataFrame, master: DataFrame, mode="segments", orde
     return matched, unmatched
 
 
-def survival_labels(labels: DataFrame, master: DataFrame, mode="segments", filter_invalid=True):
-    """(survival rows, rejects). Rejects are never emitted as rows; without
-    ``filter_invalid`` they are reported."""
+def survival_labels(labels: DataFrame, master: DataFrame, mode="segments"):
+    """(survival rows, rejects). Rejects are never among the rows."""
     matched, unmatched = slides_to_master(labels, master, mode)
     tagged = matched.withColumn("_s", survival_time_event("death_days_to", "days_to_last_followup"))
     rows = tagged.filter(F.col("_s").isNotNull()).select(
@@ -49,7 +48,7 @@ def survival_labels(labels: DataFrame, master: DataFrame, mode="segments", filte
     bad = tagged.filter(F.col("_s").isNull()).select(
         "slide_id", "patient_id", F.lit("invalid survival data").alias("reason"))
     rejects = unmatched.unionByName(bad)
-    return rows, rejects.limit(0) if filter_invalid else rejects
+    return rows, rejects
 
 
 def case_label(clinical: DataFrame, kind: str, case="case_id", value="value") -> DataFrame:

@@ -15,7 +15,6 @@ from ..plans.ordered import running_sums
 from ..session import durable
 
 METHODS = ("spearman", "pearson")
-DEFAULT_FACTOR = 0.6
 
 
 def feature_values(df: DataFrame, keys, features: str, extra=()) -> DataFrame:
@@ -117,7 +116,7 @@ def abs_correlation(df: DataFrame, keys, ids: str, features: str, method="spearm
         *keys, "_top", n, F.transform("_diag", lambda d: d["d"]).alias("_diag"))
     var = lambda sq, s: sq - s * s / F.col(n)
     j = gram.filter("i > 0").join(side, keys).select(
-        *keys, (F.col("i") - 1).alias("feature"), n, F.slice("row", 2, 1000000).alias("_g"), F.slice("_top", 2, 1000000).alias("_s"), "_diag",
+        *keys, (F.col("i") - 1).alias("feature"), n, F.slice("row", 2, F.size("row") - 1).alias("_g"), F.slice("_top", 2, F.size("_top") - 1).alias("_s"), "_diag",
         F.get("_top", F.col("i")).alias("_si"), F.get("_diag", F.col("i") - 1).alias("_di"))
     sd = lambda q, s: F.sqrt(F.greatest(var(q, s), F.lit(0.0)))
     floor = 1e-12 * F.col(n)
@@ -138,7 +137,9 @@ def greedy_uncorrelated(pvals: DataFrame, corr: DataFrame, keys, thresholds, max
     a key column that holds the threshold."""
     keys = list(keys)
     own = isinstance(thresholds, str)
-    values = None if own else [float(t) if 0 <= t <= 1 else DEFAULT_FACTOR for t in thresholds]
+    values = None if own else [float(t) for t in thresholds]
+    if values and not all(0 <= t <= 1 for t in values):
+        raise ValueError(f"thresholds must lie between 0 and 1, found {values}")
     rows = pvals.select(*keys, "feature", "p_value").join(corr, keys + ["feature"])
     fields = ", ".join(f"`{k}` {pvals.schema[k].dataType.simpleString()}" for k in keys)
     extra = "" if own else "threshold double, "
@@ -172,16 +173,40 @@ def check_classes(df: DataFrame, cls: str) -> DataFrame:
     return df.withColumn(cls, F.when(F.col(cls).isin(-1, 1), F.col(cls)).otherwise(bad.cast("int")))
 
 
-def select_features(df: DataFrame, keys, ids: str, features: str, cls: str, thresholds, method="spearman",
-                    test=None, max_features=None) -> DataFrame:
-    """Quality filter, p-values, correlation and greedy pick in one go."""
-    method = method.lower() if method.lower() in METHODS else "spearman"
+def whole_columns(df: DataFrame, keys, features: str) -> DataFrame:
+    """(keys, kept): the positions, per key, that hold a number in every row.
+    Counts per key and position are summed before the shuffle."""
+    v = F.col("value").cast("double")
+    gaps = feature_values(df, keys, features).groupBy(*keys, "feature").agg(
+        F.sum((v.isNull() | F.isnan(v)).cast("long")).alias("_gaps"), F.count(F.lit(1)).alias("_rows"))
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    full = gaps.join(rows, keys).filter("_gaps = 0 and _rows = _all")
+    return full.groupBy(*keys).agg(F.array_sort(F.collect_list("feature")).alias("kept"))
+
+
+def select_features(df: DataFrame, keys, ids: str, features: str, cls: str, thresholds, method="pearson",
+                    test=None, max_features=None, quality_filter=False) -> DataFrame:
+    """p-values, correlation and greedy pick in one go.
+
+    A feature with a missing value in any row of its key is dropped first and
+    the rest goes on. ``quality_filter`` also drops features with at most
+    floor(0.1 n) distinct values. ``method`` is pearson or spearman, ``test``
+    t (the default with pearson), welch or ranksum (with spearman).
+    """
+    keys, method = list(keys), method.lower()
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     test = test or ("ranksum" if method == "spearman" else "t")
-    rows = durable(check_classes(df.select(*keys, ids, features, cls), cls))
-    counts = durable(value_counts(rows, keys, features, cls))
-    ok = column_filter(counts, keys)
-    p = feature_pvalues(rows, keys, features, cls, test, counts).join(ok.select(*keys, "feature"), [*keys, "feature"], "left_semi")
-    return greedy_uncorrelated(p, abs_correlation(rows, keys, ids, features, method), keys, thresholds, max_features)
+    rows = check_classes(df.select(*keys, ids, features, cls), cls)
+    kept = durable(whole_columns(rows, keys, features))
+    cut = rows.join(kept, keys).withColumn(features, pick_features(F.col(features), F.col("kept"))).drop("kept")
+    cut = durable(cut.filter(F.size(features) > 0))
+    counts = durable(value_counts(cut, keys, features, cls)) if quality_filter or test == "ranksum" else None
+    p = feature_pvalues(cut, keys, features, cls, test, counts)
+    if quality_filter:
+        p = p.join(column_filter(counts, keys).select(*keys, "feature"), [*keys, "feature"], "left_semi")
+    picked = greedy_uncorrelated(p, abs_correlation(cut, keys, ids, features, method), keys, thresholds, max_features)
+    return picked.join(kept, keys).withColumn("feature", F.get("kept", F.col("feature")).cast("int")).select(*picked.columns)
 
 
 # --- combining models ------------------------------------------------------------------
@@ -210,8 +235,9 @@ def feature_sources(keeps: DataFrame, keys, model="model") -> DataFrame:
 
 
 def two_stage_prune(tiles: DataFrame, labels: DataFrame, thresholds, top_k=100, score=None, align="coord",
-                    method="spearman", test=None, coords=("slide_id", "x", "y"), ties=("tile_idx",)):
+                    method="pearson", test=None, coords=("slide_id", "x", "y"), ties=("tile_idx",), quality_filter=False):
     """Stage 1 prunes each model, stage 2 the joined survivors, per threshold.
+    By default a t test and Pearson correlation; ``test="welch"`` for slides.
 
     ``labels`` holds (slide_id, class in -1/1). With ``score`` only each
     slide's ``top_k`` tiles per model take part. ``align="coord"`` joins
@@ -224,13 +250,13 @@ def two_stage_prune(tiles: DataFrame, labels: DataFrame, thresholds, top_k=100,
         rows = best(rows, ["model", "slide_id"], score, top_k, ties)
     on = list(coords) if align == "coord" else ["slide_id", "rank"]
     rows = durable(rows.withColumn("_id", F.concat_ws("|", *on)).select("model", "_id", "class", "features", *on))
-    one = durable(select_features(rows, ["model"], "_id", "features", "class", thresholds, method, test))
+    one = durable(select_features(rows, ["model"], "_id", "features", "class", thresholds, method, test, quality_filter=quality_filter))
     keeps = keep_lists(one, ["threshold", "model"])
     n_models = [r[0] for r in rows.select("model").distinct().sort("model").collect()]
     cut = rows.join(F.broadcast(keeps), "model").select(  # a few thousand indices per model
         "threshold", "model", "_id", "class", pick_features(F.col("features"), F.col("keep")).alias("features"))
     joined = concat_models(cut, ["threshold", "_id", "class"], "features", len(n_models))
-    two = select_features(joined, ["threshold"], "_id", "features", "class", "threshold", method, test)
+    two = select_features(joined, ["threshold"], "_id", "features", "class", "threshold", method, test, quality_filter=quality_filter)
     stage1 = feature_sources(keeps, ["threshold"])
     sources = stage1.join(two.select("threshold", F.col("feature").alias("pos"), "p_value"), ["threshold", "pos"])
     dims = rows.groupBy("model").agg(F.max(F.size("features")).alias("dim"))

@@ -22,10 +22,10 @@ def _one_per_key(df: DataFrame, keys, features, order):
     return df.groupBy(*keys).agg(F.min_by(features, F.col(order)).alias(features))
 
 
-def match_tiles(tiles: DataFrame, model1: str, model2: str, sample_size: int | None = 50000, seed=42,
+def match_tiles(tiles: DataFrame, model1: str, model2: str, sample_size: int | None = None, seed=42,
                 keys=("slide_id", "x", "y"), order="tile_idx") -> DataFrame:
-    """Tiles both models embedded, unique by coordinate; ``sample_size`` is the
-    operator's own sample bound, drawn by hash."""
+    """Tiles both models embedded, unique by coordinate; all of them, or
+    ``sample_size`` drawn by hash."""
     keys = list(keys)
     a = _one_per_key(tiles.filter(F.col("model") == model1), keys, "features", order)
     b = _one_per_key(tiles.filter(F.col("model") == model2), keys, "features", order)
@@ -159,7 +159,7 @@ def knn_overlap(pairs: DataFrame, keys, ids: str, k=10, x="fx", y="fy", size=204
     return per.groupBy(*keys).agg(F.avg("_j").alias("knn"))
 
 
-def pairwise_similarity(tiles: DataFrame, models, metrics=("all",), sample_size: int | None = 50000, k=10,
+def pairwise_similarity(tiles: DataFrame, models, metrics=("all",), sample_size: int | None = None, k=10,
                         seed=42, keys=("slide_id", "x", "y"), order="tile_idx", **params) -> DataFrame:
     """One row per unordered model pair. All pairs share one Gram job: the pair
     is a key of it. A pair without common objects gives no row."""

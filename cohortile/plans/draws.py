@@ -18,13 +18,13 @@ def order_hash(*parts) -> Column:
 
 
 def hash_number(*parts) -> Column:
-    """First 32 bits of the md5 as a long."""
-    return F.conv(F.substring(order_hash(*parts), 1, 8), 16, 10).cast("long")
+    """First 60 bits of the md5 as a long."""
+    return F.conv(F.substring(order_hash(*parts), 1, 15), 16, 10).cast("long")
 
 
 def hash_unit(*parts) -> Column:
     """The same bits scaled to [0, 1)."""
-    return hash_number(*parts) / F.lit(4294967296.0)
+    return hash_number(*parts) / F.lit(float(1 << 60))
 
 
 RUN_ROWS = 1_000_000

@@ -39,7 +39,7 @@ def survival_labels(spark, sf):
 select slide_id, case when patient_id is null then 'not found in master file' else 'invalid survival data' end as reason
 from j where patient_id is null or not (coalesce(d > 0, false) or coalesce(f > 0, false))""")
 def survival_rejects(spark, sf):
-    _, bad = C.survival_labels(D.slides(spark, sf), D.patients(spark, sf), filter_invalid=False)
+    _, bad = C.survival_labels(D.slides(spark, sf), D.patients(spark, sf))
     return bad.select("slide_id", "reason")
 
 

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def sql_hash(*parts):
-    return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) as bigint)"
 
 
 # --- labels and predictions of three models --------------------------------
@@ -46,7 +46,7 @@ def preds(spark, sf):
 SQL_PREDS = f"""
 scored as (
   select cast(l.doc_id as varchar) as slide_id, l.quality as label,
-         {sql_hash("cast(l.doc_id as varchar)")} / 4294967296.0::double as m1,
+         {sql_hash("cast(l.doc_id as varchar)")} / 1152921504606846976.0::double as m1,
          least(1.0::double, d.n_chars / 3000.0::double) as m2
   from labels l join documents d on l.doc_id = d.doc_id),
 long_preds as (

@@ -12,11 +12,10 @@ def test_last_row_and_master(spark):
                               "patient_id string, vital_status string, days_to_last_followup string, death_days_to string, row_ord int")
     assert C.last_row_wins(m).filter("patient_id = 'A-B-C'").first().days_to_last_followup == "7"
     s = spark.createDataFrame([("A-B-C-1", "c1"), ("D-E-F-2", "c2"), ("Q-Q-Q-3", "c3"), ("zz", "c4"), (None, "c5")], "slide_id string, case_id string")
-    rows, bad = C.survival_labels(s, m, filter_invalid=False)
+    rows, bad = C.survival_labels(s, m)
     assert [(r.slide_id, r.time, r.event) for r in rows.collect()] == [("A-B-C-1", 7.0, 0)]
     assert {(r.slide_id, r.reason) for r in bad.collect()} == {
         ("D-E-F-2", "invalid survival data"), ("Q-Q-Q-3", "not found in master file"), ("zz", "could not extract patient id"), (None, "missing slide_id")}
-    assert C.survival_labels(s, m)[1].count() == 0
     v = C.split_validation(s.withColumn("split", F.lit("train")), m).first()
     assert (v.total, v.matched, v.valid) == (5, 2, 1)
 

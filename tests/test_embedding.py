@@ -87,7 +87,6 @@ def test_silhouette(spark):
     for size in (1000, 9):
         assert K.silhouette(df, ["k"], "id", "f", "lab", size=size).first().silhouette == pytest.approx(brute_silhouette(x, lab))
     assert K.silhouette(df.filter("lab = 0"), ["k"], "id", "f", "lab").first().silhouette is None
-    assert K.silhouette(df, ["k"], "id", "f", "lab", max_rows=61).first().silhouette is None
     w = df.withColumn("w", (F.col("id") % 3 + 1).cast("int"))
     rep = np.repeat(np.arange(61), np.arange(61) % 3 + 1)
     assert K.silhouette(w, ["k"], "id", "f", "lab", weight="w").first().silhouette == pytest.approx(brute_silhouette(x[rep], lab[rep]))
@@ -147,13 +146,17 @@ def test_site_bias_and_consensus(spark):
 
 
 def test_cluster_sampling(spark):
-    assert list(K.cluster_shares(np.array([50, 30, 20]), 10)) == [5, 3, 2]
-    assert list(K.cluster_shares(np.array([97, 1, 1, 1]), 5)) == [3, 1, 1, 1]
+    counts = spark.createDataFrame([("a", 0, 50), ("a", 1, 30), ("a", 2, 20), ("b", 0, 97), ("b", 1, 1), ("b", 2, 1), ("b", 3, 1), ("c", 0, 33), ("c", 1, 33), ("c", 2, 34)], "g string, c int, n int")
+    quota = {}
+    for r in K.cluster_quota(counts, "g", "c", 0.1).orderBy("g", "c").collect():
+        quota.setdefault(r.g, []).append(r.quota)
+    # one row is moved per cluster, so b keeps one row too many
+    assert quota == {"a": [5, 3, 2], "b": [8, 1, 1, 1], "c": [4, 3, 3]}
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(f"s{i % 2}", i, [float(v) for v in rng.normal(size=2)]) for i in range(80)], "slide_id string, tile_idx int, features array<double>")
     got = K.local_cluster_sample(df, 4, 0.25, 30)
     n = {r.slide_id: r["count"] for r in got.groupBy("slide_id").count().collect()}
-    assert set(n) == {"s0", "s1"} and all(4 <= v <= 8 for v in n.values())
+    assert set(n) == {"s0", "s1"} and all(9 <= v <= 11 for v in n.values())
     m = K.kmeans_fit(got, "features", 3)
     assert K.kmeans_assign(df, m, "features").filter("cluster between 0 and 2").count() == 80
 
@@ -179,7 +182,11 @@ def test_feature_selection(spark):
     sp = np.sqrt(((len(p) - 1) * p.var(ddof=1) + (len(q) - 1) * q.var(ddof=1)) / (len(p) + len(q) - 2))
     assert t[3] == pytest.approx((p.mean() - q.mean()) / (sp * np.sqrt(1 / len(p) + 1 / len(q)))) and t[4] is None
     for method in ("spearman", "pearson"):
-        sel = E.select_features(df.withColumn("f", F.transform("f", lambda v: F.coalesce(v, F.lit(0.0)))), ["k"], "id", "f", "cls", [0.6, 1.0], method)
+        gap = {r.feature for r in E.select_features(df, ["k"], "id", "f", "cls", [1.0], method).collect()}
+        assert gap == ({0, 1, 2, 3, 4} if method == "spearman" else {0, 1, 2, 3})  # 5 has a null; the constant 4 has no t
+        nan = df.withColumn("f", F.transform("f", lambda v, i: F.when((i == 1) & (F.col("id") == 7), F.lit(float("nan"))).otherwise(v)))
+        assert {r.feature for r in E.select_features(nan, ["k"], "id", "f", "cls", [1.0], method).collect()} - {4} == {0, 2, 3}
+        sel = E.select_features(df.withColumn("f", F.transform("f", lambda v: F.coalesce(v, F.lit(0.0)))), ["k"], "id", "f", "cls", [0.6, 1.0], method, quality_filter=True)
         got = {}
         for r in sel.collect():
             got.setdefault(r.threshold, []).append(r.feature)
@@ -188,6 +195,9 @@ def test_feature_selection(spark):
     corr = {r.feature: r["corr"] for r in E.abs_correlation(df.filter("id <> 5"), ["k"], "id", "f", "pearson").collect()}
     assert corr[0][1] == pytest.approx(1) and corr[0][4] is None
     assert corr[0][3] == pytest.approx(abs(np.corrcoef(x[keep, 0], x[keep, 3])[0, 1]))
+    for wrong in ({"thresholds": [1.5]}, {"thresholds": [0.5], "method": "kendall"}):
+        with pytest.raises(ValueError):
+            E.select_features(df, ["k"], "id", "f", "cls", **wrong)
     with pytest.raises(Exception, match="class labels must be"):
         E.check_classes(df.withColumn("cls", F.lit(0)), "cls").collect()
 
