@@ -14,8 +14,11 @@ def write_partitioned(df: DataFrame, path: str, by=("threshold", "model"), mode=
     df.write.mode(mode).partitionBy(*[b for b in by if b in df.columns]).parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str, mode="overwrite") -> None:
-    """One CSV file with header: for reports of a few rows per model."""
+def write_small_csv(df: DataFrame, path: str, mode="overwrite", max_rows=100_000) -> None:
+    """One CSV file with header, for reports of a few rows per model. A table
+    of more than ``max_rows`` rows is refused: it would go through one task."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows: write a partitioned table instead")
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
