@@ -49,10 +49,13 @@ def with_ensemble(preds: DataFrame, members=None) -> DataFrame:
     return preds.select(*cols).unionByName(ens.select(*cols))
 
 
-def bootstrap_metrics(preds: DataFrame, n_iter=50, frac=0.8, seed=42, members=None) -> DataFrame:
+def bootstrap_metrics(preds: DataFrame, n_iter=50, frac=0.8, seed=42, members=None, digits=None) -> DataFrame:
     """Long rows (iter, model, metric, value). One pass over the predictions:
-    weights per item are joined once, all iterations are keys of one groupBy."""
+    weights per item are joined once, all iterations are keys of one groupBy.
+    ``digits`` rounds the ensemble's mean scores, so that equal means tie."""
     rows = with_ensemble(preds, members)
+    if digits is not None:
+        rows = rows.withColumn("score", F.when(F.col("model") == "ensemble", F.round("score", digits)).otherwise(F.col("score")))
     w = draw_weights(preds.select("slide_id"), "slide_id", n_iter, frac, seed)
     drawn = rows.join(w, "slide_id").select(
         "model", "label", "pred", "score", F.explode("draws").alias("_d")).select(

@@ -75,9 +75,12 @@ def auc(preds: DataFrame, keys, label="label", score="score", weight=None) -> Da
 
 def binary_metrics(preds: DataFrame, keys, label="label", pred="pred", score="score", weight=None,
                    f1="macro") -> DataFrame:
+    """Confusion metrics and AUC of one count table: one row per (keys, label,
+    prediction, score), summed before the shuffle and read by both."""
     keys = list(keys)
-    return confusion_metrics(preds, keys, label, pred, weight, 2, f1).join(
-        auc(preds, keys, label, score, weight), keys, "left")
+    counts = preds.groupBy(*keys, label, pred, score).agg(F.sum(_weight(weight)).alias("_times"))
+    return confusion_metrics(counts, keys, label, pred, "_times", 2, f1).join(
+        auc(counts, keys, label, score, "_times"), keys, "left")
 
 
 def one_vs_rest(preds: DataFrame, keep, probs="prob", label="label") -> DataFrame:

@@ -152,15 +152,7 @@ boot as (unpivot metrics on accuracy, auc, sensitivity, specificity, f1 into nam
 
 
 def _boot(spark, sf):
-    # ensemble scores are rounded so that equal means tie in every engine
-    p = D.preds(spark, sf)
-    b = B.with_ensemble(p).withColumn("score", F.round("score", 9))
-    base = p.select("model", "slide_id", "label", "pred", "score").unionByName(b.filter("model = 'ensemble'"))
-    w = B.draw_weights(p.select("slide_id"), "slide_id")
-    drawn = base.join(w, "slide_id").select("model", "label", "pred", "score", F.explode("draws").alias("_d")).select(
-        "model", "label", "pred", "score", "_d.iter", "_d.weight")
-    return M.binary_metrics(drawn, ["iter", "model"], weight="weight").unpivot(
-        ["iter", "model"], METRIC_COLS, "metric", "value")
+    return B.bootstrap_metrics(D.preds(spark, sf), digits=9)
 
 
 @query("bootstrap_metrics", f"with {BOOT_SQL} select cast(iter as integer) as iter, model, metric, round(value, 6) as value from boot")
