@@ -123,17 +123,40 @@ def smooth(pixels: DataFrame, dims: DataFrame, keys, method="gaussian", strength
     return rows.groupBy(*keys, "_bx", "_by").applyInPandas(run, f"{fields}, px int, py int, v double")
 
 
-def cutoffs(pixels: DataFrame, keys, rule: str, percents) -> DataFrame:
+def with_unset(pixels: DataFrame, dims: DataFrame, keys) -> DataFrame:
+    """(keys, _set, _unset, _mn, _mx) of every map in ``dims`` (keys, w, h):
+    how many pixels have a row and how many are left at 0, and the range of
+    all values. So a sparse map never has its zeros written out."""
+    keys = list(keys)
+    s = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_set"), F.min("v").alias("_mn"), F.max("v").alias("_mx"))
+    j = dims.select(*keys, (F.col("w") * F.col("h")).cast("long").alias("_all")).join(s, keys, "left").withColumn("_set", F.coalesce("_set", F.lit(0)))
+    some = F.col("_set") < F.col("_all")
+    zero = lambda f, c: F.when(some, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
+    return j.select(*keys, "_set", (F.col("_all") - F.col("_set")).alias("_unset"), zero(F.least, "_mn").alias("_mn"), zero(F.greatest, "_mx").alias("_mx"))
+
+
+def valued(pixels: DataFrame, sized: DataFrame, keys) -> DataFrame:
+    """(keys, v, _times): the set pixels, and one row for all others of a map."""
+    return pixels.select(*keys, "v", F.lit(1).cast("long").alias("_times")).unionByName(
+        sized.select(*keys, F.lit(0.0).alias("v"), F.col("_unset").alias("_times")))
+
+
+def cutoffs(pixels: DataFrame, keys, rule: str, percents, dims: DataFrame | None = None) -> DataFrame:
     """(keys, cuts): one cutoff per percent. Rules: ``pct_all`` percentile of
     all pixels, ``pct_nonzero`` percentile of the non-zero ones, ``range``
-    min + p/100 (max - min) and null for a constant map, ``fixed`` p itself."""
+    min + p/100 (max - min) and null for a constant map, ``fixed`` p itself.
+    With ``dims`` (keys, w, h) the pixels without a row count as 0."""
     keys, percents = list(keys), [float(p) for p in percents]
+    parts = [p / 100 for p in percents]
+    sized = None if dims is None else with_unset(pixels, dims, keys)
     if rule == "pct_all":
-        return exact_percentiles(pixels, keys, "v", [p / 100 for p in percents], "cuts")
+        if sized is None:
+            return exact_percentiles(pixels, keys, "v", parts, "cuts")
+        return exact_percentiles(valued(pixels, sized, keys), keys, "v", parts, "cuts", weight="_times")
     if rule == "pct_nonzero":
-        some = exact_percentiles(pixels.filter(F.col("v") > 0), keys, "v", [p / 100 for p in percents], "cuts")
-        return pixels.select(*keys).distinct().join(some, keys, "left")
-    s = pixels.groupBy(*keys).agg(F.min("v").alias("_mn"), F.max("v").alias("_mx"))
+        some = exact_percentiles(pixels.filter(F.col("v") > 0), keys, "v", parts, "cuts")
+        return (pixels if dims is None else dims).select(*keys).distinct().join(some, keys, "left")
+    s = pixels.groupBy(*keys).agg(F.min("v").alias("_mn"), F.max("v").alias("_mx")) if sized is None else sized
     if rule == "range":
         cut = lambda p: F.when(F.col("_mx") > F.col("_mn"), F.col("_mn") + F.lit(p / 100) * (F.col("_mx") - F.col("_mn")))
     elif rule == "fixed":
@@ -143,12 +166,13 @@ def cutoffs(pixels: DataFrame, keys, rule: str, percents) -> DataFrame:
     return s.select(*keys, F.array(*[cut(p) for p in percents]).alias("cuts"))
 
 
-def binarize(pixels: DataFrame, keys, rule: str, percents) -> DataFrame:
+def binarize(pixels: DataFrame, keys, rule: str, percents, dims: DataFrame | None = None) -> DataFrame:
     """(keys, px, py, v, on array<boolean>): the mask at every percent, kept as
-    one row per pixel. Pixels at or above the cutoff are on."""
+    one row per pixel. Pixels at or above the cutoff are on. With ``dims``
+    the pixels without a row count for the cutoff but stay without a row."""
     keys = list(keys)
     on = F.transform("cuts", lambda c: F.coalesce(F.col("v") >= c, F.lit(False)))
-    return pixels.join(cutoffs(pixels, keys, rule, percents), keys).select(*keys, "px", "py", "v", on.alias("on"))
+    return pixels.join(cutoffs(pixels, keys, rule, percents, dims), keys).select(*keys, "px", "py", "v", on.alias("on"))
 
 
 def rasterize_polygons(polygons: DataFrame, scale: DataFrame, keys=("slide_id", "tissue"), by="slide_id") -> DataFrame:
@@ -210,25 +234,31 @@ def coverage(both_px, whole_px):
 PERCENTS = (25, 50, 60, 70, 80, 90)
 
 
-def slide_overlap(heat: DataFrame, masks: DataFrame, annotated: DataFrame, percents=PERCENTS, key="slide_id") -> DataFrame:
+def slide_overlap(heat: DataFrame, masks: DataFrame, annotated: DataFrame, percents=PERCENTS, key="slide_id",
+                  dims: DataFrame | None = None) -> DataFrame:
     """Long rows (slide, tissue, percentile, metric, value): dice, coverage of the
     tissue and share of the attention in it, range cutoffs.
 
-    ``heat`` covers the whole raster; ``masks`` holds set pixels per tissue;
-    ``annotated`` lists the (slide, tissue) pairs to report, so an empty mask
-    still gives its row (null where undefined). The percents are columns of
-    one aggregate, not copies of the pixels.
+    ``heat`` covers the whole raster, or only set pixels if ``dims`` (slide, w,
+    h) is given; then the others are 0 and are only counted. ``masks`` holds
+    set pixels per tissue; ``annotated`` lists the (slide, tissue) pairs to
+    report, so an empty mask still gives its row (null where undefined). The
+    percents are columns of one aggregate, not copies of the pixels.
     """
     heat = durable(heat)
-    cuts = cutoffs(heat, [key], "range", percents)
-    h = heat.join(cuts, key)
-    on = lambda i: F.coalesce(F.col("v") >= F.col("cuts")[i], F.lit(False)).cast("long")
     n = len(percents)
-    attn = h.groupBy(key).agg(F.array(*[F.sum(on(i)) for i in range(n)]).alias("_attn"))
-    m = masks.select(key, "tissue", "px", "py").join(h, [key, "px", "py"], "left")
-    zero = F.coalesce
+    cuts = cutoffs(heat, [key], "range", percents, dims)
+    zeros = F.lit(0).cast("long").alias("_unset")
+    cuts = cuts.select("*", zeros) if dims is None else cuts.join(with_unset(heat, dims, [key]).select(key, "_unset"), key)
+    on = lambda i, v="v": F.coalesce(F.col(v) >= F.col("cuts")[i], F.lit(False)).cast("long")
+    set_on = heat.join(cuts, key).groupBy(key).agg(F.array(*[F.sum(on(i)) for i in range(n)]).alias("_on"))
+    zero_on = lambda i: F.when(F.col("cuts")[i] <= 0, F.col("_unset")).otherwise(F.lit(0))
+    attn = cuts.join(set_on, key, "left").select(key, F.array(*[F.coalesce(F.col("_on")[i], F.lit(0)) + zero_on(i) for i in range(n)]).alias("_attn"))
+    m = masks.select(key, "tissue", "px", "py").join(heat.select(key, "px", "py", "v"), [key, "px", "py"], "left").join(cuts, key)
+    if dims is not None:
+        m = m.withColumn("v", F.coalesce("v", F.lit(0.0)))
     inter = m.groupBy(key, "tissue").agg(
-        F.count(F.lit(1)).alias("_px"), F.array(*[zero(F.sum(on(i)), F.lit(0)) for i in range(n)]).alias("_both"))
+        F.count(F.lit(1)).alias("_px"), F.array(*[F.coalesce(F.sum(on(i)), F.lit(0)) for i in range(n)]).alias("_both"))
     none = F.array_repeat(F.lit(0).cast("long"), n)
     base = annotated.select(key, "tissue").distinct().join(attn, key).join(inter, [key, "tissue"], "left").select(
         key, "tissue", "_attn", F.coalesce("_px", F.lit(0)).alias("_px"), F.coalesce("_both", none).alias("_both"))
@@ -263,14 +293,29 @@ def overlap_summary(rows: DataFrame, keys=("tissue", "percentile", "metric"), va
         F.avg(value).alias("mean"), F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(value)).alias("std"), n.alias("n_valid"))
 
 
-def map_overlap(pixels: DataFrame, percents=(50, 60, 70, 80, 90), rule="pct_all", tile="tile_id") -> DataFrame:
+def map_overlap(pixels: DataFrame, percents=(50, 60, 70, 80, 90), rule="pct_all", tile="tile_id", dims: DataFrame | None = None) -> DataFrame:
     """(model1, model2, tile, percentile, dice) for all model pairs over common
     tiles. Each pixel row carries its masks; a pixel's set models give its pair
-    contributions, so maps are read once for all pairs and percents."""
-    rows = durable(binarize(pixels, ["model", tile], rule, percents))
-    n = len(percents)
-    sizes = rows.groupBy(tile, "model").agg(F.array(*[F.sum(F.col("on")[i].cast("long")) for i in range(n)]).alias("_n"))
-    listed = sizes.groupBy(tile).agg(F.array_sort(F.collect_list(F.struct("model", "_n"))).alias("_l"))
+    contributions, so maps are read once for all pairs and percents.
+
+    With ``dims`` (model, tile, w, h) pixels without a row are 0 and values are
+    not negative: a cutoff of 0 or less then switches a whole map on, and its
+    overlap with another map is that map's size.
+    """
+    keys, n = ["model", tile], len(percents)
+    pixels = durable(pixels)
+    rows = binarize(pixels, keys, rule, percents, dims)
+    count = F.array(*[F.sum(F.col("on")[i].cast("long")) for i in range(n)]).alias("_n")
+    sizes = rows.groupBy(*keys).agg(count)
+    if dims is not None:
+        whole = cutoffs(pixels, keys, rule, percents, dims).join(with_unset(pixels, dims, keys).select(*keys, (F.col("_set") + F.col("_unset")).alias("_all")), keys)
+        full = F.transform("cuts", lambda c: F.coalesce(c <= 0, F.lit(False)))
+        sizes = whole.withColumn("full", full).join(sizes, keys, "left").select(*keys, "full", F.array(*[
+            F.when(F.col("full")[i], F.col("_all")).otherwise(F.coalesce(F.col("_n")[i], F.lit(0))) for i in range(n)]).alias("_n"))
+    else:
+        sizes = sizes.withColumn("full", F.array_repeat(F.lit(False), n))
+    sizes = durable(sizes)
+    listed = sizes.groupBy(tile).agg(F.array_sort(F.collect_list(F.struct("model", F.arrays_zip("_n", "full").alias("_n")))).alias("_l"))
     pairs = listed.select(tile, F.explode(combinations_of(F.transform("_l", lambda s: s["model"]), 2)).alias("_p"), F.map_from_entries("_l").alias("_m"))
     base = pairs.select(tile, F.col("_p")[0].alias("model1"), F.col("_p")[1].alias("model2"),
                         F.posexplode(F.arrays_zip(F.col("_m")[F.col("_p")[0]].alias("a"), F.col("_m")[F.col("_p")[1]].alias("b"))).alias("_i", "_z"))
@@ -279,9 +324,10 @@ def map_overlap(pixels: DataFrame, percents=(50, 60, 70, 80, 90), rule="pct_all"
         tile, "_i", F.explode(combinations_of(F.col("_s"), 2)).alias("_p")).groupBy(
         tile, "_i", F.col("_p")[0].alias("model1"), F.col("_p")[1].alias("model2")).agg(F.count(F.lit(1)).alias("_both"))
     pct = F.get(F.array(*[F.lit(float(p)) for p in percents]), F.col("_i"))
-    both = F.coalesce("_both", F.lit(0))
+    size = lambda x: F.col(f"_z.{x}._n")
+    both = F.when(F.col("_z.a.full"), size("b")).when(F.col("_z.b.full"), size("a")).otherwise(F.coalesce("_both", F.lit(0)))
     return base.join(inter, [tile, "_i", "model1", "model2"], "left").select(
-        "model1", "model2", tile, pct.alias("percentile"), dice(F.col("_z.a"), F.col("_z.b"), both, 1.0).alias("dice"))
+        "model1", "model2", tile, pct.alias("percentile"), dice(size("a"), size("b"), both, 1.0).alias("dice"))
 
 
 def map_overlap_summary(overlap: DataFrame) -> DataFrame:
@@ -291,18 +337,29 @@ def map_overlap_summary(overlap: DataFrame) -> DataFrame:
         v(F.max("dice")).alias("max_dice"), F.count("dice").alias("num_tiles"))
 
 
-def map_stats(pixels: DataFrame, keys=("model", "tile_id"), first_only_of=None) -> DataFrame:
+def map_stats(pixels: DataFrame, keys=("model", "tile_id"), first_only_of=None, dims: DataFrame | None = None) -> DataFrame:
     """Range, mean, population std, median and zero counts per map; with
-    ``first_only_of="tile_id"`` only each model's first map by name."""
+    ``first_only_of="tile_id"`` only each model's first map by name. With
+    ``dims`` (keys, w, h) pixels without a row count as 0."""
     keys = list(keys)
     if first_only_of:
         group = [k for k in keys if k != first_only_of]
-        first = pixels.groupBy(*group).agg(F.min(first_only_of).alias(first_only_of))
+        base = pixels if dims is None else dims
+        first = base.groupBy(*group).agg(F.min(first_only_of).alias(first_only_of))
         pixels = pixels.join(first, keys, "left_semi")
-    s = pixels.groupBy(*keys).agg(
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("v") != 0).cast("long")).alias("n_nonzero"))
-    med = exact_percentiles(pixels, keys, "v", [0.5], "_m")
+        dims = None if dims is None else dims.join(first, keys, "left_semi")
+    if dims is None:
+        rows = pixels.select(*keys, "v", F.lit(1).cast("long").alias("_times"))
+    else:
+        rows = valued(pixels, with_unset(pixels, dims, keys), keys).filter("_times > 0")
+    rows = rows.groupBy(*keys, "v").agg(F.sum("_times").alias("_times"))  # one row per value
+    t, v = F.col("_times"), F.col("v")
+    mean = F.sum(v * t) / F.sum(t)
+    s = rows.groupBy(*keys).agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"),
+        F.sqrt(F.greatest(F.sum(v * v * t) / F.sum(t) - mean * mean, F.lit(0.0))).alias("std"),
+        F.sum(t).alias("n"), F.sum(F.when(v != 0, t).otherwise(F.lit(0))).alias("n_nonzero"))
+    med = exact_percentiles(rows, keys, "v", [0.5], "_m", weight="_times")
     flat = F.col("max") <= F.col("min")
     return s.join(med, keys).select(
         *keys, "min", "max", "mean", "std", F.col("_m")[0].alias("median"), "n", "n_nonzero", (F.col("n") - F.col("n_nonzero")).alias("n_zero"),

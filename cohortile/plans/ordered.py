@@ -81,11 +81,11 @@ def average_ranks(df: DataFrame, keys, value: str, name="rank", size=None, windo
     return below.withColumn(name, F.col("_below") + (F.col("ties") + 1) / 2).drop("_below")
 
 
-def exact_percentiles(df: DataFrame, keys, value: str, fractions, name="pct", window_rows=None) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys, value: str, fractions, name="pct", window_rows=None, weight=None) -> DataFrame:
     """Linear-interpolated percentiles, one array per group, for groups of any
-    size. Nulls are ignored."""
+    size. Nulls are ignored; ``weight`` counts a row several times."""
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_c")).filter("_c > 0")
     placed = running_sums(counts, keys, value, {"_c": "_below"}, {"_c": "_n"}, window_rows)
 
     def at(pos):

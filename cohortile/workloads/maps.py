@@ -29,9 +29,10 @@ def dims(p):
     return p.select("model", "tile_id").distinct().select("model", "tile_id", F.lit(SIDE).alias("w"), F.lit(SIDE).alias("h"))
 
 
-def full_pixels(spark, sf):
+def sparse(spark, sf):
+    """Set pixels and the sizes of their maps."""
     p = pixels(spark, sf)
-    return R.fill_raster(p, dims(p), ["model", "tile_id"])
+    return p, dims(p)
 
 
 PIX_SQL = f"""pix as (select event_type as model, cast(user_id // 15 as varchar) as tile_id, cast(event_id % {SIDE} as integer) as px,
@@ -45,14 +46,16 @@ full_pix as (select m.model, m.tile_id, px, py, coalesce(v, 0) as v from maps m
 round(median(v), 6) as median, count(*) as n, count(*) filter (v <> 0) as n_nonzero, count(*) filter (v = 0) as n_zero,
 case when max(v) > min(v) then 0.0 else min(v) end as norm_min, case when max(v) > min(v) then 1.0 else max(v) end as norm_max from full_pix group by 1, 2""")
 def map_stats(spark, sf):
-    s = R.map_stats(full_pixels(spark, sf))
+    p, d = sparse(spark, sf)
+    s = R.map_stats(p, dims=d)
     return s.select("model", "tile_id", *[r6(c).alias(c) for c in ["min", "max", "mean", "std", "median"]], "n", "n_nonzero", "n_zero", "norm_min", "norm_max")
 
 
 @query("map_stats_first", f"""with {PIX_SQL}, f as (select model, min(tile_id) as tile_id from maps group by model)
 select model, tile_id, round(avg(v), 6) as mean, count(*) as n from full_pix join f using (model, tile_id) group by 1, 2""")
 def map_stats_first(spark, sf):
-    s = R.map_stats(full_pixels(spark, sf), first_only_of="tile_id")
+    p, d = sparse(spark, sf)
+    s = R.map_stats(p, first_only_of="tile_id", dims=d)
     return s.select("model", "tile_id", r6("mean").alias("mean"), "n")
 
 
@@ -69,11 +72,11 @@ def histogram(spark, sf):
 select model, tile_id, count(*) filter (v >= p90) as pct_all, count(*) filter (v >= nz) as pct_nonzero, count(*) filter (v >= r90) as "range", count(*) filter (v >= 0.5) as fixed
 from full_pix join c using (model, tile_id) group by 1, 2""")
 def binarize(spark, sf):
-    p = full_pixels(spark, sf)
+    p, d = sparse(spark, sf)
     keys = ["model", "tile_id"]
     out = None
     for rule, pct in (("pct_all", 90), ("pct_nonzero", 50), ("range", 90), ("fixed", 0.5)):
-        n = R.binarize(p, keys, rule, [pct]).groupBy(*keys).agg(F.sum(F.col("on")[0].cast("long")).alias(rule))
+        n = R.binarize(p, keys, rule, [pct], d).groupBy(*keys).agg(F.sum(F.col("on")[0].cast("long")).alias(rule))
         out = n if out is None else out.join(n, keys)
     return out
 
@@ -88,14 +91,16 @@ over_ as (select a.model as model1, b.model as model2, tile_id, percentile,
 
 @query("map_overlap", f"with {OVER_SQL} select model1, model2, tile_id, percentile, round(dice, 6) as dice from over_")
 def map_overlap(spark, sf):
-    o = R.map_overlap(full_pixels(spark, sf), (50, 70, 90))
+    p, d = sparse(spark, sf)
+    o = R.map_overlap(p, (50, 70, 90), dims=d)
     return o.select("model1", "model2", "tile_id", "percentile", r6("dice").alias("dice"))
 
 
 @query("map_overlap_summary", f"""with {OVER_SQL} select model1, model2, percentile, round(avg(dice), 4) as mean_dice, round(stddev_pop(dice), 4) as std_dice,
 round(min(dice), 4) as min_dice, round(max(dice), 4) as max_dice, count(*) as num_tiles from over_ group by 1, 2, 3""")
 def map_overlap_summary(spark, sf):
-    return R.map_overlap_summary(R.map_overlap(full_pixels(spark, sf), (50, 70, 90)))
+    p, d = sparse(spark, sf)
+    return R.map_overlap_summary(R.map_overlap(p, (50, 70, 90), dims=d))
 
 
 @query("symmetric_matrix", f"""with {OVER_SQL}, h as (select model1, model2, round(avg(dice), 6) as value from over_ where percentile = 90 group by 1, 2),
@@ -103,7 +108,8 @@ b as (select * from h union all select model2, model1, value from h), m as (sele
 pl as (select model1, cast(row_number() over (order by m desc, model1) as integer) as place from m)
 select b.model1, b.model2, b.value, place from b join pl using (model1) union all select model1, model1, 1.0, place from pl""")
 def symmetric_matrix(spark, sf):
-    o = R.map_overlap(full_pixels(spark, sf), (90,))
+    p, d = sparse(spark, sf)
+    o = R.map_overlap(p, (90,), dims=d)
     pairs = o.groupBy("model1", "model2").agg(F.round(F.avg("dice"), 6).alias("dice"))
     return S.symmetric_matrix(pairs, "dice", 1.0)
 
@@ -272,8 +278,8 @@ lng as (select slide_id, tissue, percentile, 'dice' as metric, 2 * b / nullif(a
 def _overlap(spark, sf):
     geo = geometry(spark, sf)
     heat = R.rasterize_tiles(slide_tiles(spark, sf), geo)
-    full = R.fill_raster(heat, geo.select("slide_id", F.col("thumb_w").alias("w"), F.col("thumb_h").alias("h")), ["slide_id"])
-    return R.slide_overlap(full, masks(spark, sf), polygons(spark, sf))
+    size = geo.select("slide_id", F.col("thumb_w").alias("w"), F.col("thumb_h").alias("h"))
+    return R.slide_overlap(heat, masks(spark, sf), polygons(spark, sf), dims=size)
 
 
 @query("slide_overlap", f"with {OVERLAP_SQL} select slide_id, tissue, percentile, metric, round(value, 6) as value from lng")
