@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..session import discard, durable
 from .components import components
 from .suffix import NAMES, PACKET, SCHEMA, array, batch_of, packet
-from .text import ALL, M1, M2, M3, ODD, flat, mix, pieces, shingles, word_hashes
+from .text import ALL, M1, M2, M3, ODD, flat, mix, pieces, shingles, short_batches, word_hashes
 
 WIDTH = 5
 #: share of the token space that is counted and ordered by frequency
@@ -249,8 +249,8 @@ def bucket_pairs(closest: bool):
         for g in np.flatnonzero(size > 16):
             for lo in range(cuts[g], cuts[g + 1], 256):
                 hi = min(lo + 256, cuts[g + 1])
-                for at in range(cuts[g], hi, 4096):
-                    to = min(at + 4096, hi)
+                for at in range(cuts[g], hi, 1024):
+                    to = min(at + 1024, hi)
                     i, j = np.meshgrid(np.arange(at, to), np.arange(lo, hi), indexing="ij")
                     keep = i < j
                     yield compare(i[keep], j[keep], c)
@@ -319,7 +319,7 @@ def join(docs: DataFrame, width=WIDTH, rare=RARE, block=BLOCK) -> tuple[DataFram
     sets), component_id; one row per row. links: verified links (a, b, shared)
     between classes that span the components. Tokens of more than ``rare``
     classes are indexed in pairs; buckets above ``block`` rows are cut."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long"), "text")
     known = docs.filter("doc_id is not null")
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = durable(known.mapInArrow(sketch(width), SKETCH))

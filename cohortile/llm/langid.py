@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import LOWER, flat, pieces
+from .text import LOWER, flat, pieces, short_batches
 
 DIMS = 4096
 ROWS = 256
@@ -93,7 +93,7 @@ def spherical_centroids(v: np.ndarray, k: int, steps: int) -> np.ndarray:
 
 def fit(docs: DataFrame, train: Column, dims=DIMS, centroids=4, per_language=1000, steps=50, seed=11) -> dict:
     """Model from the rows of ``docs`` (doc_id, text, lang) under ``train``."""
-    rows = docs.select("doc_id", "text", "lang").filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = short_batches(docs).select("doc_id", "text", "lang").filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df = {r["dim"]: r["df"] for r in document_frequency(rows, dims).collect()}  # dims + 1 numbers
     n = df.get(-1) or 0
     if not n:

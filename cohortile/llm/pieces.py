@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import pieces as text_pieces
+from .text import short_batches
 
 MARK = "▁"
 #: longest chunk whose agenda is a plain list
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, model=MODEL, **options) -> DataFrame:
         for b in text_pieces(batches):
             ids = [c.encode(t, k) for t, k in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", key_column())
+    rows = short_batches(docs).select(F.col("doc_id").cast("long"), "text").withColumn("key", key_column())
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
@@ -230,7 +231,7 @@ def encode_decode(docs: DataFrame, model=MODEL, **options) -> DataFrame:
             new = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()),
                    pa.array([a == d for a, d in zip(texts, back, strict=True)])]
             yield pa.RecordBatch.from_arrays([*(pa.array(back, pa.string()) if x == "text" else b.column(x) for x in names), *new], names=[*names, "ids", "n_ids", "lossless"])
-    rows = docs.select(*names)
+    rows = short_batches(docs).select(*names)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("ids array<int>, n_ids long, lossless boolean").fields])
     return rows.withColumn("_key", key_column()).mapInArrow(run, schema)
 
@@ -249,5 +250,5 @@ def round_trip(docs: DataFrame, model=MODEL, **options) -> DataFrame:
                 out["ids_hash"].append(xxhash.xxh64_hexdigest(b"" if ids is None else ids.tobytes()))
                 out["lossless"].append(c.decode(ids) == text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, out.values())], names=["doc_id", *out])
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", key_column())
+    rows = short_batches(docs).select(F.col("doc_id").cast("long"), "text").withColumn("key", key_column())
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_ids long, ids_hash string, lossless boolean")

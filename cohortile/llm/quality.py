@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import M1, ODD, flat, mix, pieces, word_hashes
+from .text import M1, ODD, flat, mix, pieces, short_batches, word_hashes
 
 BITS = 18
 
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows=10_000, bits=BITS, seed=7,
     no text outside the sample is moved. One task learns from the sample.
     """
     labels = labels.select(F.col("doc_id").cast("long"), F.col("grade").cast("int")).filter("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long"), "text")
     ids = docs.select("doc_id").distinct().join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     sample = docs.join(F.broadcast(ids), "doc_id")  # max_rows ids at most
 

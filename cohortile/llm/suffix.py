@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable
-from .text import M2, M3, flat, mix, pieces, powers, prefix_sums, span_hashes
+from .text import M2, M3, flat, mix, pieces, powers, prefix_sums, short_batches, span_hashes
 
 WIDTH = 50
 GRAM = 24
@@ -298,7 +298,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> DataFrame:
     """id, print (of the text), starts, ends: the byte spans that a document loses; one row for each that loses some."""
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs.select("doc_id", "text")).select("id", "print", "text").filter(F.octet_length("text") >= width)
+    texts = keyed(short_batches(docs).select("doc_id", "text")).select("id", "print", "text").filter(F.octet_length("text") >= width)
     asked = texts.mapInArrow(ask_keys(shards, width, gram), PACKET).groupBy("route").applyInArrow(answer_keys, PACKET)
     shared = asked.groupBy("chunk").applyInArrow(keys_by_document, "id long, print long, keys binary")
     shared = durable(shared.dropDuplicates(["id", "print"]))

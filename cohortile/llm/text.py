@@ -12,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+#: just under a power of two, to which the tables of powers are rounded up
+PIECE_BYTES = (1 << 20) - 64
+#: rows of text in an Arrow batch; the default of 10,000 is made for narrow rows
+BATCH_ROWS = "1000"
 PIECE_ROWS = 4096
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -28,6 +31,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def short_batches(df):
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, unless the user
+    has set a number: a batch of long texts is held by the JVM and by Python."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

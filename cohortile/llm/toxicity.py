@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, M1, M3, ODD, flat, mix, pieces, prefix_sums, span_hashes, words
+from .text import LOWER, M1, M3, ODD, flat, mix, pieces, prefix_sums, short_batches, span_hashes, words
 
 BITS = 20
 _LETTERS = np.zeros(256, bool)
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows=16_000, bits=BITS, seed=5,
     no text outside the sample is moved. One task learns from the sample.
     """
     labels = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("double")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long"), "text")
     ids = docs.select("doc_id").distinct().join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     sample = docs.join(F.broadcast(ids), "doc_id")  # max_rows ids at most
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, shared_folder
-from .text import pieces
+from .text import pieces, short_batches
 
 #: fixed values of the Zstandard formats
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -160,7 +160,7 @@ def revisits(pages: DataFrame, min_bytes=0) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, min_bytes=0, frame_bytes=1 << 18, bundle_bytes=1 << 26, level=3) -> DataFrame:
     """Writes the bundles and returns the index: bundle, record_id, frame, offset, length."""
-    twins = revisits(pages, min_bytes).withColumnRenamed("page_id", "_page").withColumnRenamed("sha", "_sha")
+    twins = revisits(short_batches(pages), min_bytes).withColumnRenamed("page_id", "_page").withColumnRenamed("sha", "_sha")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     # page_id is the main key, so the payload's hash only tells repeated ids apart
     same = rows["page_id"].eqNullSafe(twins["_page"]) & (F.sha1(rows["html"]) == twins["_sha"])
