@@ -257,6 +257,22 @@ def institution_bias(tiles: DataFrame, sample_frac=0.1, min_slides=5, n_iter=50,
     return bootstrap_cluster_metrics(durable(rows), ["model", "tissue"], "_id", "features", "site", n_iter, frac, pca, seed, ["tissue"])
 
 
+def bias_values(metrics: DataFrame, by=("tissue",)) -> DataFrame:
+    """Long (by, model, iter, metric, value) of the bootstrap metrics, the
+    compactness of each site as a metric of its own."""
+    by = list(by)
+    keys = [*by, "model", "iter"]
+    plain = metrics.unpivot(keys, ["silhouette", "davies_bouldin"], "metric", "value")
+    tight = metrics.select(*keys, F.explode("compactness").alias("site", "value"))
+    return plain.unionByName(tight.select(*keys, F.concat("site", F.lit("_compactness")).alias("metric"), "value"))
+
+
+def bias_comparison(metrics: DataFrame, by=("tissue",)) -> DataFrame:
+    """Rank-sum comparison of every two models on every bootstrap metric."""
+    from .significance import pairwise_rank_sum
+    return pairwise_rank_sum(bias_values(metrics, by), [*by, "metric"])
+
+
 def slide_cluster_summary(tiles: DataFrame, scores: DataFrame, keys=("slide_id", "model")) -> DataFrame:
     """Per (slide, model): tiles per class, their ratio (null over zero) and the
     silhouette."""

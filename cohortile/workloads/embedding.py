@@ -7,6 +7,7 @@ from ..operators import clustering as K
 from ..operators import features as E
 from ..operators import similarity as S
 from ..operators import training as T
+from ..operators.bootstrap import draw_weights
 from ..plans.draws import hash_number
 from ..session import r6
 from . import standins as D
@@ -149,6 +150,57 @@ def site_bias(spark, sf):
     return K.institution_bias(t, sample_frac=0.5, min_slides=5, n_iter=50, pca=50)
 
 
+# Bootstrap on given 2-D points: 50 draws of half of each tissue's tiles, no components.
+BIAS_SQL = f"""{D.SQL_TILES},
+t as (select model, tile_idx, site, case when class = 1 then 'tumor' else 'normal' end as tissue, features[1]::double as a, features[2]::double as b from tiles),
+ids as (select tissue, tile_idx, row_number() over (partition by tissue order by md5(concat_ws('|', tile_idx::varchar, '42')), tile_idx) - 1 as pos, count(*) over (partition by tissue) as n
+  from (select distinct tissue, tile_idx from t)),
+it as (select unnest(range(0, 50)) as iter),
+dr as (select tissue, iter, {D.sql_hash("cast(iter as varchar)", "cast(pos as varchar)", "'42'")} % n as pos from ids, it where pos < floor(n * 0.5)),
+w as (select tissue, iter, pos, count(*) as w from dr group by all),
+s as (select w.iter, w.w, t.* from w join ids using (tissue, pos) join t on t.tissue = ids.tissue and t.tile_idx = ids.tile_idx),
+cnt as (select model, tissue, iter, site, sum(w) as n, sum(w * a) / sum(w) as ca, sum(w * b) / sum(w) as cb from s group by all),
+q as (select x.model, x.tissue, x.iter, x.tile_idx, x.site, x.w, y.site as other, sum(y.w * sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) as q
+  from s x join s y on x.model = y.model and x.tissue = y.tissue and x.iter = y.iter group by all),
+per as (select q.model, q.tissue, q.iter, q.tile_idx, q.w, max(case when other = q.site then n end) as own, max(case when other = q.site and n > 1 then q / (n - 1) end) as a, min(case when other <> q.site then q / n end) as b
+  from q join cnt on cnt.model = q.model and cnt.tissue = q.tissue and cnt.iter = q.iter and cnt.site = q.other group by all),
+sil as (select model, tissue, iter, sum(w)::bigint as n_rows, sum(w * case when own <= 1 then 0 when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end) / sum(w) as silhouette from per group by all),
+comp as (select s.model, s.tissue, s.iter, s.site, ca, cb, sum(w * sqrt((a - ca) * (a - ca) + (b - cb) * (b - cb))) / sum(w) as c
+  from s join cnt on cnt.model = s.model and cnt.tissue = s.tissue and cnt.iter = s.iter and cnt.site = s.site group by all),
+worst as (select x.model, x.tissue, x.iter, x.site, max((x.c + y.c) / nullif(sqrt((x.ca - y.ca) * (x.ca - y.ca) + (x.cb - y.cb) * (x.cb - y.cb)), 0)) as r
+  from comp x join comp y on x.model = y.model and x.tissue = y.tissue and x.iter = y.iter and x.site <> y.site group by all),
+db as (select model, tissue, iter, avg(r) as davies_bouldin, count(*) as n_labels from worst group by all)"""
+
+
+def _bias_2d(spark, sf):
+    t = D.tiles(spark, sf).withColumn("tissue", F.when(F.col("class") == 1, "tumor").otherwise("normal"))
+    t = t.withColumn("xy", F.transform(F.slice("features", 1, 2), lambda v: v.cast("double")))
+    return K.bootstrap_cluster_metrics(t, ["model", "tissue"], "tile_idx", "xy", "site", 50, 0.5, pca=0, within=["tissue"])
+
+
+@query("site_bias_2d", f"""with {BIAS_SQL} select sil.model, sil.tissue, cast(sil.iter as integer) as iter, n_rows, n_labels, round(silhouette, 6) as silhouette, round(davies_bouldin, 6) as davies_bouldin
+from sil join db on sil.model = db.model and sil.tissue = db.tissue and sil.iter = db.iter""")
+def site_bias_2d(spark, sf):
+    return _bias_2d(spark, sf).select("model", "tissue", "iter", "n_rows", "n_labels", r6("silhouette").alias("silhouette"), r6("davies_bouldin").alias("davies_bouldin"))
+
+
+@query("site_bias_compactness", f"""with {BIAS_SQL} select model, tissue, cast(iter as integer) as iter, site::varchar || '_compactness' as metric, round(c, 6) as value from comp""")
+def site_bias_compactness(spark, sf):
+    return K.bias_values(_bias_2d(spark, sf)).filter("metric like '%compactness'").select("model", "tissue", "iter", "metric", r6("value").alias("value"))
+
+
+@query("bootstrap_draws", f"with {BIAS_SQL} select tissue, cast(iter as integer) as iter, sum(w)::bigint as drawn, count(*) as items from w group by all")
+def bootstrap_draws(spark, sf):
+    t = D.tiles(spark, sf).withColumn("tissue", F.when(F.col("class") == 1, "tumor").otherwise("normal"))
+    w = draw_weights(t, "tile_idx", 50, 0.5, 42, ["tissue"]).select("tissue", F.explode("draws").alias("d"))
+    return w.groupBy("tissue", F.col("d.iter").alias("iter")).agg(F.sum("d.weight").alias("drawn"), F.count("*").alias("items"))
+
+
+@query("site_bias_tests")
+def site_bias_tests(spark, sf):
+    return K.bias_comparison(_bias_2d(spark, sf))
+
+
 @query("kmeans_assign", f"""with {DIST_SQL}, dims as (select unnest(range(1, 33)) as i),
 a as (select * from pt where model = 'A'),
 c as (select site as cluster, i, avg(f[i]) as c from a, dims group by 1, 2),
