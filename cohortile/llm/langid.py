@@ -30,6 +30,7 @@ from .text import LOWER, flat, pieces, short_batches
 
 DIMS = 4096
 ROWS = 256
+SALTS = 32
 SLACK, ENOUGH = 0.8, 400
 _FOLD = LOWER.copy()
 _FOLD[:128] = np.where([chr(i).isalpha() for i in range(128)], LOWER[:128], 32)
@@ -99,8 +100,10 @@ def fit(docs: DataFrame, train: Column, dims=DIMS, centroids=4, per_language=100
     if not n:
         return {"langs": [], "dims": dims}
     idf = np.array([np.log((1 + n) / (1 + (df.get(i) or 0))) + 1e-3 for i in range(dims)], np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    # first within parts of a language, so that the last rank sees SALTS x per_language ids of it at most
+    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("hash")).withColumn("salt", F.pmod("doc_id", F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))).filter(F.col("rank") <= per_language)
     sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")  # per_language ids a language at most
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable
+from ..session import discard, durable
 from .text import M2, M3, flat, mix, pieces, powers, prefix_sums, short_batches, span_hashes
 
 WIDTH = 50
@@ -306,7 +306,9 @@ def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> Data
     again = texts.join(shared.hint("merge"), ["id", "print"]).select("id", "print", "text", "keys")
     sent = again.mapInArrow(send_segments(shards, width, gram), PACKET).groupBy("route").applyInArrow(judge_segments(width, batch), PACKET)
     spans = sent.groupBy("chunk").applyInArrow(spans_by_document, "id long, print long, starts array<long>, ends array<long>")
-    return durable(spans.dropDuplicates(["id", "print"]))
+    spans = durable(spans.dropDuplicates(["id", "print"]))
+    discard(shared)
+    return spans
 
 
 def remove(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> DataFrame:
