@@ -358,13 +358,16 @@ def grid_lookup(spark, sf):
     return G.lookup_grid_class(t, _grid(spark, sf), 256).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "class_id")
 
 
-@query("boundary_sides", f"""with {PATCH_SQL}, g as (select slide_id, gy as r, gx as c, class_id as label from grid)
+BOUNDARY_SQL = f"""with {PATCH_SQL}, g as (select slide_id, gy as r, gx as c, class_id as label from grid)
 select g.slide_id, g.r, g.c, g.label, case when g.r - 1 between 0 and 21 then coalesce(t.label <> g.label, true) else false end as top,
  case when g.r + 1 between 0 and 21 then coalesce(b.label <> g.label, true) else false end as bottom,
  case when g.c - 1 between 0 and 41 then coalesce(l.label <> g.label, true) else false end as "left",
  case when g.c + 1 between 0 and 41 then coalesce(rr.label <> g.label, true) else false end as "right"
 from g left join g t on t.slide_id = g.slide_id and t.r = g.r - 1 and t.c = g.c left join g b on b.slide_id = g.slide_id and b.r = g.r + 1 and b.c = g.c
-left join g l on l.slide_id = g.slide_id and l.r = g.r and l.c = g.c - 1 left join g rr on rr.slide_id = g.slide_id and rr.r = g.r and rr.c = g.c + 1""")
+left join g l on l.slide_id = g.slide_id and l.r = g.r and l.c = g.c - 1 left join g rr on rr.slide_id = g.slide_id and rr.r = g.r and rr.c = g.c + 1"""
+
+
+@query("boundary_sides", BOUNDARY_SQL)
 def boundary_sides(spark, sf):
     g = _grid(spark, sf).select("slide_id", F.col("gy").alias("r"), F.col("gx").alias("c"), F.col("class_id").alias("label"), F.lit(1).alias("ord"))
     return G.boundary_sides(g, ["slide_id"], 22, 42)
