@@ -25,8 +25,8 @@ from ..session import durable
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: candidate cutoffs, in thousandths
-CUTOFFS = [0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700]
+#: candidate cutoffs, in thousandths; none at 0, where a single symbol or line would reject
+CUTOFFS = [10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700]
 #: rule name to (numerator, denominator)
 RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
 
@@ -92,7 +92,7 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k <= n * rate, total).otherwise(F.lit(1.0))
 
 
-def cutoffs(good: DataFrame, alpha=0.03, delta=0.05, grid=CUTOFFS) -> DataFrame:
+def cutoffs(good: DataFrame, alpha=0.01, delta=0.05, grid=CUTOFFS) -> DataFrame:
     """stratum, rule, cutoff, n, rejected, p_value: the lowest admitted cutoff of each rule.
 
     ``good``: features of the labelled good documents. Every document is

@@ -149,7 +149,7 @@ def test_thresholds_hold_the_risk(spark):
     rows = [(20_000 + i, clean() if i % 4 else dirty(), "en" if i < 1600 else None) for i in range(1700)]
     docs = table(spark, [*rows, *[(i, t, "en") for i, t in EDGES]])
     labels = spark.createDataFrame([*[(20_000 + i, int(i % 4 > 0)) for i in range(1700)], (20_000, 0), (20_004, None), (55555, 1)], "doc_id long, quality int")
-    got = {x["doc_id"]: x for x in rules.apply(docs, labels).collect()}
+    got = {x["doc_id"]: x for x in rules.apply(docs, labels, alpha=0.03).collect()}
     assert all(got[20_000 + i]["kept"] for i in range(1600) if i % 4) and not any(got[20_000 + i]["kept"] for i in range(0, 1600, 4))
     assert got[20_000]["rejected_by"] == "symbols"
     assert all(got[20_000 + i]["kept"] for i in range(1600, 1700))  # too few labels: nothing is rejected
