@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..session import discard, durable
 from .components import components
 from .suffix import NAMES, PACKET, SCHEMA, array, batch_of, packet
-from .text import ALL, M1, M2, M3, ODD, flat, mix, pieces, shingles, short_batches, word_hashes
+from .text import ALL, M1, M2, M3, ODD, flat, give_back, mix, pieces, shingles, short_batches, word_hashes
 
 WIDTH = 5
 #: share of the token space that is counted and ordered by frequency
@@ -286,6 +286,7 @@ def bucket_pairs(closest: bool):
             done = out(held, np.array([0, len(held["sig"])]))
             if done is not None:
                 yield done
+        give_back()
     return run
 
 

@@ -44,11 +44,11 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 class Codec:
     """Encoder and decoder over one model file."""
 
-    def __init__(self, model=MODEL, dropout=0.1, seed=1, variants=2, cache=1 << 20):
+    def __init__(self, model=MODEL, dropout=0.1, seed=1, variants=2, cache=1 << 19):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache // variants
+        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache // (2 * variants)
         text, self.byte, self.bytes = {}, {}, [b""] * sp.get_piece_size()
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
@@ -83,7 +83,9 @@ class Codec:
         self.width = np.array([len(b) for b in self.bytes], np.int64)
         self.where, self.blob = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.split = re.compile(f" *[^ {MARK}{line}]+| +|[{MARK}{line}]").findall
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        # two generations: what is used stays, what is not used is dropped with the older one
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def chunk(self, chunk: str, variant: int) -> bytes:
         """Ids (int32) of one chunk under one variant.
@@ -165,14 +167,16 @@ class Codec:
         chunks, v = self.split(" " + text), self.variants
         found: list = [None] * len(chunks)
         for k in range(v):
-            known, part = self.cache[k], chunks[(k - key) % v::v]
+            known, part = self.young[k], chunks[(k - key) % v::v]
             got = list(map(known.get, part))
             if None in got:
+                before = self.old[k].get
                 for i, x in enumerate(got):
                     if x is None:
-                        if len(known) >= self.limit:
-                            known.clear()
-                        got[i] = known[part[i]] = self.chunk(part[i], k)
+                        c = part[i]
+                        got[i] = known[c] = before(c) or self.chunk(c, k)
+                if len(known) >= self.limit:
+                    self.old[k], self.young[k] = known, {}
             found[(k - key) % v::v] = got
         return np.frombuffer(b"".join(found), np.int32)
 

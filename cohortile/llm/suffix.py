@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import discard, durable
-from .text import M2, M3, flat, mix, pieces, powers, prefix_sums, short_batches, span_hashes
+from .text import M2, M3, flat, give_back, mix, pieces, powers, prefix_sums, short_batches, span_hashes
 
 WIDTH = 50
 GRAM = 24
 BATCH = 1 << 16
+#: larger pieces repeat less of what many documents share
+CHUNK_BYTES = (1 << 21) - 64
 LAST_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 40) - 1)
 #: other byte values for the second fingerprint
@@ -107,7 +109,7 @@ def by_shard(key, shards):
 def ask_keys(shards, width, gram):
     """Step 1, in a piece: its distinct keys to their shards; its documents and locally shared keys to itself."""
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, limit=CHUNK_BYTES):
             ids, prints, chunk = keys_of(b)
             data, offs = flat(b.column("text"))
             _, _, key, doc, _ = segments(data, offs, width, gram)
@@ -163,7 +165,7 @@ def keys_by_document(t: pa.Table) -> pa.Table:
 def send_segments(shards, width, gram):
     """Step 2, in a piece: shared segments to their shards, one for equal bytes; the later copies go at once."""
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, limit=CHUNK_BYTES):
             ids, prints, chunk = keys_of(b)
             data, offs = flat(b.column("text"))
             start, n, key, doc, sums = segments(data, offs, width, gram)
@@ -268,6 +270,7 @@ def judge_segments(width, batch=BATCH):
                 for i in np.flatnonzero(np.diff(cuts)):
                     pick = order[cuts[i]:cuts[i + 1]]
                     out.append(packet(0, 0, chunks[i], doc[e[pick]], begin[pick], end[pick]))
+        give_back()
         return pa.concat_tables([own.select(NAMES).cast(SCHEMA), pa.Table.from_batches([batch_of(out)])])
     return run
 

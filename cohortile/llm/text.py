@@ -8,6 +8,8 @@ empty one. No text is cut: a text longer than the piece size is a piece alone.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +42,16 @@ def short_batches(df):
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and
+    several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -66,6 +78,7 @@ def pieces(batches, column="text", limit=PIECE_BYTES, rows=PIECE_ROWS):
             to = min(n, to, at + rows)
             yield b.slice(at, to - at)
             at = to
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
