@@ -314,33 +314,38 @@ def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> Data
     return spans
 
 
-def remove(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> DataFrame:
-    """The columns of ``docs`` (without those named like the new ones) and n_bytes,
-    n_removed, starts, ends, kept (binary: the bytes left), kept_sha256; one row per row."""
+def _with_spans(docs: DataFrame, width, gram, batch) -> DataFrame:
+    """docs with starts and ends of the spans they lose (null: none)."""
     spans = repeated_spans(docs, width, gram, batch).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "starts", "ends")
-    new = "n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, kept_sha256 string"
-    rows = docs.drop(*[x.split()[0] for x in new.split(", ")], "_id", "_print")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    joined = rows.join(spans, (key == F.col("_id")) & (F.xxhash64("text") == F.col("_print")), "left").drop("_id", "_print")
+    return docs.join(spans, (key == F.col("_id")) & (F.xxhash64("text") == F.col("_print")), "left").drop("_id", "_print")
+
+
+def _kept(batch) -> list[tuple[bytes, bytes, list, list]]:
+    """Bytes, bytes left, starts and ends of the texts of a piece."""
+    data, offs = flat(batch.column("text"))
+    out = []
+    for i, (s, e) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+        body, s, e = data[offs[i]:offs[i + 1]].tobytes(), s or [], e or []
+        out.append((body, b"".join(body[x:y] for x, y in zip([0, *e], [*s, len(body)], strict=True)) if s else body, s, e))
+    return out
+
 
+def remove(docs: DataFrame, width=WIDTH, gram=GRAM, batch=BATCH) -> DataFrame:
+    """The columns of ``docs`` (without those named like the new ones) and n_bytes,
+    n_removed, starts, ends, kept (binary: the bytes left), kept_sha256; one row per row."""
+    new = T.StructType.fromDDL("n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, kept_sha256 string")
+    rows = docs.drop(*new.names, "_id", "_print")
     names = rows.columns
 
     def cut(batches):
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.string()]
         for b in pieces(batches):
-            data, offs = flat(b.column("text"))
-            starts, ends = b.column("starts").to_pylist(), b.column("ends").to_pylist()
-            out = {"n_bytes": np.diff(offs), "n_removed": [], "starts": [], "ends": [], "kept": [], "kept_sha256": []}
-            for i in range(b.num_rows):
-                body, s, e = data[offs[i]:offs[i + 1]].tobytes(), starts[i] or [], ends[i] or []
-                kept = b"".join(body[x:y] for x, y in zip([0, *e], [*s, len(body)], strict=True)) if s else body
-                for name, value in zip(list(out)[1:], (len(body) - len(kept), s, e, kept, hashlib.sha256(kept).hexdigest()), strict=True):
-                    out[name].append(value)
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.string()]
-            arrays = [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *arrays], names=[*names, *out])
+            out = [(len(body), len(body) - len(kept), s, e, kept, hashlib.sha256(kept).hexdigest()) for body, kept, s, e in _kept(b)]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *arrays], names=[*names, *new.names])
 
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(new).fields])
-    return joined.mapInArrow(cut, schema)
+    return _with_spans(rows, width, gram, batch).mapInArrow(cut, T.StructType([*rows.schema.fields, *new.fields]))
 
 
 def without_repeats(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
@@ -348,11 +353,12 @@ def without_repeats(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
     through a character of several bytes, the rest of that character goes too."""
     names, schema = docs.columns, docs.schema
 
-    def decode(batches):
-        for b in batches:
-            for part in pieces([b], "kept"):
-                text = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(part.column("text").to_pylist(), part.column("kept").to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(k) for k, c in enumerate(names)], names=names)
+    def cut(batches):
+        for b in pieces(batches):
+            null = b.column("text").is_null().to_pylist()
+            text = pa.array([None if n else kept.decode("utf-8", "ignore") for n, (_, kept, _, _) in zip(null, _kept(b), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(k) for k, c in enumerate(names)], names=names)
+
     # other columns go under neutral names, so that none clashes
     plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_other{k}" for k, c in enumerate(names)])
-    return remove(plain, width, gram).select(*plain.columns, "kept").mapInArrow(decode, schema)
+    return _with_spans(plain, width, gram, BATCH).mapInArrow(cut, schema)
