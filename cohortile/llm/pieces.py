@@ -5,10 +5,13 @@ parameter. A text is cut into chunks (a run of spaces and what follows up to the
 next space or line end), which no piece of a BPE model with split white space
 crosses; that is checked when the model is loaded. Inside a chunk the merges stand on an
 agenda ordered by score, then position. Each candidate merge that comes up is
-skipped for good with probability ``dropout``, decided by a keyed hash of
-(seed, variant, chunk, place, merged piece). The variant of a chunk comes from the
-document's key and the chunk's place in the text, modulo ``variants``: the same
-word is cut in up to that many ways, and equal inputs always give equal output.
+skipped for good with probability ``dropout``. Every occurrence of a chunk draws
+for itself: its state is a keyed hash of (seed, document's key, the chunk's place in
+the text), and from it come the numbers of merges between one skip and the next
+(geometric, so the same as one draw a merge). Equal inputs always give equal output.
+What a chunk becomes under given skips is kept, so only skips not met before are
+worked out; the cache never changes the ids. ``variants`` is an option that bounds
+the draws instead: key and place modulo it, so a word is cut in at most that many ways.
 
 dropout 0 is the plain encoding of the model. Characters outside the vocabulary,
 and the space mark itself, become UTF-8 byte pieces, so decoding returns the
@@ -19,6 +22,7 @@ Defined cases: null gives null ids and decodes to null; empty text gives no ids.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import os
 import re
@@ -38,17 +42,41 @@ from .text import short_batches
 MARK = "▁"
 #: longest chunk whose agenda is a plain list
 SCAN = 48
+#: merges left where no skip is known to end them
+NEVER, UNKNOWN = 1 << 60, 1 << 61
+#: longest table of gaps; a gap that runs off it is drawn on
+GAPS = 1 << 12
+#: most ways of one chunk that outlive a generation of the cache
+WAYS = 256
+ALL, STEP, TURN, M1, M2 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def mixed(x):
+    """64-bit mixing of a Python int or of a uint64 array."""
+    if isinstance(x, int):
+        x = ((x ^ x >> 30) * M1) & ALL
+        x = ((x ^ x >> 27) * M2) & ALL
+        return x ^ x >> 31
+    x = (x ^ x >> np.uint64(30)) * np.uint64(M1)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(M2)
+    return x ^ x >> np.uint64(31)
+
+
 class Codec:
     """Encoder and decoder over one model file."""
 
-    def __init__(self, model=MODEL, dropout=0.1, seed=1, variants=2, cache=1 << 19):
+    def __init__(self, model=MODEL, dropout=0.1, seed=1, variants=None, cache=1 << 19):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache // (2 * variants)
+        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants, cache // 2
+        # a gap is at least k if a 64-bit draw is under 2^64 (1 - dropout)^k; ascending
+        ends, t = [], 1 << 128
+        while self.drop and len(ends) < GAPS and (t := t * ((1 << 32) - self.drop) >> 32) >> 64:
+            ends.append(t >> 64)
+        self.ends, self.endless = ends[::-1], len(ends) == GAPS
+        self.table = np.array(self.ends, np.uint64)
         text, self.byte, self.bytes = {}, {}, [b""] * sp.get_piece_size()
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
@@ -83,24 +111,58 @@ class Codec:
         self.width = np.array([len(b) for b in self.bytes], np.int64)
         self.where, self.blob = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.split = re.compile(f" *[^ {MARK}{line}]+| +|[{MARK}{line}]").findall
-        # two generations: what is used stays, what is not used is dropped with the older one
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def chunk(self, chunk: str, variant: int) -> bytes:
-        """Ids (int32) of one chunk under one variant.
+        # two generations: what is used stays, what is not used is dropped with the older one. A chunk has
+        # [merges until it is done, ids, {gap: the same after the skip there}, entries below and itself]
+        self.young: dict[str, list] = {}
+        self.old: dict[str, list] = {}
+        self.made = 0
+
+    def gap(self, state: int, j: int) -> int:
+        """Merges between skip ``j`` of an occurrence and the one before it."""
+        if not self.drop:
+            return NEVER
+        return self._on(mixed((state + (j + 1) * TURN) & ALL))
+
+    def _on(self, u: int) -> int:
+        size = len(self.ends)
+        k = total = size - bisect.bisect_right(self.ends, u)
+        while self.endless and k == size:
+            u = mixed(u ^ STEP)
+            k = size - bisect.bisect_right(self.ends, u)
+            total += k
+        return total
+
+    def draws(self, chunks: list[str], key: int) -> tuple[np.ndarray, np.ndarray]:
+        """State and first gap of each chunk of a text."""
+        at = np.arange(len(chunks), dtype=np.uint64)
+        if self.variants:
+            at = (at + np.uint64(key % self.variants)) % np.uint64(self.variants)
+            of = np.array([xxhash.xxh64_intdigest(c, self.seed & ALL) for c in chunks], np.uint64)
+        else:
+            of = np.uint64(xxhash.xxh64_intdigest(struct.pack("<Q", key & ALL), self.seed & ALL))
+        state = mixed(of + (at + np.uint64(1)) * np.uint64(STEP))
+        if not self.drop:
+            return state, np.full(len(chunks), NEVER)
+        u = mixed(state + np.uint64(TURN))
+        gaps = len(self.table) - np.searchsorted(self.table, u, "right")
+        if self.endless:
+            for i in np.flatnonzero(gaps == len(self.table)).tolist():
+                gaps[i] = self._on(int(u[i]))
+        return state, gaps
+
+    def chunk(self, chunk: str, state: int) -> tuple[bytes, list[int], int]:
+        """Ids (int32) of one occurrence of a chunk, the gaps before its skips and the merges after the last one.
 
         A word's agenda is a list scanned for its best entry; that of a long
         chunk is a heap. Order and result are the same.
         """
         if chunk == MARK:
-            return np.array([self.byte[b] for b in MARK.encode()], np.int32).tobytes()
+            return np.array([self.byte[b] for b in MARK.encode()], np.int32).tobytes(), [], 0
         chunk = chunk.replace(" ", MARK)
-        base = xxhash.xxh64_intdigest(chunk, self.seed * 1000003 + variant)
         get, unknown = self.chars.get, self.none + (1 << 22)
         symbols = [get(c, unknown) for c in chunk]
         starts = list(range(len(symbols)))
-        (self._scan if len(symbols) <= SCAN else self._heap)(symbols, starts, base)
+        path, rest = (self._scan if len(symbols) <= SCAN else self._heap)(symbols, starts, state)
         out, ids = [], self.ids
         for s, at in zip(symbols, starts):
             i = ids[s] if s < unknown else None
@@ -108,28 +170,34 @@ class Codec:
                 out.extend([self.byte[b] for b in chunk[at].encode()])
             else:
                 out.append(i)
-        return struct.pack(f"{len(out)}i", *out)
+        return struct.pack(f"{len(out)}i", *out), path, rest
 
-    def _scan(self, symbols, starts, base):
-        merge, none, drop = self.merge.get, self.none, self.drop
+    def _scan(self, symbols, starts, state):
+        merge, none, path = self.merge.get, self.none, []
+        gap = left = self.gap(state, 0)
         pairs = [merge(x << 24 | y, none) for x, y in zip(symbols, symbols[1:])]
         while pairs:
             best = min(pairs)
             if best == none:
                 break
             i = pairs.index(best)
-            if (((base ^ (starts[i] << 24 | best)) * 0xC2B2AE3D27D4EB4F) >> 31) & 0xFFFFFFFF < drop:
+            if not left:
                 pairs[i] = none
+                path.append(gap)
+                gap = left = self.gap(state, len(path))
                 continue
+            left -= 1
             symbols[i] = best
             del symbols[i + 1], starts[i + 1], pairs[i]
             if i:
                 pairs[i - 1] = merge(symbols[i - 1] << 24 | best, none)
             if i < len(pairs):
                 pairs[i] = merge(best << 24 | symbols[i + 1], none)
+        return path, gap - left
 
-    def _heap(self, symbols, starts, base):
-        merge, n = self.merge.get, len(symbols)
+    def _heap(self, symbols, starts, state):
+        merge, n, path = self.merge.get, len(symbols), []
+        gap = left = self.gap(state, 0)
         after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(a):
@@ -141,12 +209,15 @@ class Codec:
         for a in range(n):
             offer(a)
         while agenda:
-            r, a, left, right = heapq.heappop(agenda)
+            r, a, first, second = heapq.heappop(agenda)
             b = after[a]
-            if symbols[a] != left or b >= n or symbols[b] != right:
+            if symbols[a] != first or b >= n or symbols[b] != second:
                 continue
-            if (((base ^ (a << 24 | r)) * 0xC2B2AE3D27D4EB4F) >> 31) & 0xFFFFFFFF < self.drop:
+            if not left:
+                path.append(gap)
+                gap = left = self.gap(state, len(path))
                 continue
+            left -= 1
             symbols[a], symbols[b] = r, None
             after[a] = after[b]
             if after[a] < n:
@@ -156,28 +227,62 @@ class Codec:
                 offer(before[a])
         starts[:] = [a for a in range(n) if symbols[a] is not None]
         symbols[:] = [s for s in symbols if s is not None]
+        return path, gap - left
+
+    def _known(self, chunk: str) -> list:
+        """The cache's entry of a chunk, new or from the older generation."""
+        if self.made >= self.limit:
+            self.old, self.young, self.made = self.young, {}, 0
+        node = self.old.get(chunk)
+        if node is None:
+            node = [UNKNOWN, None, None, 1]
+        elif node[3] > WAYS:
+            node = [node[0], node[1], None, 1]
+        self.young[chunk] = node
+        self.made += node[3]
+        return node
+
+    def _cut(self, chunk: str, root: list, gap: int, state: int) -> bytes:
+        """Ids of an occurrence that has a skip, or of a chunk not met before."""
+        if len(chunk) > SCAN:  # hardly met twice, and large
+            return self.chunk(chunk, state)[0]
+        node, depth = root, 0
+        while gap < node[0]:
+            below = node[2].get(gap) if node[2] else None
+            if below is None:
+                break
+            node, depth = below, depth + 1
+            gap = self.gap(state, depth)
+        else:
+            return node[1]
+        out, path, rest = self.chunk(chunk, state)
+        for g in path[depth:]:
+            if node[2] is None:
+                node[2] = {}
+            node[2][g] = node = [UNKNOWN, None, None]
+            root[3] += 1
+            self.made += 1
+        node[0], node[1] = rest, out
+        return out
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray | None:
-        """Ids of a text; ``key`` picks the variants."""
+        """Ids of a text; ``key`` is its document's, from which the skips are drawn."""
         if text is None:
             return None
         if not text:
             return np.zeros(0, np.int32)
         # a space is put before the text, as the model was trained; decoding takes it off
-        chunks, v = self.split(" " + text), self.variants
-        found: list = [None] * len(chunks)
-        for k in range(v):
-            known, part = self.young[k], chunks[(k - key) % v::v]
-            got = list(map(known.get, part))
-            if None in got:
-                before = self.old[k].get
-                for i, x in enumerate(got):
-                    if x is None:
-                        c = part[i]
-                        got[i] = known[c] = before(c) or self.chunk(c, k)
-                if len(known) >= self.limit:
-                    self.old[k], self.young[k] = known, {}
-            found[(k - key) % v::v] = got
+        chunks = self.split(" " + text)
+        state, gaps = self.draws(chunks, key)
+        known = list(map(self.young.get, chunks))
+        if None in known:
+            for i, x in enumerate(known):
+                if x is None:
+                    known[i] = self.young.get(chunks[i]) or self._known(chunks[i])
+        found = [x[1] for x in known]
+        cut = np.flatnonzero(gaps < np.array([x[0] for x in known]))
+        for i, gap, s in zip(cut.tolist(), gaps[cut].tolist(), state[cut].tolist()):
+            found[i] = self._cut(chunks[i], known[i], gap, s)
         return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str | None:
@@ -197,7 +302,7 @@ def codec(model, options: tuple) -> Codec:
 
 
 def key_column(doc_id="doc_id", text="text") -> Column:
-    """Key that picks the variants of a document: its id, or its text where the id is null."""
+    """Key from which a document's skips are drawn: its id, or its text where the id is null."""
     return F.coalesce(F.xxhash64(F.col(doc_id)), F.xxhash64(F.col(text)))
 
 

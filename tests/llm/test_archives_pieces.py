@@ -101,6 +101,51 @@ def test_agendas_agree():
         assert (a, at) == (b, bt)
 
 
+def by_coin(codec, word, r, dropout):
+    """Ids of a word when a coin is thrown for each candidate merge that comes up."""
+    parts, gone = [codec.chars[x] for x in word.replace(" ", pieces.MARK)], set()
+    at = list(range(len(parts)))
+    while True:
+        ranks = [(codec.merge.get(a << 24 | b), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))]
+        ranks = [(m, k) for m, k in ranks if m is not None and (m, at[k]) not in gone]
+        if not ranks:
+            return [codec.ids[x] for x in parts]
+        m, k = min(ranks)
+        if r.random() < dropout:
+            gone.add((m, at[k]))
+        else:
+            parts[k:k + 2], at[k:k + 2] = [m], [at[k]]
+
+
+@needs_model
+def test_every_occurrence_draws_its_own_skips():
+    word, n, r = " internationalisation", 3000, random.Random(8)
+    c, plain = pieces.Codec(dropout=0.1), pieces.Codec(dropout=0.0)
+
+    def cuts(text, key):
+        out = []
+        for i in c.encode(text, key).tolist():
+            if c.bytes[i].startswith(b" "):
+                out.append([])
+            out[-1].append(i)
+        return [tuple(x) for x in out]
+
+    whole = plain.encode(word[1:]).tolist()
+    merges = len(word) - len(whole)
+    got = cuts((word * n)[1:], 7)
+    assert len(got) == n and len(set(got)) > 20
+    _, gaps = c.draws([word] * n, 7)
+    assert abs((gaps >= merges).mean() - 0.9 ** merges) < 0.03
+    assert abs(sum(list(x) == whole for x in got) / n - sum(by_coin(plain, word, r, 0.1) == whole for _ in range(n)) / n) < 0.05
+    assert len({cuts("international", key)[0] for key in range(200)}) > 5
+    # the cache never shows: every occurrence worked out alone gives the same ids
+    for codec in (c, pieces.Codec(dropout=0.1, cache=4), pieces.Codec(dropout=1e-3)):
+        chunks = codec.split(" the other thing" + word * 200 + " " + "th" * 300)
+        state, gaps = codec.draws(chunks, 3)
+        assert codec.encode("".join(chunks)[1:], 3).tobytes() == b"".join(codec.chunk(x, s)[0] for x, s in zip(chunks, state.tolist()))
+        assert gaps.tolist() == [codec.gap(s, 0) for s in state.tolist()]
+
+
 @needs_model
 def test_codec_on_tables(spark):
     rows = [(i, t, 5, "k") for i, t in enumerate(TEXTS)] + [(None, "no id", 5, "k"), (1, " ", 5, "k")]
