@@ -6,7 +6,9 @@ has several centroids (spherical k-means); the nearest by cosine decides. A
 text is rejected if its cosine is under ``SLACK`` times the lowest of any
 training text of that language. Few n-grams can only give a small cosine, so
 for a text of less than ``ENOUGH`` of them the bound falls with the root of
-their number.
+their number, and a training text's cosine counts as divided by that root, but
+not as more than the highest of its language. Training takes texts with a
+letter and, for centroids and bound, with an n-gram.
 
 Bounds, all parameters: ``per_language`` texts of a language form its
 centroids (those with the smallest hash of their id); the document frequencies
@@ -62,6 +64,11 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
+def scale(counts: np.ndarray) -> np.ndarray:
+    """Share of the cosine that a text with this few n-grams can be asked for."""
+    return np.sqrt(np.minimum(1, counts.sum(1) / ENOUGH))
+
+
 def document_frequency(docs: DataFrame, dims=DIMS) -> DataFrame:
     """(dim, df) over all texts; every task sends one sum per dim. Dim -1 counts the texts."""
     def count(batches):
@@ -75,10 +82,9 @@ def document_frequency(docs: DataFrame, dims=DIMS) -> DataFrame:
 
 
 def spherical_centroids(v: np.ndarray, k: int, steps: int) -> np.ndarray:
-    """Spherical k-means from far-apart starts; stops when nothing moves."""
-    centers = v.mean(0, keepdims=True)
-    while len(centers) < min(k, len(v)):
-        centers = np.vstack([centers, v[np.argmin((v @ centers.T).max(1))]])
+    """Spherical k-means from rows spread evenly by their cosine to the mean; stops when nothing moves."""
+    k = min(k, len(v))
+    centers = v[np.argsort(v @ v.mean(0), kind="stable")[(2 * np.arange(k) + 1) * len(v) // (2 * k)]]
     owner = None
     for _ in range(steps):
         new = (v @ centers.T).argmax(1)
@@ -94,7 +100,7 @@ def spherical_centroids(v: np.ndarray, k: int, steps: int) -> np.ndarray:
 
 def fit(docs: DataFrame, train: Column, dims=DIMS, centroids=4, per_language=1000, steps=50, seed=11) -> dict:
     """Model from the rows of ``docs`` (doc_id, text, lang) under ``train``."""
-    rows = short_batches(docs).select("doc_id", "text", "lang").filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = short_batches(docs).select("doc_id", "text", "lang").filter(train & F.col("lang").isNotNull() & has_letter())
     df = {r["dim"]: r["df"] for r in document_frequency(rows, dims).collect()}  # dims + 1 numbers
     n = df.get(-1) or 0
     if not n:
@@ -107,13 +113,23 @@ def fit(docs: DataFrame, train: Column, dims=DIMS, centroids=4, per_language=100
     sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")  # per_language ids a language at most
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.vstack([vectors(gram_counts(b.column(0), dims), idf)
-                       for b in pieces([pa.RecordBatch.from_pydict({"text": pa.array(pdf["text"], pa.string())})], rows=ROWS)])
+        v, share = [], []
+        for b in pieces([pa.RecordBatch.from_pydict({"text": pa.array(pdf["text"], pa.string())})], rows=ROWS):
+            counts = gram_counts(b.column(0), dims)
+            some = counts.any(1)  # a text of one byte has no n-gram
+            v.append(vectors(counts[some], idf))
+            share.append(scale(counts[some]))
+        v, share = np.vstack(v), np.concatenate(share)
+        if not len(v):
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "centroid": pd.Series([], dtype=object), "radius": pd.Series([], dtype=float)})
         c = spherical_centroids(v, centroids, steps)
         best = (v @ c.T).max(1)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tolist() for x in c], "radius": float(1 - best.min())})
+        least = min((best / share).min(), best.max())
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tolist() for x in c], "radius": float(1 - least)})
 
     model = sample.groupBy("lang").applyInPandas(learn, "lang string, centroid array<float>, radius double").collect()
+    if not model:
+        return {"langs": [], "dims": dims}
     model.sort(key=lambda r: r["lang"])
     return {"langs": [r["lang"] for r in model], "centers": np.array([r["centroid"] for r in model], np.float32),
             "radius": np.array([r["radius"] for r in model]), "idf": idf, "dims": dims}
@@ -130,7 +146,7 @@ def nearest(batch, model):
     best = cos.argmax(1)
     top = cos[np.arange(n), best]
     names = np.where(letter, np.array(model["langs"], object)[best], "und")
-    need = SLACK * (1 - model["radius"][best]) * np.sqrt(np.minimum(1, counts.sum(1) / ENOUGH))
+    need = SLACK * (1 - model["radius"][best]) * scale(counts)
     return names, np.where(letter, np.clip(top, 0, 1), 0).astype(float), ~letter | (top < need)
 
 

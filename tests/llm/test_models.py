@@ -49,6 +49,22 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_empty_training_rows_leave_rejection_on(spark):
+    r = random.Random(12)
+    rows = [(i, made_text(r, LANGS[x], r.randrange(30, 120)), x) for i, x in enumerate(r.choices(list(LANGS), k=240))]
+    blank = [(3000 + k, t, x) for k, (t, x) in enumerate((t, x) for x in LANGS for t in ["", " \n ", "12 .. 7", "a"])]
+    noise = [(4000 + k, " ".join("".join(chr(r.randrange(*span)) for _ in range(6)) for _ in range(60)), None) for k in range(20) for span in [(0x4E00, 0x9000), (0x0400, 0x0450)]]
+    noise += [(5000 + k, "".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(600)), None) for k in range(20)]
+    docs = table(spark, [*rows, *blank, *noise])
+    model = langid.fit(docs, F.lit(True))
+    assert all(np.linalg.norm(c) > 0.99 for c in model["centers"]) and (model["radius"] < 0.99).all()
+    got = {x["doc_id"]: x for x in langid.predict(docs, model).collect()}
+    assert all(got[i]["rejected"] for i, _, _ in noise)
+    assert all(not got[i]["rejected"] and got[i]["lang_pred"] == x for i, _, x in rows)
+    letters = langid.fit(table(spark, [(1, "a", "aa"), (2, "b", "bb")]), F.lit(True))
+    assert langid.predict(docs, letters).filter("not rejected").count() == 0
+
+
 def test_document_frequency_counts_each_text_once(spark):
     texts = ["abc abc", "abc", None, "zzz"]
     got = {x["dim"]: x["df"] for x in langid.document_frequency(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
