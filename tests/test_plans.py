@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 
 from cohortile.functions import pvalues as P
 from cohortile.plans.draws import hash_rank, hash_take, order_hash
-from cohortile.plans.ordered import average_ranks, exact_percentiles, running_sums
+from cohortile.plans.ordered import average_ranks, exact_percentiles, running_sums, scan
+
+
+@pytest.fixture(params=["merged", "many"])
+def ranges(request, spark):
+    """Small ranges merged into one by adaptive execution, or all left apart."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, request.param == "merged")
+    yield request.param
+    spark.conf.unset(key)
 
 
 def skewed(spark):
@@ -16,11 +25,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, v double")
 
 
-@pytest.mark.parametrize("window_rows", [10**6, 0])
-def test_both_ways_agree_with_numpy(spark, window_rows):
+def test_ranks_and_percentiles_agree_with_numpy(spark, ranges):
     rows, df = skewed(spark)
-    ranks = {(r.k, r.v): (r.rank, r.size) for r in average_ranks(df, ["k"], "v", size="size", window_rows=window_rows).collect()}
-    pct = {r.k: r.pct for r in exact_percentiles(df, ["k"], "v", [0.025, 0.5, 0.9], window_rows=window_rows).collect()}
+    ranks = {(r.k, r.v): (r.rank, r.size) for r in average_ranks(df, ["k"], "v", size="size").collect()}
+    pct = {r.k: r.pct for r in exact_percentiles(df, ["k"], "v", [0.025, 0.5, 0.9]).collect()}
     for k in ("hot", "cold"):
         v = np.array([b for a, b in rows if a == k])
         order = np.sort(v)
@@ -30,17 +38,33 @@ def test_both_ways_agree_with_numpy(spark, window_rows):
         assert pct[k] == pytest.approx(np.percentile(v, [2.5, 50, 90]))
 
 
-def test_running_sums_and_totals(spark):
+def test_running_sums_and_totals(spark, ranges):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 9, 4)], "k string, v int, c int")
-    for limit in (10, 0):
-        got = {(r.k, r.v): (r.below, r.all) for r in running_sums(df, ["k"], "v", {"c": "below"}, {"c": "all"}, limit).collect()}
-        assert got == {("a", 1): (0, 5), ("a", 2): (2, 5), ("b", 9): (0, 4)}
+    got = {(r.k, r.v): (r.below, r.all) for r in running_sums(df, ["k"], "v", {"c": "below"}, {"c": "all"}).collect()}
+    assert got == {("a", 1): (0, 5), ("a", 2): (2, 5), ("b", 9): (0, 4)}
+
+
+def test_scan_of_a_hot_group_uses_every_range(spark, ranges):
+    n = 5000
+    df = spark.range(n).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * 7919 % n).alias("v"), F.lit(2).alias("c"))
+    out = scan(df, ["k"], ["v"], {"c": "below"}, {"c": "all"}, {"c": "to"})
+    got = {r.v: (r.below, r.all, r.to) for r in out.filter("k = 'hot'").collect()}
+    assert [got[v] for v in sorted(got)] == [(2 * i, 9000, 2 * i + 2) for i in range(4500)]
+    assert out.filter("k != 'hot' and (below != 0 or `all` != 2)").count() == 0
+    plain = scan(df, [], ["v"], {"c": "below"})  # no key: one order over all rows
+    assert {(r.v, r.below) for r in plain.collect()} == {(i, 2 * i) for i in range(n)}
+    if ranges == "many":
+        parts = df.repartitionByRange("k", "v").withColumn("p", F.spark_partition_id()).filter("k = 'hot'").groupBy("p").count().collect()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < n / 2
+
+
+def test_scan_of_an_empty_table(spark, ranges):
+    assert scan(spark.range(0).select(F.lit("a").alias("k"), "id", F.lit(1).alias("c")), ["k"], ["id"], {"c": "n"}).collect() == []
 
 
-def test_null_keys_are_a_group(spark):
+def test_null_keys_are_a_group(spark, ranges):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "k string, v int")
-    for limit in (10, 0):
-        assert sorted(r["rank"] for r in average_ranks(df, ["k"], "v", window_rows=limit).collect()) == [1, 1, 2]
+    assert sorted(r["rank"] for r in average_ranks(df, ["k"], "v").collect()) == [1, 1, 2]
     assert hash_take(df, ["k"], ["v"], ["v"], 1).count() == 2
 
 
