@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, pieces, quality, rules, suffix, toxicity, urls, warc
+from . import decontam, jaccard, langid, mixing, pieces, quality, rules, suffix, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -178,3 +178,26 @@ select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id from d left joi
 def op1(spark, sf_dir):
     classes, _ = jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return classes.select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, row_number() over () rn from documents),
+s as (select source, sum(size)::bigint ss, row_number() over (order by source is null, source) rk from d group by 1),
+w as (select *, [3, 1, 2][(rk - 1) % 3 + 1]::hugeint w, sum(ss) over ()::hugeint t from s),
+o as (select *, row_number() over (order by ss::double / w, rk) k from w),
+p as (select *, coalesce(sum(ss) over (order by k rows between unbounded preceding and 1 preceding), 0)::hugeint c, sum(w) over (order by k rows between current row and unbounded following)::hugeint l from o),
+f as (select k, c, l from p where 4 * ss * l > w * (3 * t - 4 * c) order by k limit 1),
+g as (select source, ss source_size, rk, case when not exists (select 1 from f where f.k <= p.k) then (2 * ss)::double
+  else (w * (3 * t - 4 * (select c from f)))::double / (2 * (select l from f))::double end target from p),
+q as (select d.*, source_size, rk, target, e, substr(md5(concat_ws('|', doc_id, e, 11)), 1, 15) h
+  from d join g on d.source is not distinct from g.source, (select unnest([1, 2]) e)),
+r as (select *, sum(size) over (partition by rk order by e, h, doc_id nulls first, size, rn rows unbounded preceding)::double / nullif(target, 0) fin from q),
+v as (select *, sum(size) over (order by fin nulls first, rk, e, h, doc_id nulls first, size, rn rows unbounded preceding) - size before from r)
+select doc_id, size, source_size::bigint source_size, target, sum(greatest(0, least(size, 3 * (select sum(size) from d) // 2 - before)))::bigint taken
+from v group by rn, doc_id, size, source_size, target
+"""
+
+
+@query("op11_source_mix", OP11_SQL)
+def op11(spark, sf_dir):
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), (3, 1, 2), 1.5, 2)
