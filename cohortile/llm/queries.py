@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, pieces, quality, rules, suffix, toxicity, urls, warc
+from . import decontam, jaccard, langid, mixing, pieces, prefixes, quality, rules, suffix, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -201,3 +201,32 @@ from v group by rn, doc_id, size, source_size, target
 @query("op11_source_mix", OP11_SQL)
 def op11(spark, sf_dir):
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), (3, 1, 2), 1.5, 2)
+
+
+OP12_SQL = r"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 pos,
+    coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 20 donor, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(conv_id::varchar) + 1),
+    lambda i: [ascii(substr(conv_id::varchar, i, 1))::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, v: xor(xor(a, v) >> 1, (xor(a, v) & 1) * 3988292384)), 4294967295::bigint) % 4 h from (select distinct conv_id from t)),
+u as (select c.conv_id, t.pos, r, x from c join t on t.conv_id = donor and pos < h union all select t.conv_id, t.pos, r, x from t join c using (conv_id) where pos >= h),
+n as (select conv_id, r, x, row_number() over (partition by conv_id order by pos) d from u),
+l as (select c.conv_id, coalesce(list(md5(length(r)::varchar || ':' || r || x) order by d) filter (where d is not null), []) ids from c left join n using (conv_id) group by 1),
+p as (select conv_id, len(ids) len, d, array_to_string(ids[1:d], '') k, case when d > 0 then array_to_string(ids[1:d - 1], '') end up
+  from (select conv_id, ids, unnest(range(0, len(ids) + 1)) d from l)),
+g as (select d, k, any_value(up) up, min(conv_id) conv_id, count(*) n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where d = len), '')) ends_sha256 from p group by d, k),
+w as (select d, array_to_string(l.ids[1:n.d], '') k, max(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) words from n join l using (conv_id) group by 1, 2),
+f as (select g.*, (n_convs - 1) * coalesce(words, 0) saved, (select count(*) from g h where h.d = g.d + 1 and h.up = g.k) n_children from g left join w using (d, k)),
+pairs as (select distinct a.d, a.k, b.d bd, b.k bk from p a join p b on a.conv_id = b.conv_id and b.d >= a.d),
+s as (select pairs.d, pairs.k, sum((n_children = 0)::int)::bigint n_leaves, sum(saved)::bigint saved_tokens from pairs join f on f.d = bd and f.k = bk group by 1, 2)
+select f.conv_id, f.d::bigint depth, o.conv_id parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from f join s on s.d = f.d and s.k = f.k left join g o on o.d = f.d - 1 and o.k = f.up
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark, sf_dir):
+    turns = prefixes.numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    convs = turns.filter("pos = 0").select("conv_id")
+    shared = F.crc32(F.col("conv_id").cast("string")) % 4
+    return prefixes.trie(prefixes.with_shared_heads(turns, F.col("conv_id") - F.col("conv_id") % 20, shared, 3), convs)
