@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, pieces, prefixes, quality, rules, suffix, toxicity, urls, warc
+from . import decontam, jaccard, langid, mixing, negatives, pieces, prefixes, quality, rules, suffix, toxicity, urls, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -230,3 +230,22 @@ def op12(spark, sf_dir):
     convs = turns.filter("pos = 0").select("conv_id")
     shared = F.crc32(F.col("conv_id").cast("string")) % 4
     return prefixes.trie(prefixes.with_shared_heads(turns, F.col("conv_id") - F.col("conv_id") % 20, shared, 3), convs)
+
+
+OP13_SQL = r"""
+with q as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from embeddings where vec_id is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select *, row_number() over () aid from q where id % 100 = 0),
+p as (select aid, a.id anchor_id, a.label, a.v, q.id positive_id, list_inner_product(a.v, q.v)::bigint positive_score from a join q on a.label = q.label and a.id <> q.id),
+b as (select *, row_number() over (partition by aid order by positive_score desc, positive_id) nth from p qualify nth <= 5),
+n as (select aid, q.id negative_id, list_inner_product(a.v, q.v)::bigint negative_score from a join q on a.label <> q.label)
+select anchor_id, positive_id, row_number() over (partition by aid, nth order by negative_score desc, negative_id)::int rank, negative_id, positive_score, negative_score
+from b join n using (aid) where 30 * positive_score <= 100 * negative_score and 100 * negative_score <= 90 * positive_score qualify rank <= 10
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    rows = negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    moved = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("id") % 100 == 0)
