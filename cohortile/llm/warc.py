@@ -44,6 +44,8 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 SALTS = 16
+#: tasks that read archives back
+MOST_TASKS = 100_000
 
 
 def digest(payload: bytes) -> str:
@@ -216,7 +218,9 @@ def read(spark, index: DataFrame) -> DataFrame:
                 cols = list(zip(*rows(bundle), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return index.select("bundle").distinct().mapInArrow(get, schema)
+    bundles = durable(index.select("bundle").distinct())
+    # names are a few bytes, so a count of tasks is stated; adaptive execution leaves a stated one alone
+    return bundles.repartition(max(1, min(bundles.count(), MOST_TASKS)), "bundle").mapInArrow(get, schema)
 
 
 def archive_folder(spark) -> str:
