@@ -100,9 +100,9 @@ r as (select unnest(['symbols', 'dup_lines', 'repeats']) rule), c as (select unn
 v as (select doc_id, lang, rule, case rule when 'symbols' then n_symbols when 'dup_lines' then n_dup_lines else n_repeat_words end a,
     case rule when 'symbols' then word_chars when 'dup_lines' then n_lines else n_words end b from g, r),
 k as (select lang, rule, cutoff, count(*) n, sum((1000 * a > cutoff * b)::int)::bigint x from v, c group by all),
-p as (select lang, rule, cutoff, case when x <= n * (0.01::double / 3) then (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01::double / 3) + (n - j) * ln(1 - 0.01::double / 3)))
+p as (select lang, rule, cutoff, case when x <= n * (0.03::double / 3) then (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.03::double / 3) + (n - j) * ln(1 - 0.03::double / 3)))
     from (select unnest(range(0, x + 1)) j)) else 1.0 end pv from k),
-best as (select lang, rule, min(cutoff) cutoff from p where pv <= 0.05 / ((select count(distinct coalesce(lang, '')) from g) * 36) group by all),
+best as (select lang, rule, min(cutoff) cutoff from p where pv <= 0.05 / ((select count(distinct coalesce(lang, '')) from g) * 3) group by all),
 base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not exists (select 1 from best where best.lang is not distinct from base.lang and

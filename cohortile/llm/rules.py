@@ -5,10 +5,14 @@ repeated 3-word windows. On these stand ratio rules ("reject above a cutoff").
 A cutoff is not set by hand: for every stratum, rule and candidate cutoff the
 labelled good documents that it would reject are counted, and the cutoff is
 admitted only if an exact binomial test says that its false-rejection rate is
-at most ``alpha / rules`` at level ``delta / (strata * rules * cutoffs)``
-(Bonferroni). The lowest admitted cutoff is used. So with confidence
-1 - delta no stratum loses more than ``alpha`` of its good documents by the
-rules; a stratum with too few labels gets no cutoff and loses nothing.
+at most ``alpha / rules`` at level ``delta / (strata * rules)``. The cutoffs of
+a rule are nested, so they are tested in a fixed order, loosest first, and the
+first that fails ends the row: no correction is due inside a row, a Bonferroni
+one between strata and rules is. The last admitted cutoff is used. As a lower
+cutoff rejects no less, p-values rise along the row and that is the lowest one
+under the level. So with confidence 1 - delta no stratum loses more than
+``alpha`` of its good documents by the rules; a stratum with too few labels
+gets no cutoff and loses nothing.
 
 Defined cases: null or empty text has no words and fails the base rules. Null
 stratum is a stratum of its own. A document labelled twice is good only if
@@ -92,7 +96,7 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k <= n * rate, total).otherwise(F.lit(1.0))
 
 
-def cutoffs(good: DataFrame, alpha=0.01, delta=0.05, grid=CUTOFFS) -> DataFrame:
+def cutoffs(good: DataFrame, alpha=0.03, delta=0.05, grid=CUTOFFS) -> DataFrame:
     """stratum, rule, cutoff, n, rejected, p_value: the lowest admitted cutoff of each rule.
 
     ``good``: features of the labelled good documents. Every document is
@@ -102,7 +106,7 @@ def cutoffs(good: DataFrame, alpha=0.01, delta=0.05, grid=CUTOFFS) -> DataFrame:
     per = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("rejected")) for r in RATIOS for c in grid]))
     strata = good.select("stratum").distinct().count()
-    level = delta / max(1, strata * len(RATIOS) * len(grid))
+    level = delta / max(1, strata * len(RATIOS))
     tested = per.select("stratum", "n", rows.alias("r")).select("stratum", "n", "r.*").withColumn("p_value", binomial_tail(F.col("rejected"), F.col("n"), alpha / len(RATIOS)))
     best = tested.filter(F.col("p_value") <= level).groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n", "rejected", "p_value")).alias("b"))
     return best.select("stratum", "rule", "b.*")
