@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .text import neutral
 
 WINDOW = 13
 SHINGLE = 3
@@ -120,4 +121,5 @@ def clean(docs: DataFrame, items: DataFrame, window=WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     found = contamination(docs, items, window).filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
     bad = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print")), "left_anti")
+    kept = neutral(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print")), "left_anti")
+    return kept.toDF(*docs.columns)

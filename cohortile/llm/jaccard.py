@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..session import discard, durable
 from .components import components
 from .suffix import NAMES, PACKET, SCHEMA, array, batch_of, packet
-from .text import ALL, M1, M2, M3, ODD, flat, give_back, mix, pieces, shingles, short_batches, word_hashes
+from .text import ALL, M1, M2, M3, ODD, flat, give_back, mix, neutral, pieces, shingles, short_batches, word_hashes
 
 WIDTH = 5
 #: share of the token space that is counted and ordered by frequency
@@ -383,6 +383,7 @@ def one_of_each(docs: DataFrame, width=WIDTH) -> DataFrame:
     text once; rows without an id stay."""
     classes, _ = join(docs, width)
     keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    plain = neutral(docs)
+    known = plain.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
     known = known.withColumn("_print", F.xxhash64("text")).dropDuplicates(["doc_id", "_print"]).drop("_print")
-    return known.unionByName(docs.filter("doc_id is null"))
+    return known.unionByName(plain.filter("doc_id is null")).toDF(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import LOWER, flat, pieces, short_batches
+from .text import LOWER, flat, neutral, pieces, short_batches
 
 DIMS = 4096
 ROWS = 256
@@ -173,4 +173,4 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
         for b in pieces(batches, rows=ROWS):
             keep = b.filter(pa.array(~nearest(b, model)[2]))
             yield pa.RecordBatch.from_arrays(keep.columns[:len(names)], names=names)
-    return docs.select("*", has_letter().alias("_letter")).mapInArrow(run, docs.schema)
+    return neutral(docs).withColumn("_letter", has_letter()).mapInArrow(run, docs.schema)

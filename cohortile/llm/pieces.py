@@ -27,7 +27,7 @@ import heapq
 import os
 import re
 import struct
-from functools import lru_cache
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import neutral
 from .text import pieces as text_pieces
 from .text import short_batches
 
@@ -295,10 +296,15 @@ class Codec:
         return self.blob[at].tobytes().decode()[1:]
 
 
-@lru_cache(2)
 def codec(model, options: tuple) -> Codec:
-    """One codec for each worker process, so that its cache outlives a task."""
-    return Codec(model, **dict(options))
+    """One codec for each worker process, so that its cache outlives a task. It
+    is kept by ``sys``: this module may not be installed where the task runs."""
+    held = vars(sys).setdefault("_piece_codecs", {})
+    if (model, options) not in held:
+        while len(held) > 1:
+            del held[next(iter(held))]
+        held[model, options] = Codec(model, **dict(options))
+    return held[model, options]
 
 
 def key_column(doc_id="doc_id", text="text") -> Column:
@@ -339,10 +345,10 @@ def encode_decode(docs: DataFrame, model=MODEL, **options) -> DataFrame:
             back = [c.decode(x) for x in ids]
             new = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()),
                    pa.array([a == d for a, d in zip(texts, back, strict=True)])]
-            yield pa.RecordBatch.from_arrays([*(pa.array(back, pa.string()) if x == "text" else b.column(x) for x in names), *new], names=[*names, "ids", "n_ids", "lossless"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(back, pa.string()) if x == "text" else b.column(k) for k, x in enumerate(names)), *new], names=[*names, "ids", "n_ids", "lossless"])
     rows = short_batches(docs).select(*names)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("ids array<int>, n_ids long, lossless boolean").fields])
-    return rows.withColumn("_key", key_column()).mapInArrow(run, schema)
+    return neutral(rows).withColumn("_key", key_column()).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, model=MODEL, **options) -> DataFrame:

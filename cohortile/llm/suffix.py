@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import discard, durable
-from .text import M2, M3, flat, give_back, mix, pieces, powers, prefix_sums, short_batches, span_hashes
+from .text import M2, M3, flat, give_back, mix, neutral, pieces, powers, prefix_sums, short_batches, span_hashes
 
 WIDTH = 50
 GRAM = 24
@@ -359,6 +359,4 @@ def without_repeats(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
             text = pa.array([None if n else kept.decode("utf-8", "ignore") for n, (_, kept, _, _) in zip(null, _kept(b), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(k) for k, c in enumerate(names)], names=names)
 
-    # other columns go under neutral names, so that none clashes
-    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_other{k}" for k, c in enumerate(names)])
-    return _with_spans(plain, width, gram, BATCH).mapInArrow(cut, schema)
+    return _with_spans(neutral(docs), width, gram, BATCH).mapInArrow(cut, schema)

@@ -42,6 +42,12 @@ def short_batches(df):
     return df
 
 
+def neutral(docs):
+    """``docs`` with every column but doc_id and text under a neutral name, so
+    that none clashes with a column an operator adds."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"_other{k}" for k, c in enumerate(docs.columns)])
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker outlives its task, and
     several of them share an executor's memory."""
