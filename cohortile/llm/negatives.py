@@ -218,13 +218,14 @@ def _windows(column) -> np.ndarray:
 
 def search(visited: DataFrame, indexed: DataFrame, dim: int, n: int, windows: bool) -> DataFrame:
     """(row, nth, id, score): per anchor the n best other rows of its label among
-    the visited chunks (nth is 0), or the n best of other labels in each of its
-    windows (nth from 1)."""
+    the visited chunks that score ``least`` or more (nth is 0), or the n best of
+    other labels in each of its windows (nth from 1)."""
     def work(part, ids, labels, x):
         a, row, label = _matrix(part.column("v"), dim), np.asarray(part.column("row")), np.asarray(part.column("label"))
         score = exact_products(a, x)
         if not windows:
-            r, c = _best(score, (label[:, None] == labels[None]) & (np.asarray(part.column("id"))[:, None] != ids[None]), n)
+            least = np.asarray(part.column("least"), float)[:, None]
+            r, c = _best(score, (label[:, None] == labels[None]) & (np.asarray(part.column("id"))[:, None] != ids[None]) & (score >= least), n)
             return row[r], np.zeros(len(r), np.int64), ids[c], score[r, c]
         w, apart, got = _windows(part.column("windows")), label[:, None] != labels[None], []
         for k in range(w.shape[1]):
@@ -255,10 +256,10 @@ def search(visited: DataFrame, indexed: DataFrame, dim: int, n: int, windows: bo
                     found = work(part.slice(i, step), *rows)
                     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in found], names=["row", "nth", "id", "score"])
 
-    none = F.lit(None).cast(visited.schema["windows"].dataType) if windows else None
-    extra = {"windows": none} if windows else {}
-    mine = indexed.select("cell", "chunk", F.lit(0).alias("anchor"), "row", "id", "label", "v").withColumns(extra)
-    theirs = visited.select("cell", "chunk", F.lit(1).alias("anchor"), "row", "id", "label", "v", *extra)
+    asked = "windows" if windows else "least"
+    none = F.lit(None).cast(visited.schema[asked].dataType).alias(asked)
+    mine = indexed.select("cell", "chunk", F.lit(0).alias("anchor"), "row", "id", "label", "v", none)
+    theirs = visited.select("cell", "chunk", F.lit(1).alias("anchor"), "row", "id", "label", "v", asked)
     both = mine.union(theirs).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "anchor")
     return both.mapInArrow(run, "row long, nth long, id long, score long")
 
@@ -295,21 +296,25 @@ def mine(rows: DataFrame, anchor, n_positives=5, n_negatives=10, low=30, high=90
         return visits(who, books, radii, sizes, dim, **kw)
 
     # positives
-    near = durable(_first(search(walk(anchors, most=FIRST_CELLS), indexed, dim, n_positives, False), n_positives))
+    unknown = F.lit(-math.inf)
+    near = durable(_first(search(walk(anchors.withColumn("least", unknown), most=FIRST_CELLS), indexed, dim, n_positives, False), n_positives))
     reached = near.filter(F.col("rank") == n_positives).select("row", F.col("score").cast("double").alias("least"))
-    todo = anchors.join(reached, "row", "left").withColumn("least", F.coalesce("least", F.lit(-math.inf)))
+    todo = anchors.join(reached, "row", "left").withColumn("least", F.coalesce("least", unknown))
     best = durable(_first(near.drop("rank").union(search(walk(todo, floor="least", skip=FIRST_CELLS), indexed, dim, n_positives, False)), n_positives))
 
     # windows: low * positive <= 100 * score <= high * positive, in whole numbers
     opened = best.filter("score >= 0").select(
         "row", F.col("rank").alias("nth"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"),
         F.expr(f"({low} * score + 99) div 100").alias("low"), F.expr(f"({high} * score) div 100").alias("high"))
-    listed = opened.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "low", "high"))).alias("windows"), F.max("high").cast("double").alias("most"))
-    seekers = durable(anchors.join(listed, "row"))  # all of an anchor's scores >= 0 rank first, so nth is the place in the list
+    # all of an anchor's scores >= 0 rank first, so nth is the place in the list of its windows
+    listed = F.array_sort(F.collect_list(F.struct("nth", "low", "high"))).alias("windows")
+    seekers = anchors.join(opened.groupBy("row").agg(listed, F.max("high").cast("double").alias("most")), "row")
     some = durable(_first(search(walk(seekers, ceiling="most", most=FIRST_CELLS), indexed, dim, n_negatives, True), n_negatives))
     full = some.filter(F.col("rank") == n_negatives).select("row", "nth", "score")
-    needed = opened.join(full, ["row", "nth"], "left").groupBy("row").agg(F.min(F.coalesce("score", "low")).cast("double").alias("least"))
-    rest = search(walk(seekers.join(needed, "row"), floor="least", ceiling="most", skip=FIRST_CELLS), indexed, dim, n_negatives, True)
+    # a full window is only open above its last place
+    needed = opened.join(full, ["row", "nth"], "left").withColumn("low", F.coalesce("score", "low"))
+    needed = needed.groupBy("row").agg(listed, F.max("high").cast("double").alias("most"), F.min("low").cast("double").alias("least"))
+    rest = search(walk(anchors.join(needed, "row"), floor="least", ceiling="most", skip=FIRST_CELLS), indexed, dim, n_negatives, True)
     found = _first(some.drop("rank").union(rest), n_negatives)
     return found.join(opened, ["row", "nth"]).join(anchors.select("row", F.col("id").alias("anchor_id")), "row").select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
