@@ -12,91 +12,121 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.blocks import cut_blocks, pair_blocks
+from ..plans.blocks import beside, cut_blocks, pair_blocks
 from ..plans.draws import hash_rank, hash_take, order_hash
-from ..plans.gram import assemble, key_groups, keyed_gram, matrix
+from ..plans.gram import keyed_gram, matrix
 from ..session import durable, join_same_key
 from .bootstrap import draw_weights
 
+#: distances a task works out at once
+BLOCK_SCORES = 4_000_000
+
 
 def _fields(df, cols):
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
 # --- principal components ---------------------------------------------------------
-def pca_fit(df: DataFrame, keys, features: str, k: int, weight=None) -> dict:
-    """{key: (mean, components)} from one Gram pass. Only D x D matrices come to
-    the driver. k is cut to n - 1 and D; each component's largest entry is
-    positive."""
+def pca_fit(df: DataFrame, keys, features: str, k: int, weight=None) -> DataFrame:
+    """(keys, mean, components) from one Gram pass; a task solves the D x D
+    matrix of one key. k is cut to n - 1 and D; each component's largest entry
+    is positive."""
     keys = list(keys)
-    rows = keyed_gram(df, keys, features, weight=weight).toPandas()
-    found = {}
-    for key, pdf in rows.groupby(keys, sort=False) if keys else [((), rows)]:
-        n, _, mean, c = assemble(pdf)
+    gram = keyed_gram(df, keys, features, weight=weight).withColumn("_all", F.lit(1))
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def solve(t: pa.Table) -> pa.Table:
+        n, mean, c = solved(t)
         vals, vecs = np.linalg.eigh(c)
         kk = max(1, min(k, int(round(n)) - 1, len(vals)))
         v = vecs[:, np.argsort(vals)[::-1][:kk]].T
         v *= np.sign(v[np.arange(kk), np.abs(v).argmax(1)])[:, None]
-        found[key if isinstance(key, tuple) else (key,)] = (mean, v)
-    return found
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel()))
+        return pa.table({**{x: t.column(x).slice(0, 1) for x in keys}, "mean": pa.array([mean], pa.list_(pa.float64())),
+                         "components": pa.ListArray.from_arrays(pa.array([0, kk], pa.int32()), lists)})
+
+    return gram.groupBy("_all", *keys).applyInArrow(solve, f"{kinds}mean array<double>, components array<array<double>>")
+
+
+def solved(t: pa.Table):
+    """n, mean and centred matrix from the gram rows of one key."""
+    t = t.sort_by("i")
+    g = matrix(t.column("row"))
+    n, s = g[0, 0], g[0, 1:]
+    return n, np.asarray(t.column("ref")[0].values, float) + s / n, g[1:, 1:] - np.outer(s, s) / n
 
 
 def pca_project(df: DataFrame, keys, features: str, k: int, out="pcs", weight=None, fitted=None) -> DataFrame:
-    """Add the first k centred components. The fitted matrices (k x D per key)
-    are shipped with the tasks."""
-    keys = list(keys)
-    fitted = fitted or pca_fit(df, keys, features, k, weight)
+    """Add the first k centred components. The components of a key meet its rows
+    in parts of bounded size."""
+    fitted = pca_fit(df, keys, features, k, weight) if fitted is None else fitted
+    names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            vals = [None] * b.num_rows
-            for n, idx in key_groups(b, keys).items():
-                idx = range(b.num_rows) if idx is None else idx
-                mean, v = fitted[n]
-                z = (matrix(b.column(features).take(pa.array(idx))) - mean) @ v.T
-                for i, row in zip(idx, z):
-                    vals[i] = row
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vals, pa.list_(pa.float64()))], names=[*b.schema.names, out])
+    def run(part: pa.Table, found: pa.Table) -> pa.Table:
+        cols = [part.column(i) for i in range(len(names))]
+        if part.num_rows == 0 or found.num_rows == 0:
+            return pa.table([*(c.slice(0, 0) for c in cols), pa.array([], pa.list_(pa.float64()))], names=[*names, out])
+        v = np.vstack([np.asarray(c.values, float) for c in found.column("components")[0]])
+        z = (matrix(part.column(names.index(features))) - np.asarray(found.column("mean")[0].values, float)) @ v.T
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, z.shape[1]), pa.int32()), pa.array(z.ravel()))
+        return pa.table([*cols, lists], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return beside(df, fitted, keys, features, run, schema)
 
 
 # --- silhouette --------------------------------------------------------------------
-def silhouette(df: DataFrame, keys, ids: str, features: str, label: str, weight=None, size=2048) -> DataFrame:
+def silhouette(df: DataFrame, keys, ids: str, features: str, label: str, weight=None, rows=1024) -> DataFrame:
     """Exact mean Euclidean silhouette per key. A singleton scores 0, fewer than
     two labels give null. ``weight`` counts a row several times. Every row is
-    used, block against block, and only per-label sums are shuffled; the work
-    is quadratic, and ``silhouette_squared`` is the entry for large tables.
+    used, block against block: a pair of blocks meets once, its distances serve
+    both sides, and only per-label sums are shuffled. The work is quadratic;
+    ``silhouette_squared`` is the entry for large tables.
     """
     keys = list(keys)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(*keys, ids, features, F.col(label).cast("string").alias("_lab"), w.alias("_w"))
-    stats = rows.groupBy(*keys).agg(
+    table = df.select(*keys, ids, features, F.col(label).cast("string").alias("_lab"), w.alias("_w"))
+    stats = table.groupBy(*keys).agg(
         F.count_distinct("_lab").alias("_k"), F.count(F.lit(1)).alias("_rows"))
-    use = rows.join(stats.filter("_k >= 2").select(*keys), keys, "left_semi") if keys else rows
-    sizes = rows.groupBy(*keys, "_lab").agg(F.sum("_w").alias("_n"))
-    cut = cut_blocks(use, keys, [ids], size)
-    schema = f"{_fields(rows, keys + [ids])}, _lab string, _w double, _other string, _sum double"
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = matrix(left.column(features)), matrix(right.column(features))
-        la = np.array(right.column("_lab").to_pylist(), dtype=object)
-        wr = right.column("_w").to_numpy()
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0))
-        d[left.column(ids).to_numpy()[:, None] == right.column(ids).to_numpy()[None, :]] = 0.0
-        names = sorted(set(la))
-        sums = np.column_stack([d[:, la == n] @ wr[la == n] for n in names])
-        idx = pa.array(np.repeat(np.arange(len(a)), len(names)))
-        cols = {c: left.column(c).take(idx) for c in keys + [ids, "_lab", "_w"]}
-        cols |= {"_other": pa.array(names * len(a), pa.string()), "_sum": pa.array(sums.ravel())}
-        return pa.table(cols)
-
-    sums = pair_blocks(cut, cut, keys, work, schema).groupBy(*keys, ids, "_lab", "_w", "_other").agg(F.sum("_sum").alias("_sum"))
+    use = table.join(stats.filter("_k >= 2").select(*keys), keys, "left_semi") if keys else table
+    sizes = table.groupBy(*keys, "_lab").agg(F.sum("_w").alias("_n"))
+    schema = f"{_fields(table, keys + [ids])}, _lab string, _w double, _other string, _sum double"
+
+    def labels(t):
+        d = t.column("_lab").combine_chunks().dictionary_encode(null_encoding="encode")
+        return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)
+
+    def sums(t, names, total):
+        """Rows (.., other label, sum of distances) of one side."""
+        at = pa.array(np.repeat(np.arange(t.num_rows), len(names)))
+        cols = {c: t.column(c).take(at) for c in keys + [ids, "_lab", "_w"]}
+        return pa.table(cols | {"_other": pa.array(names * t.num_rows, pa.string()), "_sum": pa.array(total.ravel())})
+
+    def work(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        other = left if right is None else right
+        a, b = matrix(left.column(features)), matrix(other.column(features))
+        (na, ca), (nb, cb) = labels(left), labels(other)
+        wa, wb = left.column("_w").to_numpy(), other.column("_w").to_numpy()
+        la, lb = np.zeros((len(a), len(na))), np.zeros((len(b), len(nb)))
+        la[np.arange(len(a)), ca], lb[np.arange(len(b)), cb] = wa, wb
+        to_right, to_left, sq = np.zeros((len(a), len(nb))), np.zeros((len(b), len(na))), (b * b).sum(1)
+        ia, ib = left.column(ids).to_numpy(), other.column(ids).to_numpy()
+        step = max(1, BLOCK_SCORES // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            x = a[lo:lo + step]
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + sq[None, :] - 2 * x @ b.T, 0.0))
+            if right is None:
+                d[ia[lo:lo + step, None] == ib[None, :]] = 0.0
+            else:
+                to_left += d.T @ la[lo:lo + step]
+            to_right[lo:lo + step] = d @ lb
+        out = sums(left, nb, to_right)
+        return out if right is None else pa.concat_tables([out, sums(right, na, to_left)])
+
+    cut = cut_blocks(use, keys, ids, features, rows=rows)
+    sums_ = pair_blocks(cut, keys, work, schema).groupBy(*keys, ids, "_lab", "_w", "_other").agg(F.sum("_sum").alias("_sum"))
     own = F.col("_lab") == F.col("_other")
-    joined = sums.join(sizes.withColumnRenamed("_lab", "_other"), keys + ["_other"])
+    joined = sums_.join(sizes.withColumnRenamed("_lab", "_other"), keys + ["_other"])
     per = joined.groupBy(*keys, ids, "_w").agg(
         F.max(F.when(own, F.col("_n"))).alias("_own"),
         F.max(F.when(own & (F.col("_n") > 1), F.col("_sum") / F.nullif(F.col("_n") - 1, F.lit(0.0)))).alias("_a"),
@@ -440,45 +470,55 @@ def repeated_kmeans(items: DataFrame, ids: str, features: str, k: int, n_runs=10
     return assign(cents).select(ids, "run", "cluster")
 
 
-def consensus_summary(assignments: DataFrame, models: DataFrame, ids: str, size=2048) -> DataFrame:
-    """Mean co-clustering fraction per unordered model pair (equal names: within).
-    The items x items matrix exists only block by block inside the tasks."""
-    per = assignments.groupBy(ids).agg(F.collect_list(F.struct("run", "cluster")).alias("_r")).join(models.select(ids, "model"), ids)
-    rows = per.select(F.lit(1).alias("_all"), ids, "model", F.transform("_r", lambda r: r["run"]).alias("runs"), F.transform("_r", lambda r: r["cluster"]).alias("cl"))
-    cut = cut_blocks(rows, ["_all"], [ids], size)
-    schema = "model1 string, model2 string, total double, pairs long"
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        def one_hot(t):
-            runs, cl = t.column("runs").to_pylist(), t.column("cl").to_pylist()
-            return [dict(zip(r, c)) for r, c in zip(runs, cl)]
-        a, b = one_hot(left), one_hot(right)
-        keys = sorted({(r, c) for d in a + b for r, c in d.items()})
-        pos = {kc: i for i, kc in enumerate(keys)}
-        rpos = {r: i for i, r in enumerate(sorted({r for r, _ in keys}))}
-
-        def mats(ds):
-            m, p = np.zeros((len(ds), len(pos))), np.zeros((len(ds), len(rpos)))
-            for i, d in enumerate(ds):
-                for r, c in d.items():
-                    m[i, pos[(r, c)]] = 1
-                    p[i, rpos[r]] = 1
-            return m, p
-        (ma, pa_), (mb, pb) = mats(a), mats(b)
-        same, both = ma @ mb.T, pa_ @ pb.T
-        m = np.divide(same, both, out=np.zeros_like(same), where=both > 0)
-        off = left.column(ids).to_numpy()[:, None] != right.column(ids).to_numpy()[None, :]
-        na, nb = np.array(left.column("model").to_pylist()), np.array(right.column("model").to_pylist())
-        got = []
-        for x in sorted(set(na)):
-            for y in sorted(set(nb)):
-                sel = np.outer(na == x, nb == y) & off
-                got.append((min(x, y), max(x, y), float(m[sel].sum()), int(sel.sum())))
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(
-            ["model1", "model2", "total", "pairs"], zip(*got), [pa.string(), pa.string(), pa.float64(), pa.int64()])})
-
-    s = pair_blocks(cut, cut, ["_all"], work, schema).groupBy("model1", "model2").agg(F.sum("total").alias("_t"), F.sum("pairs").alias("_n"))
-    return s.select("model1", "model2", (F.col("_t") / F.nullif(F.col("_n"), F.lit(0))).alias("consensus"), (F.col("_n") / 2).cast("long").alias("pairs"))
+def consensus_summary(assignments: DataFrame, models: DataFrame, ids: str, by=(), rows=1024) -> DataFrame:
+    """Mean co-clustering fraction per unordered model pair (equal names: within),
+    for every combination of ``by`` (say, the number of clusters).
+
+    An item's clusters of all runs are one list of small numbers (0: not drawn
+    in that run). The items x items matrix exists only block by block inside the
+    tasks, a pair of blocks once: runs in which both were drawn, and of those the
+    runs in which their clusters agree, are added up run by run.
+    """
+    by = list(by)
+    runs = assignments.agg(F.max("run")).first()[0]
+    runs = 0 if runs is None else int(runs) + 1
+    listed = assignments.groupBy(*by, ids).agg(F.map_from_entries(F.collect_list(F.struct("run", (F.col("cluster") + 1).cast("int")))).alias("_m"))
+    coded = F.transform(F.sequence(F.lit(0), F.lit(max(runs - 1, 0))), lambda r: F.coalesce(F.try_element_at("_m", r.cast("int")), F.lit(0)))
+    table = listed.withColumn("_c", coded).join(models.select(ids, "model"), ids).withColumn("_all", F.lit(1)).select("_all", *by, ids, "model", "_c")
+    keys = ["_all", *by]
+    schema = f"{_fields(table, by)}{', ' if by else ''}model1 string, model2 string, total double, pairs long"
+
+    def work(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        other = left if right is None else right
+        a, b = matrix(left.column("_c")).astype(np.int16), matrix(other.column("_c")).astype(np.int16)
+        na, nb = (t.column("model").combine_chunks().dictionary_encode() for t in (left, other))
+        names = (na.dictionary.to_pylist(), nb.dictionary.to_pylist())
+        ma, mb = (np.eye(len(n.dictionary))[n.indices.to_numpy(zero_copy_only=False)] for n in (na, nb))
+        total = np.zeros((ma.shape[1], mb.shape[1]))
+        step = max(1, BLOCK_SCORES // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            x = a[lo:lo + step]
+            same, both = np.zeros((len(x), len(b)), np.int16), np.zeros((len(x), len(b)), np.int16)
+            for r in range(a.shape[1]):
+                u, v = x[:, r], b[:, r]
+                drawn = (u > 0)[:, None] & (v > 0)[None]
+                both += drawn
+                same += drawn & (u[:, None] == v[None])
+            share = np.divide(same, both, out=np.zeros(same.shape), where=both > 0)
+            if right is None:
+                share[np.arange(len(x)), np.arange(lo, lo + len(x))] = 0
+            total += ma[lo:lo + step].T @ share @ mb
+        count = np.outer(ma.sum(0), mb.sum(0)) - (np.diag(ma.sum(0)) if right is None else 0)
+        scale = 1.0 if right is None else 2.0  # a pair of items counts both ways
+        cells = [(min(p, q), max(p, q), total[i, j] * scale, int(count[i, j] * scale)) for i, p in enumerate(names[0]) for j, q in enumerate(names[1])]
+        cols = list(zip(*cells, strict=True)) if cells and left.num_rows else [[]] * 4
+        same_key = {c: pa.array([left.column(c)[0].as_py()] * len(cols[0]), left.schema.field(c).type) if left.num_rows else left.column(c) for c in by}
+        return pa.table(same_key | {c: pa.array(v, t) for c, v, t in zip(
+            ["model1", "model2", "total", "pairs"], cols, [pa.string(), pa.string(), pa.float64(), pa.int64()], strict=True)})
+
+    cut = cut_blocks(table, keys, ids, "_c", rows=rows)
+    s = pair_blocks(cut, keys, work, schema).groupBy(*by, "model1", "model2").agg(F.sum("total").alias("_t"), F.sum("pairs").alias("_n"))
+    return s.select(*by, "model1", "model2", (F.col("_t") / F.nullif(F.col("_n"), F.lit(0))).alias("consensus"), (F.col("_n") / 2).cast("long").alias("pairs"))
 
 
 def consensus_overall(summary: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import cut_blocks, pair_blocks
 from ..plans.draws import hash_take
-from ..plans.gram import assemble, keyed_gram, matrix
+from ..plans.gram import assemble, keyed_gram
+from ..plans.neighbours import nearest
+from ..session import durable
 
 GRAM_METRICS = ("cka", "svcca", "procrustes", "ridge")
 ALL_METRICS = GRAM_METRICS + ("knn",)
@@ -109,50 +109,19 @@ def measures_from_gram(gram: DataFrame, keys, metrics=GRAM_METRICS, **params) ->
     return gram.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def nearest_in_blocks(rows: DataFrame, keys, ids: str, spaces, k: int, size=2048) -> DataFrame:
+def nearest_in_spaces(rows: DataFrame, keys, ids: str, spaces, k: int, size=2048) -> DataFrame:
     """(keys, id, space, neighbour, d2): the k nearest other rows in every
-    feature space. Each block pair passes on k candidates per row; squared
-    distances are rounded to 9 digits so that equal rows tie by id."""
-    keys = list(keys)
-    cut = cut_blocks(rows.select(*keys, ids, *spaces), keys, [ids], size)
-    key_fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys + [ids])
-    schema = f"{key_fields}, space string, neighbour {rows.schema[ids].dataType.simpleString()}, d2 double"
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by(ids)  # a stable sort by distance then breaks ties by id
-        li, ri = left.column(ids).to_numpy(), right.column(ids).to_numpy()
-        take = min(k, len(ri))
-        idx, space, nb, dist = [], [], [], []
-        for s in spaces if len(li) and len(ri) else []:
-            a, b = matrix(left.column(s)), matrix(right.column(s))
-            d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-            d = np.round(np.maximum(d, 0.0), 9)
-            d[li[:, None] == ri[None, :]] = np.inf
-            c = np.argsort(d, axis=1, kind="stable")[:, :take].ravel()
-            r = np.repeat(np.arange(len(li)), take)
-            ok = np.isfinite(d[r, c])
-            idx.append(r[ok])
-            nb.append(ri[c[ok]])
-            dist.append(d[r[ok], c[ok]])
-            space += [s] * int(ok.sum())
-        at = np.concatenate(idx) if idx else np.array([], dtype=int)
-        cols = {c: left.column(c).take(pa.array(at, pa.int64())) for c in keys + [ids]}
-        cols |= {
-            "space": pa.array(space, pa.string()),
-            "neighbour": pa.array(np.concatenate(nb) if nb else ri[:0], right.schema.field(ids).type),
-            "d2": pa.array(np.concatenate(dist) if dist else np.array([], dtype=float), pa.float64())}
-        return pa.table(cols)
-
-    cand = pair_blocks(cut, cut, keys, work, schema)
-    rank = F.row_number().over(Window.partitionBy(*keys, ids, "space").orderBy("d2", "neighbour"))
-    return cand.withColumn("_i", rank).filter(F.col("_i") <= k).drop("_i")
+    feature space, exact, through a metric index per key and space."""
+    vec = lambda s: F.transform(s, lambda v: v.cast("double"))
+    long = rows.select(*keys, ids, F.explode(F.array(*[F.struct(F.lit(s).alias("space"), vec(s).alias("vec")) for s in spaces])).alias("_s"))
+    return nearest(long.select(*keys, ids, "_s.space", "_s.vec"), [*keys, "space"], ids, k, size)
 
 
 def knn_overlap(pairs: DataFrame, keys, ids: str, k=10, x="fx", y="fy", size=2048) -> DataFrame:
     """Mean Jaccard overlap of each row's k nearest neighbours in both spaces,
     the row itself left out."""
     keys = list(keys)
-    near = nearest_in_blocks(pairs, keys, ids, [x, y], k, size)
+    near = nearest_in_spaces(pairs, keys, ids, [x, y], k, size)
     hits = near.groupBy(*keys, ids, "neighbour").agg(F.count(F.lit(1)).alias("_in"))
     per = hits.groupBy(*keys, ids).agg(
         (F.sum((F.col("_in") == 2).cast("double")) / (F.count(F.lit(1)) + F.lit(1e-12))).alias("_j"))
@@ -173,6 +142,7 @@ def pairwise_similarity(tiles: DataFrame, models, metrics=("all",), sample_size:
             {"model1": F.lit(a), "model2": F.lit(b), "_id": F.concat_ws("|", *keys)})
         both = m if both is None else both.unionByName(m)
     by = ["model1", "model2"]
+    both = durable(both)  # the sums and the neighbours read it
     out = measures_from_gram(paired_gram(both, by), by, metrics, **params)
     if "knn" in metrics:
         return out.join(knn_overlap(both, by, "_id", k), by, "left")

@@ -1,46 +1,69 @@
-"""All-against-all work on bounded blocks.
+"""Work that needs more than one row at a time, on bounded pieces.
 
-Some measures (exact Euclidean silhouette, exact nearest neighbours, a
-consensus matrix) need every pair of rows. No pair is ever written out:
-rows are cut into blocks of at most ``size`` rows in hash order, one task
-works on one (left block, right block) with NumPy, and only what the caller
-sums or keeps per left row is shuffled on.
+``beside`` runs the rows of a group next to a small table of that group (its
+components, its centroids, its pivots). ``pair_blocks`` runs every pair of rows
+of a group, block against block: a pair of blocks meets once, for both of its
+sides, and no pair of rows is written out. A block holds at most ``NUMBERS``
+vector components; below that a group is cut into just enough blocks to keep
+all tasks busy, since each row is sent once per block of its group.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
-from .draws import hash_rank, order_hash
+from ..session import durable, join_same_key
 
+#: vector components in a block or part
+NUMBERS = 4_000_000
+
+
+def beside(rows: DataFrame, table: DataFrame, keys, features: str, work, schema, numbers=NUMBERS) -> DataFrame:
+    """``work(part, its table)`` (Arrow in, Arrow out) for parts of every group.
+    ``part`` has the columns of ``rows`` in their order, and some more; a part
+    whose group has no table rows gets an empty one."""
+    by = ["_all", *keys]
+    rows, table = rows.withColumn("_all", F.lit(1)), table.withColumn("_all", F.lit(1))
+    parts = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size(features)) / numbers)).cast("int").alias("_parts"))
+    left = join_same_key(rows, parts, by).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"))
+    right = join_same_key(table, parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    names = [c for c in rows.columns if c != "_all"]
+    left = left.select(*names, *[c for c in [*by, "_part"] if c not in names])
+    return left.groupBy(*by, "_part").cogroup(right.groupBy(*by, "_part")).applyInArrow(work, schema)
 
-def cut_blocks(df: DataFrame, keys, id_cols, size=1024) -> DataFrame:
-    """Add ``_block`` and ``_blocks`` (how many there are) per key."""
-    keys = list(keys)
-    rows = hash_rank(df.withColumn("_h", order_hash(*id_cols)), keys, "_h", id_cols, "_pos")
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
-    return rows.join(counts, keys).withColumn("_block", F.floor(F.col("_pos") / size).cast("int")).drop("_h", "_pos")
 
+def cut_blocks(df: DataFrame, keys, ids: str, features: str, numbers=NUMBERS, rows=1024) -> DataFrame:
+    """Add ``_block`` and ``_blocks`` (how many the group has), by hash of the id."""
+    side = math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # pairs of blocks: twice the tasks
+    n, size = F.count(F.lit(1)), F.sum(F.size(features))
+    wanted = F.greatest(F.lit(1), F.ceil(size / numbers), F.least(F.ceil(n / rows), F.lit(side))).cast("int")
+    counts = df.groupBy(*keys).agg(wanted.alias("_blocks"))
+    return join_same_key(df, counts, keys).withColumn("_block", F.pmod(F.xxhash64(ids), F.col("_blocks")).cast("int"))
 
-def pair_blocks(left: DataFrame, right: DataFrame, keys, work, schema) -> DataFrame:
-    """Run ``work(left_table, right_table)`` (Arrow in, Arrow out) for every
-    pair of blocks. Both sides come from ``cut_blocks``."""
+
+def pair_blocks(rows: DataFrame, keys, work, schema, chosen: DataFrame | None = None) -> DataFrame:
+    """``work(left, right)`` for every unordered pair of blocks of a group;
+    ``right`` is None where a block meets itself. ``rows`` come from
+    ``cut_blocks``. With ``chosen`` (keys, _bi, _bj) only those pairs of
+    different blocks meet."""
     keys = list(keys)
-    same = right is left
-    left = durable(left)  # both sides, and the counts, read it
-    right = left if same else durable(right)
-    others = right.select(*keys, "_blocks").distinct().withColumnRenamed("_blocks", "_rb")
-    mine = left.select(*keys, "_blocks").distinct().withColumnRenamed("_blocks", "_lb")
-    lx = (
-        left.join(others, keys).withColumn("_bj", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)))
-        .withColumnRenamed("_block", "_bi").drop("_rb", "_blocks")
-    )
-    rx = (
-        right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh columns: left and right may be one table
-        .join(mine, keys).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)))
-        .withColumnRenamed("_block", "_bj").drop("_lb", "_blocks")
-    )
-    by = keys + ["_bi", "_bj"]
-    return lx.groupBy(*by).cogroup(rx.groupBy(*by)).applyInArrow(work, schema)
+    by = [*keys, "_bi", "_bj"]
+    if chosen is None:
+        rows = durable(rows)  # both sides read it
+        left = rows.withColumn("_bi", F.col("_block")).withColumn("_bj", F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)))
+        right = rows.filter("_block > 0").withColumn("_bj", F.col("_block")).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_block") - 1)))
+    else:
+        left = join_same_key(rows.withColumn("_bi", F.col("_block")), chosen.select(*by), [*keys, "_bi"])
+        right = join_same_key(rows.withColumn("_bj", F.col("_block")), chosen.select(*by), [*keys, "_bj"])
+
+    def run(a, b):
+        if a.num_rows and a.column("_bi")[0] == a.column("_bj")[0]:
+            return work(a, None)
+        return work(a, b) if a.num_rows and b.num_rows else work(a.slice(0, 0), None)
+
+    names = [c for c in rows.columns if c not in by]
+    right = right.select(*[F.col(c).alias(c) for c in [*by, *names]])  # columns of its own: both sides are one table
+    return left.select(*by, *names).groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)

@@ -56,14 +56,43 @@ def test_blocks_do_not_change_neighbours(spark):
     x[:25] = x[0]  # a third of the rows are copies
     p = spark.createDataFrame([(1, f"{i:03d}", [float(v) for v in r], [float(v) for v in r[::-1]]) for i, r in enumerate(x)],
                               "k int, id string, fx array<double>, fy array<double>")
-    a = S.nearest_in_blocks(p, ["k"], "id", ["fx", "fy"], 6, size=1000).toPandas()
-    b = S.nearest_in_blocks(p, ["k"], "id", ["fx", "fy"], 6, size=16).toPandas()
+    a = S.nearest_in_spaces(p, ["k"], "id", ["fx", "fy"], 6, size=1000).toPandas()
+    b = S.nearest_in_spaces(p, ["k"], "id", ["fx", "fy"], 6, size=16).toPandas()
     cols = ["id", "space", "neighbour", "d2"]
-    key = lambda d: d[cols].sort_values(cols, ignore_index=True)
+    key = lambda d: d.sort_values(cols, ignore_index=True)[cols]
     pd.testing.assert_frame_equal(key(a), key(b))
     assert len(a) == 70 * 2 * 6
 
 
+def test_neighbours_equal_brute_force_and_few_blocks_meet(spark):
+    """Clusters far apart: the same neighbours, and under a tenth of the pairs of blocks opened."""
+    from cohortile.plans import neighbours as N
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(30, 6)) * 20)[np.arange(3000) % 30] + rng.normal(scale=0.3, size=(3000, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, vec array<double>").withColumn("g", F.lit("a"))
+    got = {}
+    for r in N.nearest(df, ["g"], "id", 7, size=50).collect():
+        got.setdefault(r.id, []).append((r.d2, r.neighbour))
+    d = np.round(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0), 9)
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, 3000, 7):
+        want = np.lexsort((np.arange(3000), d[i]))[:7]
+        assert [n for _, n in sorted(got[i])] == want.tolist()
+    made = N.blocks(df, ["g"], "id", 50, 7)
+    n = made.filter("stat is not null").count()
+    opened = N.open_pairs(made, ["g"]).count()
+    assert n >= 60 and opened < n * (n - 1) / 2 / 10
+
+
+def test_neighbours_of_small_and_null_groups(spark):
+    from cohortile.plans import neighbours as N
+    rows = [(None, 1, [0.0]), (None, 2, [1.0]), ("b", 3, [5.0]), ("c", 4, [1.0]), ("c", 5, [1.0]), ("c", 6, [1.0])]
+    df = spark.createDataFrame(rows, "g string, id int, vec array<double>")
+    got = sorted((r.g or "", r.id, r.neighbour, r.d2) for r in N.nearest(df, ["g"], "id", 2, size=2).collect())
+    assert got == [("", 1, 2, 1.0), ("", 2, 1, 1.0), ("c", 4, 5, 0.0), ("c", 4, 6, 0.0), ("c", 5, 4, 0.0), ("c", 5, 6, 0.0), ("c", 6, 4, 0.0), ("c", 6, 5, 0.0)]
+    assert N.nearest(df.limit(0), ["g"], "id", 2).count() == 0
+
+
 def brute_silhouette(x, lab):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     out = []
@@ -85,7 +114,7 @@ def test_silhouette(spark):
     rows = [("k", i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, lab))]
     df = spark.createDataFrame(rows, "k string, id int, f array<double>, lab int")
     for size in (1000, 9):
-        assert K.silhouette(df, ["k"], "id", "f", "lab", size=size).first().silhouette == pytest.approx(brute_silhouette(x, lab))
+        assert K.silhouette(df, ["k"], "id", "f", "lab", rows=size).first().silhouette == pytest.approx(brute_silhouette(x, lab))
     assert K.silhouette(df.filter("lab = 0"), ["k"], "id", "f", "lab").first().silhouette is None
     w = df.withColumn("w", (F.col("id") % 3 + 1).cast("int"))
     rep = np.repeat(np.arange(61), np.arange(61) % 3 + 1)
@@ -119,6 +148,34 @@ def test_pca_and_weighted_gram(spark):
     assert keyed_gram(df, ["k"], "f", weight="w").filter("i = 0").first().row[0] == w.sum()
 
 
+def test_gram_keeps_digits_under_a_large_mean(spark, monkeypatch):
+    from cohortile.plans import gram as G
+    rng = np.random.default_rng(10)
+    x = 1e6 + rng.normal(size=(400, 12))
+    df = spark.createDataFrame([(f"k{i % 2}", [float(v) for v in r]) for i, r in enumerate(x)], "k string, f array<double>").repartition(6)
+    for stripe, beside_ in ((G.STRIPE, G.BESIDE), (12 * 8 * 3, 1)):  # one stripe; four stripes and rows sorted by key
+        monkeypatch.setattr(G, "STRIPE", stripe)
+        monkeypatch.setattr(G, "BESIDE", beside_)
+        rows = G.keyed_gram(df, ["k"], "f").toPandas()
+        for k, pdf in rows.groupby("k"):
+            n, dx, mean, c = G.assemble(pdf)
+            part = x[int(k[1])::2]
+            assert (n, dx) == (200, 12) and np.allclose(mean, part.mean(0), rtol=0, atol=1e-8)
+            assert np.allclose(c, np.cov(part.T) * 199, rtol=1e-6, atol=1e-6)
+
+
+def test_components_of_many_keys_stay_off_the_driver(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i % 40, i, [float(v) for v in rng.normal(size=3)]) for i in range(800)], "k int, id int, f array<double>")
+    fitted = K.pca_fit(df, ["k"], "f", 2)
+    assert fitted.columns == ["k", "mean", "components"] and fitted.count() == 40
+    z = K.pca_project(df, ["k"], "f", 3).toPandas()
+    raw = df.toPandas()
+    for k, pdf in z.groupby("k"):
+        p, x = np.vstack(pdf.sort_values("id")["pcs"]), np.vstack(raw[raw.k == k].sort_values("id")["f"])
+        assert np.allclose(((p[:, None] - p[None]) ** 2).sum(2), ((x[:, None] - x[None]) ** 2).sum(2))  # all components: a rotation
+
+
 def test_site_bias_and_consensus(spark):
     rng = np.random.default_rng(6)
     rows = [(m, f"s{i % 12}", "t", i, 0, i, int(i % 2), [float(v) for v in rng.normal(i % 2, 1, 4)]) for i in range(120) for m in ("A", "B")]
@@ -140,7 +197,7 @@ def test_site_bias_and_consensus(spark):
             m = sum(lab[p][r] == lab[q][r] for r in both) / len(both) if both else 0.0
             k = tuple(sorted((p[0], q[0])))
             tot.setdefault(k, []).append(m)
-    got = {(r.model1, r.model2): r.consensus for r in K.consensus_summary(a, items, "item", size=50).collect()}
+    got = {(r.model1, r.model2): r.consensus for r in K.consensus_summary(a, items, "item", rows=50).collect()}
     missing = 240 - len(ids)
     assert missing == 0 and got == pytest.approx({k: np.mean(v) for k, v in tot.items()})
 
