@@ -5,14 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.blocks import beside, cut_blocks, pair_blocks
+from ..plans.blocks import NUMBERS, beside, cut_blocks, pair_blocks
 from ..plans.draws import hash_rank, hash_take, order_hash
 from ..plans.gram import keyed_gram, matrix
 from ..session import durable, join_same_key
@@ -319,51 +318,138 @@ def model_cluster_summary(per_slide: DataFrame, model="model") -> DataFrame:
 
 
 # --- k-means -----------------------------------------------------------------------------
-def local_cluster_sample(tiles: DataFrame, local_k=10, frac=0.1, fit_tiles=1000, seed=42) -> DataFrame:
-    """Per slide: local k-means, then a proportional share of every cluster with
-    at least one row each, adjusted to int(n * frac) rows.
-
-    A slide's centroids are fitted on ``fit_tiles`` of its tiles, so a task
-    holds that many; every tile is then assigned, counted and may be drawn.
+def packed_parts(rows: DataFrame, keys, ids: str, features: str, numbers=NUMBERS) -> DataFrame:
+    """(keys, parts, ids, width, numbers): the rows of a group as few records of
+    at most ``numbers`` vector components, for work that passes over them often."""
+    base = rows.select(*keys, ids, F.transform(features, lambda v: v.cast("double")).alias("_x"))
+    sizes = base.withColumn("_all", F.lit(1)).groupBy("_all", *keys).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("_x")) / numbers)).cast("int").alias("parts"))
+    cut = join_same_key(base.withColumn("_all", F.lit(1)), sizes, ["_all", *keys]).withColumn("_part", F.pmod(F.xxhash64(ids), F.col("parts")))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by(ids)
+        x = matrix(t.column("_x"))
+        return pa.table({c: t.column(c).slice(0, 1) for c in [*keys, "parts"]} | {
+            "ids": pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(ids).combine_chunks()),
+            "width": pa.array([x.shape[1]], pa.int32()), "numbers": pa.array([x.ravel()], pa.list_(pa.float64()))})
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    return cut.groupBy("_all", *keys, "_part").applyInArrow(pack, f"{kinds}parts int, ids array<{rows.schema[ids].dataType.simpleString()}>, width int, numbers array<double>")
+
+
+def _near(x: np.ndarray, c: np.ndarray):
+    """Nearest centroid of every row, the first on ties, and its squared distance."""
+    d = np.round(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0.0), 9)
+    at = d.argmin(1)
+    return at, d[np.arange(len(x)), at]
+
+
+def _moved(x, c, at):
+    """Centroids of the rows given to each; one without rows stays."""
+    n = np.bincount(at, minlength=len(c))
+    sums = np.zeros_like(c)
+    np.add.at(sums, at, x)
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+
+
+def keyed_kmeans(rows: DataFrame, keys, ids: str, features: str, k, seed=42, max_rounds=300):
+    """(assigned, centroids) of a k-means per key, from the k rows of smallest
+    hash, to convergence (or ``max_rounds``, for the keys that still move).
+
+    ``k`` is a number or a key column that holds it. A key whose rows fit one
+    part is settled by one task; the parts of larger keys give out sums per
+    cluster, one job per round for all of those keys together. Both ways give
+    the same centroids. assigned: keys, id, cluster, d2; centroids: keys,
+    cluster, centroid. A key with fewer rows than k has that many clusters.
     """
-    fit = hash_take(tiles.select("slide_id", "tile_idx", "features"), ["slide_id"], ["slide_id", "tile_idx", seed], ["tile_idx"], fit_tiles)
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tile_idx", ignore_index=True)
-        x = np.vstack(pdf["features"].to_numpy()).astype(float)
-        k = min(local_k, len(x))
-        cent, lab = x[np.random.default_rng(seed).choice(len(x), k, replace=False)], None
-        while True:
-            new = ((x[:, None, :] - cent[None]) ** 2).sum(2).argmin(1)
-            if lab is not None and (new == lab).all():
-                break
-            lab = new
-            cent = np.vstack([x[lab == c].mean(0) if (lab == c).any() else cent[c] for c in range(k)])
-        return pd.DataFrame({"_slide": [pdf["slide_id"].iloc[0]], "_cent": [cent.ravel().tolist()], "_k": [k]})
-
-    kind = tiles.schema["slide_id"].dataType.simpleString()
-    cents = fit.groupBy("slide_id").applyInPandas(learn, f"_slide {kind}, _cent array<double>, _k int")
-    names = tiles.columns
-    schema = T.StructType([*tiles.schema.fields, T.StructField("local_cluster", T.IntegerType())])
+    keys = list(keys)
+    packed = durable(packed_parts(rows, keys, ids, features).withColumn("_all", F.lit(1)))
+    by = ["_all", *keys]
+    most = F.lit(k) if isinstance(k, int) else F.col(k)
+    first = Window.partitionBy(*by).orderBy(order_hash(ids, seed), ids)
+    starts = rows.withColumn("_all", F.lit(1)).withColumn("_i", F.row_number().over(first))
+    if isinstance(k, int):
+        starts = starts.filter(F.col("_i") <= k)  # a literal bound is pruned before the shuffle
+    starts = starts.filter(F.col("_i") <= most).groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("_i", F.transform(features, lambda v: v.cast("double")).alias("c")))).alias("_s"))
+    cents = durable(starts.select(*by, F.transform("_s", lambda s: s["c"]).alias("cents")))
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    cent_schema = f"_all int, {kinds}cents array<array<double>>"
+
+    def each(b):
+        """(record number, matrix, centroids) of the records of a batch."""
+        for i in range(b.num_rows):
+            yield i, np.asarray(b.column("numbers")[i].values, float).reshape(-1, b.column("width")[i].as_py()), np.vstack([np.asarray(v.values, float) for v in b.column("cents")[i]])
+
+    def lists(c):
+        return [row.tolist() for row in c]
+
+    def settle(batches):
+        for b in batches:
+            out = []
+            for _, x, c in each(b):
+                for _ in range(max_rounds):
+                    new = _moved(x, c, _near(x, c)[0])
+                    if (new == c).all():
+                        break
+                    c = new
+                out.append(lists(c))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in by), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=[*by, "cents"])
+
+    met = lambda parts, c: join_same_key(parts, c, by)
+    done = durable(met(packed.filter("parts = 1"), cents).mapInArrow(settle, cent_schema))
+    large = packed.filter("parts > 1")
+    now = join_same_key(cents, large.select(*by).distinct(), by)
+
+    def sums(batches):
+        for b in batches:
+            at, c_no, n, s = [], [], [], []
+            for i, x, c in each(b):
+                a = _near(x, c)[0]
+                count, total = np.bincount(a, minlength=len(c)), np.zeros_like(c)
+                np.add.at(total, a, x)
+                for j in range(len(c)):
+                    at.append(i)
+                    c_no.append(j)
+                    n.append(int(count[j]))
+                    s.append(total[j])
+            idx = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(idx) for x in by), pa.array(c_no, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))],
+                                             names=[*by, "c", "n", "s"])
+
+    now = durable(now)
+    for _ in range(max_rounds if now.limit(1).count() else 0):
+        part = met(large, now).mapInArrow(sums, f"_all int, {kinds}c int, n long, s array<double>")
+        total = part.groupBy(*by, "c").agg(F.sum("n").alias("n"), Summarizer.metrics("sum").summary(array_to_vector("s")).alias("_v"))
+        listed = total.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("c", "n", vector_to_array(F.col("_v.sum")).alias("s")))).alias("_l"))
+        mean = F.transform(F.arrays_zip("_l", "cents"), lambda z: F.when(
+            z["_l"]["n"] > 0, F.transform(z["_l"]["s"], lambda v: v / z["_l"]["n"])).otherwise(z["cents"]))
+        before, now = now, durable(join_same_key(listed, now, by).select(*by, mean.alias("cents"), (mean != F.col("cents")).alias("_moves")))
+        still = now.filter("_moves").limit(1).count()
+        now = now.drop("_moves")
+        if not still:
+            break
+    cents = done.unionByName(now)
 
     def assign(batches):
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = matrix(b.column("features"))
-            slides = b.column("_slide").dictionary_encode()
-            which, out = slides.indices.to_numpy(), np.zeros(len(x), np.int32)
-            for s in range(len(slides.dictionary)):
-                at = np.flatnonzero(which == s)
-                c = np.asarray(b.column("_cent")[int(at[0])].values, float).reshape(-1, x.shape[1])
-                out[at] = ((x[at] ** 2).sum(1)[:, None] - 2 * x[at] @ c.T + (c * c).sum(1)[None, :]).argmin(1)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out)], names=schema.names)
-
-    labelled = durable(tiles.join(cents, F.col("slide_id") == F.col("_slide")).mapInArrow(assign, schema))
+            for i, x, c in each(b):
+                at, d = _near(x, c)
+                one = pa.array(np.full(len(x), i), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(q).take(one) for q in keys), b.column("ids")[i].values, pa.array(at.astype(np.int32)), pa.array(d)], names=[*keys, ids, "cluster", "d2"])
+
+    assigned = met(packed, cents).mapInArrow(assign, f"{kinds}`{ids}` {rows.schema[ids].dataType.simpleString()}, cluster int, d2 double")
+    return assigned, cents.select(*keys, F.posexplode("cents").alias("cluster", "centroid"))
+
+
+def local_cluster_sample(tiles: DataFrame, local_k=10, frac=0.1, seed=42) -> DataFrame:
+    """Per slide: k-means of all its tiles, then a proportional share of every
+    cluster with at least one row each, adjusted to int(n * frac) rows."""
+    labelled, _ = keyed_kmeans(tiles, ["slide_id"], "tile_idx", "features", local_k, seed)
+    labelled = durable(labelled.select("slide_id", "tile_idx", F.col("cluster").alias("local_cluster")))
     quota = cluster_quota(labelled.groupBy("slide_id", "local_cluster").agg(F.count(F.lit(1)).alias("n")), "slide_id", "local_cluster", frac)
     ranked = hash_rank(labelled.withColumn("_h", order_hash("slide_id", "tile_idx", seed)), ["slide_id", "local_cluster"], "_h", ["tile_idx"], "_pos")
-    kept = join_same_key(ranked, quota.select("slide_id", "local_cluster", "quota"), ["slide_id", "local_cluster"])
-    return kept.filter("_pos < quota").select(*names, "local_cluster")
+    kept = join_same_key(ranked, quota.select("slide_id", "local_cluster", "quota"), ["slide_id", "local_cluster"]).filter("_pos < quota")
+    return join_same_key(tiles, kept.select("slide_id", "tile_idx", "local_cluster"), ["slide_id", "tile_idx"])
 
 
 def cluster_quota(counts: DataFrame, group: str, cluster: str, frac: float) -> DataFrame:
@@ -385,19 +471,6 @@ def cluster_quota(counts: DataFrame, group: str, cluster: str, frac: float) -> D
     return out.select(group, cluster, "n", (F.col("_part") + step).cast("long").alias("quota"))
 
 
-def kmeans_fit(sample: DataFrame, features: str, k: int, seed=42, max_iter=20):
-    rows = sample.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=max_iter).fit(rows)
-
-
-def kmeans_assign(df: DataFrame, model, features: str, out="cluster") -> DataFrame:
-    """Nearest centroid for every row: a map, also fit for unbounded input."""
-    cols = [c for c in df.columns]
-    tmp = df.withColumn("_kv", array_to_vector(F.col(features).cast("array<double>")))
-    model.setFeaturesCol("_kv").setPredictionCol(out)
-    return model.transform(tmp).select(*cols, out)
-
-
 def assign_to_centroids(df: DataFrame, cents: DataFrame, features: str, out="cluster") -> DataFrame:
     """Nearest of the given (cluster, centroid) rows, lowest cluster on ties, and
     the distance. The k centroids (a parameter of the model, not of the data)
@@ -419,55 +492,28 @@ def assign_to_centroids(df: DataFrame, cents: DataFrame, features: str, out="clu
     return df.mapInArrow(run, schema)
 
 
-def kmeans_2d(points: DataFrame, k: int, x="x01", y="y01", seed=42):
-    """(assigned points, share of rows per cluster)."""
+def kmeans_2d(points: DataFrame, ids: str, k: int, x="x01", y="y01", seed=42):
+    """(points with their cluster, share of rows per cluster)."""
     p = points.withColumn("_xy", F.array(F.col(x).cast("double"), F.col(y).cast("double")))
-    got = kmeans_assign(p, kmeans_fit(p, "_xy", k, seed), "_xy").drop("_xy")
+    got, _ = keyed_kmeans(p.select(ids, "_xy"), [], ids, "_xy", k, seed)
+    got = durable(got)
     n = got.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(F.lit(1))  # k rows
-    return got, n.withColumn("share", F.col("n") / F.sum("n").over(whole))
+    return points.join(got.select(ids, "cluster"), ids), n.withColumn("share", F.col("n") / F.sum("n").over(whole))
 
 
 # --- consensus -----------------------------------------------------------------------------
-def repeated_kmeans(items: DataFrame, ids: str, features: str, k: int, n_runs=100, frac=0.8, seed=0, iters=10) -> DataFrame:
-    """(id, run, cluster): k-means on ``n_runs`` hash subsamples. All runs move
-    together: one pass over the items per Lloyd step, k x runs centroids."""
+def repeated_kmeans(items: DataFrame, ids: str, features: str, ks, n_runs=100, frac=0.8, seed=0) -> DataFrame:
+    """(k, id, run, cluster): k-means on ``n_runs`` hash subsamples for every k
+    of the list ``ks``, all in the same passes, each to convergence."""
     base = items.select(ids, features, F.lit(1).alias("_all"))
     runs = base.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
     n = base.groupBy("_all").agg(F.floor(F.count(F.lit(1)) * frac).alias("_take"))
-    ranked = hash_rank(runs.withColumn("_h", order_hash(ids, "run", seed)), ["run"], "_h", [ids], "_pos")
-    drawn = durable(ranked.join(F.broadcast(n), "_all").filter(F.col("_pos") < F.col("_take")).select(ids, features, "run", "_pos"))
-    first = drawn.filter(F.col("_pos") < k).select("run", F.col("_pos").cast("int").alias("c"), features).collect()
-    cents = {}
-    for r in first:
-        cents.setdefault(r["run"], {})[r["c"]] = np.asarray(r[features], dtype=float)
-    cents = {r: np.vstack([v[c] for c in sorted(v)]) for r, v in cents.items()}
-    schema = T.StructType([*drawn.schema.fields, T.StructField("cluster", T.IntegerType())])
-
-    def assign(cents):
-        def run(batches):
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                x, rr = matrix(b.column(features)), b.column("run").to_numpy()
-                lab = np.zeros(len(x), dtype=np.int32)
-                for r in np.unique(rr):
-                    m = rr == r
-                    c = cents[int(r)]
-                    lab[m] = ((c * c).sum(1)[None, :] - 2 * x[m] @ c.T).argmin(1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lab)], names=[*b.schema.names, "cluster"])
-        return drawn.mapInArrow(run, schema)
-
-    for _ in range(iters):
-        moved = centroids(assign(cents), ["run"], features, "cluster").collect()
-        new = {r: c.copy() for r, c in cents.items()}
-        for m in moved:
-            new[m["run"]][m["cluster"]] = np.asarray(m["centroid"])
-        still = all(np.allclose(new[r], cents[r], atol=1e-9) for r in cents)
-        cents = new
-        if still:
-            break
-    return assign(cents).select(ids, "run", "cluster")
+    ranked = hash_rank(runs.select(ids, "run", "_all").withColumn("_h", order_hash(ids, "run", seed)), ["run"], "_h", [ids], "_pos")
+    drawn = ranked.join(n, "_all").filter(F.col("_pos") < F.col("_take")).select(ids, "run")
+    every = durable(drawn.join(base.drop("_all"), ids).withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))))
+    assigned, _ = keyed_kmeans(every, ["k", "run"], ids, features, "k", seed)
+    return assigned.select("k", ids, "run", "cluster")
 
 
 def consensus_summary(assignments: DataFrame, models: DataFrame, ids: str, by=(), rows=1024) -> DataFrame:
@@ -521,9 +567,10 @@ def consensus_summary(assignments: DataFrame, models: DataFrame, ids: str, by=()
     return s.select(*by, "model1", "model2", (F.col("_t") / F.nullif(F.col("_n"), F.lit(0))).alias("consensus"), (F.col("_n") / 2).cast("long").alias("pairs"))
 
 
-def consensus_overall(summary: DataFrame) -> DataFrame:
-    """Mean within-model and between-model consensus over all item pairs."""
+def consensus_overall(summary: DataFrame, by=()) -> DataFrame:
+    """Mean within-model and between-model consensus over all item pairs, for
+    every combination of ``by``."""
     same = F.col("model1") == F.col("model2")
     n = lambda c: F.sum(F.when(c, F.col("pairs")))
     t = lambda c: F.sum(F.when(c, F.col("consensus") * F.col("pairs")))
-    return summary.groupBy().agg((t(same) / n(same)).alias("within"), (t(~same) / n(~same)).alias("between"))
+    return summary.groupBy(*by).agg((t(same) / n(same)).alias("within"), (t(~same) / n(~same)).alias("between"))

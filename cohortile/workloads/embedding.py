@@ -81,9 +81,53 @@ def pca_project(spark, sf):
     return z.select("model", "tile_idx", *[r6(F.col("pcs")[i]).alias(f"pc{i}") for i in range(5)])
 
 
-@query("model_average_over_pairs")
+# Planes of two vector components: eigenvalues and singular values of 2 x 2 matrices have closed forms.
+PLANE_SQL = f"""{D.SQL_TILES},
+pl as (select slide_id, x, y, model || n::varchar as model, [features[2 * n + 1]::double, features[2 * n + 2]::double] as f from tiles, (select unnest([0, 1]) as n)),
+pr as (select a.model as model1, b.model as model2, a.slide_id || '|' || a.x || '|' || a.y as id, a.f[1] as p, a.f[2] as q, b.f[1] as u, b.f[2] as v
+  from pl a join pl b on a.slide_id = b.slide_id and a.x = b.x and a.y = b.y and a.model < b.model),
+c as (select model1, model2, count(*) as n, var_pop(p) * count(*) as a11, covar_pop(p, q) * count(*) as a12, var_pop(q) * count(*) as a22, var_pop(u) * count(*) as b11, covar_pop(u, v) * count(*) as b12,
+  var_pop(v) * count(*) as b22, covar_pop(p, u) * count(*) as c11, covar_pop(p, v) * count(*) as c12, covar_pop(q, u) * count(*) as c21, covar_pop(q, v) * count(*) as c22 from pr group by 1, 2),
+d as (select *, a11 * a22 - a12 * a12 as da, b11 * b22 - b12 * b12 as db, c11 * c22 - c12 * c21 as dc, c11 * c11 + c12 * c12 + c21 * c21 + c22 * c22 as fc,
+  (a11 + 1) * (a22 + 1) - a12 * a12 as ra, (b11 + 1) * (b22 + 1) - b12 * b12 as rb from c),
+e as (select *,
+  -- trace of inv(A) C inv(B) C': rows of inv(A) C, then inv(B) C'
+  (a22 * c11 - a12 * c21) / da as m11, (a22 * c12 - a12 * c22) / da as m12, (a11 * c21 - a12 * c11) / da as m21, (a11 * c22 - a12 * c12) / da as m22,
+  (b22 * c11 - b12 * c12) / db as o11, (b22 * c21 - b12 * c22) / db as o12, (b11 * c12 - b12 * c11) / db as o21, (b11 * c22 - b12 * c21) / db as o22,
+  -- w = inv(A + 1) C and inv(B + 1) C'
+  ((a22 + 1) * c11 - a12 * c21) / ra as w11, ((a22 + 1) * c12 - a12 * c22) / ra as w12, ((a11 + 1) * c21 - a12 * c11) / ra as w21, ((a11 + 1) * c22 - a12 * c12) / ra as w22,
+  ((b22 + 1) * c11 - b12 * c12) / rb as z11, ((b22 + 1) * c21 - b12 * c22) / rb as z12, ((b11 + 1) * c12 - b12 * c11) / rb as z21, ((b11 + 1) * c22 - b12 * c21) / rb as z22 from d),
+ms as (select model1, model2, n, fc / (sqrt(a11 * a11 + 2 * a12 * a12 + a22 * a22) * sqrt(b11 * b11 + 2 * b12 * b12 + b22 * b22) + 1e-12) as cka,
+  sqrt(greatest(m11 * o11 + m12 * o21 + m21 * o12 + m22 * o22 + 2 * abs(dc) / sqrt(da * db), 0)) / 2 as svcca,
+  sqrt(greatest(a11 + a22 + b11 + b22 - 2 * sqrt(fc + 2 * abs(dc)), 0)) / (sqrt(b11 + b22) + 1e-12) as procrustes,
+  1 - (a11 + a22 - 2 * (z11 * c11 + z12 * c21 + z21 * c12 + z22 * c22) + z11 * (b11 * z11 + b12 * z21) + z12 * (b11 * z12 + b12 * z22) + z21 * (b12 * z11 + b22 * z21) + z22 * (b12 * z12 + b22 * z22)) / (a11 + a22 + 1e-12) as r2_y2x,
+  1 - (b11 + b22 - 2 * (w11 * c11 + w12 * c12 + w21 * c21 + w22 * c22) + w11 * (a11 * w11 + a12 * w21) + w12 * (a11 * w12 + a12 * w22) + w21 * (a12 * w11 + a22 * w21) + w22 * (a12 * w12 + a22 * w22)) / (b11 + b22 + 1e-12) as r2_x2y from e),
+dd as (select a.model1, a.model2, a.id, b.id as nb, round(pow(a.p - b.p, 2) + pow(a.q - b.q, 2), 9) as dx, round(pow(a.u - b.u, 2) + pow(a.v - b.v, 2), 9) as dy from pr a join pr b on a.model1 = b.model1 and a.model2 = b.model2 and a.id <> b.id),
+nx as (select model1, model2, id, nb from dd qualify row_number() over (partition by model1, model2, id order by dx, nb) <= 10),
+ny as (select model1, model2, id, nb from dd qualify row_number() over (partition by model1, model2, id order by dy, nb) <= 10),
+i as (select model1, model2, id, count(*) as both_ from nx join ny using (model1, model2, id, nb) group by all),
+kn as (select model1, model2, avg(coalesce(both_, 0)::double / (20 - coalesce(both_, 0) + 1e-12)) as knn from pr left join i using (model1, model2, id) group by all),
+pm as (select ms.*, knn from ms join kn using (model1, model2))"""
+
+
+def _planes(spark, sf):
+    t = D.tiles(spark, sf)
+    both = t.withColumn("_n", F.explode(F.array(F.lit(0), F.lit(1))))
+    planes = both.withColumn("model", F.concat("model", F.col("_n").cast("string"))).withColumn(
+        "features", F.transform(F.slice("features", F.col("_n") * 2 + 1, F.lit(2)), lambda v: v.cast("double")))
+    return S.pairwise_similarity(planes, ["A0", "A1", "B0", "B1"], ["all"], var_thres=1.0)
+
+
+@query("similarity_of_planes", f"""with {PLANE_SQL} select model1, model2, n, round(cka, 6) as cka, round(svcca, 6) as svcca, round(procrustes, 6) as procrustes,
+ round(r2_y2x, 6) as r2_y2x, round(r2_x2y, 6) as r2_x2y, round(knn, 6) as knn from pm""")
+def similarity_of_planes(spark, sf):
+    return _planes(spark, sf).select("model1", "model2", "n", *[r6(c).alias(c) for c in ("cka", "svcca", "procrustes", "r2_y2x", "r2_x2y", "knn")])
+
+
+@query("model_average_over_pairs", f"""with {PLANE_SQL}, b as (select unnest([model1, model2]) as model, cka, svcca, procrustes, knn, (r2_y2x + r2_x2y) / 2 as ridge from pm)
+select model, round(avg(cka), 6) as cka, round(avg(svcca), 6) as svcca, round(avg(procrustes), 6) as procrustes, round(avg(knn), 6) as knn, round(avg(ridge), 6) as ridge from b group by model""")
 def model_average_over_pairs(spark, sf):
-    return S.model_average_over_pairs(pairwise_similarity(spark, sf))
+    return S.model_average_over_pairs(_planes(spark, sf)).select("model", *[r6(c).alias(c) for c in ("cka", "svcca", "procrustes", "knn", "ridge")])
 
 
 # --- clusters ------------------------------------------------------------------------
@@ -212,24 +256,90 @@ def kmeans_assign(spark, sf):
     return K.assign_to_centroids(t, c, "features").select("tile_idx", "cluster", r6("distance").alias("distance"))
 
 
-@query("cluster_cache")
+def lloyd_sql(name, points, k, seed, steps, dims):
+    """CTEs of a k-means per key over the CTE ``points`` (key, id, f): {name}_c
+    (key, c, f) are the centroids and {name} (key, id, c) the assignment after
+    ``steps`` rounds, of which those after convergence change nothing."""
+    out = [f"""{name}_s0 as materialized (select key, i - 1 as c, f from (select *, row_number() over (partition by key order by md5(concat_ws('|', id::varchar, '{seed}')), id) as i from {points}) where i <= {k})"""]
+    near = lambda j: f"""select key, id, arg_min(c, (d, c)) as c from (select p.key, p.id, s.c, round(pow(list_distance(p.f, s.f), 2), 9) as d from {points} p join {name}_s{j} s on p.key = s.key) group by key, id"""
+    for j in range(steps):
+        out.append(f"""{name}_a{j} as materialized ({near(j)})""")
+        out.append(f"""{name}_s{j + 1} as materialized (select s.key, s.c, coalesce(m.f, s.f) as f from {name}_s{j} s left join (select key, c, list(v order by i) as f from
+ (select a.key, a.c, i, avg(p.f[i]) as v from {name}_a{j} a join {points} p on a.key = p.key and a.id = p.id, (select unnest(range(1, {dims + 1})) as i) group by 1, 2, 3) group by 1, 2) m on m.key = s.key and m.c = s.c)""")
+    return ",\n".join([*out, f"{name}_c as materialized (select * from {name}_s{steps})", f"{name} as materialized ({near(steps)})"])
+
+
+CACHE_SQL = f"""{D.SQL_TILES},
+pa as materialized (select slide_id as key, tile_idx as id, features::double[] as f from tiles where model = 'A'),
+{lloyd_sql('l', 'pa', 10, 42, 12, 32)},
+n as (select key, c, count(*) as n from l group by 1, 2),
+part as (select *, greatest(1, floor(sum(n) over (partition by key) * 0.5)) as total, greatest(1, floor(n * greatest(1, floor(sum(n) over (partition by key) * 0.5)) / sum(n) over (partition by key))) as p from n),
+placed as (select *, sum(p) over (partition by key) - total as excess, row_number() over (partition by key order by p desc, c) as place from part),
+quota as (select key, c, p + case when p > 1 and place <= excess then -1 when place <= -excess then 1 else 0 end as q from placed),
+kept as (select l.key as slide_id, id from l join quota using (key, c) qualify row_number() over (partition by l.key, l.c order by md5(concat_ws('|', l.key, id::varchar, '42')), id) <= max(q) over (partition by l.key, l.c)),
+ps as materialized (select 1 as key, pa.id, pa.f from pa join kept on kept.slide_id = pa.key and kept.id = pa.id),
+{lloyd_sql('g', 'ps', 5, 42, 40, 32)}"""
+
+
+@query("cluster_cache", f"""with {CACHE_SQL}
+select pa.key as slide_id, pa.id as tile_idx, cast(arg_min(c.c, (round(pow(list_distance(pa.f, c.f), 2), 9), c.c)) as integer) as cluster from pa, g_c c group by 1, 2""")
 def cluster_cache(spark, sf):
-    t = D.tiles(spark, sf).filter("model = 'A'")
-    sample = K.local_cluster_sample(t.select("slide_id", "tile_idx", "features"), 10, 0.5)
-    return K.kmeans_assign(t, K.kmeans_fit(sample, "features", 5), "features").select("slide_id", "tile_idx", "cluster")
+    t = D.tiles(spark, sf).filter("model = 'A'").select("slide_id", "tile_idx", "features")
+    _, cents = K.keyed_kmeans(K.local_cluster_sample(t, 10, 0.5), [], "tile_idx", "features", 5)
+    return K.assign_to_centroids(t, cents, "features").select("slide_id", "tile_idx", "cluster")
+
 
+@query("local_sample", f"with {CACHE_SQL} select slide_id, id as tile_idx from kept")
+def local_sample(spark, sf):
+    t = D.tiles(spark, sf).filter("model = 'A'").select("slide_id", "tile_idx", "features")
+    return K.local_cluster_sample(t, 10, 0.5).select("slide_id", "tile_idx")
 
-@query("kmeans_2d")
+
+@query("kmeans_2d", f"""with pts as materialized (select 1 as key, event_id as id, [event_id * 37 % 1009 / 1009.0::double, event_id * 91 % 1013 / 1013.0::double] as f from events),
+{lloyd_sql('g', 'pts', 5, 42, 60, 2)} select cast(c as integer) as cluster, count(*) as n, round(count(*)::double / sum(count(*)) over (), 6) as share from g group by c""")
 def kmeans_2d(spark, sf):
     from .cohorts import grid_points
-    return K.kmeans_2d(grid_points(spark, sf), 5)[1]
+    return K.kmeans_2d(grid_points(spark, sf), "event_id", 5)[1].select("cluster", "n", r6("share").alias("share"))
+
+
+def _items(spark, sf):
+    return D.tiles(spark, sf).withColumn("item", F.concat_ws("|", "model", "tile_idx"))
 
 
 @query("consensus")
 def consensus(spark, sf):
-    t = D.tiles(spark, sf).withColumn("item", F.concat_ws("|", "model", "tile_idx"))
-    a = K.repeated_kmeans(t, "item", "features", 4, n_runs=10)
-    return K.consensus_summary(a, t, "item")
+    """100 runs for each of two numbers of clusters."""
+    t = _items(spark, sf)
+    return K.consensus_summary(K.repeated_kmeans(t, "item", "features", [3, 4]), t, "item", ["k"])
+
+
+# Given assignments: an item is drawn in a run by its hash, its cluster follows from its label.
+GIVEN_SQL = f"""{D.SQL_TILES},
+it as (select model || '|' || tile_idx as item, model, site from tiles),
+g as (select item, model, run, k, (site + run) % k as cluster from it, (select unnest(range(0, 20)) as run), (select unnest([3, 4]) as k) where {D.sql_hash('item', 'run::varchar')} % 10 < 8),
+m as (select a.k, a.item as x, b.item as y, any_value(least(a.model, b.model)) as model1, any_value(greatest(a.model, b.model)) as model2, avg((a.cluster = b.cluster)::int) as m
+  from g a join g b on a.k = b.k and a.run = b.run and a.item < b.item group by 1, 2, 3)"""
+
+
+def _given(spark, sf):
+    t = _items(spark, sf)
+    runs = t.select("item", "site", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("run")).filter(hash_number("item", "run") % 10 < 8)
+    a = runs.withColumn("k", F.explode(F.array(F.lit(3), F.lit(4)))).select("k", "item", "run", ((F.col("site") + F.col("run")) % F.col("k")).cast("int").alias("cluster"))
+    return K.consensus_summary(a, t, "item", ["k"])
+
+
+@query("consensus_given", f"""with {GIVEN_SQL},
+n as (select model, count(*) as n from it group by model),
+p as (select a.model as model1, b.model as model2, case when a.model = b.model then a.n * (a.n - 1) // 2 else a.n * b.n end as pairs from n a join n b on a.model <= b.model)
+select k, model1, model2, round(sum(m) / pairs, 6) as consensus, pairs from m join p using (model1, model2) group by k, model1, model2, pairs""")
+def consensus_given(spark, sf):
+    return _given(spark, sf).select("k", "model1", "model2", r6("consensus").alias("consensus"), "pairs")
+
+
+@query("consensus_overall", f"""with {GIVEN_SQL}, n as (select sum((model = 'A')::int) as a, sum((model = 'B')::int) as b from it)
+select k, round(sum(m) filter (model1 = model2) / (select (a * (a - 1) + b * (b - 1)) // 2 from n), 6) as within, round(sum(m) filter (model1 <> model2) / (select a * b from n), 6) as between from m group by k""")
+def consensus_overall(spark, sf):
+    return K.consensus_overall(_given(spark, sf), ["k"]).select("k", r6("within").alias("within"), r6("between").alias("between"))
 
 
 @query("slide_cluster_summary", f"""with {D.SQL_TILES}, p as (select slide_id, model, count(*) filter (class = 1) as n_pos, count(*) filter (class = 0) as n_neg from tiles group by 1, 2)

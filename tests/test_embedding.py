@@ -185,7 +185,7 @@ def test_site_bias_and_consensus(spark):
     assert len(got) == 8 and all(r.n_labels == 2 and r.davies_bouldin > 0 for r in got)
     assert K.min_slides_filter(df, ["model"], "site", 7).count() == 0
     items = df.withColumn("item", F.concat_ws("|", "model", "x"))
-    a = K.repeated_kmeans(items, "item", "features", 2, n_runs=4, iters=3)
+    a = K.repeated_kmeans(items, "item", "features", [2], n_runs=4)
     lab = {}
     for r in a.collect():
         lab.setdefault(r.item, {})[r.run] = r.cluster
@@ -211,11 +211,41 @@ def test_cluster_sampling(spark):
     assert quota == {"a": [5, 3, 2], "b": [8, 1, 1, 1], "c": [4, 3, 3]}
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(f"s{i % 2}", i, [float(v) for v in rng.normal(size=2)]) for i in range(80)], "slide_id string, tile_idx int, features array<double>")
-    got = K.local_cluster_sample(df, 4, 0.25, 30)
+    got = K.local_cluster_sample(df, 4, 0.25)
     n = {r.slide_id: r["count"] for r in got.groupBy("slide_id").count().collect()}
     assert set(n) == {"s0", "s1"} and all(9 <= v <= 11 for v in n.values())
-    m = K.kmeans_fit(got, "features", 3)
-    assert K.kmeans_assign(df, m, "features").filter("cluster between 0 and 2").count() == 80
+    assigned, cents = K.keyed_kmeans(got, [], "tile_idx", "features", 3)
+    assert assigned.count() == got.count() and cents.count() == 3
+
+
+def brute_kmeans(rows, k, seed):
+    """rows: [(id, vector)]; the same rule in plain numpy."""
+    import hashlib
+    start = sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}|{seed}".encode()).hexdigest(), r[0]))[:k]
+    x, c = np.array([v for _, v in rows]), np.array([v for _, v in start])
+    while True:
+        lab = np.round(((x[:, None] - c[None]) ** 2).sum(2), 9).argmin(1)
+        new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(len(c))])
+        if np.allclose(new, c, rtol=0, atol=0):
+            return {i: int(a) for (i, _), a in zip(rows, lab)}
+        c = new
+
+
+@pytest.mark.parametrize("numbers", [10**6, 40])
+def test_keyed_kmeans_equals_brute_force(spark, monkeypatch, numbers):
+    """Keys settled by one task and keys of many parts; k per key; a key smaller than k; a null key."""
+    monkeypatch.setattr(K, "packed_parts", lambda r, keys, ids, f, n=numbers, real=K.packed_parts: real(r, keys, ids, f, n))
+    rng = np.random.default_rng(13)
+    data = [(g, k, i, [float(v) for v in rng.normal(size=3).round(3)]) for g, k, n in (("a", 4, 150), ("b", 2, 60), ("tiny", 5, 3), (None, 3, 40)) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, k int, id int, f array<double>")
+    assigned, cents = K.keyed_kmeans(df, ["g", "k"], "id", "f", "k", 7)
+    got = {}
+    for r in assigned.collect():
+        got.setdefault((r.g, r.k), {})[r.id] = r.cluster
+    for g, k in {(d[0], d[1]) for d in data}:
+        assert got[g, k] == brute_kmeans([(d[2], d[3]) for d in data if d[0] == g], k, 7)
+    assert {(r.g, r["count"]) for r in cents.groupBy("g").count().collect()} == {("a", 4), ("b", 2), ("tiny", 3), (None, 3)}
+    assert K.keyed_kmeans(df.limit(0), ["g", "k"], "id", "f", "k", 7)[0].count() == 0
 
 
 def feature_table(spark, n=60):
