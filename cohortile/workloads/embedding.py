@@ -194,6 +194,43 @@ def site_bias(spark, sf):
     return K.institution_bias(t, sample_frac=0.5, min_slides=5, n_iter=50, pca=50)
 
 
+# All 32 components are a rotation of the centred vectors, so distances and with them every cluster metric stay as they are.
+FULL_BIAS_SQL = f"""{D.SQL_TILES},
+t0 as (select model, slide_id, x, y, site, case when class = 1 then 'tumor' else 'normal' end as tissue, features::double[] as f, slide_id || '|' || x || '|' || y as id from tiles),
+co as (select distinct slide_id, tissue, x, y from t0),
+ke as (select *, row_number() over (partition by slide_id, tissue order by md5(concat_ws('|', slide_id, x::varchar, y::varchar, '42')), slide_id, x, y) - 1 as pos, count(*) over (partition by slide_id, tissue) as n from co),
+t1 as (select t0.* from t0 join ke using (slide_id, tissue, x, y) where pos < greatest(1, floor(n * 0.5))),
+ok as (select model, tissue, site from t1 group by all having count(distinct slide_id) >= 5),
+en as (select model, tissue from ok group by all having count(*) >= 2),
+t as materialized (select t1.* from t1 join ok using (model, tissue, site) join en using (model, tissue)),
+ids as (select tissue, id, row_number() over (partition by tissue order by md5(concat_ws('|', id, '42')), id) - 1 as pos, count(*) over (partition by tissue) as n from (select distinct tissue, id from t)),
+it as (select unnest(range(0, 50)) as iter),
+dr as (select tissue, iter, {D.sql_hash("cast(iter as varchar)", "cast(pos as varchar)", "'42'")} % n as pos from ids, it where pos < floor(n * 0.5)),
+w as (select tissue, iter, pos, count(*) as w from dr group by all),
+s as materialized (select w.iter, w.w, t.model, t.tissue, t.id, t.site, t.f from w join ids using (tissue, pos) join t on t.tissue = ids.tissue and t.id = ids.id),
+big as (select model, tissue, iter, sum(w)::bigint as n_rows, count(distinct site) as n_labels from s group by all having sum(w) >= 10 and count(distinct site) >= 2),
+cnt as (select model, tissue, iter, site, sum(w) as n from s group by all),
+dm as (select unnest(range(1, 33)) as i),
+cv as (select model, tissue, iter, site, i, sum(w * f[i]) / sum(w) as c from s, dm group by all),
+ce as materialized (select model, tissue, iter, site, list(c order by i) as c from cv group by all),
+ds as materialized (select a.model, a.tissue, a.id as x, b.id as y, list_distance(a.f, b.f) as d from t a join t b on a.model = b.model and a.tissue = b.tissue),
+q as (select a.model, a.tissue, a.iter, a.id, a.site, a.w, b.site as other, sum(b.w * d) as q from s a join s b on a.model = b.model and a.tissue = b.tissue and a.iter = b.iter
+  join ds on ds.model = a.model and ds.tissue = a.tissue and ds.x = a.id and ds.y = b.id group by all),
+per as (select q.model, q.tissue, q.iter, q.id, q.w, max(case when other = q.site then n end) as own, max(case when other = q.site and n > 1 then q / (n - 1) end) as a, min(case when other <> q.site then q / n end) as b
+  from q join cnt on cnt.model = q.model and cnt.tissue = q.tissue and cnt.iter = q.iter and cnt.site = q.other group by all),
+sil as (select model, tissue, iter, sum(w * case when own <= 1 then 0 when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end) / sum(w) as silhouette from per group by all),
+comp as (select s.model, s.tissue, s.iter, s.site, sum(w * list_distance(s.f, ce.c)) / sum(w) as c from s join ce on ce.model = s.model and ce.tissue = s.tissue and ce.iter = s.iter and ce.site = s.site group by all),
+worst as (select x.model, x.tissue, x.iter, x.site, max((x.c + y.c) / nullif(list_distance(p.c, r.c), 0)) as r from comp x join comp y on x.model = y.model and x.tissue = y.tissue and x.iter = y.iter and x.site <> y.site
+  join ce p on p.model = x.model and p.tissue = x.tissue and p.iter = x.iter and p.site = x.site join ce r on r.model = y.model and r.tissue = y.tissue and r.iter = y.iter and r.site = y.site group by all),
+db as (select model, tissue, iter, avg(r) as davies_bouldin from worst group by all)"""
+
+
+@query("site_bias_components", f"""with {FULL_BIAS_SQL} select model, tissue, cast(iter as integer) as iter, n_rows, n_labels, round(silhouette, 6) as silhouette, round(davies_bouldin, 6) as davies_bouldin
+from big join sil using (model, tissue, iter) join db using (model, tissue, iter)""")
+def site_bias_components(spark, sf):
+    return site_bias(spark, sf).select("model", "tissue", "iter", "n_rows", "n_labels", r6("silhouette").alias("silhouette"), r6("davies_bouldin").alias("davies_bouldin"))
+
+
 # Bootstrap on given 2-D points: 50 draws of half of each tissue's tiles, no components.
 BIAS_SQL = f"""{D.SQL_TILES},
 t as (select model, tile_idx, site, case when class = 1 then 'tumor' else 'normal' end as tissue, features[1]::double as a, features[2]::double as b from tiles),
