@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.pvalues import t_pvalue, z_pvalue
 from ..plans.gram import keyed_gram
 from ..plans.ordered import running_sums
-from ..session import durable
+from ..session import durable, join_same_key
 
 METHODS = ("spearman", "pearson")
 
@@ -130,41 +130,108 @@ def abs_correlation(df: DataFrame, keys, ids: str, features: str, method="spearm
     return j.select(*keys, "feature", F.zip_with("_g", zipped, corr).alias("corr"))
 
 
-def greedy_uncorrelated(pvals: DataFrame, corr: DataFrame, keys, thresholds, max_features=None) -> DataFrame:
+#: correlated pairs of a key that one task settles; larger keys go by rounds
+TASK_EDGES = 4_000_000
+
+
+def correlated_pairs(nodes: DataFrame, corr: DataFrame, keys, threshold) -> DataFrame:
+    """(nodes' columns of keys and threshold, a, b): pairs with an absolute
+    correlation above the threshold (strictly), a before b by (p-value, feature)."""
+    by = [*keys, threshold] if threshold not in keys else list(keys)
+    least = nodes.groupBy(*keys).agg(F.min(threshold).alias("_least"))
+    near = F.filter(F.transform("corr", lambda c, i: F.struct(i.alias("b"), c.alias("r"))), lambda x: x["r"] > F.col("_least"))
+    some = join_same_key(corr, least, keys).select(*keys, F.col("feature").alias("a"), F.explode(near).alias("_n")).select(*keys, "a", "_n.b", "_n.r").filter("a != b")
+    one = nodes.select(*by, F.col("feature").alias("a"), F.col("p_value").alias("_pa"))
+    two = nodes.select(*by, F.col("feature").alias("b"), F.col("p_value").alias("_pb"))
+    met = join_same_key(join_same_key(some, one, [*keys, "a"]), two, [*by, "b"])
+    first = (F.col("_pa") < F.col("_pb")) | ((F.col("_pa") == F.col("_pb")) & (F.col("a") < F.col("b")))
+    return met.filter((F.col("r") > F.col(threshold)) & first).select(*by, "a", "b")
+
+
+def greedy_uncorrelated(pvals: DataFrame, corr: DataFrame, keys, thresholds, max_features=None, task_edges=TASK_EDGES) -> DataFrame:
     """Per (keys, threshold): take the smallest p, drop everything whose absolute
-    correlation with it is above the threshold (strictly), repeat. A task sees
-    one D x D matrix, never data rows. ``thresholds`` is a list, or the name of
-    a key column that holds the threshold."""
+    correlation with it is above the threshold (strictly), repeat. ``thresholds``
+    is a list, or the name of a key column that holds the threshold.
+
+    Only pairs above the threshold are kept of the matrix. A key with at most
+    ``task_edges`` of them is settled by one task in order of p; larger ones by
+    rounds of joins, in which a feature is taken once every better correlated
+    one is dropped, and dropped once one of them is taken. Both give the same.
+    """
     keys = list(keys)
     own = isinstance(thresholds, str)
     values = None if own else [float(t) for t in thresholds]
     if values and not all(0 <= t <= 1 for t in values):
         raise ValueError(f"thresholds must lie between 0 and 1, found {values}")
-    rows = pvals.select(*keys, "feature", "p_value").join(corr, keys + ["feature"])
-    fields = ", ".join(f"`{k}` {pvals.schema[k].dataType.simpleString()}" for k in keys)
-    extra = "" if own else "threshold double, "
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("feature", ignore_index=True)
-        feats, p = pdf["feature"].to_numpy(), pdf["p_value"].to_numpy()
-        c = np.vstack([np.asarray(r, dtype=float) for r in pdf["corr"]])[:, feats]
-        out = []
-        for t in [float(pdf[thresholds].iloc[0])] if own else values:
-            alive, got = np.ones(len(p), dtype=bool), []
-            for j in np.argsort(p, kind="stable"):
+    threshold = thresholds if own else "threshold"
+    by = list(keys) if own else [*keys, threshold]
+    nodes = pvals.select(*keys, F.col("feature").cast("int").alias("feature"), "p_value")
+    nodes = join_same_key(nodes, corr.select(*keys, "feature").distinct(), [*keys, "feature"])
+    if not own:
+        nodes = nodes.withColumn(threshold, F.explode(F.array(*[F.lit(t) for t in values])))
+    nodes = durable(nodes.select(*by, "feature", "p_value"))
+    edges = durable(correlated_pairs(nodes, corr, keys, threshold))
+    large, rounds = None, edges.count() > task_edges  # a count of file footers
+    if rounds:
+        large = durable(edges.groupBy(*by).agg(F.count(F.lit(1)).alias("_edges")).filter(F.col("_edges") > task_edges).select(*by))
+        rounds = large.count() > 0
+
+    def without(t):
+        if not rounds:
+            return t
+        same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]
+        return t.join(large.select(*[F.col(c).alias(f"_key_{c}") for c in by]), same, "left_anti")
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        f, p = left.column("feature").to_numpy(), left.column("p_value").to_numpy()
+        order = np.lexsort((f, p))
+        place = np.empty(int(f.max(initial=0)) + 1, np.int64)
+        place[f[order]] = np.arange(len(f))
+        a, b = place[right.column("a").to_numpy()], place[right.column("b").to_numpy()]
+        sort = np.argsort(a, kind="stable")
+        b, at = b[sort], np.searchsorted(a[sort], np.arange(len(f) + 1))
+        alive, got = np.ones(len(f), bool), []
+        for j in range(len(f)):
+            if alive[j]:
                 if max_features is not None and len(got) >= max_features:
                     break
-                if alive[j]:
-                    got.append(j)
-                    alive &= ~(c[j] > t)
-                    alive[j] = False
-            part = pdf.iloc[sorted(got)][[*keys, "feature", "p_value"]].copy()
-            if not own:
-                part.insert(len(keys), "threshold", t)
-            out.append(part)
-        return pd.concat(out)
-
-    return rows.groupBy(*keys).applyInPandas(scan, f"{fields}, {extra}feature int, p_value double")
+                got.append(order[j])
+                alive[b[at[j]:at[j + 1]]] = False
+        return left.select([*by, "feature", "p_value"]).take(pa.array(sorted(got), pa.int64()))
+
+    kinds = "".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}, " for c in by)
+    schema = f"{kinds}feature int, p_value double"
+    group = ["_all", *by]
+    left, right = without(nodes).withColumn("_all", F.lit(1)), without(edges).withColumn("_all", F.lit(1))
+    picked = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(scan, schema)
+    if not rounds:
+        return picked
+    slow = _greedy_rounds(join_same_key(nodes, large, by), join_same_key(edges, large, by), by)
+    if max_features is not None:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("p_value", "feature"))
+        slow = slow.withColumn("_i", rank).filter(F.col("_i") <= max_features).drop("_i")
+    return picked.unionByName(slow.select(*picked.columns))
+
+
+def _greedy_rounds(nodes: DataFrame, edges: DataFrame, by) -> DataFrame:
+    """The taken nodes of every key, all keys in the same rounds."""
+    taken, open_ = None, durable(nodes.select(*by, "feature", "p_value"))
+    edges = durable(edges)
+    while open_.limit(1).count():
+        worse = edges.select(*by, F.col("b").alias("feature")).distinct().withColumn("_worse", F.lit(1))
+        now = durable(join_same_key(open_, worse, [*by, "feature"], "left").filter("_worse is null").drop("_worse"))
+        taken = now if taken is None else taken.unionByName(now)
+        hit = join_same_key(edges, now.select(*by, F.col("feature").alias("a")), [*by, "a"])
+        gone = durable(now.select(*by, "feature").union(hit.select(*by, F.col("b").alias("feature"))).distinct().withColumn("_gone", F.lit(1)))
+
+        def left(t, name):
+            out = join_same_key(t, gone.withColumnRenamed("feature", name), [*by, name], "left")
+            return out.filter("_gone is null").drop("_gone")
+
+        open_ = durable(left(open_, "feature"))
+        # what a dropped feature would have dropped stays, and taken ones have no open pairs left
+        edges = durable(left(left(edges, "a"), "b"))
+    return taken
 
 
 def check_classes(df: DataFrame, cls: str) -> DataFrame:
@@ -245,9 +312,9 @@ def two_stage_prune(tiles: DataFrame, labels: DataFrame, thresholds, top_k=100,
     Returns (sources, report, stage 1 sources).
     """
     from .sampling import top_k as best
-    rows = tiles.join(labels.select("slide_id", "class"), "slide_id")
-    if score is not None:
-        rows = best(rows, ["model", "slide_id"], score, top_k, ties)
+    # the best tiles first: after the join its exchange would serve the window and a large slide meet in one task
+    rows = tiles if score is None else best(tiles, ["model", "slide_id"], score, top_k, ties)
+    rows = rows.join(labels.select("slide_id", "class"), "slide_id")
     on = list(coords) if align == "coord" else ["slide_id", "rank"]
     rows = durable(rows.withColumn("_id", F.concat_ws("|", *on)).select("model", "_id", "class", "features", *on))
     one = durable(select_features(rows, ["model"], "_id", "features", "class", thresholds, method, test, quality_filter=quality_filter))

@@ -55,6 +55,32 @@ def hash_rank(df: DataFrame, keys, hash_col: str, ties, name="rank", size=None,
     return out.withColumnRenamed("_n", size) if size else out.drop("_n")
 
 
+#: up to this many rows per key Spark limits each partition before the shuffle
+GROUP_LIMIT = 1000
+#: hex digits of the hash by which rows are counted to find a bound
+DIGITS = 3
+
+
+def first_by_hash(df: DataFrame, keys, hash_col: str, ties, n: int) -> DataFrame:
+    """The n rows of smallest (hash, ties) of every key, without ranking the rest.
+
+    A small n is a window that keeps n rows per key and task before the
+    shuffle. For a larger one the rows are counted by the first digits of their
+    hash (16^DIGITS sums per key at most); the digits under which n rows lie are
+    the bound, and only rows within it are ranked.
+    """
+    keys = list(keys)
+    if n <= GROUP_LIMIT:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_col, *ties))
+        return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+    digits = F.substring(F.col(hash_col), 1, DIGITS)
+    upto = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, digits.alias("_d")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    bound = sums.filter(F.col("_before") < n).groupBy(*keys).agg(F.max("_d").alias("_bound"))
+    near = join_same_key(df, bound, keys).filter(digits <= F.col("_bound")).drop("_bound")
+    return hash_rank(near, keys, hash_col, ties, "_place").filter(F.col("_place") < n).drop("_place")
+
+
 def hash_take(df: DataFrame, keys, parts, ties, quota) -> DataFrame:
     """Exactly ``quota`` rows per key without replacement, in hash order.
 
@@ -64,6 +90,10 @@ def hash_take(df: DataFrame, keys, parts, ties, quota) -> DataFrame:
     keys = list(keys)
     src = df if keys else df.withColumn("_all", F.lit(1))
     use = keys or ["_all"]
+    if isinstance(quota, int) and not keys and quota <= GROUP_LIMIT:  # the best n of each task, then of those
+        return df.withColumn("_h", order_hash(*parts)).orderBy("_h", *ties).limit(quota).select(*df.columns)
+    if isinstance(quota, int):
+        return first_by_hash(src.withColumn("_h", order_hash(*parts)), use, "_h", ties, quota).select(*df.columns)
     ranked = hash_rank(src.withColumn("_h", order_hash(*parts)), use, "_h", ties, "_pos", "_size")
     if callable(quota):
         quota = quota(F.col("_size"))

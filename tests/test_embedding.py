@@ -248,6 +248,37 @@ def test_keyed_kmeans_equals_brute_force(spark, monkeypatch, numbers):
     assert K.keyed_kmeans(df.limit(0), ["g", "k"], "id", "f", "k", 7)[0].count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 9])
+def test_greedy_rounds_equal_the_sequential_rule(spark, most):
+    """Random correlations of 60 features, tied p-values, two keys: one task, rounds of joins and the plain loop agree."""
+    rng = np.random.default_rng(12)
+    pv, cr, want = [], [], {}
+    for key in ("a", None):
+        c = np.abs(rng.uniform(-1, 1, (60, 60))) ** 0.5
+        c = np.triu(c, 1) + np.triu(c, 1).T + np.eye(60)
+        c[7], c[:, 7] = np.nan, np.nan
+        p = rng.integers(0, 25, 60) / 25.0
+        pv += [(key, i, float(p[i])) for i in range(60) if i != 3]
+        cr += [(key, i, [None if np.isnan(v) else float(v) for v in c[i]]) for i in range(60)]
+        for t in (0.0, 0.5, 0.9, 1.0):
+            alive, got = [i for i in sorted(range(60), key=lambda i: (p[i], i)) if i != 3], []
+            while alive and (most is None or len(got) < most):
+                got.append(alive[0])
+                alive = [j for j in alive[1:] if not c[got[-1], j] > t]
+            want[key, t] = set(got)
+    pvals, corr = spark.createDataFrame(pv, "k string, feature int, p_value double"), spark.createDataFrame(cr, "k string, feature int, corr array<double>")
+    for task_edges in (10**6, 1000, 0):
+        got = {}
+        for r in E.greedy_uncorrelated(pvals, corr, ["k"], [0.0, 0.5, 0.9, 1.0], most, task_edges).collect():
+            got.setdefault((r.k, r.threshold), set()).add(r.feature)
+        assert got == want, task_edges
+    own = pvals.withColumn("t", F.lit(0.5))
+    got = {}
+    for r in E.greedy_uncorrelated(own, corr.withColumn("t", F.lit(0.5)), ["k", "t"], "t", most).collect():
+        got.setdefault(r.k, set()).add(r.feature)
+    assert got == {k: want[k, 0.5] for k in ("a", None)}
+
+
 def feature_table(spark, n=60):
     rng = np.random.default_rng(8)
     a, b, c = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)

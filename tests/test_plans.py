@@ -90,6 +90,23 @@ def test_hash_take_sizes(spark):
     assert hash_take(df, [], ["id", 1], ["id"], 17).distinct().count() == 17
 
 
+def test_first_by_hash_equals_the_full_order(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), "id")
+    whole = {}
+    for r in hash_rank(df.withColumn("h", order_hash("id", 5)), ["k"], "h", ["id"]).collect():
+        whole.setdefault(r.k, []).append((r["rank"], r.id))
+    for n in (7, 1500, 5000):  # by window; by a bound on the hash; more than there are
+        got = {}
+        for r in hash_take(df, ["k"], ["id", 5], ["id"], n).collect():
+            got.setdefault(r.k, set()).add(r.id)
+        assert got == {k: {i for _, i in sorted(v)[:n]} for k, v in whole.items()}
+    plans = [hash_take(df, k, ["id", 5], ["id"], 100)._jdf.queryExecution().executedPlan().toString() for k in ([], ["k"])]
+    assert "TakeOrderedAndProject" in plans[0] and "WindowGroupLimit" in plans[1]
+    everyone = sorted(i for v in whole.values() for _, i in v)
+    assert {r.id for r in hash_take(df, [], ["id", 5], ["id"], 100).collect()} == {r.id for r in df.orderBy(order_hash("id", 5), "id").limit(100).collect()} <= set(everyone)
+    assert hash_take(df.limit(0), [], ["id", 5], ["id"], 2000).count() == 0
+
+
 def test_pvalues():
     assert P.t_two_sided(2.0, 10) == pytest.approx(0.0733880348, abs=1e-9)
     for t, nu in ((0.5, 49), (1.7, 3), (3.2, 120.5)):  # against the integrated density
