@@ -9,8 +9,10 @@ skipped for good with probability ``dropout``. Every occurrence of a chunk draws
 for itself: its state is a keyed hash of (seed, document's key, the chunk's place in
 the text), and from it come the numbers of merges between one skip and the next
 (geometric, so the same as one draw a merge). Equal inputs always give equal output.
-What a chunk becomes under given skips is kept, so only skips not met before are
-worked out; the cache never changes the ids. ``variants`` is an option that bounds
+All occurrences that have a skip
+are merged together, in lock-step over arrays: each round finds the best pair of every
+row and merges or skips it. What a chunk becomes without skips is kept; the cache never
+changes the ids. ``variants`` is an option that bounds
 the draws instead: key and place modulo it, so a word is cut in at most that many ways.
 
 dropout 0 is the plain encoding of the model. Characters outside the vocabulary,
@@ -43,12 +45,12 @@ from .text import short_batches
 MARK = "▁"
 #: longest chunk whose agenda is a plain list
 SCAN = 48
-#: merges left where no skip is known to end them
-NEVER, UNKNOWN = 1 << 60, 1 << 61
+#: merges left where no skip can come
+NEVER = 1 << 60
+#: rows are merged together up to these lengths, and so many of them at once
+WIDTHS, ROWS = (4, 8, 12, 16, 24, 32, SCAN), 1 << 15
 #: longest table of gaps; a gap that runs off it is drawn on
 GAPS = 1 << 12
-#: most ways of one chunk that outlive a generation of the cache
-WAYS = 256
 ALL, STEP, TURN, M1, M2 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -64,6 +66,20 @@ def mixed(x):
     return x ^ x >> np.uint64(31)
 
 
+class Ragged:
+    """Rows of numbers one after the other, that grow at the end."""
+
+    def __init__(self):
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def extend(self, flat, sizes):
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def sizes(self, rows):
+        return self.at[rows + 1] - self.at[rows]
+
+
 class Codec:
     """Encoder and decoder over one model file."""
 
@@ -71,7 +87,7 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants, cache // 2
+        self.drop, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants, cache
         # a gap is at least k if a 64-bit draw is under 2^64 (1 - dropout)^k; ascending
         ends, t = [], 1 << 128
         while self.drop and len(ends) < GAPS and (t := t * ((1 << 32) - self.drop) >> 32) >> 64:
@@ -112,11 +128,44 @@ class Codec:
         self.width = np.array([len(b) for b in self.bytes], np.int64)
         self.where, self.blob = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.split = re.compile(f" *[^ {MARK}{line}]+| +|[{MARK}{line}]").findall
-        # two generations: what is used stays, what is not used is dropped with the older one. A chunk has
-        # [merges until it is done, ids, {gap: the same after the skip there}, entries below and itself]
-        self.young: dict[str, list] = {}
-        self.old: dict[str, list] = {}
-        self.made = 0
+        # merges as an open-addressed table, at most a third full, for whole arrays of pairs
+        keys, ranks = np.fromiter(self.merge, np.int64, len(self.merge)), np.fromiter(self.merge.values(), np.int32, len(self.merge))
+        self.bits = max(8, (3 * len(keys)).bit_length())
+        self.slots, self.found = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
+        spot, rest = self._spot(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.slots[spot[rest]] < 0]
+            _, first = np.unique(spot[free], return_index=True)
+            won = free[first]
+            self.slots[spot[won]], self.found[spot[won]] = keys[won], ranks[won]
+            rest = np.setdiff1d(rest, won, assume_unique=True)
+            spot[rest] = (spot[rest] + 1) & ((1 << self.bits) - 1)
+        self.id_of = np.array([-1 if i is None else i for i in self.ids], np.int32)
+        self._forget()
+
+    def _forget(self):
+        """Empty cache: of every chunk met, its symbols, its plain ids, and how many merges they took."""
+        self.code: dict[str, int] = {}
+        self.symbols, self.plain = Ragged(), Ragged()
+        self.merges = np.zeros(0, np.int64)
+
+    def _spot(self, keys):
+        return ((keys.astype(np.uint64) * np.uint64(STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of every pair of symbols, ``none`` where there is none."""
+        key = left.astype(np.int64) << 24 | right
+        spot = self._spot(key)
+        got = self.slots[spot]
+        out = np.where(got == key, self.found[spot], np.int32(self.none))
+        more = np.flatnonzero((got != key) & (got >= 0))
+        while len(more):
+            spot[more] = (spot[more] + 1) & ((1 << self.bits) - 1)
+            got = self.slots[spot[more]]
+            hit = got == key[more]
+            out[more[hit]] = self.found[spot[more[hit]]]
+            more = more[~hit & (got >= 0)]
+        return out
 
     def gap(self, state: int, j: int) -> int:
         """Merges between skip ``j`` of an occurrence and the one before it."""
@@ -133,6 +182,15 @@ class Codec:
             total += k
         return total
 
+    def gaps(self, state: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """``gap`` for arrays of occurrences and skips."""
+        u = mixed(state + (j.astype(np.uint64) + np.uint64(1)) * np.uint64(TURN))
+        out = len(self.table) - np.searchsorted(self.table, u, "right")
+        if self.endless:
+            for i in np.flatnonzero(out == len(self.table)).tolist():
+                out[i] = self._on(int(u[i]))
+        return out
+
     def draws(self, chunks: list[str], key: int) -> tuple[np.ndarray, np.ndarray]:
         """State and first gap of each chunk of a text."""
         at = np.arange(len(chunks), dtype=np.uint64)
@@ -144,12 +202,7 @@ class Codec:
         state = mixed(of + (at + np.uint64(1)) * np.uint64(STEP))
         if not self.drop:
             return state, np.full(len(chunks), NEVER)
-        u = mixed(state + np.uint64(TURN))
-        gaps = len(self.table) - np.searchsorted(self.table, u, "right")
-        if self.endless:
-            for i in np.flatnonzero(gaps == len(self.table)).tolist():
-                gaps[i] = self._on(int(u[i]))
-        return state, gaps
+        return state, self.gaps(state, np.zeros(len(state), np.uint64))
 
     def chunk(self, chunk: str, state: int) -> tuple[bytes, list[int], int]:
         """Ids (int32) of one occurrence of a chunk, the gaps before its skips and the merges after the last one.
@@ -230,61 +283,141 @@ class Codec:
         symbols[:] = [s for s in symbols if s is not None]
         return path, gap - left
 
-    def _known(self, chunk: str) -> list:
-        """The cache's entry of a chunk, new or from the older generation."""
-        if self.made >= self.limit:
-            self.old, self.young, self.made = self.young, {}, 0
-        node = self.old.get(chunk)
-        if node is None:
-            node = [UNKNOWN, None, None, 1]
-        elif node[3] > WAYS:
-            node = [node[0], node[1], None, 1]
-        self.young[chunk] = node
-        self.made += node[3]
-        return node
-
-    def _cut(self, chunk: str, root: list, gap: int, state: int) -> bytes:
-        """Ids of an occurrence that has a skip, or of a chunk not met before."""
-        if len(chunk) > SCAN:  # hardly met twice, and large
-            return self.chunk(chunk, state)[0]
-        node, depth = root, 0
-        while gap < node[0]:
-            below = node[2].get(gap) if node[2] else None
-            if below is None:
-                break
-            node, depth = below, depth + 1
-            gap = self.gap(state, depth)
-        else:
-            return node[1]
-        out, path, rest = self.chunk(chunk, state)
-        for g in path[depth:]:
-            if node[2] is None:
-                node[2] = {}
-            node[2][g] = node = [UNKNOWN, None, None]
-            root[3] += 1
-            self.made += 1
-        node[0], node[1] = rest, out
-        return out
+    def _lockstep(self, flat, starts, lengths, state=None, gap=None):
+        """Merges many rows of symbols (``flat`` from ``starts``) at once, one
+        merge or skip per row and round: their ids row by row, the number of ids
+        and of merges per row. A row that ends with a symbol without id has a
+        count of -1. Without ``state`` no merge is skipped."""
+        counts, merges, parts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), []
+        lower = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((lengths > lower) & (lengths <= width))
+            lower = width
+            for lo in range(0, len(rows), ROWS):
+                r = rows[lo:lo + ROWS]
+                ids, counts[r], merges[r] = self._round(flat, starts[r], lengths[r], width, None if state is None else state[r], None if gap is None else gap[r])
+                parts.append((r, ids))
+        # rows were done by width; back to their order
+        out_at = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])
+        out = np.empty(out_at[-1], np.int32)
+        for r, ids in parts:
+            n = np.maximum(counts[r], 0)
+            out[np.repeat(out_at[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+        return out, counts, merges
+
+    def _round(self, flat, starts, n, width, state, gap):
+        none, m = np.int32(self.none), len(starts)
+        cols = np.arange(width)
+        live = cols[None] < n[:, None]
+        sym = np.where(live, flat[np.minimum(starts[:, None] + cols, len(flat) - 1)], -1).ravel()
+        pair = np.full(m * width, none, np.int32)
+        has = np.flatnonzero((cols[None] < n[:, None] - 1).ravel())
+        pair[has] = self.ranks(sym[has], sym[has + 1])
+        after = np.tile(cols + 1, m)
+        before = np.tile(cols - 1, m)
+        left = np.full(m, NEVER) if gap is None else gap.astype(np.int64)
+        skips, merged = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        table = pair.reshape(m, width)
+        act = np.arange(m)
+        while len(act):
+            part = table[act]
+            at = part.argmin(1)
+            best = part[np.arange(len(act)), at]
+            go = best < none
+            act, at, best = act[go], at[go], best[go]
+            skip = left[act] == 0
+            if skip.any():
+                a = act[skip]
+                pair[a * width + at[skip]] = none
+                skips[a] += 1
+                left[a] = self.gaps(state[a], skips[a])
+            a, p, b = act[~skip], at[~skip], best[~skip]
+            left[a] -= 1
+            merged[a] += 1
+            base = a * width
+            here = base + p
+            q = base + after[here]
+            r = after[q]
+            sym[here], sym[q], pair[q], after[here] = b, -1, none, r
+            ok = r < n[a]
+            nxt = base[ok] + r[ok]
+            before[nxt] = p[ok]
+            new = np.full(len(a), none, np.int32)
+            new[ok] = self.ranks(b[ok], sym[nxt])
+            pair[here] = new
+            l = before[here]
+            ok = l >= 0
+            prev = base[ok] + l[ok]
+            pair[prev] = self.ranks(sym[prev], b[ok])
+        keep = sym >= 0
+        ids = self.id_of[sym[keep]]
+        counts = keep.reshape(m, width).sum(1)
+        if (ids < 0).any():
+            row = np.repeat(np.arange(m), counts)
+            odd = np.zeros(m, bool)
+            odd[row[ids < 0]] = True
+            ids, counts = ids[~odd[row]], np.where(odd, -1, counts)
+        return ids, counts, merged
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put chunks not met before into the cache. A long chunk, or one with a
+        character that the model spells in bytes, is worked out alone each time:
+        it has no symbols there."""
+        lists, get, unknown = [], self.chars.get, self.none + (1 << 22)
+        for c in chunks:
+            x = [get(y, unknown) for y in c.replace(" ", MARK)] if len(c) <= SCAN and c != MARK else []
+            lists.append([] if unknown in x else x)
+        n = np.array([len(x) for x in lists], np.int64)
+        flat = np.array([y for x in lists for y in x], np.int32)
+        ids, counts, merges = self._lockstep(flat, np.cumsum(n) - n, n)
+        n = np.where(counts < 0, 0, n)
+        good = np.repeat(counts >= 0, [len(x) for x in lists])
+        base = len(self.code)
+        for i, c in enumerate(chunks):
+            self.code[c] = base + i
+        self.symbols.extend(flat[good], n)
+        self.plain.extend(ids, np.maximum(counts, 0))
+        self.merges = np.concatenate([self.merges, merges])
+
+    def encode_all(self, texts: list, keys) -> list:
+        """Ids of every text of a piece (None for None); all occurrences of all
+        its chunks are drawn, looked up and merged together."""
+        # a space is put before the text, as the model was trained; decoding takes it off
+        split = [self.split(" " + t) if t else [] for t in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        chunks = [c for x in split for c in x]
+        if not chunks:
+            return [None if t is None else np.zeros(0, np.int32) for t in texts]
+        if len(self.code) > self.limit:
+            self._forget()
+        fresh = [c for c in dict.fromkeys(chunks) if c not in self.code]
+        if fresh:
+            self._learn(fresh)
+        code = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+        drawn = [self.draws(x, k) for x, k in zip(split, keys, strict=True) if x]
+        state, gap = (np.concatenate(x) for x in zip(*drawn, strict=True))
+        counts = self.plain.sizes(code)
+        symbols = self.symbols.sizes(code)
+        cut = np.flatnonzero((symbols > 0) & (gap < self.merges[code]))
+        ids, n, _ = self._lockstep(self.symbols.flat, self.symbols.at[code[cut]], symbols[cut], state[cut], gap[cut])
+        alone = np.concatenate([np.flatnonzero(symbols == 0), cut[n < 0]])
+        lone = [np.frombuffer(self.chunk(chunks[i], int(state[i]))[0], np.int32) for i in alone.tolist()]
+        # one pool of ids: plain ones, merged ones, those worked out alone; and where each occurrence reads
+        pool = np.concatenate([self.plain.flat, ids, *lone])
+        start = self.plain.at[code]
+        n = np.maximum(n, 0)
+        start[cut], counts[cut] = len(self.plain.flat) + np.cumsum(n) - n, n
+        if lone:
+            size = np.array([len(x) for x in lone], np.int64)
+            start[alone], counts[alone] = len(self.plain.flat) + len(ids) + np.cumsum(size) - size, size
+        ends = np.cumsum(counts)
+        out = pool[np.repeat(start - (ends - counts), counts) + np.arange(ends[-1])]
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return [None if t is None else out[at[i]:at[i + 1]] for i, t in enumerate(texts)]
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray | None:
         """Ids of a text; ``key`` is its document's, from which the skips are drawn."""
-        if text is None:
-            return None
-        if not text:
-            return np.zeros(0, np.int32)
-        # a space is put before the text, as the model was trained; decoding takes it off
-        chunks = self.split(" " + text)
-        state, gaps = self.draws(chunks, key)
-        known = list(map(self.young.get, chunks))
-        if None in known:
-            for i, x in enumerate(known):
-                if x is None:
-                    known[i] = self.young.get(chunks[i]) or self._known(chunks[i])
-        found = [x[1] for x in known]
-        cut = np.flatnonzero(gaps < np.array([x[0] for x in known]))
-        for i, gap, s in zip(cut.tolist(), gaps[cut].tolist(), state[cut].tolist()):
-            found[i] = self._cut(chunks[i], known[i], gap, s)
-        return np.frombuffer(b"".join(found), np.int32)
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids) -> str | None:
         if ids is None:
@@ -317,7 +450,7 @@ def encode(docs: DataFrame, model=MODEL, **options) -> DataFrame:
     def run(batches):
         c = codec(model, tuple(sorted(options.items())))
         for b in text_pieces(batches):
-            ids = [c.encode(t, k) for t, k in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True)]
+            ids = c.encode_all(b.column("text").to_pylist(), b.column("key").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
     rows = short_batches(docs).select(F.col("doc_id").cast("long"), "text").withColumn("key", key_column())
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
@@ -341,7 +474,7 @@ def encode_decode(docs: DataFrame, model=MODEL, **options) -> DataFrame:
         c = codec(model, tuple(sorted(options.items())))
         for b in text_pieces(batches):
             texts = b.column("text").to_pylist()
-            ids = [c.encode(t, k) for t, k in zip(texts, b.column("_key").to_pylist(), strict=True)]
+            ids = c.encode_all(texts, b.column("_key").to_pylist())
             back = [c.decode(x) for x in ids]
             new = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int64()),
                    pa.array([a == d for a, d in zip(texts, back, strict=True)])]
@@ -358,8 +491,8 @@ def round_trip(docs: DataFrame, model=MODEL, **options) -> DataFrame:
         c = codec(model, tuple(sorted(options.items())))
         for b in text_pieces(batches):
             out = {"n_bytes": [], "n_ids": [], "ids_hash": [], "lossless": []}
-            for text, key in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True):
-                ids = c.encode(text, key)
+            texts = b.column("text").to_pylist()
+            for text, ids in zip(texts, c.encode_all(texts, b.column("key").to_pylist()), strict=True):
                 out["n_bytes"].append(len(text.encode()) if text is not None else 0)
                 out["n_ids"].append(0 if ids is None else len(ids))
                 out["ids_hash"].append(xxhash.xxh64_hexdigest(b"" if ids is None else ids.tobytes()))

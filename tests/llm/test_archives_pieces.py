@@ -146,6 +146,26 @@ def test_every_occurrence_draws_its_own_skips():
         assert gaps.tolist() == [codec.gap(s, 0) for s in state.tolist()]
 
 
+@needs_model
+def test_lockstep_equals_the_agenda_of_each_occurrence():
+    """10^5 occurrences of random chunks, with characters in and out of the vocabulary, under several dropouts."""
+    r = random.Random(11)
+    letters = "etaoinshrdlu" * 4 + "ABCéß.,-'▁漢字😀ø0123"
+    words = [" " * r.randrange(0, 3) + "".join(r.choice(letters) for _ in range(r.choice([1, 2, 3, 5, 8, 13, 21, 34, 47, 60]))) for _ in range(4000)]
+    for dropout, n in ((0.1, 60_000), (0.5, 20_000), (1e-3, 20_000), (1.0, 2000)):
+        c = pieces.Codec(dropout=dropout)
+        text = "".join(r.choice(words) for _ in range(n // 3)) + "x"
+        chunks = c.split(" " + text)
+        state, _ = c.draws(chunks, 5)
+        want = b"".join(c.chunk(x, s)[0] for x, s in zip(chunks, state.tolist()))
+        assert c.encode(text, 5).tobytes() == want
+        assert c.decode(c.encode(text, 5)) == text
+    many = pieces.Codec(dropout=0.1)
+    texts = [None, "", *words[:50], "a " * 200]
+    for got, t, k in zip(many.encode_all(texts, range(len(texts))), texts, range(len(texts))):
+        assert got is None if t is None else got.tolist() == pieces.Codec.encode(many, t, k).tolist()
+
+
 @needs_model
 def test_codec_on_tables(spark):
     rows = [(i, t, 5, "k") for i, t in enumerate(TEXTS)] + [(None, "no id", 5, "k"), (1, " ", 5, "k")]
