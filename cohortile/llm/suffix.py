@@ -9,15 +9,15 @@ segment, about one for 14 bytes.
 1. Every piece of text sends its distinct keys; the shard of a key says which
    of them another document has. Only segments with such keys go on.
 2. Their bytes go to the shard of the key. There documents come in batches of
-   rising id. A batch gets its suffix array (the windows that start in it, in
-   order of their fingerprints), is merge-scanned against every level, and
-   becomes the smallest level; levels of equal size merge, so a shard of n
-   windows has at most log n levels and moves a window log n times.
+   rising id. A batch gets its suffix array (the suffixes that start in it, in
+   byte order, cut to the width), is merge-scanned against every level for
+   matches of the whole width, and becomes the smallest level; levels of equal
+   size merge, so a shard of n windows has at most log n levels and moves a
+   window log n times.
 3. Removed spans return to the documents.
 
-The order inside an array is that of a 64-bit fingerprint of the window's bytes,
-not the alphabet: a merge scan needs some order only. A match counts if a second
-64-bit fingerprint agrees too.
+Matches in a shard compare bytes. Inside a piece equal segments are told by a
+64-bit hash.
 
 Skew: a piece sends one entry per distinct key and one per distinct segment. What
 repeats inside the piece is decided there, so a passage in a third of all
@@ -50,8 +50,6 @@ BATCH = 1 << 16
 CHUNK_BYTES = (1 << 21) - 64
 LAST_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 40) - 1)
-#: other byte values for the second fingerprint
-SECOND = np.random.default_rng(1).permutation(256).astype(np.uint8)
 PACKET = "route long, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
 NAMES = [x.split()[0] for x in PACKET.split(", ")]
 SCHEMA = pa.schema([("route", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in "abcde")])
@@ -196,36 +194,53 @@ def send_segments(shards, width, gram):
 
 
 class Family:
-    """Suffix arrays of geometric sizes over windows (two fingerprints, id)."""
+    """Suffix arrays of geometric sizes. An array holds the sampled suffixes, cut
+    to the window's width, in byte order, each distinct one once with the least
+    id that has it."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def scan(self, one, two, ids) -> np.ndarray:
-        """Adds a batch (ids not below any earlier one); True where a smaller id has the window."""
-        order = np.argsort(one, kind="stable")
-        a, b, c = one[order], two[order], ids[order]
-        first = np.concatenate([[True], a[1:] != a[:-1]])
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        found = (c > c[head]) & (b == b[head])
-        known = np.zeros(len(a), bool)
-        for x, y, z in self.levels:
-            spot = np.minimum(np.searchsorted(x, a), len(x) - 1)
-            match = (x[spot] == a) & (y[spot] == b)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def scan(self, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Adds a batch (ids not below any earlier one); True where a smaller id has the window.
+
+        ``windows`` has the bytes of a window in each row. Their order is the
+        batch's suffix array; neighbours that agree over the whole width are one
+        suffix. The array is merge-scanned against every level: both are in byte
+        order, so each suffix's place in the level is found going forward, and a
+        match is a suffix there with the same bytes.
+        """
+        text = np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel()
+        order = np.argsort(text, kind="stable")
+        array_, owner = text[order], ids[order]
+        first = np.concatenate([[True], array_[1:] != array_[:-1]])
+        run = np.cumsum(first) - 1
+        suffix, least = array_[first], owner[first]  # ids rise, so the first of a run has the least
+        known = np.zeros(len(suffix), bool)
+        for x, z in self.levels:
+            spot = np.minimum(np.searchsorted(x, suffix), len(x) - 1)
+            match = x[spot] == suffix
             known |= match
-            found |= match & (z[spot] < c)
-        new = first & ~known
-        if new.any():
-            self.levels.append((a[new], b[new], c[new]))
+            least = np.where(match, np.minimum(least, z[spot]), least)
+        out = np.empty(len(ids), bool)
+        out[order] = owner > least[run]
+        if not known.all():
+            self.levels.append((suffix[~known], least[~known]))
         while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
-            last, before = self.levels.pop(), self.levels.pop()
-            both = [np.concatenate(p) for p in zip(before, last, strict=True)]
-            merged = np.argsort(both[0], kind="stable")
-            self.levels.append(tuple(p[merged] for p in both))
-        out = np.empty(len(one), bool)
-        out[order] = found
+            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
         return out
 
+    @staticmethod
+    def _merged(small, large):
+        """Two arrays without common suffixes as one, in order."""
+        (x, p), (y, q) = small, large
+        at = np.searchsorted(y, x) + np.arange(len(x))
+        here = np.zeros(len(x) + len(y), bool)
+        here[at] = True
+        suffix, ids = np.empty(len(here), y.dtype), np.empty(len(here), np.int64)
+        suffix[here], suffix[~here], ids[here], ids[~here] = x, y, p, q
+        return suffix, ids
+
 
 def judge_segments(width, batch=BATCH):
     """Step 2, in a shard: batches of rising ids against the family; removed spans return to the pieces."""
@@ -253,10 +268,7 @@ def judge_segments(width, batch=BATCH):
                 fresh = np.concatenate([[0], np.cumsum(size)])[:-1]
                 local = np.concatenate([blob[base[i]:base[i] + n[i] + width - 1] for i in part])
                 first = np.repeat(fresh, n[part]) + at
-                sums, more = prefix_sums(local), prefix_sums(SECOND[local])
-                one = span_hashes(sums, first, first + width)
-                two = span_hashes(more, first, first + width)
-                found = family.scan(one, two, ids[entry])
+                found = family.scan(np.lib.stride_tricks.sliding_window_view(local, width)[first], ids[entry])
                 hit_entry.append(entry[found])
                 hit_at.append(at[found])
             entry, at = np.concatenate(hit_entry), np.concatenate(hit_at)
