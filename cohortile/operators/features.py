@@ -134,18 +134,12 @@ def abs_correlation(df: DataFrame, keys, ids: str, features: str, method="spearm
 TASK_EDGES = 4_000_000
 
 
-def correlated_pairs(nodes: DataFrame, corr: DataFrame, keys, threshold) -> DataFrame:
-    """(nodes' columns of keys and threshold, a, b): pairs with an absolute
-    correlation above the threshold (strictly), a before b by (p-value, feature)."""
-    by = [*keys, threshold] if threshold not in keys else list(keys)
-    least = nodes.groupBy(*keys).agg(F.min(threshold).alias("_least"))
-    near = F.filter(F.transform("corr", lambda c, i: F.struct(i.alias("b"), c.alias("r"))), lambda x: x["r"] > F.col("_least"))
-    some = join_same_key(corr, least, keys).select(*keys, F.col("feature").alias("a"), F.explode(near).alias("_n")).select(*keys, "a", "_n.b", "_n.r").filter("a != b")
-    one = nodes.select(*by, F.col("feature").alias("a"), F.col("p_value").alias("_pa"))
-    two = nodes.select(*by, F.col("feature").alias("b"), F.col("p_value").alias("_pb"))
-    met = join_same_key(join_same_key(some, one, [*keys, "a"]), two, [*by, "b"])
-    first = (F.col("_pa") < F.col("_pb")) | ((F.col("_pa") == F.col("_pb")) & (F.col("a") < F.col("b")))
-    return met.filter((F.col("r") > F.col(threshold)) & first).select(*by, "a", "b")
+def correlated_pairs(corr: DataFrame, keys, least) -> DataFrame:
+    """(keys, a, b, r) above ``least``, and one row with b = -1 for every feature a."""
+    above = F.filter(F.transform("corr", lambda c, i: F.struct(i.alias("b"), c.alias("r"))), lambda x: x["r"] > least)
+    here = F.array(F.struct(F.lit(-1).alias("b"), F.lit(None).cast("double").alias("r")))
+    rows = corr.select(*keys, F.col("feature").alias("a"), F.explode(F.concat(above, here)).alias("_n"))
+    return rows.select(*keys, "a", "_n.b", "_n.r").filter("a != b")
 
 
 def greedy_uncorrelated(pvals: DataFrame, corr: DataFrame, keys, thresholds, max_features=None, task_edges=TASK_EDGES) -> DataFrame:
@@ -165,12 +159,17 @@ def greedy_uncorrelated(pvals: DataFrame, corr: DataFrame, keys, thresholds, max
         raise ValueError(f"thresholds must lie between 0 and 1, found {values}")
     threshold = thresholds if own else "threshold"
     by = list(keys) if own else [*keys, threshold]
+    pairs = durable(correlated_pairs(corr, keys, F.col(threshold) if own else F.lit(min(values, default=0.0))))
     nodes = pvals.select(*keys, F.col("feature").cast("int").alias("feature"), "p_value")
-    nodes = join_same_key(nodes, corr.select(*keys, "feature").distinct(), [*keys, "feature"])
+    nodes = join_same_key(nodes, pairs.filter("b = -1").select(*keys, F.col("a").alias("feature")), [*keys, "feature"])
     if not own:
         nodes = nodes.withColumn(threshold, F.explode(F.array(*[F.lit(t) for t in values])))
     nodes = durable(nodes.select(*by, "feature", "p_value"))
-    edges = durable(correlated_pairs(nodes, corr, keys, threshold))
+    one = nodes.select(*by, F.col("feature").alias("a"), F.col("p_value").alias("_pa"))
+    two = nodes.select(*by, F.col("feature").alias("b"), F.col("p_value").alias("_pb"))
+    met = join_same_key(join_same_key(pairs.filter("b >= 0"), one, [*keys, "a"]), two, [*by, "b"])
+    first = (F.col("_pa") < F.col("_pb")) | ((F.col("_pa") == F.col("_pb")) & (F.col("a") < F.col("b")))
+    edges = durable(met.filter((F.col("r") > F.col(threshold)) & first).select(*by, "a", "b"))
     large, rounds = None, edges.count() > task_edges  # a count of file footers
     if rounds:
         large = durable(edges.groupBy(*by).agg(F.count(F.lit(1)).alias("_edges")).filter(F.col("_edges") > task_edges).select(*by))

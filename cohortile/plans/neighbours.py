@@ -174,15 +174,28 @@ def open_pairs(made: DataFrame, by) -> DataFrame:
     return two.select(*by, F.col("block1").alias("_bi"), F.col("block2").alias("_bj"))
 
 
+def _found_schema(rows: DataFrame, by, ids: str) -> str:
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, ids])
+    return f"{kinds}, neighbour {rows.schema[ids].dataType.simpleString()}, d2 double"
+
+
+def _alone(t: pa.Table, by, ids: str, k: int) -> pa.Table:
+    t = t.sort_by(ids)
+    x, who = matrix(t.column("vec")), t.column(ids).to_numpy()
+    r, c, d = best(x, x, who, who, k)
+    return pa.table({n: t.column(n).take(pa.array(r)) for n in [*by, ids]} | {"neighbour": t.column(ids).take(pa.array(c)), "d2": pa.array(d)})
+
+
 def nearest(rows: DataFrame, by, ids: str, k: int, size=2048) -> DataFrame:
     """(by, id, neighbour, d2): the k nearest other rows of each row's group, all
     if there are fewer. ``rows`` has by, id, vec."""
     by = list(by)
-    made = blocks(durable(rows.select(*by, ids, "vec")), by, ids, size, k)
+    rows = durable(rows.select(*by, ids, "vec"))
+    most = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= size:  # every group is one block
+        return rows.withColumn("_all", F.lit(1)).groupBy("_all", *by).applyInArrow(lambda t: _alone(t, by, ids, k), _found_schema(rows, by, ids))
+    made = blocks(rows, by, ids, size, k)
     chosen = durable(open_pairs(made, by))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, ids])
-    schema = f"{kinds}, neighbour {rows.schema[ids].dataType.simpleString()}, d2 double"
-
     def work(left: pa.Table, right: pa.Table | None) -> pa.Table:
         if right is None:  # only empty tables come alone: a block has met itself
             return pa.table({c: left.column(c) for c in [*by, ids]} | {"neighbour": left.column(ids), "d2": pa.array([], pa.float64())})
@@ -197,7 +210,7 @@ def nearest(rows: DataFrame, by, ids: str, k: int, size=2048) -> DataFrame:
         return pa.concat_tables(out)
 
     named = made.select(*by, ids, "vec", "reach", (F.col("cell").cast("long") * F.lit(1 << 32) + F.col("ring")).alias("_block"))
-    met = pair_blocks(named, by, work, schema, chosen)
+    met = pair_blocks(named, by, work, _found_schema(rows, by, ids), chosen)
     own = made.select(*by, ids, F.explode("near").alias("_n")).select(*by, ids, "_n.neighbour", "_n.d2")
     rank = F.row_number().over(Window.partitionBy(*by, ids).orderBy("d2", "neighbour"))
     return own.union(met).withColumn("_i", rank).filter(F.col("_i") <= k).drop("_i")

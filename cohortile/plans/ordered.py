@@ -32,6 +32,12 @@ def scan(df: DataFrame, keys, order, sums: dict | None = None, totals: dict | No
     rows = durable(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
                    .withColumn("_group", F.xxhash64(*keys) if keys else F.lit(0).cast("long")))
     wanted = list(dict.fromkeys([*sums, *totals, *ends]))
+    inside = Window.partitionBy("_range", "_group", *keys)
+    before, here = (inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, e) for e in (-1, 0))
+    if len(rows.inputFiles()) < 2:  # all ranges were merged into one file: every part is a whole group
+        return rows.select(
+            *df.columns, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()],
+            *[F.sum(c).over(here).alias(n) for c, n in ends.items()], *[F.sum(c).over(inside).alias(n) for c, n in totals.items()])
     per = rows.groupBy("_range", "_group", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in wanted])
     group = Window.partitionBy(*keys)  # at most one row per range
     prior = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,8 +49,6 @@ def scan(df: DataFrame, keys, order, sums: dict | None = None, totals: dict | No
     same = (F.col("_range") == F.col("_r")) & (F.col("_group") == F.col("_g"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    inside = Window.partitionBy("_range", "_group", *keys).orderBy(*order)
-    before, here = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(offsets, same).select(
         *df.columns,
         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(n) for c, n in sums.items()],
