@@ -53,7 +53,6 @@ RARE = 32
 BLOCK = 2048
 BITS = 512
 STEP = 1.2501
-LOW = np.uint64((1 << 40) - 1)
 
 
 def misses(n: int) -> int:
@@ -137,8 +136,7 @@ def ask_counts(shards):
                 rows = []
                 for s in np.flatnonzero(np.diff(cut)):
                     pick = order[cut[s]:cut[s + 1]]
-                    t = tok[pick] & LOW
-                    rows.append(packet(s, 0, chunk, t.astype(np.uint32), (t >> np.uint64(32)).astype(np.uint8), np.minimum(count[pick], 65535).astype(np.uint16)))
+                    rows.append(packet(s, 0, chunk, tok[pick], np.minimum(count[pick], 65535).astype(np.uint16)))
                 if rows:
                     yield batch_of(rows)
     return run
@@ -146,13 +144,13 @@ def ask_counts(shards):
 
 def answer_counts(t: pa.Table) -> pa.Table:
     """In a shard: the tokens of each piece that several sets hold, with their number."""
-    low, high, count = array(t, "a", np.uint32), array(t, "b", np.uint8), array(t, "c", np.uint16)
-    source = np.repeat(np.arange(len(low)), [len(x) for x in low])
-    key = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32))
+    tokens, count = array(t, "a", np.uint64), array(t, "b", np.uint16)
+    source = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    key = np.concatenate(tokens)
     _, back = np.unique(key, return_inverse=True)
     total = np.bincount(back, np.concatenate(count)).astype(np.uint32)[back]
     yes = np.flatnonzero(total > 1)
-    cut = np.searchsorted(source[yes], np.arange(len(low) + 1))
+    cut = np.searchsorted(source[yes], np.arange(len(tokens) + 1))
     chunks, out = t.column("chunk").to_pylist(), []
     for i in np.flatnonzero(np.diff(cut)):
         pick = yes[cut[i]:cut[i + 1]]
@@ -204,8 +202,8 @@ def index_sets(t: pa.Table, most: int) -> pa.Table:
     key, df = key[order], df[order]
     count = np.ones(len(low), np.int64)
     if len(key):
-        spot = np.minimum(np.searchsorted(key, low & LOW), len(key) - 1)
-        count = np.where(key[spot] == low & LOW, df[spot], 1)
+        spot = np.minimum(np.searchsorted(key, low), len(key) - 1)
+        count = np.where(key[spot] == low, df[spot], 1)
     at, more = np.concatenate([[0], np.cumsum(low_n)]), np.concatenate([[0], np.cumsum(rest_n)])
     rows = []
     for i in range(len(nodes)):
