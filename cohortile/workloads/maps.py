@@ -451,15 +451,20 @@ def alignment_mismatches(spark, sf):
 count(*) as regions, cast(count(*) * 6 as bigint) as vertices, round(min(bx), 6) as min_x, round(max(by_ + s), 6) as max_y from poly group by 1, 2, 3""")
 def annotation_xml(spark, sf):
     """Write each slide's polygons as one XML document, then parse them back."""
+    got = G.with_bounds(I.parse_annotations(annotation_documents(spark, sf), dialect="color"))
+    return got.groupBy("slide_id", F.col("color").cast("int").alias("color"), "tissue").agg(
+        F.count(F.lit(1)).alias("regions"), F.sum(F.size("verts")).alias("vertices"), r6(F.min("bx0")).alias("min_x"), r6(F.max("by1")).alias("max_y"))
+
+
+def annotation_documents(spark, sf):
+    """(slide_id, content): tumor polygons in green, the others in yellow."""
     color = F.when(F.col("tissue") == "tumor", I.TUMOR_COLOR).otherwise(I.BENIGN_COLOR)
     vert = lambda v: F.concat(F.lit('<Vertex X="'), v["x"].cast("string"), F.lit('" Y="'), v["y"].cast("string"), F.lit('"/>'))
     region = F.concat(F.lit("<Region><Vertices>"), F.array_join(F.transform("verts", vert), ""), F.lit("</Vertices></Region>"))
     per_color = polygons(spark, sf).groupBy("slide_id", color.alias("color")).agg(F.array_join(F.collect_list(region), "").alias("r")).select(
         "slide_id", F.concat(F.lit('<Annotation LineColor="'), F.col("color").cast("string"), F.lit('"><Regions>'), "r", F.lit("</Regions></Annotation>")).alias("a"))
-    docs = per_color.groupBy("slide_id").agg(F.concat(F.lit("<Annotations>"), F.array_join(F.collect_list("a"), ""), F.lit("</Annotations>")).alias("content"))
-    got = G.with_bounds(I.parse_annotations(docs, dialect="color"))
-    return got.groupBy("slide_id", F.col("color").cast("int").alias("color"), "tissue").agg(
-        F.count(F.lit(1)).alias("regions"), F.sum(F.size("verts")).alias("vertices"), r6(F.min("bx0")).alias("min_x"), r6(F.max("by1")).alias("max_y"))
+    return per_color.groupBy("slide_id").agg(F.concat(F.lit("<Annotations>"), F.array_join(F.collect_list("a"), ""), F.lit("</Annotations>")).alias("content"))
+
 
 
 @query("infer_dim", """with d as (select lang, len(string_split(text, ' ')) as d, count(*) as n from documents group by 1, 2)

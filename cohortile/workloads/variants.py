@@ -4,11 +4,14 @@ results that have no closed SQL form."""
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import clustering as K
 from ..operators import geometry as G
 from ..operators import metrics as M
 from ..operators import raster as R
 from ..session import r6
+from ..sources import readers as I
 from . import classifier as C
+from . import embedding as B
 from . import maps as P
 from . import standins as D
 from .registry import query
@@ -105,3 +108,61 @@ def pca_invariants(spark, sf):
     rho = v.join(nxt, ["model", "tile_idx", "i"]).groupBy("model", "i").agg(F.abs(F.corr("v", "w")).alias("rho")).groupBy("model").agg(F.max("rho").alias("rho"))
     all_ = one.groupBy("model").agg(F.max("n").alias("n"), F.round(F.sum("var"), 3).alias("total_variance"), (F.round(F.max("mean"), 6) + 0.0).alias("largest_mean"))
     return all_.join(rho, "model").select("model", "n", "total_variance", "largest_mean", (F.round("rho", 6) + 0.0).alias("largest_correlation"))
+
+
+_EIGHT = """near as (select a.slide_id, a.tissue, a.id as x, b.id as y from m a join m b on a.slide_id = b.slide_id and a.tissue = b.tissue and a.id <> b.id
+ and abs(a.px - b.px) <= 1 and abs(a.py - b.py) <= 1),"""
+
+
+@query("region_sizes_8", f"""with recursive {P.POLY_SQL}, {P.MASK_SQL}, m as (select slide_id, tissue, px, py, (py * 4294967296 + px)::bigint as id from mask where (px + py) % 7 <> 0 and (px - py) % 5 <> 0),
+{_EIGHT}
+lab as (select slide_id, tissue, id, id as root, 0 as step from m
+  union all select * from (select l.slide_id, l.tissue, l.id, least(min(l.root), min(n2.root)) as root, max(l.step) + 1 as step
+    from lab l left join near on near.slide_id = l.slide_id and near.tissue = l.tissue and near.x = l.id
+    left join lab n2 on n2.slide_id = l.slide_id and n2.tissue = l.tissue and n2.id = near.y where l.step < {P.W + P.H} group by 1, 2, 3)),
+last as (select slide_id, tissue, id, min(root) as root from lab group by 1, 2, 3)
+select slide_id, tissue, (dense_rank() over (partition by slide_id, tissue order by root) - 1)::integer as component, count(*) as n from last group by slide_id, tissue, root""")
+def region_sizes_8(spark, sf):
+    """Masks cut by diagonals, whose pieces meet at corners only."""
+    cut = P.masks(spark, sf).filter("(px + py) % 7 <> 0 and (px - py) % 5 <> 0")
+    return R.region_components(cut, ["slide_id", "tissue"], 8).groupBy("slide_id", "tissue", "component").agg(F.count("*").alias("n"))
+
+
+@query("vote_decided_ensemble", f"""with {D.SQL_PREDS}, {C._combo_sql()},
+v as (select combo, slide_id, label, pred, count(*) as n from preds join combos using (model) group by all),
+w as (select combo, slide_id, label, arg_max(pred, (n, -pred)) as pred from v group by all),
+e as (select combo, slide_id, label, round(avg(score), 6) as score from preds join combos using (model) group by all)
+select combo, slide_id, label, score, pred from e join w using (combo, slide_id, label)""")
+def vote_decided_ensemble(spark, sf):
+    p = D.preds(spark, sf)
+    out = M.mean_prob_ensemble(p, M.model_combinations(p.select("model"), (2, 3)), decide="vote")
+    return out.select("combo", "slide_id", "label", r6("score").alias("score"), "pred")
+
+
+_SLIDE_SIL = f"""{B.DIST_SQL.replace("select model, tile_idx", "select slide_id, model, tile_idx")},
+n as (select slide_id, model, class, count(*) as n from pt group by 1, 2, 3),
+s as (select a.slide_id, a.model, a.tile_idx, a.class as own, b.class as other, sum(list_distance(a.f, b.f)) as d from pt a join pt b using (slide_id, model) group by 1, 2, 3, 4, 5),
+m as (select s.*, n.n, case when own = other then d / nullif(n.n - 1, 0) else d / n.n end as mean from s join n on n.slide_id = s.slide_id and n.model = s.model and n.class = s.other),
+ab as (select slide_id, model, tile_idx, max(mean) filter (own = other) as a, min(mean) filter (own <> other) as b, max(n) filter (own = other) as own_n from m group by 1, 2, 3)"""
+
+
+@query("slide_silhouettes", f"""with {_SLIDE_SIL}, c as (select slide_id, model, count(*) filter (class = 1) as n_pos, count(*) filter (class = 0) as n_neg from pt group by 1, 2),
+sc as (select slide_id, model, avg(case when b is null then null when own_n <= 1 then 0 else (b - a) / greatest(a, b) end) as sil from ab group by 1, 2)
+select slide_id, model, n_pos, n_neg, round(sil, 6) as silhouette from c left join sc using (slide_id, model)""")
+def slide_silhouettes(spark, sf):
+    t = D.tiles(spark, sf)
+    return K.slide_cluster_summary(t, K.silhouette(t, ["slide_id", "model"], "tile_idx", "features", "class")).select(
+        "slide_id", "model", "n_pos", "n_neg", r6("silhouette").alias("silhouette"))
+
+
+@query("annotation_dialects", f"""with {P.POLY_SQL}, d as (select unnest(['all', 'union', 'color']) as dialect)
+select dialect, slide_id, case dialect when 'all' then 'normal' when 'union' then 'tumor' else case when tissue = 'tumor' then 'tumor' else 'benign' end end as tissue,
+count(*) as regions, cast(count(*) * 6 as bigint) as vertices from poly, d group by 1, 2, 3""")
+def annotation_dialects(spark, sf):
+    """The same documents read by each dialect: every region as one tissue, both colours as tumor, colours told apart."""
+    docs, out = P.annotation_documents(spark, sf), None
+    for d in ("all", "union", "color"):
+        one = I.parse_annotations(docs, dialect=d, tissue="normal").groupBy(F.lit(d).alias("dialect"), "slide_id", "tissue").agg(
+            F.count(F.lit(1)).alias("regions"), F.sum(F.size("verts")).alias("vertices"))
+        out = one if out is None else out.unionByName(one)
+    return out
