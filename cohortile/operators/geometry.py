@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def edges(verts):
     """array<struct(x1, y1, x2, y2)> of a closed polygon."""
@@ -49,6 +51,33 @@ def _cells(lo, hi, cell):
     return F.sequence(F.floor(lo / cell), F.floor(hi / cell))
 
 
+def outline_tables(polygons: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(extents, lines): every polygon's extent with a number, without its
+    vertices, and its edges by the rows of ``cell`` they pass through."""
+    whole = durable(with_bounds(polygons).withColumn("_pid", F.monotonically_increasing_id()))
+    lines = whole.select("slide_id", "_pid", F.explode(edges(F.col("verts"))).alias("_e")).select("slide_id", "_pid", "_e.*")
+    rows = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
+    names = {"x1": "ex1", "y1": "ey1", "x2": "ex2", "y2": "ey2"}
+    return whole.drop("verts"), lines.withColumn("_row", F.explode(rows)).withColumnsRenamed(names)
+
+
+def crosses_right(px, py):
+    """The edge of a ``lines`` row meets the ray from the point to the right, by
+    the rule of ``point_in_polygon``."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("ex1", "ey1", "ex2", "ey2"))
+    spans = (py > F.least(y1, y2)) & (py <= F.greatest(y1, y2)) & (px <= F.greatest(x1, x2))
+    at = (py - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)) + x1
+    return F.coalesce(spans & ((x1 == x2) | (px <= at)), F.lit(False))
+
+
+def touches_box(x0, y0, x1, y1):
+    """The edge of a ``lines`` row touches the box, by the rule of ``box_meets_polygon``."""
+    a1, b1, a2, b2 = (F.col(c) for c in ("ex1", "ey1", "ex2", "ey2"))
+    apart = (F.greatest(a1, a2) < x0) | (F.least(a1, a2) > x1) | (F.greatest(b1, b2) < y0) | (F.least(b1, b2) > y1)
+    s = [(a2 - a1) * (y - b1) - (b2 - b1) * (x - a1) for x in (x0, x1) for y in (y0, y1)]
+    return ~apart & (F.least(*s) <= 0) & (F.greatest(*s) >= 0)
+
+
 def label_tiles_by_polygon(tiles: DataFrame, polygons: DataFrame, side, mode="exact", priority=("tumor", "normal"),
                            require_both=True, cell=None, ids=("slide_id", "tile_idx")) -> DataFrame:
     """Tissue of each tile box that meets a polygon; the first tissue in
@@ -56,7 +85,9 @@ def label_tiles_by_polygon(tiles: DataFrame, polygons: DataFrame, side, mode="ex
 
     Tiles and polygon extents are cut into coarse square cells and joined on
     (slide, cell): only neighbours are compared, and a slide with very many
-    tiles spreads over its cells instead of landing on one task.
+    tiles spreads over its cells instead of landing on one task. What is left
+    meets the polygon's edges of the same rows only: one that touches the box
+    decides, else the parity of those on the line through the box's corner.
     """
     ids = list(ids)
     cell = float(cell or 8 * side)
@@ -65,13 +96,22 @@ def label_tiles_by_polygon(tiles: DataFrame, polygons: DataFrame, side, mode="ex
     t = tiles.select(*ids, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).select(
         "*", x1.alias("x1"), y1.alias("y1")).withColumn("_cx", F.explode(_cells(F.col("x"), F.col("x1"), cell))).withColumn(
         "_cy", F.explode(_cells(F.col("y"), F.col("y1"), cell)))
-    p = with_bounds(polygons).withColumn("_rank", rank).filter(F.col("_rank") > 0)
-    p = p.select("slide_id", "verts", "_rank", "bx0", "bx1", "by0", "by1").withColumn(
-        "_cx", F.explode(_cells(F.col("bx0"), F.col("bx1"), cell))).withColumn("_cy", F.explode(_cells(F.col("by0"), F.col("by1"), cell)))
+    known = polygons.withColumn("_rank", rank).filter(F.col("_rank") > 0).select("slide_id", "verts", "_rank")
+    extents, lines = outline_tables(known, cell) if mode == "exact" else (with_bounds(known).drop("verts"), None)
+    p = extents.withColumn("_cx", F.explode(_cells(F.col("bx0"), F.col("bx1"), cell))).withColumn(
+        "_cy", F.explode(_cells(F.col("by0"), F.col("by1"), cell)))
     near = (F.col("x") <= F.col("bx1")) & (F.col("x1") >= F.col("bx0")) & (F.col("y") <= F.col("by1")) & (F.col("y1") >= F.col("by0"))
     hit = t.join(p, ["slide_id", "_cx", "_cy"]).filter(near)
     if mode == "exact":
-        hit = hit.filter(box_meets_polygon(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("verts")))
+        # a pair meets in every cell that both cover; the one of its least corner stands for it
+        least = lambda a, b: F.floor(F.greatest(a, b) / cell)
+        once = hit.filter((F.col("_cx") == least("x", "bx0")) & (F.col("_cy") == least("y", "by0")))
+        first = F.floor(F.col("y") / cell)
+        pairs = once.select(*ids, "x", "y", "x1", "y1", "_pid", "_rank", F.explode(F.sequence(first, F.floor(F.col("y1") / cell))).alias("_row"))
+        met = pairs.join(lines, ["slide_id", "_pid", "_row"]).groupBy(*ids, "x", "y", "_pid", "_rank").agg(
+            F.max(touches_box(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))).alias("_touch"),
+            F.sum((crosses_right(F.col("x"), F.col("y")) & (F.col("_row") == first)).cast("int")).alias("_cross"))
+        hit = met.filter("_touch or _cross % 2 = 1")
     best = hit.groupBy(*ids).agg(F.min("_rank").cast("int").alias("_rank"))
     out = best.select(*ids, F.element_at(F.array(*[F.lit(q) for q in priority]), F.col("_rank")).alias("tissue"))
     if require_both:
@@ -81,13 +121,16 @@ def label_tiles_by_polygon(tiles: DataFrame, polygons: DataFrame, side, mode="ex
 
 
 def points_in_any(points: DataFrame, polygons: DataFrame, cell: float, ids=("point_id",)) -> DataFrame:
-    """Points (slide_id, ids, px, py) inside at least one polygon of their slide."""
-    pts = points.withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
-    p = with_bounds(polygons).select("slide_id", "verts", "bx0", "bx1", "by0", "by1").withColumn(
-        "_cx", F.explode(_cells(F.col("bx0"), F.col("bx1"), cell))).withColumn("_cy", F.explode(_cells(F.col("by0"), F.col("by1"), cell)))
+    """Points (slide_id, ids, px, py) inside at least one polygon of their slide:
+    by extent and cell first, then by the parity of the edges in the point's row."""
+    pts = points.select("slide_id", *[c for c in dict.fromkeys([*ids, "px", "py"])]).withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    extents, lines = outline_tables(polygons.select("slide_id", "verts"), cell)
+    p = extents.withColumn("_cx", F.explode(_cells(F.col("bx0"), F.col("bx1"), cell))).withColumn(
+        "_cy", F.explode(_cells(F.col("by0"), F.col("by1"), cell)))
     near = F.col("px").between(F.col("bx0"), F.col("bx1")) & F.col("py").between(F.col("by0"), F.col("by1"))
-    j = pts.join(p, ["slide_id", "_cx", "_cy"]).filter(near & point_in_polygon(F.col("px"), F.col("py"), F.col("verts")))
-    return j.select("slide_id", *ids).distinct()
+    j = pts.join(p, ["slide_id", "_cx", "_cy"]).filter(near).withColumnRenamed("_cy", "_row").join(lines, ["slide_id", "_pid", "_row"])
+    inside = j.groupBy("slide_id", *dict.fromkeys([*ids, "px", "py"]), "_pid").agg(F.sum(crosses_right(F.col("px"), F.col("py")).cast("int")).alias("_cross"))
+    return inside.filter("_cross % 2 = 1").select("slide_id", *ids).distinct()
 
 
 SIDES = (("top", -1, 0), ("bottom", 1, 0), ("left", 0, -1), ("right", 0, 1))

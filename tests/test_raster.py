@@ -37,6 +37,29 @@ def test_tile_labels(spark):
     assert [r.point_id for r in G.points_in_any(pts, polys, 64.0).collect()] == [1]
 
 
+def test_edge_rows_equal_whole_outlines(spark):
+    """Random stars over many cells: the same tiles and points as with the rule over the whole outline; no vertices on the cell side."""
+    rng = np.random.default_rng(5)
+    polys = []
+    for i in range(12):
+        n, cx, cy = int(rng.integers(3, 40)), rng.uniform(0, 900), rng.uniform(0, 900)
+        a, r = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(5, 300, n)
+        polys.append(("s", "tumor" if i % 2 else "normal", [(float(round(cx + x)), float(round(cy + y))) for x, y in zip(r * np.cos(a), r * np.sin(a))]))
+    p = spark.createDataFrame(polys, POLY)
+    t = spark.createDataFrame([("s", i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(-200, 1200, (400, 2)))], "slide_id string, tile_idx int, x int, y int")
+    side = 20
+    met = t.join(p, "slide_id").filter(G.box_meets_polygon(F.col("x").cast("double"), F.col("y").cast("double"), F.col("x") + side, F.col("y") + side, F.col("verts")))
+    want = {r.tile_idx: r.t for r in met.groupBy("tile_idx").agg(F.max("tissue").alias("t")).collect()}  # tumor is the greater name and the first in priority
+    got = G.label_tiles_by_polygon(t, p, side, "exact", require_both=False, cell=64)
+    assert {r.tile_idx: r.tissue for r in got.collect()} == want and len(want) > 100
+    pts = t.withColumnsRenamed({"x": "px", "y": "py", "tile_idx": "point_id"})
+    inside = {r.point_id for r in pts.join(p, "slide_id").filter(G.point_in_polygon(F.col("px"), F.col("py"), F.col("verts"))).collect()}
+    found = G.points_in_any(pts, p, 50.0)
+    assert {r.point_id for r in found.collect()} == inside and len(inside) > 50
+    extents, lines = G.outline_tables(p, 50.0)
+    assert "verts" not in extents.columns and "verts" not in lines.columns
+
+
 def test_boundary_sides(spark):
     g = spark.createDataFrame([("m", 0, 0, "a", 1), ("m", 0, 1, "b", 1), ("m", 1, 0, "x", 1), ("m", 1, 0, "a", 2)], "m string, r int, c int, label string, ord int")
     s = {(r.r, r.c): r for r in G.boundary_sides(g, ["m"], 2, 2).collect()}
