@@ -286,6 +286,35 @@ def logrank_pvalue(spark, sf):
     return V.logrank(_survival(spark, sf).withColumn("cohort", F.lit("all")), ["cohort"])
 
 
+def _simpson(f, end, n=4000):
+    """SQL of the integral from 0 to ``end`` of f (in terms of x)."""
+    return f"(({end}) / {n} / 3 * list_sum(list_transform(range(0, {n + 1}), lambda i: (case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end) * {f.replace('{x}', f'(({end}) * i / {n})')})))"
+
+
+LOGRANK_SQL = f"""{D.SQL_SURVIVAL},
+g as (select time, sum(case when grp = 0 then event else 0 end)::double as d0, sum(case when grp = 1 then event else 0 end)::double as d1,
+             sum(case when grp = 0 then 1 else 0 end)::double as m0, sum(grp)::double as m1 from surv group by time),
+r as (select *, sum(m0) over (order by time desc) as r0, sum(m1) over (order by time desc) as r1 from g),
+e as (select d0 + d1 as d, r0 + r1 as n, * from r),
+st as (select pow(sum(d1 - d * r1 / n), 2) / sum(case when n > 1 then r0 * r1 * d * (n - d) / (n * n * (n - 1)) else 0 end) as s from e)"""
+
+
+@query("logrank_test", f"""with {LOGRANK_SQL} select 'all' as cohort, round(s, 6) as statistic,
+ round(greatest(0, 1 - 2 / sqrt(pi()) * {_simpson('exp(-pow({x}, 2))', 'sqrt(s / 2)')}), 6) as p_value from st""")
+def logrank_test(spark, sf):
+    return logrank_pvalue(spark, sf).select("cohort", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
+
+
+@query("paired_t_test", f"""with {D.SQL_BOOT},
+ref as (select metric, iter, value as ref from boot where model = 'click'),
+pairs as (select b.metric, b.model, r.ref - b.value as d from boot b join ref r using (metric, iter) where b.model <> 'click'),
+t as (select metric, model, avg(d) / (stddev_samp(d) / sqrt(count(d))) as t, count(d) - 1.0::double as v from pairs group by metric, model)
+select metric, model, round(t, 6) as ttest_stat,
+ round(greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_simpson('pow(1 + pow({x}, 2) / v, -(v + 1) / 2)', 'abs(t)')}), 6) as ttest_p from t""")
+def paired_t_test(spark, sf):
+    return paired_test_pvalues(spark, sf).select("metric", "model", r6("ttest_stat").alias("ttest_stat"), r6("ttest_p").alias("ttest_p"))
+
+
 # --- wide reports --------------------------------------------------------------------
 @query("fold_table", f"""with {FOLD_SQL}
 select model, fold as folds, round(max(auc) filter (split = 'test'), 6) as test_auc, round(max(auc) filter (split = 'val'), 6) as val_auc,
