@@ -4,21 +4,24 @@
 components, its centroids, its pivots). ``pair_blocks`` runs every pair of rows
 of a group, block against block: a pair of blocks meets once, for both of its
 sides, and no pair of rows is written out. A block holds at most ``NUMBERS``
-vector components; below that a group is cut into just enough blocks to keep
-all tasks busy, since each row is sent once per block of its group.
+vector components and ``MOST_ROWS`` rows; below that the groups are cut into
+just enough blocks to keep all tasks busy, since each row is sent once per
+block of its group.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, join_same_key
 
 #: vector components in a block or part
 NUMBERS = 4_000_000
+#: rows in a block whose pairs are worked out
+MOST_ROWS = 32_768
 
 
 def beside(rows: DataFrame, table: DataFrame, keys, features: str, work, schema, numbers=NUMBERS) -> DataFrame:
@@ -35,12 +38,22 @@ def beside(rows: DataFrame, table: DataFrame, keys, features: str, work, schema,
     return left.groupBy(*by, "_part").cogroup(right.groupBy(*by, "_part")).applyInArrow(work, schema)
 
 
-def cut_blocks(df: DataFrame, keys, ids: str, features: str, numbers=NUMBERS, rows=1024) -> DataFrame:
-    """Add ``_block`` and ``_blocks`` (how many the group has), by hash of the id."""
-    side = math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # pairs of blocks: twice the tasks
-    n, size = F.count(F.lit(1)), F.sum(F.size(features))
-    wanted = F.greatest(F.lit(1), F.ceil(size / numbers), F.least(F.ceil(n / rows), F.lit(side))).cast("int")
-    counts = df.groupBy(*keys).agg(wanted.alias("_blocks"))
+def cut_blocks(df: DataFrame, keys, ids: str, features: str | Column, numbers=NUMBERS, rows=1024, most=MOST_ROWS) -> DataFrame:
+    """Add ``_block`` and ``_blocks`` (how many the group has), by hash of the id.
+
+    A row is sent once per block of its group, so blocks are as large as a task
+    may hold (``numbers``, ``most`` rows). Below that all groups together are cut
+    into about two pairs of blocks a task, each in proportion to its rows, and
+    none into blocks of less than ``rows``. ``features`` is the vector or a column
+    that says what a row weighs in components."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, size = F.count(F.lit(1)), F.sum(F.size(features) if isinstance(features, str) else features)
+    sizes = df.withColumn("_all", F.lit(1)).groupBy("_all", *keys).agg(n.alias("_n"), size.alias("_size"))
+    whole = sizes.groupBy("_all").agg(F.sqrt(F.sum(F.col("_n").cast("double") * F.col("_n"))).alias("_norm"))
+    side = F.ceil(math.sqrt(4 * tasks) * F.col("_n") / F.col("_norm"))
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("_size") / numbers), F.ceil(F.col("_n") / most), F.least(F.ceil(F.col("_n") / rows), side)).cast("int")
+    counts = sizes.join(F.broadcast(whole), "_all").select("_all", *[c for c in keys if c != "_all"], wanted.alias("_blocks"))  # ``whole`` is one row
+    counts = counts if "_all" in keys else counts.drop("_all")
     return join_same_key(df, counts, keys).withColumn("_block", F.pmod(F.xxhash64(ids), F.col("_blocks")).cast("int"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cohortile.operators import clustering as K
 from cohortile.operators import features as E
 from cohortile.operators import similarity as S
+from cohortile.plans.blocks import cut_blocks
 from cohortile.plans.gram import keyed_gram
 
 
@@ -357,3 +358,24 @@ def test_importance(spark):
     assert {r.model: (r.model_pct, r.total_pct) for r in E.pruning_percentages(wide, ["a", "b"]).collect()} == {"a": (25.0, 50.0), "b": (75.0, 50.0)}
     with pytest.raises(Exception, match="is missing"):
         E.pruning_percentages(wide.filter("Threshold = '0.2'"), ["a", "b"]).collect()
+
+
+def test_draws_share_distances(spark):
+    """One pass over all draws gives the silhouette of every draw worked out alone."""
+    rng = np.random.default_rng(11)
+    rows = [("A" if i % 3 else None, i, f"l{i % 4}", [float(v) for v in rng.normal(i % 4, 2, 3)],
+             [(j, int(w)) for j, w in enumerate(rng.integers(0, 3, 5)) if w and (j < 4 or i % 4 < 2)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, id int, lab string, f array<double>, draws array<struct<iter:int,weight:int>>")
+    one = df.select("g", "id", "lab", "f", F.explode("draws").alias("d")).select("g", "id", "lab", "f", "d.iter", "d.weight").fillna("none", ["g"])
+    want = {(r.g, r.iter): r.silhouette for r in K.silhouette(one, ["g", "iter"], "id", "f", "lab", "weight").collect()}
+    for rows_ in (1024, 20):  # one block, several blocks
+        got = {(r.g or "none", r.iter): r.silhouette for r in K.silhouette_draws(df, ["g"], "id", "f", "lab", "draws", 5, rows=rows_).collect()}
+        assert len(want) == 10 and got == pytest.approx(want)
+
+
+def test_many_groups_are_not_cut_small(spark):
+    """A row is sent once per block: groups that keep all tasks busy together stay whole."""
+    df = spark.range(40 * 200).select((F.col("id") % 40).alias("g"), "id", F.array(F.lit(1.0)).alias("f"))
+    assert cut_blocks(df, ["g"], "id", "f", rows=10).agg(F.max("_blocks")).first()[0] == 1
+    assert cut_blocks(df, [], "id", "f", rows=10).agg(F.max("_blocks")).first()[0] > 1
+    assert cut_blocks(df, ["g"], "id", "f", rows=10, most=50).agg(F.min("_blocks")).first()[0] == 4
