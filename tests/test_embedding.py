@@ -7,6 +7,7 @@ from cohortile.operators import clustering as K
 from cohortile.operators import features as E
 from cohortile.operators import similarity as S
 from cohortile.plans.blocks import cut_blocks
+from cohortile.plans.draws import hash_rank, order_hash
 from cohortile.plans.gram import keyed_gram
 
 
@@ -377,5 +378,30 @@ def test_many_groups_are_not_cut_small(spark):
     """A row is sent once per block: groups that keep all tasks busy together stay whole."""
     df = spark.range(40 * 200).select((F.col("id") % 40).alias("g"), "id", F.array(F.lit(1.0)).alias("f"))
     assert cut_blocks(df, ["g"], "id", "f", rows=10).agg(F.max("_blocks")).first()[0] == 1
-    assert cut_blocks(df, [], "id", "f", rows=10).agg(F.max("_blocks")).first()[0] > 1
+    assert cut_blocks(df.withColumn("g", F.lit(0)), ["g"], "id", "f", rows=10).agg(F.max("_blocks")).first()[0] > 1
     assert cut_blocks(df, ["g"], "id", "f", rows=10, most=50).agg(F.min("_blocks")).first()[0] == 4
+
+
+def test_runs_share_rows(spark):
+    """Subsamples of one table: the rows of smallest hash in every run, clustered as if each run were a table of its own."""
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(f"i{i}", [float(v) for v in rng.normal(3 * (i % 3), 1, 2)]) for i in range(90)], "item string, f array<double>")
+    runs = df.withColumn("run", F.explode(F.array(*[F.lit(r) for r in range(3)]))).withColumn("_h", order_hash("item", "run", 0))
+    drawn = hash_rank(runs, ["run"], "_h", ["item"], "_pos").filter("_pos < 72").withColumn("k", F.explode(F.array(F.lit(2), F.lit(3)))).drop("_h", "_pos")
+    alone, _ = K.keyed_kmeans(drawn, ["k", "run"], "item", "f", "k", 0)
+    want = {(r.k, r.run, r.item): r.cluster for r in alone.collect()}
+    got = {(r.k, r.run, r.item): r.cluster for r in K.repeated_kmeans(df, "item", "f", [2, 3], n_runs=3).collect()}
+    assert len(got) == 2 * 3 * 72 and got == want
+    models = df.select("item", F.when(F.substring("item", -1, 1) < "5", "A").otherwise("B").alias("model"))
+    a = spark.createDataFrame([(*k, c) for k, c in want.items()], "k int, run int, item string, cluster int")
+    keys = ["k", "model1", "model2"]
+    one, two = (K.consensus_summary(a, models, "item", ["k"], rows=20, pattern_runs=n).orderBy(*keys).collect() for n in (20, 0))
+    assert len(one) == 6 and [r[:3] + r[4:] for r in one] == [r[:3] + r[4:] for r in two]
+    assert [r.consensus for r in one] == pytest.approx([r.consensus for r in two], abs=1e-7)
+
+
+def test_few_runs_need_no_pairs(spark):
+    a = spark.range(200).select(F.col("id").cast("string").alias("item"), F.lit(0).alias("run"), (F.col("id") % 2).cast("int").alias("cluster"))
+    out = K.consensus_summary(a, a.select("item", F.lit("A").alias("model")), "item")
+    assert "FlatMapCoGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().consensus == pytest.approx(2 * 100 * 99 / (200 * 199))
