@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scaling import minmax
+from ..plans.blocks import spread
 from ..plans.ordered import exact_percentiles, running_sums
 from ..session import durable
 from .geometry import edges
@@ -188,7 +189,10 @@ def rasterize_polygons(polygons: DataFrame, scale: DataFrame, keys=("slide_id",
     p = polygons.filter(F.size("verts") >= 3).join(scale, by)
     verts = F.transform("verts", lambda v: F.struct(
         F.floor(v["x"] * F.col("sx")).cast("double").alias("x"), F.floor(v["y"] * F.col("sy")).cast("double").alias("y")))
-    e = p.select(*keys, "thumb_w", "thumb_h", F.explode(edges(verts)).alias("e")).select(*keys, "thumb_w", "thumb_h", "e.*")
+    p = p.select(*keys, "thumb_w", "thumb_h", verts.alias("_v"))
+    extent = lambda c: F.array_max(F.transform("_v", lambda v: v[c])) - F.array_min(F.transform("_v", lambda v: v[c])) + 1
+    filled = F.least(F.col("thumb_w"), extent("x")) * F.least(F.col("thumb_h"), extent("y"))
+    e = p.select(*keys, "thumb_w", "thumb_h", F.explode(edges(F.col("_v"))).alias("e")).select(*keys, "thumb_w", "thumb_h", "e.*")
     y_lo, y_hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     first, last = F.greatest(F.lit(0), y_lo.cast("int")), F.least(F.col("thumb_h").cast("int") - 1, y_hi.cast("int"))
     lines = e.withColumns({"_a": first, "_b": last}).filter("_b >= _a").withColumn("py", F.explode(F.sequence("_a", "_b")))
@@ -201,24 +205,24 @@ def rasterize_polygons(polygons: DataFrame, scale: DataFrame, keys=("slide_id",
     lo = F.when(dy == 0, left).otherwise(F.greatest(left, F.ceil(at - half).cast("double"))).cast("int")
     hi = F.when(dy == 0, right).otherwise(F.least(right, F.floor(at + half).cast("double"))).cast("int")
     per_line = lines.select(*keys, "py", F.col("thumb_w").cast("int").alias("w"), cross.alias("cross"), F.struct(lo.alias("a"), hi.alias("b")).alias("rim"))
-    spans = per_line.groupBy(*keys, "py").agg(
+    area = p.agg(F.sum(filled)).first()[0] or 0  # at least as many pixels as are filled
+    spans = spread(per_line, None, [*keys, "py"], total=area).groupBy(*keys, "py").agg(
         F.max("w").alias("w"), F.array_sort(F.collect_list("cross")).alias("c"), F.collect_set("rim").alias("rim"))
     fill = F.transform(
         F.filter(F.sequence(F.lit(0), F.size("c")), lambda i: (i % 2 == 0) & (i + 1 < F.size("c"))),
         lambda i: F.struct((F.get("c", i) + 1).alias("a"), F.get("c", i + 1).alias("b")))
-    cut = spans.select(*keys, "py", "w", F.explode(F.concat(fill, "rim")).alias("_s")).select(
-        *keys, "py", F.greatest(F.lit(0), F.col("_s.a")).alias("a"), F.least(F.col("w") - 1, F.col("_s.b")).alias("b")).filter("b >= a")
-    return cut.select(*keys, F.explode(F.sequence("a", "b")).alias("px"), "py").distinct()
+    cut = F.filter(F.transform(F.concat(fill, "rim"), lambda s: F.struct(F.greatest(F.lit(0), s["a"]).alias("a"), F.least(F.col("w") - 1, s["b"]).alias("b"))), lambda s: s["b"] >= s["a"])
+    line = F.array_distinct(F.flatten(F.transform(cut, lambda s: F.sequence(s["a"], s["b"]))))  # a line is one row here: no pixel is shuffled
+    return spans.select(*keys, F.explode(line).alias("px"), "py")
 
 
 def mask_counts(a: DataFrame, b: DataFrame, keys) -> DataFrame:
     """|a|, |b| and |a and b| per key for two tables of set pixels."""
     keys = list(keys)
-    both = a.select(*keys, "px", "py", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
-        b.select(*keys, "px", "py", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
-    per = both.groupBy(*keys, "px", "py").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    both = a.select(*keys, "px", "py", F.lit(True).alias("_a")).unionByName(b.select(*keys, "px", "py", F.lit(False).alias("_a")))
+    per = both.groupBy(*keys, "py").agg(F.collect_set(F.when(F.col("_a"), F.col("px"))).alias("_a"), F.collect_set(F.when(~F.col("_a"), F.col("px"))).alias("_b"))
     return per.groupBy(*keys).agg(
-        F.sum("_a").alias("a_px"), F.sum("_b").alias("b_px"), F.sum(F.col("_a") * F.col("_b")).alias("both_px"))
+        F.sum(F.size("_a")).alias("a_px"), F.sum(F.size("_b")).alias("b_px"), F.sum(F.size(F.array_intersect("_a", "_b"))).alias("both_px"))
 
 
 def dice(a_px, b_px, both_px, empty=None):
@@ -386,7 +390,10 @@ def histogram(df: DataFrame, keys, value: str, bins: int) -> DataFrame:
 BACKGROUND_CLASSES = ("BACK", "DEB")
 
 
-def _vote(cells: DataFrame, keys) -> DataFrame:
+def _vote(columns: DataFrame, keys) -> DataFrame:
+    """Most votes per cell of (keys, class_id, gx, _rows): the columns are dealt,
+    the cells of a column are then counted where they are."""
+    cells = spread(columns, F.size("_rows"), [*keys, "gx"]).select(*keys, "class_id", "gx", F.explode("_rows").alias("gy"))
     votes = cells.groupBy(*keys, "gx", "gy", "class_id").agg(F.count(F.lit(1)).alias("_v"))
     return votes.groupBy(*keys, "gx", "gy").agg(
         F.min_by("class_id", F.struct((-F.col("_v")).alias("v"), F.col("class_id"))).alias("class_id"), F.sum("_v").alias("votes"))
@@ -397,9 +404,8 @@ def class_grid(patches: DataFrame, keys, x0, y0, x1, y1, step=256, exclude=BACKG
     the first class name on ties. Cells without votes have no row."""
     p = patches.filter(~F.col(label).isin(*exclude))
     span = lambda a, b: F.sequence(F.floor(a / step), F.greatest(F.floor(a / step), F.ceil(b / step) - 1))
-    cells = p.select(*keys, F.col(label).alias("class_id"), F.explode(span(F.col(x0), F.col(x1))).alias("gx"), F.col(y0), F.col(y1)).select(
-        *keys, "class_id", "gx", F.explode(span(F.col(y0), F.col(y1))).alias("gy"))
-    return _vote(cells, list(keys))
+    columns = p.select(*keys, F.col(label).alias("class_id"), F.explode(span(F.col(x0), F.col(x1))).alias("gx"), span(F.col(y0), F.col(y1)).alias("_rows"))
+    return _vote(columns, list(keys))
 
 
 def pixel_majority_vote(patches: DataFrame, keys, x0, y0, x1, y1, scale: float, width: int, height: int, include=None, exclude=(),
@@ -414,20 +420,34 @@ def pixel_majority_vote(patches: DataFrame, keys, x0, y0, x1, y1, scale: float,
     hi = lambda c, m: F.least(F.lit(m), F.ceil(F.col(c) * scale).cast("int")) - 1
     box = p.select(*keys, F.col(class_id).alias("class_id"), lo(x0).alias("a"), hi(x1, width).alias("b"), lo(y0).alias("c"), hi(y1, height).alias("d")).filter(
         "b >= a and d >= c")
-    cells = box.withColumn("gx", F.explode(F.sequence("a", "b"))).withColumn("gy", F.explode(F.sequence("c", "d")))
-    return _vote(cells.select(*keys, "class_id", "gx", "gy"), list(keys))
+    columns = box.select(*keys, "class_id", F.explode(F.sequence("a", "b")).alias("gx"), F.sequence("c", "d").alias("_rows"))
+    return _vote(columns, list(keys))
+
+
+def _surrounded(line: str, r: int, size: int):
+    """The numbers of a sorted line whose r neighbours on either side, inside 0..size - 1, are in it."""
+    def whole(x, i):
+        lo, hi = F.greatest(F.lit(0), x - r), F.least(F.lit(size - 1), x + r)
+        at = lambda j: F.when((j >= 0) & (j < F.size(line)), F.get(line, j))
+        return F.coalesce((at(i - (x - lo)) == lo) & (at(i + (hi - x)) == hi), F.lit(False))
+
+    return F.filter(line, whole)
 
 
 def erode(mask: DataFrame, keys, r: int, width: int, height: int) -> DataFrame:
     """Square erosion: a pixel stays when its (2r+1) x (2r+1) surroundings inside
-    the image are set. Two passes, one per axis."""
+    the image are set. Two passes, one per axis, over the sorted pixels of a line:
+    the ends of a pixel's surroundings stand as far from it as they are away."""
     keys = list(keys)
-    out = mask.select(*keys, "px", "py")
-    for axis, size in (("px", width), ("py", height)):
-        near = out.withColumn(axis, F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - r), F.least(F.lit(size - 1), F.col(axis) + r))))
-        need = F.least(F.lit(size - 1), F.col(axis) + r) - F.greatest(F.lit(0), F.col(axis) - r) + 1
-        out = near.groupBy(*keys, "px", "py").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == need).select(*keys, "px", "py")
-    return out
+    out, dealt = mask.select(*keys, "px", "py"), None
+    for axis, across, size in (("px", "py", width), ("py", "px", height)):
+        if dealt is not None:
+            out = spread(out, None, [*keys, across], total=dealt.agg(F.sum(F.size("_kept"))).first()[0] or 0)
+        lines = out.groupBy(*keys, across).agg(F.array_sort(F.collect_set(axis)).alias("_line"))
+        kept = lines.select(*keys, across, _surrounded("_line", r, size).alias("_kept")).filter(F.size("_kept") > 0)
+        dealt = durable(kept) if dealt is None else kept
+        out = dealt.select(*keys, F.explode("_kept").alias(axis), across)
+    return out.select(*keys, "px", "py")
 
 
 def label_runs(x, y, reach_diagonal=False):

@@ -20,6 +20,8 @@ from ..session import durable, join_same_key
 
 #: vector components in a block or part
 NUMBERS = 4_000_000
+#: rows that a task works on after ``spread``
+TASK_ROWS = 1_000_000
 #: rows in a block whose pairs are worked out
 MOST_ROWS = 32_768
 
@@ -38,6 +40,16 @@ def beside(rows: DataFrame, table: DataFrame, keys, features: str, work, schema,
     return left.groupBy(*by, "_part").cogroup(right.groupBy(*by, "_part")).applyInArrow(work, schema)
 
 
+def spread(rows: DataFrame, weight, by, each=TASK_ROWS, total=None) -> DataFrame:
+    """``rows`` dealt by ``by`` into enough tasks that what they grow into
+    (``weight`` a row, or ``total``) is about ``each`` rows a task. The size of a shuffle in
+    bytes says little about it: short rows compress well and are then merged
+    into few tasks."""
+    total = (rows.agg(F.sum(weight)).first()[0] or 0) if total is None else total
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, math.ceil(total / each)), *by)
+
+
 def cut_blocks(df: DataFrame, keys, ids: str, features: str | Column, numbers=NUMBERS, rows=1024, most=MOST_ROWS) -> DataFrame:
     """Add ``_block`` and ``_blocks`` (how many the group has), by hash of the id.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortile.operators import geometry as G
 from cohortile.operators import raster as R
+from cohortile.plans.blocks import spread
 from cohortile.operators import reports as P
 
 
@@ -194,3 +195,18 @@ def test_votes_histogram_reports(spark):
     assert len(c) == 6 and {r.model for r in c if r.model_order == 0} == {"PRUNED"}
     one = R.overlap_summary(spark.createDataFrame([("t", 1, "m", 5.0), ("t", 2, "m", None)], "tissue string, percentile int, metric string, value double"))
     assert {r.percentile: (r["mean"], r["std"], r.n_valid) for r in one.collect()} == {1: (5.0, 0.0, 1), 2: (None, None, 0)}
+
+
+def test_lines_are_dealt_by_what_they_hold(spark):
+    """Tasks follow the number of pixels, not the bytes of a shuffle; a line of a mask is one row until it is given out."""
+    df = spark.range(100).select((F.col("id") % 50).alias("k"), F.lit(10).alias("n"))
+    assert spread(df, F.col("n"), ["k"], each=40).rdd.getNumPartitions() == 25
+    polys = spark.createDataFrame([("a", "t", [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)])], "slide_id string, tissue string, verts array<struct<x:double,y:double>>")
+    scale = spark.createDataFrame([("a", 1.0, 1.0, 20, 20)], "slide_id string, sx double, sy double, thumb_w int, thumb_h int")
+    mask = R.rasterize_polygons(polys, scale)
+    plan = mask._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # both sides of the scale's join, and the lines
+    assert mask.count() == mask.distinct().count() == 100
+    for r in (1, 3):
+        got = {(x.px, x.py) for x in R.erode(mask, ["slide_id", "tissue"], r, 20, 20).collect()}
+        assert got == {(x, y) for x in range(10 - r) for y in range(10 - r)}
