@@ -10,6 +10,8 @@ than the largest gap between their two ranges.
 A block first finds neighbours inside itself; the worst k-th of them is the
 block's reach. Two blocks then meet only if their gap is within the reach of one
 of them, cells first, then blocks; a pair of blocks meets once for both sides.
+Blocks travel in bundles of neighbouring ones, so that a row is sent once for a
+bundle of rows it may have to meet and not once for each of its blocks.
 On clustered data few pairs meet; where distances say nothing (many independent
 dimensions) all of them do, and the result is the same.
 
@@ -19,14 +21,17 @@ id. Rows of one group have vectors of one length.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable, join_same_key
-from .blocks import beside, pair_blocks
+from .blocks import MOST_ROWS, NUMBERS, beside, pair_blocks
 from .gram import matrix
 from .ordered import scan
 
@@ -34,7 +39,7 @@ PIVOTS = 64
 #: sampled rows per pivot
 PER_PIVOT = 32
 #: distances worked out at once
-SCORES = 4_000_000
+SCORES = 500_000
 
 
 def squared(a, b):
@@ -42,28 +47,51 @@ def squared(a, b):
     return np.round(np.maximum(d, 0.0), 9)
 
 
+def _apart(a, b, r, c):
+    """The rounded distances of the named rows of a and b, from the differences of their components."""
+    out = np.empty(len(r))
+    step = max(1, SCORES // max(1, a.shape[1]))
+    for lo in range(0, len(r), step):
+        out[lo:lo + step] = ((a[r[lo:lo + step]] - b[c[lo:lo + step]]) ** 2).sum(1)
+    return np.round(out, 9)
+
+
 def best(a, b, ids_a, ids_b, k: int, reach=None):
     """Row, column, distance of the k nearest rows of b (in order of id) to each
-    row of a, itself left out, and none beyond ``reach``."""
+    row of a, itself left out, and none beyond ``reach``.
+
+    One product of matrices gives all distances nearly; rows of b that may be
+    among the k by them are then measured exactly. Ids are compared for those alone."""
     rows, cols, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    step = max(1, SCORES // max(1, len(b)))
+    if len(a) == 0 or len(b) == 0:
+        return rows[0], cols[0], dist[0]
+    reach = np.full(len(a), np.inf) if reach is None else reach
+    codes = pd.factorize(np.concatenate([ids_a, ids_b]))[0]
+    code_a, code_b = codes[:len(a)], codes[len(a):]
+    same = int(np.bincount(code_b, minlength=codes.max() + 1)[code_a].max())  # rows of b that a row must leave out
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    slack = 2e-9 + 1e-15 * (a.shape[1] + 8) * (aa + bb[np.isfinite(bb)].max(initial=0.0))
+    left, right = np.hstack([-2 * a, np.ones((len(a), 1))]), np.hstack([b, bb[:, None]]).T
+    step, last = max(1, SCORES // len(b)), k - 1 + same
     for lo in range(0, len(a), step):
-        d = squared(a[lo:lo + step], b)
-        d[ids_a[lo:lo + step, None] == ids_b[None]] = np.inf
-        if reach is not None:
-            d[d > reach[lo:lo + step, None]] = np.inf
-        if k < d.shape[1]:  # all that tie with the k-th stay until the stable sort
-            worst = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-            r, c = np.nonzero((d <= worst) & np.isfinite(d))
-        else:
-            r, c = np.nonzero(np.isfinite(d))
-        order = np.lexsort((c, d[r, c], r))
-        r, c = r[order], c[order]
+        d = left[lo:lo + step] @ right  # less the square of a's own row
+        own, limit = aa[lo:lo + step], reach[lo:lo + step] - aa[lo:lo + step] + slack[lo:lo + step]
+        at = np.flatnonzero(d <= limit[:, None])
+        if len(at) > 4 * (last + 1) * len(own) and last < d.shape[1]:  # all that may tie with the k-th stay until the stable sort
+            worst = np.partition(d, last, axis=1)[:, last] + 2 * slack[lo:lo + step]
+            at = np.flatnonzero(d <= np.minimum(limit, worst)[:, None])
+        r, c = np.divmod(at, d.shape[1])
+        other = code_a[r + lo] != code_b[c]
+        r, c = r[other], c[other]
+        e = _apart(a[lo:lo + step], b, r, c)
+        near = np.isfinite(e) & (e <= reach[lo:lo + step][r])
+        r, c, e = r[near], c[near], e[near]
+        order = np.lexsort((c, e, r))
+        r, c, e = r[order], c[order], e[order]
         place = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c = r[place < k], c[place < k]
-        rows.append(r + lo)
-        cols.append(c)
-        dist.append(d[r, c])
+        rows.append(r[place < k] + lo)
+        cols.append(c[place < k])
+        dist.append(e[place < k])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
@@ -148,11 +176,28 @@ def blocks(rows: DataFrame, by, ids: str, size: int, k: int) -> DataFrame:
         inside, f"{kinds}, near array<{pair.simpleString()}>, reach double, stat {stat}"))
 
 
+def block_name():
+    return F.col("cell").cast("long") * F.lit(1 << 32) + F.col("ring")
+
+
+def bundles(made: DataFrame, by, size: int) -> DataFrame:
+    """(by, block, bundle): runs of a group's blocks, as many in one as a task may
+    hold, but no more than leave every task some pairs of bundles."""
+    tasks = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = made.filter("stat is not null").select(*by, block_name().alias("block"), F.size("vec").alias("_d"))
+    many = listed.withColumn("_all", F.lit(1)).groupBy("_all", *by).agg(F.count(F.lit(1)).alias("_b"), F.max("_d").alias("_d"))
+    whole = many.groupBy("_all").agg(F.sqrt(F.sum(F.col("_b").cast("double") * F.col("_b"))).alias("_norm"))
+    held = F.least(F.lit(max(1, MOST_ROWS // size)).cast("double"), F.floor(F.lit(float(NUMBERS) / size) / F.greatest(F.lit(1), F.col("_d"))).cast("double"))
+    each = F.greatest(F.lit(1.0), F.least(held, F.floor(F.col("_norm") / math.sqrt(4 * tasks))))
+    each = many.join(F.broadcast(whole), "_all").select(*by, each.alias("_each"))  # ``whole`` is one row
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("block")) - 1  # one row a block
+    return join_same_key(listed.drop("_d").withColumn("_at", place), each, by).select(*by, "block", F.floor(F.col("_at") / F.col("_each")).cast("long").alias("bundle"))
+
+
 def open_pairs(made: DataFrame, by) -> DataFrame:
     """(by, _bi, _bj): blocks whose gap is within the reach of one of them. A
     block is named cell * 2^32 + ring."""
-    name = F.col("cell").cast("long") * F.lit(1 << 32) + F.col("ring")
-    stats = durable(made.filter("stat is not null").select(*by, "cell", name.alias("block"), "stat.*").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))))
+    stats = durable(made.filter("stat is not null").select(*by, "cell", block_name().alias("block"), "stat.*").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))))
     edge = stats.select(*by, "cell", F.posexplode(F.arrays_zip("lo", "hi")).alias("p", "z"), "reach", "most").groupBy(*by, "cell", "p").agg(
         F.min("z.lo").alias("lo"), F.max("z.hi").alias("hi"), F.max("reach").alias("reach"), F.max("most").alias("most"))
     whole = edge.groupBy(*by, "cell").agg(  # at most PIVOTS cells of PIVOTS ranges in a group
@@ -195,22 +240,69 @@ def nearest(rows: DataFrame, by, ids: str, k: int, size=2048) -> DataFrame:
     if (most or 0) <= size:  # every group is one block
         return rows.withColumn("_all", F.lit(1)).groupBy("_all", *by).applyInArrow(lambda t: _alone(t, by, ids, k), _found_schema(rows, by, ids))
     made = blocks(rows, by, ids, size, k)
-    chosen = durable(open_pairs(made, by))
+    bundled = durable(bundles(made, by, size))
+
+    def side(c):
+        return bundled.select(*by, F.col("block").alias(f"_b{c}"), F.col("bundle").alias(f"_bundle{c}"))
+
+    pairs = join_same_key(join_same_key(open_pairs(made, by), side("i"), [*by, "_bi"]), side("j"), [*by, "_bj"])
+    least, most = F.least("_bundlei", "_bundlej"), F.greatest("_bundlei", "_bundlej")
+    chosen = durable(pairs.select(*by, least.alias("_bi"), most.alias("_bj")).distinct())
+    pair = T.StructType([T.StructField("d2", T.DoubleType()), T.StructField("neighbour", rows.schema[ids].dataType)])
+
+    def cut(t: pa.Table):
+        """The blocks of a bundle: rows in order of id, vectors, ids, reach, and the ranges of the block."""
+        names = t.column("_name").to_numpy()
+        for name in np.unique(names):
+            b = t.take(pa.array(np.flatnonzero(names == name))).sort_by(ids)
+            reach = b.column("reach").to_numpy(zero_copy_only=False).astype(float)
+            stat = next(v for v in b.column("stat").to_pylist() if v is not None)
+            yield {"name": name, "rows": b, "x": matrix(b.column("vec")), "ids": b.column(ids).to_numpy(), "reach": np.where(np.isnan(reach), np.inf, reach),
+                   "lo": np.array(stat["lo"]), "hi": np.array(stat["hi"]), "most": stat["most"], "found": []}
+
+    def nearer(a: dict, b: dict) -> None:
+        """What the rows of block a find in block b; the k-th nearest found so far is the reach of what follows."""
+        gap = max(0.0, (a["lo"] - b["hi"]).max(), (b["lo"] - a["hi"]).max())
+        gap -= 2 * math.sqrt(1e-9 + 1e-12 * max(a["most"], b["most"]))
+        mine = np.flatnonzero(np.sqrt(a["reach"]) >= gap)
+        r, c, d = best(a["x"][mine], b["x"], a["ids"][mine], b["ids"], k, a["reach"][mine])
+        if len(r) == 0:
+            return
+        a["found"].append((mine[r], b["ids"][c], d))
+        if len(a["found"]) > 1:
+            r, who, d = (np.concatenate(z) for z in zip(*a["found"], strict=True))
+            order = np.lexsort((pd.factorize(who, sort=True)[0], d, r))
+            r, who, d = r[order], who[order], d[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            a["found"] = [(r[place < k], who[place < k], d[place < k])]
+        r, _, d = a["found"][0]
+        full = np.flatnonzero(np.bincount(r, minlength=len(a["x"])) >= k)
+        a["reach"][full] = np.minimum(a["reach"][full], d[np.searchsorted(r, full, "right") - 1])
+
+    def packed(a: dict) -> pa.Table:
+        r, who, d = a["found"][0] if a["found"] else (np.zeros(0, np.int64), a["ids"][:0], np.zeros(0))
+        at = np.unique(r)
+        ends = np.concatenate([np.searchsorted(r, at), [len(r)]])
+        kind = a["rows"].schema.field(ids).type
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(d), pa.array(who, kind)], names=["d2", "neighbour"]))
+        return pa.table({c: a["rows"].column(c).take(pa.array(at)) for c in [*by, ids]} | {"near": lists})
+
     def work(left: pa.Table, right: pa.Table | None) -> pa.Table:
-        if right is None:  # only empty tables come alone: a block has met itself
-            return pa.table({c: left.column(c) for c in [*by, ids]} | {"neighbour": left.column(ids), "d2": pa.array([], pa.float64())})
-        out = []
-        for a, b in ((left, right), (right, left)):
-            b = b.sort_by(ids)
-            reach = a.column("reach").to_numpy().copy()
-            reach[np.isnan(reach)] = np.inf
-            r, c, d = best(matrix(a.column("vec")), matrix(b.column("vec")), a.column(ids).to_numpy(), b.column(ids).to_numpy(), k, reach)
-            at = pa.array(r)
-            out.append(pa.table({x: a.column(x).take(at) for x in [*by, ids]} | {"neighbour": b.column(ids).take(pa.array(c)), "d2": pa.array(d)}))
-        return pa.concat_tables(out)
-
-    named = made.select(*by, ids, "vec", "reach", (F.col("cell").cast("long") * F.lit(1 << 32) + F.col("ring")).alias("_block"))
-    met = pair_blocks(named, by, work, _found_schema(rows, by, ids), chosen)
-    own = made.select(*by, ids, F.explode("near").alias("_n")).select(*by, ids, "_n.neighbour", "_n.d2")
-    rank = F.row_number().over(Window.partitionBy(*by, ids).orderBy("d2", "neighbour"))
-    return own.union(met).withColumn("_i", rank).filter(F.col("_i") <= k).drop("_i")
+        one = list(cut(left))
+        two = one if right is None else list(cut(right))
+        for i, a in enumerate(one):
+            for b in two[i + 1:] if right is None else two:  # a block has met itself
+                nearer(a, b)
+                nearer(b, a)
+        done = [packed(a) for a in (one if right is None else one + two)]
+        none = {c: left.column(c).slice(0, 0) for c in [*by, ids]}
+        return pa.concat_tables(done) if done else pa.table(none | {"near": pa.array([], pa.list_(pa.struct([("d2", pa.float64()), ("neighbour", left.schema.field(ids).type)])))})
+
+    named = made.select(*by, ids, "vec", "reach", "stat", block_name().alias("_name"))
+    named = join_same_key(named, bundled.select(*by, F.col("block").alias("_name"), F.col("bundle").alias("_block")), [*by, "_name"])
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, ids])
+    met = pair_blocks(named, by, work, f"{kinds}, near array<{pair.simpleString()}>", chosen)
+    own = made.select(*by, ids, F.transform("near", lambda n: F.struct(n["d2"].alias("d2"), n["neighbour"].alias("neighbour"))).alias("near"))
+    # a list for each bundle a row has met, its k best in each
+    all_ = own.union(met).withColumn("_all", F.lit(1)).groupBy("_all", *by, ids).agg(F.flatten(F.collect_list("near")).alias("near"))
+    return all_.select(*by, ids, F.explode(F.slice(F.sort_array("near"), 1, k)).alias("_n")).select(*by, ids, "_n.neighbour", "_n.d2")

@@ -86,6 +86,25 @@ def test_neighbours_equal_brute_force_and_few_blocks_meet(spark):
     assert n >= 60 and opened < n * (n - 1) / 2 / 10
 
 
+def test_neighbours_travel_in_bundles(spark):
+    """Distances that say nothing: all blocks meet, but a row is sent for a few bundles, not for every block."""
+    from cohortile.plans import neighbours as N
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(1990, 12)), np.repeat(rng.normal(size=(2, 12)), 5, axis=0)])  # two rows five times each
+    df = spark.createDataFrame([("g", f"id{i}", [float(v) for v in r]) for i, r in enumerate(x)], "g string, id string, vec array<double>")
+    made = N.blocks(df, ["g"], "id", 40, 6)
+    bundled = N.bundles(made, ["g"], 40).collect()
+    assert len(bundled) >= 50 and len({r.bundle for r in bundled}) <= len(bundled) / 4
+    got = {}
+    for r in N.nearest(df, ["g"], "id", 6, size=40).collect():
+        got.setdefault(r.id, []).append((r.d2, r.neighbour))
+    ids = np.array([f"id{i}" for i in range(2000)])
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(2), 9)
+    np.fill_diagonal(d, np.inf)
+    for i in [*range(0, 1990, 9), *range(1990, 2000)]:
+        assert [n for _, n in sorted(got[ids[i]])] == ids[np.lexsort((ids, d[i]))[:6]].tolist()
+
+
 def test_neighbours_of_small_and_null_groups(spark):
     from cohortile.plans import neighbours as N
     rows = [(None, 1, [0.0]), (None, 2, [1.0]), ("b", 3, [5.0]), ("c", 4, [1.0]), ("c", 5, [1.0]), ("c", 6, [1.0])]
