@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scaling import percentile_score
+from ..plans.blocks import TASK_ROWS, spread
 from ..plans.draws import hash_take, order_hash
+from ..session import durable
 
 
 GROUP_LIMIT = 1000  # up to this k Spark limits each partition before the shuffle
@@ -58,11 +60,16 @@ def sample_names(df: DataFrame, name: str, n: int, seed=42) -> DataFrame:
 
 def location_sample(df: DataFrame, key: str, ids, limit: int, bins=(32, 32), seed=42) -> DataFrame:
     """At most one row per spatial bin and at most ``limit`` per key; keys with
-    no more than ``limit`` rows stay whole."""
-    size = df.groupBy(key).agg(
+    no more than ``limit`` rows stay whole.
+
+    Rows are dealt to tasks by key; if one key has more than a task is dealt,
+    they are dealt by key and bin."""
+    size = durable(df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"),
-        F.min("y").alias("_y0"), F.max("y").alias("_y1"))
-    j = df.join(size, key)
+        F.min("y").alias("_y0"), F.max("y").alias("_y1")))
+    total, most = size.agg(F.sum("_n"), F.max("_n")).first()
+    hot = (most or 0) > TASK_ROWS
+    j = (df if hot else spread(df, None, [key], total=total or 0)).join(size, key)
 
     def bin_of(v, lo, hi, b):
         unit = (F.col(v) - F.col(lo)) / F.greatest((F.col(hi) - F.col(lo)).cast("double"), F.lit(1.0))
@@ -71,6 +78,8 @@ def location_sample(df: DataFrame, key: str, ids, limit: int, bins=(32, 32), see
     binned = j.select(
         *df.columns, "_n", bin_of("x", "_x0", "_x1", bins[0]).alias("_bx"), bin_of("y", "_y0", "_y1", bins[1]).alias("_by"),
         order_hash(*ids, seed).alias("_h"))
+    if hot:
+        binned = spread(binned, None, [key, "_bx", "_by"], total=total)
     whole = binned.filter(F.col("_n") <= limit).select(*df.columns)
     row = F.struct(*df.columns).alias("_row")
     one = (

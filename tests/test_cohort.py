@@ -104,3 +104,17 @@ def test_file_matching(spark):
     MT.assert_aligned(x, x)
     with pytest.raises(ValueError):
         MT.assert_aligned(x, x.withColumn("x", F.col("x") + F.col("tile_idx")))
+
+
+def test_location_sample_of_a_hot_key(spark, monkeypatch):
+    """A key with more rows than a task is dealt is dealt by bin, with the same rows."""
+    df = spark.range(3000).selectExpr("cast(if(id % 10 = 0, id % 3, 7) as string) as slide_id", "id", "id * 37 % 1000 as x", "id * 91 % 777 as y")
+    take = lambda: sorted(tuple(r) for r in A.location_sample(df, "slide_id", ["id"], 120, (8, 8)).collect())
+    want = take()
+    monkeypatch.setattr(A, "TASK_ROWS", 500)
+    assert take() == want and len({r[0] for r in want}) == 4
+
+
+def test_location_sample_of_no_rows(spark):
+    df = spark.createDataFrame([], "slide_id string, id long, x long, y long")
+    assert A.location_sample(df, "slide_id", ["id"], 5).count() == 0
