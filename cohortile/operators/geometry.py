@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.blocks import spread
 from ..session import durable
 
 
@@ -83,35 +84,38 @@ def label_tiles_by_polygon(tiles: DataFrame, polygons: DataFrame, side, mode="ex
     """Tissue of each tile box that meets a polygon; the first tissue in
     ``priority`` wins. ``mode="bbox"`` accepts overlapping extents.
 
-    Tiles and polygon extents are cut into coarse square cells and joined on
-    (slide, cell): only neighbours are compared, and a slide with very many
-    tiles spreads over its cells instead of landing on one task. What is left
-    meets the polygon's edges of the same rows only: one that touches the box
-    decides, else the parity of those on the line through the box's corner.
+    A tile lies in the coarse square cell of its corner; a polygon's extent, made
+    larger by a tile's side, is cut into such cells. They are joined on
+    (slide, cell): only neighbours are compared, a pair meets once, and a slide
+    with very many tiles spreads over its cells instead of landing on one task.
+    What is left meets the polygon's edges of the same rows only: one that touches
+    the box decides, else the parity of those on the line through the box's
+    corner. Tiles are dealt by their number.
     """
     ids = list(ids)
     cell = float(cell or 8 * side)
     rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("tissue"))
     x1, y1 = F.col("x") + side, F.col("y") + side
-    t = tiles.select(*ids, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).select(
-        "*", x1.alias("x1"), y1.alias("y1")).withColumn("_cx", F.explode(_cells(F.col("x"), F.col("x1"), cell))).withColumn(
-        "_cy", F.explode(_cells(F.col("y"), F.col("y1"), cell)))
+    t = durable(tiles.select(*ids, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    n = t.count()
+    t = t.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+    t = spread(t, None, ["slide_id", "_cx", "_cy"], total=n).withColumns({"x1": x1, "y1": y1})
     known = polygons.withColumn("_rank", rank).filter(F.col("_rank") > 0).select("slide_id", "verts", "_rank")
     extents, lines = outline_tables(known, cell) if mode == "exact" else (with_bounds(known).drop("verts"), None)
-    p = extents.withColumn("_cx", F.explode(_cells(F.col("bx0"), F.col("bx1"), cell))).withColumn(
-        "_cy", F.explode(_cells(F.col("by0"), F.col("by1"), cell)))
+    p = extents.withColumn("_cx", F.explode(_cells(F.col("bx0") - side, F.col("bx1"), cell))).withColumn(
+        "_cy", F.explode(_cells(F.col("by0") - side, F.col("by1"), cell)))
     near = (F.col("x") <= F.col("bx1")) & (F.col("x1") >= F.col("bx0")) & (F.col("y") <= F.col("by1")) & (F.col("y1") >= F.col("by0"))
     hit = t.join(p, ["slide_id", "_cx", "_cy"]).filter(near)
     if mode == "exact":
-        # a pair meets in every cell that both cover; the one of its least corner stands for it
-        least = lambda a, b: F.floor(F.greatest(a, b) / cell)
-        once = hit.filter((F.col("_cx") == least("x", "bx0")) & (F.col("_cy") == least("y", "by0")))
         first = F.floor(F.col("y") / cell)
-        pairs = once.select(*ids, "x", "y", "x1", "y1", "_pid", "_rank", F.explode(F.sequence(first, F.floor(F.col("y1") / cell))).alias("_row"))
+        pairs = hit.select(*ids, "x", "y", "x1", "y1", "_pid", "_rank", F.explode(F.sequence(first, F.floor(F.col("y1") / cell))).alias("_row"))
         met = pairs.join(lines, ["slide_id", "_pid", "_row"]).groupBy(*ids, "x", "y", "_pid", "_rank").agg(
             F.max(touches_box(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))).alias("_touch"),
             F.sum((crosses_right(F.col("x"), F.col("y")) & (F.col("_row") == first)).cast("int")).alias("_cross"))
         hit = met.filter("_touch or _cross % 2 = 1")
+    else:  # one row a tile leaves its cell
+        hit = hit.groupBy(*dict.fromkeys([*ids, "slide_id", "_cx", "_cy"])).agg(F.min("_rank").alias("_rank"))
+    hit = spread(hit.select(*ids, "_rank"), None, ids, total=n)
     best = hit.groupBy(*ids).agg(F.min("_rank").cast("int").alias("_rank"))
     out = best.select(*ids, F.element_at(F.array(*[F.lit(q) for q in priority]), F.col("_rank")).alias("tissue"))
     if require_both:

@@ -9,6 +9,7 @@ from ..operators import raster as R
 from ..operators import reports as P
 from ..operators import sampling as A
 from ..operators import similarity as S
+from ..plans.blocks import spread
 from ..session import r6
 from ..sources import readers as I
 from . import standins as D
@@ -175,7 +176,8 @@ TILE_SQL = f"""tl as (select distinct cast(l_suppkey as varchar) as slide_id, (l
 
 
 def _distinct_tiles(spark, sf):
-    return slide_tiles(spark, sf).select("slide_id", "x", "y").distinct()
+    corners = slide_tiles(spark, sf).select("slide_id", "x", "y")
+    return spread(corners, None, corners.columns, total=D.table(spark, sf, "lineitem").count()).distinct()
 
 
 def _label_sql(hits):

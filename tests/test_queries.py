@@ -67,3 +67,9 @@ def test_plans(spark):
     for name in ("tile_polygon_label_exact", "point_in_polygon", "patient_label_join", "survival_labels", "grid_lookup", "match_with_fallback"):
         plan = plan_of(q[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_plans_deal_rows_by_their_number(spark):
+    """Not by the bytes of a shuffle: a task's memory would grow with the input."""
+    for name in ("location_sample", "tile_polygon_label"):
+        assert "REPARTITION_BY_NUM" in plan_of(entry.queries()[name](spark, SF)), name
