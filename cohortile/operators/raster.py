@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scaling import minmax
 from ..plans.blocks import spread
 from ..plans.ordered import exact_percentiles, running_sums
 from ..session import durable
@@ -19,20 +18,37 @@ from .geometry import edges
 from .metrics import combinations_of
 
 
+#: lines of a map that are dealt together
+STRIP = 16
+#: pixels of a line that travel as one row
+PIECE = 64
+
+
 def rasterize_tiles(attention: DataFrame, geometry: DataFrame, key="slide_id", order="tile_idx", min_side=1) -> DataFrame:
     """Heat per thumbnail pixel. Scores are min-max scaled per slide, a tile
     covers floor(side * scale) pixels (at least ``min_side``), the later tile
-    overwrites. ``geometry``: key, w, h, thumb_w, thumb_h, tile_px, mag_ratio."""
-    a = minmax(attention, [key], "score", "_v", "heat").join(geometry, key)
+    overwrites. ``geometry``: key, w, h, thumb_w, thumb_h, tile_px, mag_ratio.
+
+    Tiles are dealt by slide and strip of ``STRIP`` lines and become pixels where
+    they are then: no pixel is shuffled."""
     sx, sy = F.col("thumb_w") / F.col("w"), F.col("thumb_h") / F.col("h")
     side = F.col("tile_px") * F.col("mag_ratio")
-    x0, y0 = F.floor(F.col("x") * sx), F.floor(F.col("y") * sy)
-    x1 = F.least(F.col("thumb_w"), x0 + F.greatest(F.lit(min_side), F.floor(side * sx))) - 1
-    y1 = F.least(F.col("thumb_h"), y0 + F.greatest(F.lit(min_side), F.floor(side * sy))) - 1
-    box = a.select(key, order, "_v", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).filter("x1 >= x0 and y1 >= y0")
-    px = box.withColumn("px", F.explode(F.sequence("x0", "x1"))).withColumn("py", F.explode(F.sequence("y0", "y1")))
-    return px.groupBy(key, "px", "py").agg(F.max_by("_v", F.col(order)).alias("v")).select(
-        key, F.col("px").cast("int"), F.col("py").cast("int"), "v")
+    wide, high = F.greatest(F.lit(min_side), F.floor(side * sx)), F.greatest(F.lit(min_side), F.floor(side * sy))
+    per = attention.groupBy(key).agg(F.min("score").alias("_mn"), F.max("score").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+    slides = durable(per.join(geometry, key).select(key, "_mn", "_mx", "thumb_w", "thumb_h", sx.alias("_sx"), sy.alias("_sy"),
+                                                    wide.alias("_wide"), high.alias("_high"), (F.col("_n") * wide * high).alias("_area")))
+    area = slides.agg(F.sum("_area")).first()[0] or 0
+    a = attention.select(key, F.col(order).alias("_order"), "x", "y", "score").join(slides, key)
+    x0, y0 = F.floor(F.col("x") * F.col("_sx")), F.floor(F.col("y") * F.col("_sy"))
+    x1 = F.least(F.col("thumb_w"), x0 + F.col("_wide")) - 1
+    y1 = F.least(F.col("thumb_h"), y0 + F.col("_high")) - 1
+    v = (F.col("score") - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + 1e-6)
+    box = a.select(key, "_order", v.alias("_v"), *[c.cast("int").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))]).filter("x1 >= x0 and y1 >= y0")
+    strips = box.withColumn("_strip", F.explode(F.sequence(F.floor(F.col("y0") / STRIP), F.floor(F.col("y1") / STRIP))))
+    dealt = spread(strips, None, [key, "_strip"], total=area)
+    lines = F.sequence(F.greatest(F.col("y0"), (F.col("_strip") * STRIP).cast("int")), F.least(F.col("y1"), (F.col("_strip") * STRIP + STRIP - 1).cast("int")))
+    px = dealt.withColumn("px", F.explode(F.sequence("x0", "x1"))).withColumn("py", F.explode(lines))
+    return px.groupBy(key, "_strip", "px", "py").agg(F.max_by("_v", "_order").alias("v")).select(key, "px", "py", "v")
 
 
 def fill_raster(pixels: DataFrame, dims: DataFrame, keys) -> DataFrame:
@@ -95,12 +111,12 @@ def smooth(pixels: DataFrame, dims: DataFrame, keys, method="gaussian", strength
     r = reach(method, strength) if strength > 0 else 0
     size = dims.select(*keys, F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
 
-    def near(c, n):
-        last = F.floor((F.col(n) - 1) / block)
-        return F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - r) / block)), F.least(last, F.floor((F.col(c) + r) / block)))
+    def near(c):
+        return F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - r) / block)), F.floor((F.col(c) + r) / block))
 
-    sent = pixels.join(size, keys).withColumn("_bx", F.explode(near("px", "w"))).withColumn("_by", F.explode(near("py", "h"))).select(
-        *keys, "_bx", "_by", "px", "py", "v")
+    # a block's pixels are lists already in the task that sends them; blocks outside the map find no partner
+    sent = pixels.withColumn("_bx", F.explode(near("px"))).withColumn("_by", F.explode(near("py"))).groupBy(*keys, "_bx", "_by").agg(
+        F.collect_list("px").alias("px"), F.collect_list("py").alias("py"), F.collect_list(F.coalesce("v", F.lit(float("nan")))).alias("v"))
     all_blocks = size.withColumn("_bx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("w") - 1) / block)))).withColumn(
         "_by", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("h") - 1) / block))))
     rows = all_blocks.join(sent, [*keys, "_bx", "_by"], "left")
@@ -111,8 +127,9 @@ def smooth(pixels: DataFrame, dims: DataFrame, keys, method="gaussian", strength
         x0, y0, x1, y1 = bx * block, by * block, min(w, (bx + 1) * block), min(h, (by + 1) * block)
         ax, ay = max(0, x0 - r), max(0, y0 - r)
         img = np.zeros((min(h, y1 + r) - ay, min(w, x1 + r) - ax))
-        p = pdf.dropna(subset=["px"])
-        img[p["py"].astype(int) - ay, p["px"].astype(int) - ax] = p["v"]
+        if pdf["px"].iloc[0] is not None:
+            at_x, at_y = (np.asarray(pdf[c].iloc[0]).astype(int) for c in ("px", "py"))
+            img[at_y - ay, at_x - ax] = pdf["v"].iloc[0]
         out = blur(img, method, strength) if strength > 0 else np.clip(img, 0.0, 1.0)
         out = out[y0 - ay: y1 - ay, x0 - ax: x1 - ax]
         py, px = np.mgrid[y0:y1, x0:x1].astype(np.int32)
@@ -129,7 +146,10 @@ def with_unset(pixels: DataFrame, dims: DataFrame, keys) -> DataFrame:
     how many pixels have a row and how many are left at 0, and the range of
     all values. So a sparse map never has its zeros written out."""
     keys = list(keys)
-    s = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_set"), F.min("v").alias("_mn"), F.max("v").alias("_mx"))
+    return _with_unset(pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_set"), F.min("v").alias("_mn"), F.max("v").alias("_mx")), dims, keys)
+
+
+def _with_unset(s: DataFrame, dims: DataFrame, keys) -> DataFrame:
     j = dims.select(*keys, (F.col("w") * F.col("h")).cast("long").alias("_all")).join(s, keys, "left").withColumn("_set", F.coalesce("_set", F.lit(0)))
     some = F.col("_set") < F.col("_all")
     zero = lambda f, c: F.when(some, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
@@ -159,7 +179,7 @@ def cutoffs(pixels: DataFrame, keys, rule: str, percents, dims: DataFrame | None
         return (pixels if dims is None else dims).select(*keys).distinct().join(some, keys, "left")
     s = pixels.groupBy(*keys).agg(F.min("v").alias("_mn"), F.max("v").alias("_mx")) if sized is None else sized
     if rule == "range":
-        cut = lambda p: F.when(F.col("_mx") > F.col("_mn"), F.col("_mn") + F.lit(p / 100) * (F.col("_mx") - F.col("_mn")))
+        cut = _range_cut
     elif rule == "fixed":
         cut = lambda p: F.lit(p)
     else:
@@ -167,6 +187,15 @@ def cutoffs(pixels: DataFrame, keys, rule: str, percents, dims: DataFrame | None
     return s.select(*keys, F.array(*[cut(p) for p in percents]).alias("cuts"))
 
 
+def _range_cut(p: float):
+    return F.when(F.col("_mx") > F.col("_mn"), F.col("_mn") + F.lit(p / 100) * (F.col("_mx") - F.col("_mn")))
+
+
+def _pieces(pixels: DataFrame, keys, *lists) -> DataFrame:
+    """Runs of ``PIECE`` pixels of a line as one row: (keys, py, _piece, lists)."""
+    return pixels.groupBy(*keys, "py", F.floor(F.col("px") / PIECE).alias("_piece")).agg(*lists)
+
+
 def binarize(pixels: DataFrame, keys, rule: str, percents, dims: DataFrame | None = None) -> DataFrame:
     """(keys, px, py, v, on array<boolean>): the mask at every percent, kept as
     one row per pixel. Pixels at or above the cutoff are on. With ``dims``
@@ -247,22 +276,29 @@ def slide_overlap(heat: DataFrame, masks: DataFrame, annotated: DataFrame, perce
     h) is given; then the others are 0 and are only counted. ``masks`` holds
     set pixels per tissue; ``annotated`` lists the (slide, tissue) pairs to
     report, so an empty mask still gives its row (null where undefined). The
-    percents are columns of one aggregate, not copies of the pixels.
+    percents are columns of one aggregate, not copies of the pixels. Heat and
+    masks travel in pieces of a line, not in pixels.
     """
-    heat = durable(heat)
     n = len(percents)
-    cuts = cutoffs(heat, [key], "range", percents, dims)
-    zeros = F.lit(0).cast("long").alias("_unset")
-    cuts = cuts.select("*", zeros) if dims is None else cuts.join(with_unset(heat, dims, [key]).select(key, "_unset"), key)
-    on = lambda i, v="v": F.coalesce(F.col(v) >= F.col("cuts")[i], F.lit(False)).cast("long")
-    set_on = heat.join(cuts, key).groupBy(key).agg(F.array(*[F.sum(on(i)) for i in range(n)]).alias("_on"))
+    seen = F.when(F.col("v").isNotNull(), F.col("px"))  # as long as the list of values
+    heat = durable(_pieces(heat, [key], F.collect_list(seen).alias("_x"), F.collect_list("v").alias("_v"),
+                           F.count(F.lit(1)).alias("_n"), F.min("v").alias("_mn"), F.max("v").alias("_mx")))
+    sized = heat.groupBy(key).agg(F.sum("_n").alias("_set"), F.min("_mn").alias("_mn"), F.max("_mx").alias("_mx"))
+    sized = sized.withColumn("_unset", F.lit(0).cast("long")) if dims is None else _with_unset(sized, dims, [key])
+    cuts = durable(sized.select(key, F.array(*[_range_cut(float(p)) for p in percents]).alias("cuts"), "_unset"))
+    drawn = _pieces(masks, [key, "tissue"], F.collect_list("px").alias("_m"))
+    value = lambda p: F.get("_v", (F.array_position("_x", p) - 1).cast("int"))
+    found = F.transform("_m", value if dims is None else lambda p: F.coalesce(value(p), F.lit(0.0)))
+    under = drawn.join(heat.select(key, "py", "_piece", "_x", "_v"), [key, "py", "_piece"], "left").select(
+        key, "tissue", F.lit(True).alias("_mask"), found.alias("_v"))
+    both = under.unionByName(heat.select(key, F.lit(None).cast(masks.schema["tissue"].dataType).alias("tissue"), F.lit(False).alias("_mask"), "_v"))
+    on = lambda i: F.size(F.filter("_v", lambda v: v >= F.col("cuts")[i])).cast("long")
+    counted = durable(both.join(cuts, key).groupBy(key, "_mask", "tissue").agg(
+        F.sum(F.size("_v")).alias("_px"), F.array(*[F.sum(on(i)) for i in range(n)]).alias("_on")))
     zero_on = lambda i: F.when(F.col("cuts")[i] <= 0, F.col("_unset")).otherwise(F.lit(0))
+    set_on = counted.filter("not _mask").select(key, "_on")
     attn = cuts.join(set_on, key, "left").select(key, F.array(*[F.coalesce(F.col("_on")[i], F.lit(0)) + zero_on(i) for i in range(n)]).alias("_attn"))
-    m = masks.select(key, "tissue", "px", "py").join(heat.select(key, "px", "py", "v"), [key, "px", "py"], "left").join(cuts, key)
-    if dims is not None:
-        m = m.withColumn("v", F.coalesce("v", F.lit(0.0)))
-    inter = m.groupBy(key, "tissue").agg(
-        F.count(F.lit(1)).alias("_px"), F.array(*[F.coalesce(F.sum(on(i)), F.lit(0)) for i in range(n)]).alias("_both"))
+    inter = counted.filter("_mask").select(key, "tissue", "_px", F.col("_on").alias("_both"))
     none = F.array_repeat(F.lit(0).cast("long"), n)
     base = annotated.select(key, "tissue").distinct().join(attn, key).join(inter, [key, "tissue"], "left").select(
         key, "tissue", "_attn", F.coalesce("_px", F.lit(0)).alias("_px"), F.coalesce("_both", none).alias("_both"))

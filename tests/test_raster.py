@@ -210,3 +210,33 @@ def test_lines_are_dealt_by_what_they_hold(spark):
     for r in (1, 3):
         got = {(x.px, x.py) for x in R.erode(mask, ["slide_id", "tissue"], r, 20, 20).collect()}
         assert got == {(x, y) for x in range(10 - r) for y in range(10 - r)}
+
+
+def test_tiles_over_several_strips(spark):
+    """Tiles of ten lines over strips of sixteen: later ones overwrite, sparse heat gives the overlap of the filled map, no pixel is shuffled."""
+    rng = np.random.default_rng(4)
+    rows = [(s, i, int(rng.integers(0, 41)) * 10, int(rng.integers(0, 41)) * 10, float(rng.random())) for s in ("s", "t") for i in range(25)]
+    att = spark.createDataFrame(rows, "slide_id string, tile_idx int, x int, y int, score double")
+    geo = spark.createDataFrame([(s, 400, 1400, 40, 140, 100, 1.0) for s in ("s", "t", "bare")], "slide_id string, w int, h int, thumb_w int, thumb_h int, tile_px int, mag_ratio double")
+    img = {}
+    for s in ("s", "t"):
+        of = [r[4] for r in rows if r[0] == s]
+        for _, i, x, y, v in sorted(r for r in rows if r[0] == s):
+            for px in range(x // 10, min(40, x // 10 + 10)):
+                for py in range(y // 10, min(140, y // 10 + 10)):
+                    img[s, px, py] = (v - min(of)) / (max(of) - min(of) + 1e-6)
+    heat = R.rasterize_tiles(att, geo)
+    got = heat.collect()
+    assert len(got) == len(img) and max(abs(r.v - img[r.slide_id, r.px, r.py]) for r in got) < 1e-12
+    sent = [line for line in heat._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert sent and not any(" px#" in line or "(px#" in line for line in sent)
+    size = geo.select("slide_id", F.col("thumb_w").alias("w"), F.col("thumb_h").alias("h"))
+    polys = spark.createDataFrame([("s", "tumor", sq(35, 35, 290, 380)), ("s", "normal", sq(200, 300, 390, 1390)), ("t", "tumor", sq(0, 0, 120, 150)), ("bare", "tumor", sq(0, 0, 50, 50))], POLY)
+    scale = size.select("slide_id", F.lit(.1).alias("sx"), F.lit(.1).alias("sy"), F.col("w").alias("thumb_w"), F.col("h").alias("thumb_h"))
+    masks = R.rasterize_polygons(polys, scale)
+    key = lambda d: sorted((r.slide_id, r.tissue, r.percentile, r.metric, r.value) for r in d.filter("value is not null").collect())
+    sparse = key(R.slide_overlap(heat, masks, polys, (25, 50), dims=size))
+    assert sparse == key(R.slide_overlap(R.fill_raster(heat, size, ["slide_id"]), masks, polys, (25, 50))) and len(sparse) >= 18
+    on = {p for p in img if p[0] == "s" and img[p] >= .5 * max(v for q, v in img.items() if q[0] == "s")}
+    tumor = {("s", r.px, r.py) for r in masks.filter("slide_id = 's' and tissue = 'tumor'").collect()}
+    assert dict(((s[0], s[1], s[2], s[3]), s[4]) for s in sparse)["s", "tumor", 50, "dice"] == pytest.approx(2 * len(on & tumor) / (len(on) + len(tumor)))
