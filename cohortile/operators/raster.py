@@ -486,6 +486,10 @@ def erode(mask: DataFrame, keys, r: int, width: int, height: int) -> DataFrame:
     return out.select(*keys, "px", "py")
 
 
+#: pixels whose regions are found together
+BLOCK_PIXELS = 250_000
+
+
 def label_runs(x, y, reach_diagonal=False):
     """Connected regions of pixels sorted by (y, x): the index of each region's
     first pixel, per pixel. Runs of pixels per line are merged, not pixels."""
@@ -539,23 +543,29 @@ def region_components(mask: DataFrame, keys, connectivity=4, block=512) -> DataF
     """(keys, px, py, component): connected regions per map, numbered from 0 in
     raster order of their first pixel.
 
-    Regions are found inside blocks of ``block`` pixels a side, one block per
-    task; regions that touch across block borders are then merged by label.
+    Regions are found inside blocks of ``block`` pixels a side, as many small
+    blocks together as make ``BLOCK_PIXELS``; regions that touch across block
+    borders are then merged by label.
     """
     keys = list(keys)
     wide = 1 << 32
     fields = ", ".join(f"`{k}` {mask.schema[k].dataType.simpleString()}" for k in keys)
-    px = mask.select(*keys, F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).distinct().withColumns(
-        {"_bx": F.floor(F.col("px") / block), "_by": F.floor(F.col("py") / block)})
+    px = durable(mask.select(*keys, F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py")).distinct())
+    piles = max(1, -(-px.count() // BLOCK_PIXELS))
+    px = px.withColumns({"_bx": F.floor(F.col("px") / block), "_by": F.floor(F.col("py") / block)})
+    px = px.withColumn("_pile", F.pmod(F.xxhash64(*keys, "_bx", "_by"), F.lit(piles)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["py", "px"], ignore_index=True)
-        x, y = pdf["px"].to_numpy(), pdf["py"].to_numpy()
-        at = label_runs(x, y, connectivity == 8)
-        pdf["a"] = y[at].astype(np.int64) * wide + x[at]
-        return pdf[[*keys, "px", "py", "a"]]
-
-    local = durable(px.groupBy(*keys, "_bx", "_by").applyInPandas(run, f"{fields}, px int, py int, a long"))
+        which = pdf.groupby([*keys, "_bx", "_by"], dropna=False, sort=False).ngroup().to_numpy()
+        x, y = pdf["px"].to_numpy(), pdf["py"].to_numpy().astype(np.int64)
+        own = which * np.int64(block + 2) + y - pdf["_by"].to_numpy() * block  # blocks one below the other, a line or more apart
+        order = np.lexsort((x, own))
+        x, y, own = x[order], y[order], own[order]
+        at = label_runs(x, own, connectivity == 8)
+        pdf = pdf.iloc[order]
+        return pdf[[*keys, "px", "py"]].assign(a=y[at] * wide + x[at])
+
+    local = durable(px.groupBy("_pile").applyInPandas(run, f"{fields}, px int, py int, a long"))
     steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if connectivity == 8 else [])
     rim = local.filter((F.col("px") % block).isin(0, block - 1) | (F.col("py") % block).isin(0, block - 1))
     out = rim.select(*keys, "a", F.explode(F.array(*[F.struct((F.col("px") + dx).alias("px"), (F.col("py") + dy).alias("py")) for dx, dy in steps])).alias("_n"))

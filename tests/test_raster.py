@@ -240,3 +240,26 @@ def test_tiles_over_several_strips(spark):
     on = {p for p in img if p[0] == "s" and img[p] >= .5 * max(v for q, v in img.items() if q[0] == "s")}
     tumor = {("s", r.px, r.py) for r in masks.filter("slide_id = 's' and tissue = 'tumor'").collect()}
     assert dict(((s[0], s[1], s[2], s[3]), s[4]) for s in sparse)["s", "tumor", 50, "dice"] == pytest.approx(2 * len(on & tumor) / (len(on) + len(tumor)))
+
+
+def test_regions_of_many_small_maps_together(spark, monkeypatch):
+    """Blocks of several maps labelled in one pile give what each gives alone."""
+    rng = np.random.default_rng(6)
+    px = sorted({(f"m{i % 9}", int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 14, (900, 2)))})
+    df = spark.createDataFrame(px + px[:40], "k string, px int, py int")
+    got = {}
+    for pixels in (20, 10_000):
+        monkeypatch.setattr(R, "BLOCK_PIXELS", pixels)
+        got[pixels] = {(r.k, r.px, r.py): r.component for r in R.region_components(df, ["k"], 4, block=5).collect()}
+    assert got[20] == got[10_000] and len(got[20]) == len(px)
+    for k in {p[0] for p in px}:
+        left, number = sorted((y, x) for m, x, y in px if m == k), 0
+        while left:
+            todo = [left[0]]
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in left:
+                    left.remove((y, x))
+                    assert got[20][k, x, y] == number
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            number += 1
