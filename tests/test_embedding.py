@@ -483,3 +483,48 @@ def test_few_runs_need_no_pairs(spark):
     out = K.consensus_summary(a, a.select("item", F.lit("A").alias("model")), "item")
     assert "FlatMapCoGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.first().consensus == pytest.approx(2 * 100 * 99 / (200 * 199))
+
+
+def test_listed_runs_meet_in_tiles(spark, monkeypatch):
+    """Runs as one list a row give what a row per run gives, and pairs in tiles and parts of the runs what pairs one by one give."""
+    rng = np.random.default_rng(21)
+    df = spark.createDataFrame([(f"i{i}", "AB"[i % 2], [float(v) for v in rng.normal(i % 3, 1, 2)]) for i in range(60)], "item string, model string, f array<double>")
+    long = K.repeated_kmeans(df, "item", "f", [2, 3], n_runs=21)
+    lists = K.repeated_kmeans(df, "item", "f", [2, 3], n_runs=21, listed=True)
+    want = {}
+    for r in long.collect():
+        want.setdefault((r.k, r.item), {})[r.run] = r.cluster
+    assert {(r.k, r.item): {i: c - 1 for i, c in enumerate(r.clusters) if c} for r in lists.collect()} == want
+    keys = ["k", "model1", "model2"]
+    one, two = (K.consensus_summary(a, df, "item", ["k"], rows=30).orderBy(*keys) for a in (long, lists))
+    assert "map_from_entries" not in one._jdf.queryExecution().toString()  # searched once a run, for every run
+    one, two, model = one.collect(), two.collect(), {r.item: r.model for r in df.collect()}
+    pairs = {}
+    for k, p in want:
+        for j, q in want:
+            if j == k and p < q:
+                both = [c == want[k, q][r] for r, c in want[k, p].items() if r in want[k, q]]
+                pairs.setdefault((k, *sorted((model[p], model[q]))), []).append(sum(both) / max(1, len(both)))
+    assert one == two and {(r.k, r.model1, r.model2): r.consensus for r in two} == pytest.approx({k: np.mean(v) for k, v in pairs.items()}, abs=1e-6)
+    assert {(r.k, r.model1, r.model2): r.pairs for r in two} == {k: len(v) for k, v in pairs.items()}
+    for runs, k in ((1, 2), (100, 4), (255, 3), (600, 3)):
+        monkeypatch.setattr(K, "SHARES", 16), monkeypatch.setattr(K, "HELD", 1)
+        a, b = (rng.integers(0, k + 1, (n, runs)).astype(np.uint8) for n in (75, 41))
+        a[3], b[:2] = 0, k
+        ma, mb = np.eye(3, dtype="f4")[rng.integers(0, 3, 75)], np.eye(2, dtype="f4")[rng.integers(0, 2, 41)]
+        share = lambda x, y: ((x[:, None] == y[None]) & (x[:, None] > 0)).sum(2) / np.maximum(((x[:, None] > 0) & (y[None] > 0)).sum(2), 1)
+        assert K._shared(a, b, ma, mb, k) == pytest.approx(ma.T @ share(a, b) @ mb, rel=1e-6)
+        own = share(a, a)
+        np.fill_diagonal(own, 0)
+        assert K._shared(a, None, ma, ma, k) == pytest.approx(ma.T @ own @ ma, rel=1e-6)
+
+
+def test_nearest_of_all_runs_keeps_ties():
+    """The nearest centroids of many runs are those of each run alone, the first on ties up to the ninth digit."""
+    rng = np.random.default_rng(22)
+    x = np.vstack([rng.integers(0, 3, (300, 2)).astype(float), rng.normal(size=(300, 2)), 1e6 + rng.normal(size=(50, 2))])
+    c = np.stack([np.round(rng.normal(1, 1, (4, 2))), rng.normal(size=(4, 2)), np.ones((4, 2)), np.array([[0, 0], [2, 0], [0, 2], [2 + 1e-11, 2]])], 1)
+    hot = K._nearest_of(x, c)
+    assert (hot.sum(1) == 1).all()
+    for run in range(c.shape[1]):
+        assert (hot[:, :, run].argmax(1) == K._near(x, c[:, run])[0]).all()
