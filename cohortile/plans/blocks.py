@@ -26,13 +26,14 @@ TASK_ROWS = 1_000_000
 MOST_ROWS = 32_768
 
 
-def beside(rows: DataFrame, table: DataFrame, keys, features: str, work, schema, numbers=NUMBERS) -> DataFrame:
+def beside(rows: DataFrame, table: DataFrame, keys, features: str | Column, work, schema, numbers=NUMBERS) -> DataFrame:
     """``work(part, its table)`` (Arrow in, Arrow out) for parts of every group.
     ``part`` has the columns of ``rows`` in their order, and some more; a part
-    whose group has no table rows gets an empty one."""
+    whose group has no table rows gets an empty one. ``features`` is the vector
+    or a column that says what a row weighs in components."""
     by = ["_all", *keys]
     rows, table = rows.withColumn("_all", F.lit(1)), table.withColumn("_all", F.lit(1))
-    parts = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size(features)) / numbers)).cast("int").alias("_parts"))
+    parts = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size(features) if isinstance(features, str) else features) / numbers)).cast("int").alias("_parts"))
     left = join_same_key(rows, parts, by).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"))
     right = join_same_key(table, parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     names = [c for c in rows.columns if c != "_all"]

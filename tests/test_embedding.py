@@ -528,3 +528,40 @@ def test_nearest_of_all_runs_keeps_ties():
     assert (hot.sum(1) == 1).all()
     for run in range(c.shape[1]):
         assert (hot[:, :, run].argmax(1) == K._near(x, c[:, run])[0]).all()
+
+
+def test_draws_meet_their_key_in_one_task(spark):
+    """Sums of a row are sent once per part of its key, not once per block; blocks and parts give the silhouettes of each draw alone."""
+    rng = np.random.default_rng(23)
+    rows = [("A" if i % 3 else None, f"t{i}", None if i % 11 == 0 else f"l{i % 4}", [float(v) for v in rng.normal(i % 4, 2, 2)],
+             [(j, int(w)) for j, w in enumerate(np.r_[rng.poisson(0.7, 4), 300 * (i == 5)]) if w]) for i in range(180)]
+    df = spark.createDataFrame(rows, "g string, id string, lab string, f array<double>, draws array<struct<iter:int,weight:int>>")
+    alone = df.withColumn("lab", F.coalesce("lab", F.lit("none"))).select("g", "id", "lab", "f", F.explode("draws").alias("d")).select("g", "id", "lab", "f", "d.iter", "d.weight").fillna("none", ["g"])
+    want = {}
+    for (g, it), p in alone.toPandas().groupby(["g", "iter"]):
+        x, w, lab = np.vstack(p["f"]), p["weight"].to_numpy(float), p["lab"].to_numpy()
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        d[p["id"].to_numpy()[:, None] == p["id"].to_numpy()[None]] = 0
+        n = {v: w[lab == v].sum() for v in set(lab)}
+        s = []
+        for i in range(len(p)):
+            a = (d[i] * w)[lab == lab[i]].sum() / max(1, n[lab[i]] - 1)
+            b = min([(d[i] * w)[lab == v].sum() / m for v, m in n.items() if v != lab[i]], default=np.inf)
+            s.append(0.0 if n[lab[i]] <= 1 or np.isinf(b) else (b - a) / max(a, b))
+        want[g, it] = (np.array(s) * w).sum() / w.sum()
+    for kw in ({}, {"rows": 20, "most": 20}, {"rows": 20, "most": 20, "bundle": 100}):
+        got = K.silhouette_draws(df, ["g"], "id", "f", "lab", "draws", 5, **kw)
+        assert {(r.g or "none", r.iter): r.silhouette for r in got.filter("silhouette is not null").collect()} == pytest.approx(want)
+
+
+def test_bias_metrics_are_worked_out_once(spark, tmp_path):
+    """The tests between models read the metrics of all draws from a table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+    rows = [(m, "t", i, float(i + (m == "B")), 1.0, {"a": float(i)}) for m in "AB" for i in range(6)]
+    df = spark.createDataFrame(rows, "model string, tissue string, iter int, silhouette double, davies_bouldin double, compactness map<string,double>")
+    out = K.bias_comparison(df.withColumn("silhouette", F.udf(count, "double")("silhouette"))).collect()
+    assert len(out) == 3 and seen.value == len(rows)
